@@ -54,3 +54,35 @@ def all_metrics(conf: DataFrame) -> DataFrame:
         metrics.accuracy().alias("accuracy"),
         metrics.roc_auc().alias("roc_auc"),
     )
+
+
+def _py_metric(name: str, tp: int, fp: int, fn: int, tn: int):
+    """Same doubles as the Column expressions (exact integer operands)."""
+    name = metrics.ALIASES.get(name, name)
+    if name == "f1":
+        den = 2 * tp + fp + fn
+        return 0.0 if den == 0 else (2 * tp) / den
+    if name == "accuracy":
+        return (tp + tn) / (tp + fp + fn + tn)
+    if name == "roc_auc":
+        pos, neg = tp + fn, tn + fp
+        return None if pos == 0 or neg == 0 else (tp / pos + tn / neg) / 2
+    raise ValueError(f"unknown metric {name!r}")
+
+
+def score_rows(abt: DataFrame, ids: np.ndarray, mat: np.ndarray, model, metric: str = "f1",
+               eval_split: str = "val") -> list[dict]:
+    """Driver-side twin of :func:`score` for a population already on the driver:
+    one scoring job, ``P`` rows back; no second pass over the population plan."""
+    uniq, inverse = np.unique(mat, axis=0, return_inverse=True)
+    inverse = np.asarray(inverse).reshape(-1)
+    conf = model.confusion(abt, np.arange(len(uniq), dtype=np.int64), uniq, (eval_split,)).collect()
+    by = {r["chrom_id"]: r for r in conf if r["split"] == eval_split}
+    out = []
+    for cid, u, genes in zip(ids, inverse, mat):
+        c = by.get(int(u))
+        tp, fp, fn, tn = (c["tp"], c["fp"], c["fn"], c["tn"]) if c else (0, 0, 0, 0)
+        sc = None if int(genes.sum()) == 0 or c is None else _py_metric(metric, tp, fp, fn, tn)
+        out.append({"chrom_id": int(cid), "genes": [int(x) for x in genes], "tp": tp, "fp": fp, "fn": fn, "tn": tn,
+                    "score": sc})
+    return out

@@ -133,3 +133,119 @@ class CentroidModel:
             .groupBy("split", "chrom_id")
             .agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")])
         )
+
+
+# ------------------------------------------------------------------ cross-validation
+# Folds are hash-assigned on train rows: fold = u32(seed, 'fold', row_id) % k.
+
+
+def fold_sums(abt: DataFrame, folds: int, seed: int, fit_split: str = "train"):
+    """Per (class, fold, gene) sums and per (class, fold) counts: one aggregation."""
+    from featsearch.functions.rng import u32
+
+    rows = (
+        abt.where(F.col("split") == fit_split)
+        .select("y", (u32(seed, "fold", F.col("row_id")) % folds).cast("int").alias("fold"),
+                F.posexplode(scale.quantize(F.col("features"))).alias("gene", "q"))
+        .groupBy("y", "fold", "gene")
+        .agg(F.sum("q").alias("s"), F.count(F.lit(1)).alias("n"))
+        .collect()
+    )
+    d = max(r["gene"] for r in rows) + 1
+    s = np.zeros((2, folds, d), dtype=np.int64)
+    n = np.zeros((2, folds), dtype=np.int64)
+    for r in rows:
+        s[r["y"], r["fold"], r["gene"]] = r["s"]
+        n[r["y"], r["fold"]] = r["n"]
+    return s, n
+
+
+def cv_means(s: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Class means fitted without each fold: shape (folds, 2, d), int64."""
+    folds = s.shape[1]
+    out = np.zeros((folds, 2, s.shape[2]), dtype=np.int64)
+    for f in range(folds):
+        for c in (0, 1):
+            num = s[c].sum(axis=0) - s[c, f]
+            den = n[c].sum() - n[c, f]
+            out[f, c] = np.floor(num.astype(np.float64) / float(den)).astype(np.int64)
+    return out
+
+
+def cv_batches(batches, ids, bits, means, block: int = 256):
+    d = bits.shape[1]
+    acc: dict = {}
+    for rb in batches:
+        if rb.num_rows == 0:
+            continue
+        q = _features(rb, "q", d)
+        y = rb.column(rb.schema.get_field_index("y")).to_numpy(zero_copy_only=False).astype(np.int64)
+        fo = rb.column(rb.schema.get_field_index("fold")).to_numpy(zero_copy_only=False)
+        for f in np.unique(fo):
+            sel = fo == f
+            qf, ys = q[sel], y[sel]
+            m0, m1 = means[int(f), 0], means[int(f), 1]
+            contrib = (qf - m1) ** 2 - (qf - m0) ** 2
+            exact = float(np.abs(contrib).max(initial=0)) * d < EXACT_F64
+            cs = contrib.astype(np.float64) if exact else contrib
+            tp = np.zeros(len(ids), dtype=np.int64)
+            fp = np.zeros(len(ids), dtype=np.int64)
+            for lo in range(0, len(ids), block):
+                pred = (cs @ bits[lo : lo + block].astype(cs.dtype).T) < 0
+                tp[lo : lo + block] = ys @ pred
+                fp[lo : lo + block] = (1 - ys) @ pred
+            n1 = int(ys.sum())
+            a = acc.setdefault(int(f), [np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), 0, 0])
+            a[0] += tp
+            a[1] += fp
+            a[2] += n1
+            a[3] += len(ys) - n1
+    for f, (tp, fp, n1, n0) in acc.items():
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([f] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(tp, pa.int64()),
+             pa.array(fp, pa.int64()), pa.array(n1 - tp, pa.int64()), pa.array(n0 - fp, pa.int64())],
+            names=["fold", "chrom_id", "tp", "fp", "fn", "tn"],
+        )
+
+
+def _cv_confusion(self, abt: DataFrame, ids, bits, folds: int = 5, seed: int = 0) -> DataFrame:
+    from featsearch.functions.rng import u32
+    from featsearch.session import ship_package
+
+    ship_package(abt.sparkSession)
+    key = (id(abt), folds, seed)
+    if key not in self._cache:
+        self._cache[key] = cv_means(*fold_sums(abt, folds, seed, self.fit_split))
+    means = self._cache[key]
+    ids = np.asarray(ids, dtype=np.int64)
+    bits = np.asarray(bits, dtype=np.int8)
+    rows = abt.where(F.col("split") == self.fit_split).select(
+        (u32(seed, "fold", F.col("row_id")) % folds).cast("int").alias("fold"), "y",
+        scale.quantize(F.col("features")).alias("q"),
+    )
+    return (
+        rows.mapInArrow(lambda it: cv_batches(it, ids, bits, means),
+                        "fold int, chrom_id bigint, tp bigint, fp bigint, fn bigint, tn bigint")
+        .groupBy("fold", "chrom_id")
+        .agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")])
+    )
+
+
+def _cv_scores(self, abt: DataFrame, ids, bits, folds: int = 5, seed: int = 0, metric: str = "accuracy"):
+    """Mean over folds (in fold order) of the metric; returns [(chrom_id, score)]."""
+    from featsearch.functions import metrics as M
+
+    conf = self.cv_confusion(abt, ids, bits, folds, seed).withColumn("m", M.metric(metric)).collect()
+    per: dict = {}
+    for r in conf:
+        per.setdefault(r["chrom_id"], {})[r["fold"]] = r["m"]
+    out = []
+    for cid in ids:
+        vals = [per.get(int(cid), {}).get(f) for f in range(folds)]
+        vals = [0.0 if v is None else v for v in vals]
+        out.append((int(cid), sum(vals) / folds))
+    return out
+
+
+CentroidModel.cv_confusion = _cv_confusion
+CentroidModel.cv_scores = _cv_scores

@@ -451,3 +451,223 @@ def o_diversity():
         f"SELECT CAST(0 AS BIGINT) AS gen, count(DISTINCT genes) AS n_distinct FROM {T.packed(pop)} "
         f"UNION ALL SELECT CAST(1 AS BIGINT), count(DISTINCT genes) FROM {T.packed(nx)}"
     )
+
+
+# ------------------------------------------------------------------ searches
+
+BASELINE_SETS = ("embeddings", "lineitem", "orders", "documents")
+
+
+@spark_query("baseline_metrics")
+def q_baseline(spark, sf):
+    out = None
+    for ds in BASELINE_SETS:
+        ab = A.load(spark, sf, ds, SEED)
+        conf = fitness.confusion(ab.df, popops.ones(spark, ab.d), CentroidModel(), ("val", "test"))
+        part = fitness.all_metrics(conf.select(F.lit(ds).alias("dataset"), "split", "tp", "fp", "fn", "tn"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@oracle("baseline_metrics")
+def o_baseline():
+    from featsearch.functions.metrics import metric_sql
+
+    q = T.Sql()
+    parts = []
+    for ds in BASELINE_SETS:
+        p = T.abt(q, ds)
+        ones = q.add(f"{p}_ones", f"SELECT CAST(0 AS BIGINT) AS chrom_id, gene, 1 AS bit FROM {T.genes_of(q, p)}")
+        for s in ("val", "test"):
+            c = T.centroid_conf(q, f"{p}_b{s}", p, ones, s)
+            parts.append(
+                f"SELECT '{ds}' AS dataset, '{s}' AS split, tp, fp, fn, tn, {metric_sql('f1')} AS f1, "
+                f"{metric_sql('accuracy')} AS accuracy, {metric_sql('roc_auc')} AS roc_auc FROM {c}"
+            )
+    return q.render("\nUNION ALL ".join(parts))
+
+
+def _ga_unrolled(spark, sf, dataset, generations):
+    """Scored populations of generations 0..generations-1 (lazy breeding between)."""
+    ab = A.load(spark, sf, dataset, SEED)
+    model = CentroidModel()
+    pop = popops.init(spark, P, ab.d, SEED)
+    n = P
+    out = []
+    for g in range(generations):
+        sc = fitness.score(ab.df, pop, model, METRIC)
+        out.append(sc.withColumn("gen", F.lit(g).cast("bigint")))
+        pop = popops.next_generation(sc, n, ab.d, g + 1, SEED, CROSSOVER, RATE, ELITISM)
+        n = 2 * (n // 2)
+    return ab, out
+
+
+def _o_ga_unrolled(q, dataset, generations, d):
+    p = T.abt(q, dataset)
+    pop = T.population_init(q, "pop0", p, P, SEED)
+    n = P
+    scs = []
+    for g in range(generations):
+        conf = T.centroid_conf(q, f"conf{g}", p, pop)
+        sc = T.scored(q, f"sc{g}", conf, pop, METRIC)
+        scs.append((sc, pop))
+        if g + 1 < generations:
+            pop = T.next_generation(q, f"pop{g + 1}", sc, pop, n, d, g + 1, SEED, CROSSOVER, RATE, ELITISM)
+            n = 2 * (n // 2)
+    return scs
+
+
+@spark_query("ga_generation")
+def q_ga_generation(spark, sf):
+    _, scs = _ga_unrolled(spark, sf, "embeddings", 2)
+    return scs[0].unionByName(scs[1]).select("gen", "chrom_id", _genes(), "tp", "fp", "fn", "tn", "score")
+
+
+@oracle("ga_generation")
+def o_ga_generation():
+    q = T.Sql()
+    scs = _o_ga_unrolled(q, "embeddings", 2, 64)
+    parts = [
+        f"SELECT CAST({g} AS BIGINT) AS gen, s.chrom_id, k.genes, s.tp, s.fp, s.fn, s.tn, s.score "
+        f"FROM {sc} s JOIN {T.packed(pop)} k ON s.chrom_id = k.chrom_id"
+        for g, (sc, pop) in enumerate(scs)
+    ]
+    return q.render("\nUNION ALL ".join(parts))
+
+
+HIST_GENS = 3
+ORDERS_D = 7  # o_totalprice, order month, 5 order priorities
+
+
+def _history_of(scs):
+    out = None
+    for sc in scs:
+        best = popops.select_top(sc, 1).select("gen", _genes())
+        agg = sc.groupBy("gen").agg(
+            F.round(F.avg("score"), 10).alias("avg"), F.max("score").alias("best"), F.min("score").alias("worst")
+        )
+        part = agg.join(best, "gen")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _o_history_of(q, scs):
+    parts = []
+    for g, (sc, pop) in enumerate(scs):
+        rk = T.ranked(q, f"hrk{g}", sc)
+        parts.append(
+            f"SELECT CAST({g} AS BIGINT) AS gen, round(avg(s.score), 10) AS avg, max(s.score) AS best, "
+            f"min(s.score) AS worst, (SELECT k.genes FROM {rk} r JOIN {T.packed(pop)} k ON r.chrom_id = k.chrom_id "
+            f"WHERE r.rank = 1) AS genes FROM {sc} s"
+        )
+    return "\nUNION ALL ".join(parts)
+
+
+@spark_query("ga_history")
+def q_ga_history(spark, sf):
+    _, scs = _ga_unrolled(spark, sf, "orders", HIST_GENS)
+    return _history_of(scs)
+
+
+@oracle("ga_history")
+def o_ga_history():
+    q = T.Sql()
+    scs = _o_ga_unrolled(q, "orders", HIST_GENS, ORDERS_D)
+    return q.render(_o_history_of(q, scs))
+
+
+@spark_query("best_test_metrics")
+def q_best_test(spark, sf):
+    ab, scs = _ga_unrolled(spark, sf, "orders", HIST_GENS)
+    best = popops.select_top(scs[-1], 1).select(F.lit(0).cast("bigint").alias("chrom_id"), "genes")
+    conf = fitness.confusion(ab.df, best, CentroidModel(), ("test",)).drop("split", "chrom_id")
+    return fitness.all_metrics(conf.withColumn("genes", F.lit(bits_str_of(best))))
+
+
+def bits_str_of(pop_df) -> str:
+    return "".join(str(x) for x in pop_df.first()["genes"])
+
+
+@oracle("best_test_metrics")
+def o_best_test():
+    from featsearch.functions.metrics import metric_sql
+
+    q = T.Sql()
+    scs = _o_ga_unrolled(q, "orders", HIST_GENS, ORDERS_D)
+    sc, pop = scs[-1]
+    rk = T.ranked(q, "brk", sc)
+    q.add("bpop", f"SELECT CAST(0 AS BIGINT) AS chrom_id, pp.gene, pp.bit FROM {rk} r JOIN {pop} pp ON r.chrom_id = pp.chrom_id WHERE r.rank = 1")
+    c = T.centroid_conf(q, "bconf", "orders", "bpop", "test")
+    return q.render(
+        f"SELECT c.tp, c.fp, c.fn, c.tn, k.genes, {metric_sql('f1')} AS f1, {metric_sql('accuracy')} AS accuracy, "
+        f"{metric_sql('roc_auc')} AS roc_auc FROM {c} c, {T.packed('bpop')} k"
+    )
+
+
+def _random_cfg(n=P, rounds=ROUNDS, thr=THRESHOLD):
+    from featsearch.config import SearchConfig
+
+    return SearchConfig(dataset="embeddings", algorithm="random", model="centroid", metric=METRIC,
+                        population_size=n, max_generation=rounds, stopping_threshold=thr, seed=SEED)
+
+
+def _random_query(spark, sf, cfg):
+    from featsearch.plans.search import baseline, random_plan
+
+    ab = A.load(spark, sf, cfg.dataset, SEED)
+    model = CentroidModel()
+    base = baseline(ab, model, cfg.metric)
+    h = random_plan(ab, cfg, model, base["val"])
+    return h.select(
+        F.col("gen").cast("bigint").alias("gen"), F.round("avg", 10).alias("avg"), "best", "worst", "best_so_far",
+        _genes("best_genes"),
+    )
+
+
+def _o_random(cfg):
+    q = T.Sql()
+    p = T.abt(q, cfg.dataset)
+    n, rounds = cfg.population_size, cfg.max_generation + 1
+    pop = T.population_init(q, "rpop", p, n * rounds, SEED, 0, "random")
+    conf = T.centroid_conf(q, "rconf", p, pop)
+    sc = T.scored(q, "rsc", conf, pop, METRIC)
+    ones = q.add("ones", f"SELECT CAST(0 AS BIGINT) AS chrom_id, gene, 1 AS bit FROM {T.genes_of(q, p)}")
+    bconf = T.centroid_conf(q, "bconf", p, ones)
+    bsc = T.scored(q, "bsc", bconf, ones, METRIC)
+    q.add("rg", f"SELECT *, chrom_id // {n} AS gen, row_number() OVER (PARTITION BY chrom_id // {n} "
+                f"ORDER BY score DESC NULLS LAST, chrom_id) AS r FROM {sc}")
+    q.add("per", f"""SELECT gen, round(avg(score), 10) AS avg, max(score) AS best, min(score) AS worst,
+  any_value(CASE WHEN r = 1 THEN chrom_id END) AS best_id FROM rg GROUP BY gen""")
+    q.add("per2", f"""SELECT p.*, max(best) OVER (ORDER BY gen ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best_so_far,
+  max(best) OVER (ORDER BY gen ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_max FROM per p""")
+    thr = repr(float(cfg.stopping_threshold))
+    return q.render(
+        f"""SELECT CAST(p.gen AS BIGINT) AS gen, p.avg, p.best, p.worst, p.best_so_far, k.genes
+FROM per2 p JOIN {T.packed(pop)} k ON k.chrom_id = p.best_id
+WHERE (SELECT score FROM {bsc}) < {thr} AND (p.prev_max IS NULL OR p.prev_max < {thr})"""
+    )
+
+
+@spark_query("random_search")
+def q_random(spark, sf):
+    return _random_query(spark, sf, _random_cfg())
+
+
+@oracle("random_search")
+def o_random():
+    return _o_random(_random_cfg())
+
+
+# The reference's smoke grid (population 10, 10 rounds) with a threshold the
+# search can reach, so that the stop rule truncates the rounds.
+STOP_CFG = dict(n=10, rounds=10, thr=0.6)
+
+
+@spark_query("stop_rule")
+def q_stop(spark, sf):
+    return _random_query(spark, sf, _random_cfg(**STOP_CFG))
+
+
+@oracle("stop_rule")
+def o_stop():
+    return _o_random(_random_cfg(**STOP_CFG))
