@@ -671,3 +671,320 @@ def q_stop(spark, sf):
 @oracle("stop_rule")
 def o_stop():
     return _o_random(_random_cfg(**STOP_CFG))
+
+
+# ------------------------------------------------------------------ forward selection
+
+FOLDS = 5
+LINEITEM_D = 9  # 6 numeric + 3 return flags
+
+
+@spark_query("forward_selection_round")
+def q_fs_round(spark, sf):
+    import numpy as np
+
+    ab = A.load(spark, sf, "lineitem", SEED)
+    mat = np.eye(ab.d, dtype=np.int8)
+    cv = CentroidModel().cv_scores(ab.df, np.arange(ab.d, dtype=np.int64), mat, FOLDS, SEED, "accuracy")
+    return spark.createDataFrame(cv, "gene bigint, cv_score double")
+
+
+@spark_query("forward_selection")
+def q_fs(spark, sf):
+    from featsearch.config import SearchConfig
+    from featsearch.plans.search import forward_selection
+
+    ab = A.load(spark, sf, "lineitem", SEED)
+    cfg = SearchConfig(dataset="lineitem", algorithm="rfs", model="centroid", metric=METRIC, seed=SEED, cv_folds=FOLDS)
+    res = forward_selection(ab, cfg, CentroidModel(), {"val": None})
+    return spark.createDataFrame([(s["round"], s["gene"], s["cv_score"]) for s in res.steps],
+                                 "round bigint, gene bigint, cv_score double")
+
+
+def _o_cv_base(q, dataset):
+    p = T.abt(q, dataset)
+    fold = u32_sql(str(SEED), "'fold'", "row_id")
+    q.add("trf", f"SELECT row_id, y, gene, q, {fold} % {FOLDS} AS fold FROM {p}_q WHERE split = 'train'")
+    q.add("fs", "SELECT y, fold, gene, sum(q) AS s, count(*) AS n FROM trf GROUP BY y, fold, gene")
+    q.add("ft", "SELECT y, gene, sum(s) AS st, sum(n) AS nt FROM fs GROUP BY y, gene")
+    q.add("fm", """SELECT f.fold, f.gene,
+  max(CASE WHEN f.y = 0 THEN CAST(floor((t.st - f.s) / (t.nt - f.n)) AS BIGINT) END) AS m0,
+  max(CASE WHEN f.y = 1 THEN CAST(floor((t.st - f.s) / (t.nt - f.n)) AS BIGINT) END) AS m1
+FROM fs f JOIN ft t ON f.y = t.y AND f.gene = t.gene GROUP BY f.fold, f.gene""")
+    q.add("cc", """SELECT r.row_id, r.y, r.fold, r.gene,
+  (r.q - m.m1) * (r.q - m.m1) - (r.q - m.m0) * (r.q - m.m0) AS c
+FROM trf r JOIN fm m ON r.fold = m.fold AND r.gene = m.gene""")
+    return p
+
+
+def _o_cv_round(q, k, sel):
+    q.add(f"r{k}_base", f"SELECT row_id, sum(c) AS b FROM cc WHERE gene IN (SELECT gene FROM {sel}) GROUP BY row_id")
+    q.add(f"r{k}_cand", f"""SELECT cc.row_id, cc.y, cc.fold, cc.gene AS cand, coalesce(b.b, 0) + cc.c AS dec
+FROM cc LEFT JOIN r{k}_base b ON cc.row_id = b.row_id WHERE cc.gene NOT IN (SELECT gene FROM {sel})""")
+    q.add(f"r{k}_acc", f"""SELECT cand, fold,
+  CAST(sum(CASE WHEN (dec < 0) = (y = 1) THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS acc
+FROM r{k}_cand GROUP BY cand, fold""")
+    folds = " + ".join(f"max(CASE WHEN fold = {f} THEN acc END)" for f in range(FOLDS))
+    return q.add(f"r{k}_cv", f"SELECT cand, ({folds}) / {FOLDS} AS cv FROM r{k}_acc GROUP BY cand")
+
+
+@oracle("forward_selection_round")
+def o_fs_round():
+    q = T.Sql()
+    _o_cv_base(q, "lineitem")
+    q.add("sel0", "SELECT CAST(NULL AS BIGINT) AS gene WHERE false")
+    cv = _o_cv_round(q, 0, "sel0")
+    return q.render(f"SELECT CAST(cand AS BIGINT) AS gene, cv AS cv_score FROM {cv}")
+
+
+@oracle("forward_selection")
+def o_fs():
+    q = T.Sql()
+    _o_cv_base(q, "lineitem")
+    q.add("sel0", "SELECT CAST(NULL AS BIGINT) AS gene WHERE false")
+    picks = []
+    for k in range(LINEITEM_D // 2):
+        sel = f"sel{k}"
+        cv = _o_cv_round(q, k, sel)
+        picks.append(q.add(f"pick{k}", f"SELECT CAST({k} AS BIGINT) AS round, CAST(cand AS BIGINT) AS gene, cv AS cv_score "
+                                       f"FROM {cv} ORDER BY cv DESC, cand ASC LIMIT 1"))
+        q.add(f"sel{k + 1}", " UNION ALL ".join(f"SELECT gene FROM {p}" for p in picks))
+    return q.render("\nUNION ALL ".join(f"SELECT * FROM {p}" for p in picks))
+
+
+# ------------------------------------------------------------------ reports over a study of runs
+
+from featsearch.plans import report as R  # noqa: E402
+from featsearch.plans import study as ST  # noqa: E402
+
+
+def _study(spark, sf):
+    store = ST.run_study(spark, sf)
+    return store.configs(), store.history(), store.test_metrics()
+
+
+def _compiled(spark, sf):
+    c, h, t = _study(spark, sf)
+    return R.compiled(c, h, t)
+
+
+def _o_study():
+    q = T.Sql()
+    ST.sql_study(q)
+    return q
+
+
+RUN_COLS = ("dataset", "algorithm", "model")
+
+
+@spark_query("runs_count")
+def q_runs_count(spark, sf):
+    c, _, _ = _study(spark, sf)
+    return c.select(F.countDistinct("run_id").alias("n_runs"))
+
+
+@oracle("runs_count")
+def o_runs_count():
+    q = _o_study()
+    return q.render("SELECT (SELECT count(*) FROM st_runs) + 1 AS n_runs")  # + the unfinished run
+
+
+@spark_query("runs_complete")
+def q_runs_complete(spark, sf):
+    c, h, t = _study(spark, sf)
+    return R.complete_runs(c, h, t).select(*RUN_COLS)
+
+
+@oracle("runs_complete")
+def o_runs_complete():
+    return _o_study().render("SELECT dataset, algorithm, model FROM st_runs")
+
+
+@spark_query("history_summary")
+def q_history_summary(spark, sf):
+    c, h, t = _study(spark, sf)
+    s = R.history_summary(h).join(R.complete_runs(c, h, t), "run_id")
+    return s.select(*RUN_COLS, F.round("avg", 10).alias("avg"), "best", "worst", F.col("last_gen").cast("bigint").alias("last_gen"))
+
+
+@oracle("history_summary")
+def o_history_summary():
+    return _o_study().render(
+        "SELECT dataset, algorithm, model, round(avg, 10) AS avg, best, worst, CAST(last_gen AS BIGINT) AS last_gen FROM st_runs"
+    )
+
+
+@spark_query("runs_compiled")
+def q_runs_compiled(spark, sf):
+    return _compiled(spark, sf).select(
+        *RUN_COLS, "f1", "accuracy", "roc_auc", _genes("best_genes"), F.round("avg", 10).alias("avg"), "best", "worst"
+    )
+
+
+@oracle("runs_compiled")
+def o_runs_compiled():
+    return _o_study().render(
+        "SELECT dataset, algorithm, model, f1, accuracy, roc_auc, genes, round(avg, 10) AS avg, best, worst FROM st_runs"
+    )
+
+
+@spark_query("runs_with_placeholders")
+def q_placeholders(spark, sf):
+    c, h, t = _study(spark, sf)
+    return R.with_placeholders(c, h, t).select(*RUN_COLS, "f1", "accuracy", "roc_auc")
+
+
+@oracle("runs_with_placeholders")
+def o_placeholders():
+    return _o_study().render(
+        "SELECT dataset, algorithm, model, f1, accuracy, roc_auc FROM st_runs "
+        "UNION ALL SELECT 'orders', 'rfs', 'logistic', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)"
+    )
+
+
+@spark_query("runs_filtered")
+def q_runs_filtered(spark, sf):
+    df = R.filtered(_compiled(spark, sf), backend="processes", model="centroid")
+    return df.groupBy("algorithm").agg(F.count(F.lit(1)).alias("n_runs"))
+
+
+@oracle("runs_filtered")
+def o_runs_filtered():
+    return _o_study().render("SELECT algorithm, count(*) AS n_runs FROM st_runs WHERE model = 'centroid' GROUP BY algorithm")
+
+
+@spark_query("metrics_pivot")
+def q_metrics_pivot(spark, sf):
+    piv = R.metrics_pivot(_compiled(spark, sf), list(ST.DATASETS), ["centroid"], list(ST.ALGORITHMS))
+    return piv.withColumn("algorithm", R.display_name("algorithm"))
+
+
+@oracle("metrics_pivot")
+def o_metrics_pivot():
+    q = _o_study()
+    grid = " UNION ALL ".join(
+        f"SELECT 'centroid' AS model, '{a}' AS algorithm, '{m}' AS metric, CAST({j * 10 + n} AS BIGINT) AS pos"
+        for j, a in enumerate(ST.ALGORITHMS) for n, m in enumerate(R.METRIC_COLS)
+    )
+    q.add("grid", grid)
+    q.add("mlong", " UNION ALL ".join(
+        f"SELECT dataset, model, algorithm, '{m}' AS metric, avg({m}) AS value FROM st_runs GROUP BY dataset, model, algorithm"
+        for m in R.METRIC_COLS
+    ))
+    cols = ", ".join(
+        f"max(CASE WHEN l.dataset = '{d}' THEN l.value END) AS {d}" for d in ST.DATASETS
+    )
+    disp = "CASE WHEN upper(replace(g.algorithm, '_', ' ')) = 'BASELINE METRICS' THEN 'BASELINE' ELSE upper(replace(g.algorithm, '_', ' ')) END"
+    return q.render(
+        f"SELECT g.model, {disp} AS algorithm, g.metric, g.pos, {cols} FROM grid g LEFT JOIN mlong l "
+        f"ON g.model = l.model AND g.algorithm = l.algorithm AND g.metric = l.metric GROUP BY g.model, g.algorithm, g.metric, g.pos"
+    )
+
+
+@spark_query("times_pivot")
+def q_times_pivot(spark, sf):
+    return R.times_pivot(_compiled(spark, sf), list(ST.DATASETS))
+
+
+@spark_query("duplicate_runs")
+def q_duplicates(spark, sf):
+    comp = _compiled(spark, sf)
+    return R.duplicate_runs(comp).select(*RUN_COLS, "f1", "accuracy", "roc_auc", _genes("best_genes"))
+
+
+@oracle("duplicate_runs")
+def o_duplicates():
+    return _o_study().render(
+        "SELECT dataset, algorithm, model, f1, accuracy, roc_auc, genes FROM (SELECT *, row_number() OVER "
+        "(PARTITION BY dataset, algorithm, model, f1, accuracy, roc_auc, genes, avg, best, worst, last_gen) AS rn "
+        "FROM st_runs) WHERE rn > 1"
+    )
+
+
+@spark_query("convergence_series")
+def q_convergence(spark, sf):
+    c, h, _ = _study(spark, sf)
+    rid = c.where((F.col("dataset") == "embeddings") & (F.col("algorithm") == "ga")).first()["run_id"]
+    return R.convergence(h, rid).select(F.col("gen").cast("bigint").alias("gen"), F.round("avg", 10).alias("avg"), "best", "worst")
+
+
+@oracle("convergence_series")
+def o_convergence():
+    return _o_study().render(
+        "SELECT CAST(gen AS BIGINT) AS gen, round(avg, 10) AS avg, best, worst FROM st_hist "
+        "WHERE dataset = 'embeddings' AND algorithm = 'ga'"
+    )
+
+
+def _o_overlap(q):
+    q.add("one", "SELECT DISTINCT model, dataset, algorithm, genes FROM st_runs")
+    return q.add("ov", """SELECT a.model, a.dataset, a.algorithm AS algo1, b.algorithm AS algo2,
+  CASE WHEN bit_count(CAST(a.genes AS BIT) | CAST(b.genes AS BIT)) = 0 THEN CAST(1 AS DOUBLE)
+       ELSE CAST(bit_count(CAST(a.genes AS BIT) & CAST(b.genes AS BIT)) AS DOUBLE)
+            / bit_count(CAST(a.genes AS BIT) | CAST(b.genes AS BIT)) END AS overlap
+FROM one a JOIN one b ON a.model = b.model AND a.dataset = b.dataset""")
+
+
+@spark_query("jaccard_overlap")
+def q_jaccard(spark, sf):
+    return R.jaccard_overlap(_compiled(spark, sf))
+
+
+@oracle("jaccard_overlap")
+def o_jaccard():
+    q = _o_study()
+    ov = _o_overlap(q)
+    return q.render(f"SELECT * FROM {ov}")
+
+
+@spark_query("jaccard_matrix")
+def q_jaccard_matrix(spark, sf):
+    return R.jaccard_matrix(R.jaccard_overlap(_compiled(spark, sf)), list(ST.ALGORITHMS))
+
+
+@oracle("jaccard_matrix")
+def o_jaccard_matrix():
+    q = _o_study()
+    ov = _o_overlap(q)
+    cols = ", ".join(f"max(CASE WHEN algo2 = '{a}' THEN overlap END) AS {a}" for a in ST.ALGORITHMS)
+    return q.render(f"SELECT model, dataset, algo1, {cols} FROM {ov} GROUP BY model, dataset, algo1")
+
+
+@spark_query("display_names")
+def q_display_names(spark, sf):
+    c, _, _ = _study(spark, sf)
+    return c.select("algorithm").distinct().select("algorithm", R.display_name("algorithm").alias("display"))
+
+
+@oracle("display_names")
+def o_display_names():
+    return _o_study().render(
+        "SELECT algorithm, CASE WHEN upper(replace(algorithm, '_', ' ')) = 'BASELINE METRICS' THEN 'BASELINE' "
+        "ELSE upper(replace(algorithm, '_', ' ')) END AS display FROM (SELECT DISTINCT algorithm FROM st_runs)"
+    )
+
+
+@spark_query("chromosome_decode")
+def q_decode(spark, sf):
+    import os
+
+    store = ST.run_study(spark, sf)
+    out = os.path.join(store.root, "csv")
+    if not os.path.exists(out) and not out.startswith(("hdfs:", "s3", "gs:", "abfs")):
+        store.export_csv(out)
+    elif out.startswith(("hdfs:", "s3", "gs:", "abfs")):
+        store.export_csv(out)
+    text = spark.read.option("header", True).schema(
+        "run_id string, f1 double, accuracy double, roc_auc double, best_genes string, best_ever_genes string, status string"
+    ).csv(os.path.join(out, "test_metrics"))
+    dec = text.select("run_id", R.decode_genes("best_genes").alias("g"))
+    return dec.join(store.configs(), "run_id").select(
+        "dataset", "algorithm", bits.n_selected(F.col("g")).alias("n_selected"), _genes("g")
+    )
+
+
+@oracle("chromosome_decode")
+def o_decode():
+    return _o_study().render(
+        "SELECT dataset, algorithm, CAST(bit_count(CAST(genes AS BIT)) AS BIGINT) AS n_selected, genes FROM st_runs"
+    )

@@ -116,7 +116,7 @@ def ranked(q: Sql, name: str, sc: str) -> str:
     )
 
 
-def next_generation(q: Sql, name: str, sc: str, pop: str, n: int, d: int, generation: int, seed: int = 0,
+def next_generation(q: Sql, name: str, sc: str, pop: str, n: int, d, generation: int, seed: int = 0,
                     crossover: str = "onepoint", rate: float = 0.2, elitism: int = 2) -> str:
     k = n // 2
     rk = ranked(q, f"{name}_rk", sc)
@@ -124,8 +124,9 @@ def next_generation(q: Sql, name: str, sc: str, pop: str, n: int, d: int, genera
     m1 = u32_sql(str(seed), "'mate1'", str(generation), "t.range")
     m2 = u32_sql(str(seed), "'mate2'", str(generation), "t.range")
     q.add(f"{name}_mt", f"SELECT t.range AS slot, {m1} % {k} + 1 AS p1, {m2} % {k} + 1 AS p2 FROM range({elitism}, {k}) t")
+    half = d // 2 if isinstance(d, int) else f"(({d}) // 2)"
     if crossover == "onepoint":
-        pick = f"CASE WHEN a.gene < {d // 2} THEN a.bit ELSE b.bit END"
+        pick = f"CASE WHEN a.gene < {half} THEN a.bit ELSE b.bit END"
     else:
         pick = "CASE WHEN a.gene % 2 = 0 THEN a.bit ELSE b.bit END"
     mut = u32_sql(str(seed), "'mutate'", str(generation), f"({k} + s.rank - 1)", "s.gene")
@@ -144,3 +145,12 @@ FROM {name}_sv s""",
 
 def packed(pop: str) -> str:
     return f"(SELECT chrom_id, string_agg(CAST(bit AS VARCHAR), '' ORDER BY gene) AS genes FROM {pop} GROUP BY chrom_id)"
+
+
+def n_genes(p: str) -> str:
+    return f"(SELECT count(DISTINCT gene) FROM {p}_long)"
+
+
+def single(q: Sql, name: str, src_pop: str, where: str) -> str:
+    """One chromosome of ``src_pop`` (selected by ``where`` on its chrom_id) as chrom 0."""
+    return q.add(name, f"SELECT CAST(0 AS BIGINT) AS chrom_id, gene, bit FROM {src_pop} WHERE chrom_id = ({where})")
