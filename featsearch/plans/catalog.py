@@ -988,3 +988,31 @@ def o_decode():
     return _o_study().render(
         "SELECT dataset, algorithm, CAST(bit_count(CAST(genes AS BIT)) AS BIGINT) AS n_selected, genes FROM st_runs"
     )
+
+
+# ------------------------------------------------------------------ other models (rows-only checks)
+
+from featsearch.operators import models as MODELS  # noqa: E402
+
+SMOKE_P = 10  # the reference's smoke grid population
+
+
+@spark_query("fitness_logistic")
+def q_fitness_logistic(spark, sf):
+    ab = A.load(spark, sf, "embeddings", SEED)
+    pop = popops.init(spark, P, ab.d, SEED)
+    return fitness.score(ab.df, pop, MODELS.get("logistic"), METRIC).select("chrom_id", "tp", "fp", "fn", "tn", "score")
+
+
+@spark_query("fitness_mlp")
+def q_fitness_mlp(spark, sf):
+    ab = A.load(spark, sf, "orders", SEED)
+    pop = popops.init(spark, SMOKE_P, ab.d, SEED)
+    return fitness.score(ab.df, pop, MODELS.get("mlp"), METRIC).select("chrom_id", "tp", "fp", "fn", "tn", "score")
+
+
+@spark_query("fitness_gbt")
+def q_fitness_gbt(spark, sf):
+    ab = A.load(spark, sf, "orders", SEED)
+    pop = popops.init(spark, SMOKE_P, ab.d, SEED)
+    return fitness.score(ab.df, pop, MODELS.get("gbt"), METRIC).select("chrom_id", "tp", "fp", "fn", "tn", "score")
