@@ -71,13 +71,24 @@ def _py_metric(name: str, tp: int, fp: int, fn: int, tn: int):
 
 
 def score_rows(abt: DataFrame, ids: np.ndarray, mat: np.ndarray, model, metric: str = "f1",
-               eval_split: str = "val") -> list[dict]:
+               eval_split: str = "val", cache: dict | None = None) -> list[dict]:
     """Driver-side twin of :func:`score` for a population already on the driver:
-    one scoring job, ``P`` rows back; no second pass over the population plan."""
+    one scoring job, ``P`` rows back; no second pass over the population plan.
+
+    ``cache`` maps a chromosome's bytes to its confusion row; fitness is a
+    deterministic function of the gene set, so cached chromosomes (elites,
+    unchanged mutants, earlier duplicates) are not scored again.
+    """
+    cache = {} if cache is None else cache
     uniq, inverse = np.unique(mat, axis=0, return_inverse=True)
     inverse = np.asarray(inverse).reshape(-1)
-    conf = model.confusion(abt, np.arange(len(uniq), dtype=np.int64), uniq, (eval_split,)).collect()
-    by = {r["chrom_id"]: r for r in conf if r["split"] == eval_split}
+    todo = [i for i in range(len(uniq)) if uniq[i].tobytes() not in cache]
+    if todo:
+        conf = model.confusion(abt, np.array(todo, dtype=np.int64), uniq[todo], (eval_split,)).collect()
+        for r in conf:
+            if r["split"] == eval_split:
+                cache[uniq[r["chrom_id"]].tobytes()] = r
+    by = {i: cache.get(uniq[i].tobytes()) for i in range(len(uniq))}
     out = []
     for cid, u, genes in zip(ids, inverse, mat):
         c = by.get(int(u))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Fixed-point resolution of the centroid model: features are compared in
 # units of 1/SCALE standard deviations, as exact integers.
 SCALE = 10000
+WIDE_AGG_MAX = 512  # widths up to this use one wide aggregate; wider ones explode
 
 
 def fit(abt: DataFrame, split: str = "train", features: str = "features") -> tuple[list[float], list[float]]:
@@ -16,13 +17,20 @@ def fit(abt: DataFrame, split: str = "train", features: str = "features") -> tup
     One aggregation; each task pre-aggregates to one row per gene, so only
     ``d`` rows per partition are shuffled.
     """
-    stats = (
-        abt.where(F.col("split") == split)
-        .select(F.posexplode(features).alias("gene", "x"))
-        .groupBy("gene")
-        .agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
-        .collect()
-    )
+    rows = abt.where(F.col("split") == split)
+    d = rows.select(F.max(F.size(features))).first()[0] or 0
+    if d <= WIDE_AGG_MAX:  # one codegen'd aggregate, no explode
+        f = F.col(features)
+        r = rows.select(*[F.avg(f[j]).alias(f"m{j}") for j in range(d)],
+                        *[F.stddev_pop(f[j]).alias(f"s{j}") for j in range(d)]).first()
+        stats = [{"gene": j, "mean": r[f"m{j}"], "sd": r[f"s{j}"]} for j in range(d)]
+    else:
+        stats = (
+            rows.select(F.posexplode(features).alias("gene", "x"))
+            .groupBy("gene")
+            .agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
+            .collect()
+        )
     stats = sorted(stats, key=lambda r: r["gene"])
     means = [float(r["mean"]) for r in stats]
     sds = [1.0 if (r["sd"] is None or r["sd"] == 0) else float(r["sd"]) for r in stats]

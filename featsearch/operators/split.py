@@ -7,15 +7,16 @@ validation, the rest to train. Counts are exact per class.
 No window over a class is used: a class may hold most of the rows, and a
 window partitioned by it would put them all in one task. Instead the cut keys
 (the k-th smallest key of each class) are found by histogram refinement:
-counts over 65,536 hash buckets, then over the exact hashes inside the one
-boundary bucket, then over the few rows sharing the boundary hash. Every step
-is a distributed aggregation with map-side combine whose output is bounded by
-a constant, not by the data.
+counts over 65,536 hash buckets (which also give the class sizes), then over
+the exact hashes inside the boundary bucket, then over the few rows sharing
+the boundary hash. Every step is a distributed aggregation with map-side
+combine, or a fetch, whose output is bounded by a constant, not by the data.
+Small boundary buckets are fetched whole, saving the middle step.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featsearch.functions.rng import u32
@@ -35,52 +36,69 @@ def _or(conds: list[Column]) -> Column:
     return out
 
 
-def kth_keys(df: DataFrame, group: str, h: str, rid: str, wanted: dict) -> dict:
+BUCKET_BITS = 16
+# Boundary buckets holding at most this many rows are fetched whole (bounded);
+# larger ones are refined by an exact-hash histogram first.
+DIRECT_LIMIT = 200_000
+
+
+def class_histogram(df: DataFrame, group: str, h: str) -> dict:
+    """Counts per (class, 16-bit bucket): one aggregation, at most 65,536 rows per class."""
+    b = F.shiftright(F.col(h), 32 - BUCKET_BITS)
+    cap = (MAX_CLASSES + 1) << BUCKET_BITS  # bounded fetch, whatever the label
+    rows = df.groupBy(F.col(group).alias("_g"), b.alias("_b")).agg(F.count(F.lit(1)).alias("_n")).limit(cap).collect()
+    hist: dict = {}
+    for r in rows:
+        hist.setdefault(r["_g"], {})[r["_b"]] = r["_n"]
+    return hist
+
+
+def _locate(counts: dict, k: int):
+    """(key, rank within key) of the k-th item, walking sorted keys."""
+    acc = 0
+    for key in sorted(counts):
+        if acc + counts[key] >= k:
+            return key, k - acc
+        acc += counts[key]
+    raise ValueError("k exceeds the number of rows")
+
+
+def kth_keys(df: DataFrame, group: str, h: str, rid: str, wanted: dict, hist: dict | None = None) -> dict:
     """k-th smallest ``(h, rid)`` per group value for each requested k (1-based).
 
     ``wanted`` maps group value -> list of k. Returns {(g, k): (h, rid)}.
+    Every step is an aggregation or a bounded fetch; no group of rows is
+    ever ranked in one task.
     """
-    out: dict = {}
     todo = [(g, k) for g, ks in wanted.items() for k in ks if k > 0]
     if not todo:
+        return {}
+    hist = hist if hist is not None else class_histogram(df, group, h)
+    level1 = {(g, k): _locate(hist[g], k) for g, k in todo}  # -> (bucket, k within bucket)
+    bsel_keys = sorted({(g, bb) for (g, _), (bb, _) in level1.items()})
+    b = F.shiftright(F.col(h), 32 - BUCKET_BITS)
+    bsel = _or([(F.col(group) == F.lit(g)) & (b == F.lit(bb)) for g, bb in bsel_keys])
+    out: dict = {}
+    if sum(hist[g][bb] for g, bb in bsel_keys) <= DIRECT_LIMIT:
+        keys: dict = {}
+        for r in df.where(bsel).select(F.col(group).alias("_g"), F.col(h).alias("_h"), F.col(rid).alias("_r")).collect():
+            keys.setdefault((r["_g"], r["_h"] >> (32 - BUCKET_BITS)), []).append((r["_h"], r["_r"]))
+        for (g, k), (bb, kk) in level1.items():
+            out[(g, k)] = sorted(keys[(g, bb)])[kk - 1]
         return out
-    # level 1: 16-bit buckets of the 32-bit hash
-    b = F.shiftright(F.col(h), 16)
-    hist = df.groupBy(F.col(group).alias("_g"), b.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    cum = hist.withColumn("_cum", F.sum("_n").over(w))
-    conds = [(F.col("_g") == F.lit(g)) & (F.col("_cum") - F.col("_n") < k) & (F.col("_cum") >= k) for g, k in todo]
-    level1 = {}
-    for r in cum.where(_or(conds)).collect():
-        for g, k in todo:
-            if r["_g"] == g and r["_cum"] - r["_n"] < k <= r["_cum"]:
-                level1[(g, k)] = (r["_b"], k - (r["_cum"] - r["_n"]))
-    # level 2: exact hashes inside the boundary buckets
-    bsel = _or([(F.col(group) == F.lit(g)) & (b == F.lit(bb)) for (g, _), (bb, _) in level1.items()])
-    hist2 = (
-        df.where(bsel)
-        .groupBy(F.col(group).alias("_g"), b.alias("_b"), F.col(h).alias("_h"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    w2 = Window.partitionBy("_g", "_b").orderBy("_h").rowsBetween(Window.unboundedPreceding, 0)
-    rows2 = hist2.withColumn("_cum", F.sum("_n").over(w2))
-    conds2 = [
-        (F.col("_g") == F.lit(g)) & (F.col("_b") == F.lit(bb)) & (F.col("_cum") - F.col("_n") < k2) & (F.col("_cum") >= k2)
-        for (g, _), (bb, k2) in level1.items()
-    ]
-    level2 = {}
-    for r in rows2.where(_or(conds2)).collect():
-        for (g, k), (bb, k2) in level1.items():
-            if r["_g"] == g and r["_b"] == bb and r["_cum"] - r["_n"] < k2 <= r["_cum"]:
-                level2[(g, k)] = (r["_h"], k2 - (r["_cum"] - r["_n"]))
+    # level 2: exact hashes inside the boundary buckets (at most 65,536 values each)
+    rows2 = df.where(bsel).groupBy(F.col(group).alias("_g"), F.col(h).alias("_h")).agg(F.count(F.lit(1)).alias("_n")).collect()
+    per: dict = {}
+    for r in rows2:
+        per.setdefault((r["_g"], r["_h"] >> (32 - BUCKET_BITS)), {})[r["_h"]] = r["_n"]
+    level2 = {(g, k): _locate(per[(g, bb)], kk) for (g, k), (bb, kk) in level1.items()}
     # level 3: the rows sharing one exact hash (expected one row; bounded by collisions)
     hsel = _or([(F.col(group) == F.lit(g)) & (F.col(h) == F.lit(hh)) for (g, _), (hh, _) in level2.items()])
     ties: dict = {}
     for r in df.where(hsel).select(F.col(group).alias("_g"), F.col(h).alias("_h"), F.col(rid).alias("_r")).collect():
         ties.setdefault((r["_g"], r["_h"]), []).append(r["_r"])
     for (g, k), (hh, k3) in level2.items():
-        rids = sorted(ties[(g, hh)])
-        out[(g, k)] = (hh, rids[k3 - 1])
+        out[(g, k)] = (hh, sorted(ties[(g, hh)])[k3 - 1])
     return out
 
 
@@ -102,14 +120,14 @@ def stratified_split(
 ) -> DataFrame:
     """Add ``split`` in {train, val, test}; exact per-class counts, partition-independent."""
     base = df.withColumn("_h", u32(seed, "split", F.col(key)))
-    counts = base.groupBy(label).count().limit(MAX_CLASSES + 1).collect()
-    if len(counts) > MAX_CLASSES:
+    hist = class_histogram(base, label, "_h")  # also yields the class sizes
+    if len(hist) > MAX_CLASSES:
         raise ValueError("too many classes for a stratified split")
     wanted = {}
-    for r in counts:
-        nt, nv = split_sizes(r["count"], test_pct, val_pct)
-        wanted[r[label]] = [nt, nt + nv]
-    keys = kth_keys(base, label, "_h", key, wanted)
+    for g, buckets in hist.items():
+        nt, nv = split_sizes(sum(buckets.values()), test_pct, val_pct)
+        wanted[g] = [nt, nt + nv]
+    keys = kth_keys(base, label, "_h", key, wanted, hist)
     h, rid = F.col("_h"), F.col(key)
     is_test = _or([(F.col(label) == F.lit(g)) & _le(h, rid, keys.get((g, ks[0]))) for g, ks in wanted.items()])
     is_val = _or([(F.col(label) == F.lit(g)) & _le(h, rid, keys.get((g, ks[1]))) for g, ks in wanted.items()])

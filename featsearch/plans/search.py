@@ -34,6 +34,7 @@ class SearchResult:
     test: dict = field(default_factory=dict)
     baseline: dict = field(default_factory=dict)
     status: str = "done"
+    scored: int = 0  # distinct chromosomes actually fitted
 
 
 def materialize(abt: Abt, spark: SparkSession, tag: str = "abt") -> Abt:
@@ -43,7 +44,11 @@ def materialize(abt: Abt, spark: SparkSession, tag: str = "abt") -> Abt:
     lost executor re-reads files instead of recomputing the preparation.
     """
     path = f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
-    abt.df.write.partitionBy("split").parquet(path)
+    df = abt.df
+    par = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:  # small inputs only: give every core a slice
+        df = df.repartition(par)
+    df.write.partitionBy("split").parquet(path)
     df = spark.read.parquet(path).select("row_id", "y", "split", "features")
     return Abt(df, abt.names, abt.means, abt.sds)
 
@@ -106,11 +111,15 @@ def genetic(abt: Abt, cfg: SearchConfig, model, base: dict, store=None) -> Searc
     pop = popops.init(spark, n, d, cfg.seed)
     last_max = base["val"]
     best_ever = (None, None)
+    cache: dict = {}  # gene set -> confusion counts, bounded by P x generations
+    res.scored = 0
     gen = 0
     while (last_max is None or last_max < cfg.stopping_threshold) and gen <= cfg.max_generation:
         t0 = time.time()
         ids, mat = popops.to_matrix(pop)
-        rows = fitness.score_rows(abt.df, ids, mat, model, cfg.metric)
+        before = len(cache)
+        rows = fitness.score_rows(abt.df, ids, mat, model, cfg.metric, cache=cache)
+        res.scored += len(cache) - before
         scored = spark.createDataFrame(
             [(r["chrom_id"], r["genes"], r["score"]) for r in rows], "chrom_id bigint, genes array<int>, score double"
         )

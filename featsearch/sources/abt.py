@@ -77,7 +77,16 @@ def prepare(
 
 
 def build(raw: DataFrame, names: list[str], seed: int = 0, test_pct: int = 10, val_pct: int = 20) -> Abt:
-    """Split (exact stratified) then scale with train statistics."""
+    """Split (exact stratified) then scale with train statistics.
+
+    Inputs read as fewer splits than there are cores (small tables) are
+    spread over all cores and cached for the few preparation jobs; large
+    inputs are left as scanned, each job re-reading only the pruned columns.
+    """
+    spark = raw.sparkSession
+    par = spark.sparkContext.defaultParallelism
+    if raw.rdd.getNumPartitions() < par:
+        raw = raw.repartition(par).persist()
     df = split.stratified_split(raw, seed=seed, test_pct=test_pct, val_pct=val_pct)
     means, sds = scale.fit(df)
     df = df.withColumn("features", scale.apply(F.col("features"), means, sds))

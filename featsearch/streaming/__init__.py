@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The reference has no unbounded source, watermark or streaming state; its
+generation loop is an iterative batch computation (see plans.search). The
+subpackage exists so the layout matches the other engines of this family.
+"""

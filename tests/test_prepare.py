@@ -60,3 +60,16 @@ def test_kth_keys_against_sort(spark):
     for (g, k), key in keys.items():
         mine = [(h, rid) for yy, h, rid in rows if yy == g]
         assert mine[k - 1] == key
+
+
+def test_kth_keys_refinement_path(spark, monkeypatch):
+    """Force the exact-hash histogram path used when boundary buckets are large."""
+    from featsearch.functions.rng import u32
+
+    monkeypatch.setattr(split, "DIRECT_LIMIT", 0)
+    df = spark.range(5000).select(F.col("id").alias("row_id"), (F.col("id") % 4 == 0).cast("int").alias("y"))
+    base = df.withColumn("_h", u32(3, "split", F.col("row_id")))
+    keys = split.kth_keys(base, "y", "_h", "row_id", {0: [1, 500, 3750], 1: [1, 1250]})
+    rows = sorted((r["y"], r["_h"], r["row_id"]) for r in base.collect())
+    for (g, k), key in keys.items():
+        assert [(h, rid) for yy, h, rid in rows if yy == g][k - 1] == key

@@ -118,3 +118,28 @@ def test_unknown_model():
 
     with pytest.raises(ValueError):
         models.get("svm")
+
+
+def test_score_cache_skips_known_chromosomes(spark, planted):
+    model = CentroidModel()
+    ids, mat = P.to_matrix(P.init(spark, 8, planted.d))
+    cache: dict = {}
+    a = fitness.score_rows(planted.df, ids, mat, model, "f1", cache=cache)
+    assert len(cache) == len({m.tobytes() for m in mat})
+    b = fitness.score_rows(planted.df, ids, mat, model, "f1", cache=cache)  # no new job needed
+    assert a == b
+    fresh = fitness.score(planted.df, P.from_rows(spark, [(int(i), [int(x) for x in m]) for i, m in zip(ids, mat)]),
+                          model, "f1").collect()
+    assert {r["chrom_id"]: r["score"] for r in fresh} == {r["chrom_id"]: r["score"] for r in a}
+
+
+def test_experiment_grid(spark):
+    from featsearch.plans import grid as G
+
+    full = G.grid(spark, G.FULL_GRID)
+    assert full.count() == 54
+    opts = dict(G.FULL_GRID, backend=["processes", "threads"])
+    both = G.grid(spark, opts)
+    assert both.count() == 54 + 9  # threads only with ga_joblib
+    assert both.where("backend = 'threads'").select("algorithm").distinct().collect()[0][0] == "ga_joblib"
+    assert len(G.configs(full)) == 54
