@@ -14,6 +14,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 class MLlibModel:
     batched = False
 
-    def __init__(self, kind: str, fit_split: str = "train", threads: int = 4, seed: int = 123,
+    def __init__(self, kind: str, fit_split: str = "train", threads: int = 8, seed: int = 123,
                  mlp_iter: int = 200, gbt_trees: int = 100, gbt_depth: int = 6, gbt_step: float = 0.3):
         if kind not in ("mlp", "gbt"):
             raise ValueError(kind)
@@ -44,8 +45,9 @@ class MLlibModel:
 
         spark = abt.sparkSession
         rows = abt.select("split", F.col("y").cast("double").alias("label"), array_to_vector("features").alias("fv"))
-        train = rows.where(F.col("split") == self.fit_split)
-        evals = rows.where(F.col("split").isin(*eval_splits))
+        # every fit iterates over these rows: keep them (iterative MLlib input)
+        train = rows.where(F.col("split") == self.fit_split).persist(StorageLevel.MEMORY_AND_DISK)
+        evals = rows.where(F.col("split").isin(*eval_splits)).persist(StorageLevel.MEMORY_AND_DISK)
 
         def one(i):
             idx = [int(j) for j in np.flatnonzero(bits[i])]
@@ -63,8 +65,12 @@ class MLlibModel:
             ).collect()
             return [(r["split"], int(ids[i]), r["tp"], r["fp"], r["fn"], r["tn"]) for r in c]
 
-        with ThreadPoolExecutor(max_workers=self.threads) as ex:
-            parts = list(ex.map(one, range(len(ids))))
+        try:
+            with ThreadPoolExecutor(max_workers=self.threads) as ex:
+                parts = list(ex.map(one, range(len(ids))))
+        finally:
+            train.unpersist()
+            evals.unpersist()
         return spark.createDataFrame(
             [row for p in parts for row in p], "split string, chrom_id bigint, tp bigint, fp bigint, fn bigint, tn bigint"
         )

@@ -495,7 +495,10 @@ def _ga_unrolled(spark, sf, dataset, generations):
     n = P
     out = []
     for g in range(generations):
-        sc = fitness.score(ab.df, pop, model, METRIC)
+        # P-bounded rows: re-created locally so later generations do not
+        # re-run earlier scoring passes (lineage cut per generation)
+        rows = fitness.score(ab.df, pop, model, METRIC).collect()
+        sc = spark.createDataFrame(rows, "chrom_id bigint, genes array<int>, tp bigint, fp bigint, fn bigint, tn bigint, score double")
         out.append(sc.withColumn("gen", F.lit(g).cast("bigint")))
         pop = popops.next_generation(sc, n, ab.d, g + 1, SEED, CROSSOVER, RATE, ELITISM)
         n = 2 * (n // 2)
