@@ -14,6 +14,12 @@ of the mean loss is below ``tol`` (the library's lbfgs tolerance).
 
 The population is processed in chunks so that ``chunk * (d+1)^2`` doubles per
 task stay under ``max_hessian_doubles``.
+
+Newton costs ``P * d^2`` flops per row and few passes; batched L-BFGS (loss
+and gradient only: ``P * d`` flops per row and ``P * (d+1)`` doubles per task)
+needs about twice the passes. ``solver='auto'`` uses Newton up to
+``newton_max_genes`` features and L-BFGS beyond, where it is cheaper in both
+compute and shuffle.
 """
 
 from __future__ import annotations
@@ -29,8 +35,8 @@ def _feats(rb, d):
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
 
 
-def newton_batches(batches, theta, bits):
-    """Per task: loss, gradient and Hessian (data part) of every chromosome."""
+def newton_batches(batches, theta, bits, hessian: bool = True):
+    """Per task: loss, gradient and (optionally) Hessian data part of every chromosome."""
     p_, d = bits.shape
     m = bits.astype(np.float64)
     w = theta[:, :d] * m
@@ -38,7 +44,7 @@ def newton_batches(batches, theta, bits):
     ma = np.hstack([m, np.ones((p_, 1))])
     loss = np.zeros(p_)
     g = np.zeros((p_, d + 1))
-    h = np.zeros((p_, d + 1, d + 1))
+    h = np.zeros((p_, d + 1, d + 1)) if hessian else None
     n = 0
     for rb in batches:
         if rb.num_rows == 0:
@@ -51,16 +57,22 @@ def newton_batches(batches, theta, bits):
         r = pr - y[:, None]
         g[:, :d] += r.T @ x
         g[:, d] += r.sum(axis=0)
-        s = pr * (1.0 - pr)
-        xa = np.hstack([x, np.ones((len(x), 1))])
-        for k in range(p_):
-            h[k] += (xa * s[:, k : k + 1]).T @ xa
+        if hessian:
+            s = pr * (1.0 - pr)
+            xa = np.hstack([x, np.ones((len(x), 1))])
+            step = max(1, 4_000_000 // (p_ * (d + 1)))  # rows per batched product (~32 MB)
+            for lo in range(0, len(xa), step):
+                xs = xa[lo : lo + step]
+                h += np.matmul((xs[None, :, :] * s[lo : lo + step].T[:, :, None]).transpose(0, 2, 1), xs)
         n += len(x)
     if n == 0:
         return
     g *= ma
-    h *= ma[:, :, None] * ma[:, None, :]
-    vec = np.concatenate([loss[:, None], g, h.reshape(p_, -1)], axis=1)
+    if hessian:
+        h *= ma[:, :, None] * ma[:, None, :]
+        vec = np.concatenate([loss[:, None], g, h.reshape(p_, -1)], axis=1)
+    else:
+        vec = np.concatenate([loss[:, None], g], axis=1)
     yield pa.RecordBatch.from_arrays(
         [pa.array(np.arange(p_, dtype=np.int64)), pa.array(np.full(p_, n, dtype=np.int64)),
          pa.array(list(vec), type=pa.list_(pa.float64()))],
@@ -100,31 +112,41 @@ class LogisticModel:
     batched = True
 
     def __init__(self, C: float = 1.0, max_iter: int = 100, tol: float = 1e-4, fit_split: str = "train",
-                 max_hessian_doubles: int = 8_000_000):
+                 max_hessian_doubles: int = 8_000_000, solver: str = "auto", newton_max_genes: int = 16,
+                 memory: int = 10):
+        if solver not in ("auto", "newton", "lbfgs"):
+            raise ValueError(f"unknown solver {solver!r}; valid: auto, newton, lbfgs")
         self.C, self.max_iter, self.tol, self.fit_split = C, max_iter, tol, fit_split
         self.max_hessian_doubles = max_hessian_doubles
+        self.solver, self.newton_max_genes, self.memory = solver, newton_max_genes, memory
         self.iterations = 0
 
-    def _pass(self, rows: DataFrame, theta, bits):
+    def _pass(self, rows: DataFrame, theta, bits, hessian: bool = True):
         from pyspark.ml.functions import array_to_vector
         from pyspark.ml.stat import Summarizer
 
         agg = (
-            rows.mapInArrow(lambda it: newton_batches(it, theta, bits), "k bigint, n bigint, v array<double>")
+            rows.mapInArrow(lambda it: newton_batches(it, theta, bits, hessian), "k bigint, n bigint, v array<double>")
             .groupBy("k")
             .agg(F.sum("n").alias("n"), Summarizer.sum(array_to_vector("v")).alias("v"))
             .collect()
         )
+        self.iterations += 1
         p_, d = bits.shape
-        loss, g, h = np.zeros(p_), np.zeros((p_, d + 1)), np.zeros((p_, d + 1, d + 1))
+        loss, g = np.zeros(p_), np.zeros((p_, d + 1))
+        h = np.zeros((p_, d + 1, d + 1)) if hessian else None
         n = 0
         for r in agg:
             v = r["v"].toArray()
             loss[r["k"]], g[r["k"]] = v[0], v[1 : d + 2]
-            h[r["k"]] = v[d + 2 :].reshape(d + 1, d + 1)
+            if hessian:
+                h[r["k"]] = v[d + 2 :].reshape(d + 1, d + 1)
             n = r["n"]
         return loss, g, h, n
 
+    def _use_newton(self, d: int) -> bool:
+        return self.solver == "newton" or (self.solver == "auto" and d <= self.newton_max_genes)
+
     def fit(self, abt: DataFrame, bits: np.ndarray) -> np.ndarray:
         """Coefficients ``(P, d+1)`` (last column: intercept) of every chromosome."""
         from featsearch.session import ship_package
@@ -132,13 +154,60 @@ class LogisticModel:
         ship_package(abt.sparkSession)
         bits = np.asarray(bits, dtype=np.int8)
         p_, d = bits.shape
-        chunk = max(1, self.max_hessian_doubles // ((d + 1) ** 2))
         rows = abt.where(F.col("split") == self.fit_split).select("y", "features")
+        if not self._use_newton(d):
+            return self._fit_lbfgs(rows, bits)
+        chunk = max(1, self.max_hessian_doubles // ((d + 1) ** 2))
         out = np.zeros((p_, d + 1))
         for lo in range(0, p_, chunk):
             out[lo : lo + chunk] = self._fit_chunk(rows, bits[lo : lo + chunk])
         return out
 
+    def _fit_lbfgs(self, rows, bits):
+        """Batched L-BFGS for wide data: each pass returns only loss and gradient
+        (P x (d+1) doubles per task). Every chromosome advances by one step
+        attempt per pass: accepted steps (Armijo) compute a new direction from
+        its own curvature pairs, rejected ones halve their step length."""
+        p_, d = bits.shape
+        m = np.hstack([bits.astype(np.float64), np.ones((p_, 1))])
+        reg = np.hstack([np.ones(d), [0.0]]) / self.C
+        theta = np.zeros((p_, d + 1))
+        loss, g, _, n = self._pass(rows, theta, bits, hessian=False)
+        n = max(n, 1)
+        f = (loss + 0.5 * (reg * theta * theta).sum(axis=1)) / n
+        grad = (g + reg * theta) * m / n
+        hist_s: list[list] = [[] for _ in range(p_)]
+        hist_y: list[list] = [[] for _ in range(p_)]
+        direction = -grad
+        alpha = np.ones(p_)
+        done = np.abs(grad).max(axis=1) <= self.tol
+        for _ in range(self.max_iter * 4):
+            if done.all():
+                break
+            trial = np.where(done[:, None], theta, theta + alpha[:, None] * direction)
+            loss_t, g_t, _, _ = self._pass(rows, trial, bits, hessian=False)
+            f_t = (loss_t + 0.5 * (reg * trial * trial).sum(axis=1)) / n
+            grad_t = (g_t + reg * trial) * m / n
+            slope = (grad * direction).sum(axis=1)
+            ok = (f_t <= f + 1e-4 * alpha * slope) & ~done
+            for k in np.flatnonzero(ok):
+                s_k, y_k = trial[k] - theta[k], grad_t[k] - grad[k]
+                if s_k @ y_k > 1e-12:
+                    hist_s[k].append(s_k)
+                    hist_y[k].append(y_k)
+                    if len(hist_s[k]) > self.memory:
+                        hist_s[k].pop(0)
+                        hist_y[k].pop(0)
+                theta[k], f[k], grad[k] = trial[k], f_t[k], grad_t[k]
+                direction[k] = -_two_loop(grad[k], hist_s[k], hist_y[k]) * m[k]
+                alpha[k] = 1.0
+                if np.abs(grad[k]).max() <= self.tol:
+                    done[k] = True
+            bad = ~ok & ~done
+            alpha[bad] *= 0.5
+            done |= bad & (alpha < 1e-10)
+        return theta * m
+
     def _fit_chunk(self, rows, bits):
         p_, d = bits.shape
         m = np.hstack([bits.astype(np.float64), np.ones((p_, 1))])
@@ -149,7 +218,6 @@ class LogisticModel:
         done = np.zeros(p_, dtype=bool)
         for it in range(self.max_iter):
             loss, g, h, n = self._pass(rows, theta, bits)
-            self.iterations += 1
             obj = loss + 0.5 * (reg * theta * theta).sum(axis=1)
             worse = (obj > prev_obj + 1e-12 * np.abs(prev_obj)) & ~done
             if worse.any():  # backtrack: halve the step from the previous point
@@ -183,3 +251,20 @@ class LogisticModel:
             .groupBy("split", "chrom_id")
             .agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")])
         )
+
+
+def _two_loop(g: np.ndarray, ss: list, ys: list) -> np.ndarray:
+    """L-BFGS two-loop recursion: approximately H^-1 g from the curvature pairs."""
+    q = g.copy()
+    alphas = []
+    for s_, y_ in zip(reversed(ss), reversed(ys)):
+        rho = 1.0 / (y_ @ s_)
+        a = rho * (s_ @ q)
+        alphas.append((rho, a))
+        q -= a * y_
+    if ss:
+        q *= (ss[-1] @ ys[-1]) / (ys[-1] @ ys[-1])
+    for (s_, y_), (rho, a) in zip(zip(ss, ys), reversed(alphas)):
+        b = rho * (y_ @ q)
+        q += (a - b) * s_
+    return q

@@ -59,7 +59,8 @@ def test_logistic_matches_mllib(spark, planted):
     from featsearch.operators.models.logistic import LogisticModel
 
     ids, mat = P.to_matrix(P.init(spark, 3, planted.d, seed=5))
-    theta = LogisticModel().fit(planted.df, mat)
+    theta = LogisticModel(solver="newton").fit(planted.df, mat)
+    theta_lbfgs = LogisticModel(solver="lbfgs").fit(planted.df, mat)
     tr = planted.df.where("split = 'train'").select(F.col("y").cast("double").alias("label"), array_to_vector("features").alias("fv"))
     n = tr.count()
     for k in range(3):
@@ -68,6 +69,8 @@ def test_logistic_matches_mllib(spark, planted):
         lr = LogisticRegression(regParam=1.0 / n, standardization=False, maxIter=300, tol=1e-10).fit(sub)
         assert np.abs(lr.coefficients.toArray() - theta[k][idx]).max() < 1e-3
         assert abs(lr.intercept - theta[k][-1]) < 1e-3
+        assert np.abs(lr.coefficients.toArray() - theta_lbfgs[k][idx]).max() < 2e-2
+        assert np.all(theta_lbfgs[k][:-1][mat[k] == 0] == 0)
         assert np.all(theta[k][:-1][mat[k] == 0] == 0)
 
 
