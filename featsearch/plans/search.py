@@ -103,17 +103,28 @@ def baseline(abt: Abt, model, metric: str) -> dict:
     return out
 
 
-def genetic(abt: Abt, cfg: SearchConfig, model, base: dict, store=None) -> SearchResult:
-    """Genetic search (A3): score -> history -> breed, until the stop rule (A5)."""
+def genetic(abt: Abt, cfg: SearchConfig, model, base: dict, store=None, start: dict | None = None) -> SearchResult:
+    """Genetic search (A3): score -> history -> breed, until the stop rule (A5).
+
+    With a store, each bred population is appended before the next
+    generation starts, so ``resume`` can continue an interrupted run.
+    """
     spark = abt.df.sparkSession
     res = SearchResult(cfg, baseline=base)
     n, d = cfg.population_size, abt.d
     pop = popops.init(spark, n, d, cfg.seed)
     last_max = base["val"]
     best_ever = (None, None)
+    gen = 0
+    if start:  # resume: population to score at start["gen"], prior history
+        pop, gen, res.history = start["pop"], start["gen"], list(start["history"])
+        last_max = res.history[-1]["best"] if res.history else last_max
+        bests = [(h["best"], h["best_genes"]) for h in res.history if h["best"] is not None]
+        for b in bests:
+            if best_ever[0] is None or b[0] > best_ever[0]:
+                best_ever = b
     cache: dict = {}  # gene set -> confusion counts, bounded by P x generations
     res.scored = 0
-    gen = 0
     while (last_max is None or last_max < cfg.stopping_threshold) and gen <= cfg.max_generation:
         t0 = time.time()
         ids, mat = popops.to_matrix(pop)
@@ -133,6 +144,8 @@ def genetic(abt: Abt, cfg: SearchConfig, model, base: dict, store=None) -> Searc
         res.history.append(h)
         if store is not None:
             store.append_history(cfg.run_id, [h])
+            pop = spark.createDataFrame(pop.collect(), "chrom_id bigint, genes array<int>")
+            store.write_population(cfg.run_id, gen + 1, pop)
         last_max = h["best"]
         gen += 1
     if not res.history:  # Q5: the baseline already meets the threshold
@@ -235,6 +248,42 @@ def forward_selection(abt: Abt, cfg: SearchConfig, model, base: dict, store=None
     return res
 
 
+# ------------------------------------------------------------------ resume
+
+
+def resume(spark: SparkSession, abt: Abt, store, run_id: str, model=None) -> SearchResult:
+    """Continue a genetic run from its last stored generation (driver loss).
+
+    Scoring is deterministic and every draw is keyed by (seed, generation,
+    slot), so the continued run equals an uninterrupted one.
+    """
+    row = store.configs().where(F.col("run_id") == run_id).first()
+    if row is None:
+        raise ValueError(f"unknown run {run_id!r}")
+    fields = {k: row[k] for k in ("dataset", "algorithm", "model", "metric", "crossover", "mutation_rate",
+                                  "population_size", "elitism", "max_generation", "stopping_threshold",
+                                  "backend", "seed")}
+    cfg = SearchConfig(**fields, started_at=row["started_at"], run_id=run_id).validate()
+    if cfg.search != "ga":
+        raise ValueError("only genetic runs resume; the others are single passes")
+    model = model or model_registry.get(cfg.model)
+    hist = [r.asDict() for r in store.history().where(F.col("run_id") == run_id).orderBy("gen").collect()]
+    pops = store.populations().where(F.col("run_id") == run_id)
+    gen = (hist[-1]["gen"] + 1) if hist else 0
+    pop = pops.where(F.col("gen") == gen).select("chrom_id", "genes")
+    if gen > 0 and pop.limit(1).count() == 0:
+        raise ValueError(f"run {run_id!r} has no stored population for generation {gen}")
+    if gen == 0:
+        pop = popops.init(spark, cfg.population_size, abt.d, cfg.seed)
+    base = baseline(abt, model, cfg.metric)
+    res = genetic(abt, cfg, model, base, store, start={"pop": pop, "gen": gen, "history": hist})
+    res.best_genes = res.best_genes if res.history else [1] * abt.d
+    res.test = test_metrics(abt, model, res.best_genes)
+    store.write_test(run_id, {**res.test, "best_genes": res.best_genes, "best_ever_genes": res.best_ever_genes,
+                              "status": res.status})
+    return res
+
+
 # ------------------------------------------------------------------ entry point
 
 

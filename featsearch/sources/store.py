@@ -4,6 +4,7 @@ Layout under one root (any Hadoop path; shared storage on a cluster)::
 
     configs/       run_id, started_at, dataset, algorithm, model, ... (one row per run)
     history/       run_id, gen, time_s, avg, best, worst, best_so_far, best_genes
+    populations/   run_id, gen, chrom_id, genes (population to score at ``gen``; for resume)
     test_metrics/  run_id, f1, accuracy, roc_auc, best_genes, best_ever_genes, status
 
 Chromosomes are stored exactly as ``ARRAY<INT>``; ``export_csv`` encodes them
@@ -28,6 +29,7 @@ HISTORY_SCHEMA = (
     "run_id string, gen int, time_s double, avg double, best double, worst double, best_so_far double, "
     "best_genes array<int>"
 )
+POPULATION_SCHEMA = "run_id string, gen int, chrom_id bigint, genes array<int>"
 TEST_SCHEMA = (
     "run_id string, f1 double, accuracy double, roc_auc double, best_genes array<int>, "
     "best_ever_genes array<int>, status string"
@@ -65,6 +67,15 @@ class RunStore:
             HISTORY_SCHEMA,
         )
 
+    def write_population(self, run_id: str, gen: int, pop: DataFrame) -> None:
+        """The (P-row) population to be scored at ``gen``; lets a run resume."""
+        pop.select(F.lit(run_id).alias("run_id"), F.lit(gen).alias("gen"), "chrom_id", "genes").coalesce(1).write.mode(
+            "append"
+        ).parquet(self._path("populations"))
+
+    def populations(self) -> DataFrame:
+        return self._read("populations", POPULATION_SCHEMA)
+
     def write_test(self, run_id: str, m: dict) -> None:
         self._append(
             "test_metrics",

@@ -146,3 +146,21 @@ def test_experiment_grid(spark):
     assert both.count() == 54 + 9  # threads only with ga_joblib
     assert both.where("backend = 'threads'").select("algorithm").distinct().collect()[0][0] == "ga_joblib"
     assert len(G.configs(full)) == 54
+
+
+def test_resume_equals_uninterrupted(spark, tmp_path):
+    """Stop a GA after 2 generations, resume it: same history as one full run."""
+    ab = search.materialize(A.load(spark, SF001, "orders"), spark)
+    kw = dict(dataset="orders", algorithm="ga", model="centroid", metric="f1", population_size=8,
+              stopping_threshold=0.99999)
+    full = search.run(spark, ab, SearchConfig(max_generation=3, **kw), RunStore(spark, str(tmp_path / "a")))
+    store = RunStore(spark, str(tmp_path / "b"))
+    cfg = SearchConfig(max_generation=3, **kw)
+    store.write_config(cfg)
+    part = search.genetic(ab, SearchConfig(max_generation=1, **{**kw, "run_id": cfg.run_id}), CentroidModel(),
+                          search.baseline(ab, CentroidModel(), "f1"), store)
+    assert len(part.history) == 2
+    res = search.resume(spark, ab, store, cfg.run_id)
+    key = lambda h: (h["gen"], h["best"], h["worst"], tuple(h["best_genes"]))
+    assert [key(h) for h in res.history] == [key(h) for h in full.history]
+    assert res.best_genes == full.best_genes
