@@ -85,6 +85,7 @@ def score_rows(abt: DataFrame, ids: np.ndarray, mat: np.ndarray, model, metric:
     todo = [i for i in range(len(uniq)) if uniq[i].tobytes() not in cache]
     if todo:
         conf = model.confusion(abt, np.array(todo, dtype=np.int64), uniq[todo], (eval_split,)).collect()
+        model.release()  # the job has run: broadcast payloads can go
         for r in conf:
             if r["split"] == eval_split:
                 cache[uniq[r["chrom_id"]].tobytes()] = r

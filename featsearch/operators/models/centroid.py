@@ -106,6 +106,13 @@ class CentroidModel:
     def __init__(self, fit_split: str = "train"):
         self.fit_split = fit_split
         self._cache: dict = {}
+        self.payloads: list = []
+
+    def release(self):
+        """Drop broadcast payloads of jobs that have run."""
+        for p in self.payloads:
+            p.release()
+        self.payloads = []
 
     def means(self, abt: DataFrame):
         key = id(abt)
@@ -118,12 +125,16 @@ class CentroidModel:
         from featsearch.session import ship_package
 
         ship_package(abt.sparkSession)
+        from featsearch.session import Payload
+
         m0, m1 = self.means(abt)
         ids = np.asarray(ids, dtype=np.int64)
         bits = np.asarray(bits, dtype=np.int8)
+        payload = Payload(abt.sparkSession, (ids, bits, m0, m1), bits.nbytes + ids.nbytes)
+        self.payloads.append(payload)
 
         def body(it):
-            return confusion_batches(it, ids, bits, m0, m1)
+            return confusion_batches(it, *payload.get())
 
         rows = abt.where(F.col("split").isin(*eval_splits)).select(
             "split", "y", scale.quantize(F.col("features")).alias("q")
@@ -217,14 +228,18 @@ def _cv_confusion(self, abt: DataFrame, ids, bits, folds: int = 5, seed: int = 0
     if key not in self._cache:
         self._cache[key] = cv_means(*fold_sums(abt, folds, seed, self.fit_split))
     means = self._cache[key]
+    from featsearch.session import Payload
+
     ids = np.asarray(ids, dtype=np.int64)
     bits = np.asarray(bits, dtype=np.int8)
+    payload = Payload(abt.sparkSession, (ids, bits, means), bits.nbytes)
+    self.payloads.append(payload)
     rows = abt.where(F.col("split") == self.fit_split).select(
         (u32(seed, "fold", F.col("row_id")) % folds).cast("int").alias("fold"), "y",
         scale.quantize(F.col("features")).alias("q"),
     )
     return (
-        rows.mapInArrow(lambda it: cv_batches(it, ids, bits, means),
+        rows.mapInArrow(lambda it: cv_batches(it, *payload.get()),
                         "fold int, chrom_id bigint, tp bigint, fp bigint, fn bigint, tn bigint")
         .groupBy("fold", "chrom_id")
         .agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")])

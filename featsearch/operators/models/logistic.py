@@ -120,17 +120,27 @@ class LogisticModel:
         self.max_hessian_doubles = max_hessian_doubles
         self.solver, self.newton_max_genes, self.memory = solver, newton_max_genes, memory
         self.iterations = 0
+        self.payloads: list = []
+
+    def release(self):
+        for p in self.payloads:
+            p.release()
+        self.payloads = []
 
     def _pass(self, rows: DataFrame, theta, bits, hessian: bool = True):
         from pyspark.ml.functions import array_to_vector
         from pyspark.ml.stat import Summarizer
 
+        from featsearch.session import Payload
+
+        payload = Payload(rows.sparkSession, (theta, bits), theta.nbytes + bits.nbytes)
         agg = (
-            rows.mapInArrow(lambda it: newton_batches(it, theta, bits, hessian), "k bigint, n bigint, v array<double>")
+            rows.mapInArrow(lambda it: newton_batches(it, *payload.get(), hessian), "k bigint, n bigint, v array<double>")
             .groupBy("k")
             .agg(F.sum("n").alias("n"), Summarizer.sum(array_to_vector("v")).alias("v"))
             .collect()
         )
+        payload.release()
         self.iterations += 1
         p_, d = bits.shape
         loss, g = np.zeros(p_), np.zeros((p_, d + 1))
@@ -244,9 +254,13 @@ class LogisticModel:
         d = np.asarray(bits).shape[1]
         w, b = theta[:, :d], theta[:, d]
         ids = np.asarray(ids, dtype=np.int64)
+        from featsearch.session import Payload
+
         rows = abt.where(F.col("split").isin(*eval_splits)).select("split", "y", "features")
+        payload = Payload(abt.sparkSession, (ids, w, b), w.nbytes)
+        self.payloads.append(payload)
         return (
-            rows.mapInArrow(lambda it: linear_confusion_batches(it, ids, w, b),
+            rows.mapInArrow(lambda it: linear_confusion_batches(it, *payload.get()),
                             "split string, chrom_id bigint, tp bigint, fp bigint, fn bigint, tn bigint")
             .groupBy("split", "chrom_id")
             .agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")])

@@ -30,6 +30,9 @@ class MLlibModel:
         self.fit_split, self.threads, self.seed = fit_split, threads, seed
         self.mlp_iter, self.gbt_trees, self.gbt_depth, self.gbt_step = mlp_iter, gbt_trees, gbt_depth, gbt_step
 
+    def release(self):
+        pass
+
     def _estimator(self, k: int):
         from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
 

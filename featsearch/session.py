@@ -68,3 +68,33 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
     sc.addPyFile(out)
     _SHIPPED.add(app)
+
+
+# Task payloads above this size travel as broadcast variables (once per
+# executor) instead of inside the task closure (once per task).
+BROADCAST_MIN_BYTES = 1 << 20
+
+
+class Payload:
+    """A driver-side value for tasks: inline when small, broadcast when large.
+
+    ``get()`` works on executors; ``release()`` drops a broadcast once the
+    job that needed it has run.
+    """
+
+    def __init__(self, spark: SparkSession, value, nbytes: int):
+        self._bc = spark.sparkContext.broadcast(value) if nbytes >= BROADCAST_MIN_BYTES else None
+        self._value = None if self._bc is not None else value
+
+    def get(self):
+        return self._bc.value if self._bc is not None else self._value
+
+    def release(self):
+        if self._bc is not None:
+            self._bc.unpersist()
+
+    def __getstate__(self):
+        return {"_bc": self._bc, "_value": self._value}
+
+    def __setstate__(self, st):
+        self._bc, self._value = st["_bc"], st["_value"]
