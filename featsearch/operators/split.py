@@ -40,6 +40,9 @@ BUCKET_BITS = 16
 # Boundary buckets holding at most this many rows are fetched whole (bounded);
 # larger ones are refined by an exact-hash histogram first.
 DIRECT_LIMIT = 200_000
+# Distinct keys collide on one 32-bit hash only rarely (about N / 2^32 rows);
+# more rows than this on one hash means the row key is not unique.
+MAX_TIES = 100_000
 
 
 def class_histogram(df: DataFrame, group: str, h: str) -> dict:
@@ -93,6 +96,10 @@ def kth_keys(df: DataFrame, group: str, h: str, rid: str, wanted: dict, hist: di
         per.setdefault((r["_g"], r["_h"] >> (32 - BUCKET_BITS)), {})[r["_h"]] = r["_n"]
     level2 = {(g, k): _locate(per[(g, bb)], kk) for (g, k), (bb, kk) in level1.items()}
     # level 3: the rows sharing one exact hash (expected one row; bounded by collisions)
+    for (g, k), (hh, _) in level2.items():
+        n_tied = per[(g, hh >> (32 - BUCKET_BITS))][hh]
+        if n_tied > MAX_TIES:
+            raise ValueError(f"{n_tied} rows of class {g!r} share one key hash: {rid!r} is not a unique key")
     hsel = _or([(F.col(group) == F.lit(g)) & (F.col(h) == F.lit(hh)) for (g, _), (hh, _) in level2.items()])
     ties: dict = {}
     for r in df.where(hsel).select(F.col(group).alias("_g"), F.col(h).alias("_h"), F.col(rid).alias("_r")).collect():

@@ -73,3 +73,17 @@ def test_kth_keys_refinement_path(spark, monkeypatch):
     rows = sorted((r["y"], r["_h"], r["row_id"]) for r in base.collect())
     for (g, k), key in keys.items():
         assert [(h, rid) for yy, h, rid in rows if yy == g][k - 1] == key
+
+
+def test_split_rejects_hot_duplicate_key(spark, monkeypatch):
+    """A cut inside a hot duplicated row_id is refused, not fetched to the driver.
+
+    (A hot key whose rows all fall on one side of every cut needs no
+    tie-break and splits exactly.)"""
+    monkeypatch.setattr(split, "DIRECT_LIMIT", 0)
+    monkeypatch.setattr(split, "MAX_TIES", 100)
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 10 != 0, F.lit(-1)).otherwise(F.col("id")).alias("row_id"), F.lit(1).alias("y")
+    )
+    with pytest.raises(ValueError, match="not a unique key"):
+        split.stratified_split(df)
