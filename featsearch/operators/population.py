@@ -38,7 +38,26 @@ def ones(spark: SparkSession, n_genes: int, chrom_id: int = 0) -> DataFrame:
 
 
 def from_rows(spark: SparkSession, rows: list[tuple[int, list[int]]]) -> DataFrame:
-    return spark.createDataFrame(rows, "chrom_id bigint, genes array<int>")
+    return literal_frame(spark, [r[0] for r in rows], [list(r[1]) for r in rows])
+
+
+def literal_frame(spark: SparkSession, ids: list, genes: list, scores: list | None = None) -> DataFrame:
+    """A P-row population as array literals exploded on one row.
+
+    Unlike ``createDataFrame`` over Python rows (an RDD scan that goes through
+    Python workers on every use), this plan is JVM-only and constant-folded.
+    """
+    cols = [F.lit([int(i) for i in ids]).cast("array<bigint>"),
+            F.lit([[int(x) for x in g] for g in genes]).cast("array<array<int>>")]
+    names = ["chrom_id", "genes"]
+    if scores is not None:
+        cols.append(F.lit([None if v is None else float(v) for v in scores]).cast("array<double>"))
+        names.append("score")
+    if not ids:
+        schema = "chrom_id bigint, genes array<int>" + (", score double" if scores is not None else "")
+        return spark.createDataFrame([], schema)
+    z = F.arrays_zip(*cols)
+    return spark.range(1).select(F.inline(z)).toDF(*names)
 
 
 def to_matrix(pop: DataFrame) -> tuple[np.ndarray, np.ndarray]:
