@@ -308,8 +308,9 @@ def _pairs(spark, sf, method):
     raw, names = A.raw_embeddings(spark, sf)
     d = len(names)
     pop = popops.init(spark, P, d, SEED)
-    a = pop.where(F.col("chrom_id") % 2 == 0).select((F.col("chrom_id") / 2).cast("bigint").alias("pair"), F.col("genes").alias("a"))
-    b = pop.where(F.col("chrom_id") % 2 == 1).select(((F.col("chrom_id") - 1) / 2).cast("bigint").alias("pair"), F.col("genes").alias("b"))
+    # every chromosome k crossed with its successor k + 1
+    a = pop.select(F.col("chrom_id").alias("pair"), F.col("genes").alias("a"))
+    b = pop.select((F.col("chrom_id") - 1).alias("pair"), F.col("genes").alias("b"))
     return a.join(b, "pair").select(
         F.col("pair").alias("chrom_id"), bits.bitstring(bits.crossover(F.col("a"), F.col("b"), d, method)).alias("genes")
     )
@@ -326,8 +327,8 @@ def _o_pairs(method):
     )
     q.add(
         "child",
-        f"SELECT a.chrom_id // 2 AS chrom_id, a.gene, {pick} AS bit FROM {pop} a JOIN {pop} b "
-        f"ON b.chrom_id = a.chrom_id + 1 AND a.gene = b.gene WHERE a.chrom_id % 2 = 0",
+        f"SELECT a.chrom_id, a.gene, {pick} AS bit FROM {pop} a JOIN {pop} b "
+        f"ON b.chrom_id = a.chrom_id + 1 AND a.gene = b.gene",
     )
     return q.render(f"SELECT * FROM {T.packed('child')}")
 
