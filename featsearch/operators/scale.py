@@ -11,14 +11,15 @@ SCALE = 10000
 WIDE_AGG_MAX = 512  # widths up to this use one wide aggregate; wider ones explode
 
 
-def fit(abt: DataFrame, split: str = "train", features: str = "features") -> tuple[list[float], list[float]]:
+def fit(abt: DataFrame, split: str = "train", features: str = "features", d: int | None = None) -> tuple[list[float], list[float]]:
     """Per-gene mean and ``stddev_pop`` over the fit split; deviation 0 becomes 1.
 
     One aggregation; each task pre-aggregates to one row per gene, so only
     ``d`` rows per partition are shuffled.
     """
     rows = abt.where(F.col("split") == split)
-    d = rows.select(F.max(F.size(features))).first()[0] or 0
+    if d is None:
+        d = rows.select(F.max(F.size(features))).first()[0] or 0
     if d <= WIDE_AGG_MAX:  # one codegen'd aggregate, no explode
         f = F.col(features)
         r = rows.select(*[F.avg(f[j]).alias(f"m{j}") for j in range(d)],

@@ -88,7 +88,7 @@ def build(raw: DataFrame, names: list[str], seed: int = 0, test_pct: int = 10, v
     if raw.rdd.getNumPartitions() < par:
         raw = raw.repartition(par).persist()
     df = split.stratified_split(raw, seed=seed, test_pct=test_pct, val_pct=val_pct)
-    means, sds = scale.fit(df)
+    means, sds = scale.fit(df, d=len(names))
     df = df.withColumn("features", scale.apply(F.col("features"), means, sds))
     return Abt(df.select("row_id", "y", "split", "features"), names, means, sds)
 
