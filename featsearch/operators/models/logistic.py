@@ -113,7 +113,7 @@ class LogisticModel:
 
     def __init__(self, C: float = 1.0, max_iter: int = 100, tol: float = 1e-4, fit_split: str = "train",
                  max_hessian_doubles: int = 8_000_000, solver: str = "auto", newton_max_genes: int = 16,
-                 memory: int = 10):
+                 memory: int = 10, warm_start: bool = False, max_warm: int = 20_000):
         if solver not in ("auto", "newton", "lbfgs"):
             raise ValueError(f"unknown solver {solver!r}; valid: auto, newton, lbfgs")
         self.C, self.max_iter, self.tol, self.fit_split = C, max_iter, tol, fit_split
@@ -121,6 +121,11 @@ class LogisticModel:
         self.solver, self.newton_max_genes, self.memory = solver, newton_max_genes, memory
         self.iterations = 0
         self.payloads: list = []
+        # optional warm starts from the nearest fitted gene set (bounded,
+        # driver side); off by default so that a fit depends only on its genes
+        self.warm_start = warm_start
+        self.max_warm = max_warm
+        self._fitted: dict = {}
 
     def release(self):
         for p in self.payloads:
@@ -165,15 +170,48 @@ class LogisticModel:
         bits = np.asarray(bits, dtype=np.int8)
         p_, d = bits.shape
         rows = abt.where(F.col("split") == self.fit_split).select("y", "features")
+        key = id(abt)
+        theta0 = self._starts(key, bits)
         if not self._use_newton(d):
-            return self._fit_lbfgs(rows, bits)
-        chunk = max(1, self.max_hessian_doubles // ((d + 1) ** 2))
-        out = np.zeros((p_, d + 1))
-        for lo in range(0, p_, chunk):
-            out[lo : lo + chunk] = self._fit_chunk(rows, bits[lo : lo + chunk])
+            out = self._fit_lbfgs(rows, bits, theta0)
+        else:
+            chunk = max(1, self.max_hessian_doubles // ((d + 1) ** 2))
+            out = np.zeros((p_, d + 1))
+            for lo in range(0, p_, chunk):
+                out[lo : lo + chunk] = self._fit_chunk(rows, bits[lo : lo + chunk], theta0[lo : lo + chunk])
+        self._remember(key, bits, out)
         return out
 
-    def _fit_lbfgs(self, rows, bits):
+    def _starts(self, key, bits) -> np.ndarray:
+        """Initial coefficients: those of the nearest fitted gene set (Hamming),
+        masked to each chromosome's genes; zeros when nothing is cached.
+
+        The objective is strictly convex, so the start changes only the number
+        of passes, not the optimum."""
+        p_, d = bits.shape
+        theta0 = np.zeros((p_, d + 1))
+        known = self._fitted.get(key)
+        if not self.warm_start or not known:
+            return theta0
+        kbits = np.stack([np.frombuffer(b, dtype=np.int8) for b in known])
+        kth = np.stack(list(known.values()))
+        b = bits.astype(np.int16)
+        dist = (b[:, None, :] != kbits[None, :, :].astype(np.int16)).sum(axis=2)  # (P, cached)
+        near = dist.argmin(axis=1)
+        theta0[:, :d] = kth[near, :d] * bits
+        theta0[:, d] = kth[near, d]
+        return theta0
+
+    def _remember(self, key, bits, theta) -> None:
+        if not self.warm_start:
+            return
+        known = self._fitted.setdefault(key, {})
+        for b, t in zip(bits, theta):
+            known[np.asarray(b, dtype=np.int8).tobytes()] = t
+        while len(known) > self.max_warm:  # oldest first
+            known.pop(next(iter(known)))
+
+    def _fit_lbfgs(self, rows, bits, theta0=None):
         """Batched L-BFGS for wide data: each pass returns only loss and gradient
         (P x (d+1) doubles per task). Every chromosome advances by one step
         attempt per pass: accepted steps (Armijo) compute a new direction from
@@ -181,7 +219,7 @@ class LogisticModel:
         p_, d = bits.shape
         m = np.hstack([bits.astype(np.float64), np.ones((p_, 1))])
         reg = np.hstack([np.ones(d), [0.0]]) / self.C
-        theta = np.zeros((p_, d + 1))
+        theta = np.zeros((p_, d + 1)) if theta0 is None else theta0.copy()
         loss, g, _, n = self._pass(rows, theta, bits, hessian=False)
         n = max(n, 1)
         f = (loss + 0.5 * (reg * theta * theta).sum(axis=1)) / n
@@ -195,7 +233,10 @@ class LogisticModel:
             if done.all():
                 break
             trial = np.where(done[:, None], theta, theta + alpha[:, None] * direction)
-            loss_t, g_t, _, _ = self._pass(rows, trial, bits, hessian=False)
+            act = np.flatnonzero(~done)  # converged chromosomes leave the pass
+            loss_t, g_t = np.zeros(p_), np.zeros((p_, d + 1))
+            la, ga, _, _ = self._pass(rows, trial[act], bits[act], hessian=False)
+            loss_t[act], g_t[act] = la, ga
             f_t = (loss_t + 0.5 * (reg * trial * trial).sum(axis=1)) / n
             grad_t = (g_t + reg * trial) * m / n
             slope = (grad * direction).sum(axis=1)
@@ -218,35 +259,39 @@ class LogisticModel:
             done |= bad & (alpha < 1e-10)
         return theta * m
 
-    def _fit_chunk(self, rows, bits):
+    def _fit_chunk(self, rows, bits, theta0=None):
+        """Batched Newton; every chromosome accepts or backtracks on its own."""
         p_, d = bits.shape
         m = np.hstack([bits.astype(np.float64), np.ones((p_, 1))])
         reg = np.hstack([np.ones(d), [0.0]]) / self.C  # intercept unpenalised
-        theta = np.zeros((p_, d + 1))
+        theta = np.zeros((p_, d + 1)) if theta0 is None else theta0.copy()
         prev_theta, prev_obj, step = theta.copy(), np.full(p_, np.inf), np.zeros_like(theta)
         scale = np.ones(p_)
         done = np.zeros(p_, dtype=bool)
-        for it in range(self.max_iter):
-            loss, g, h, n = self._pass(rows, theta, bits)
+        eye = np.eye(d + 1)[None]
+        for _ in range(self.max_iter):
+            act = ~done  # converged chromosomes leave the pass
+            ia = np.flatnonzero(act)
+            loss, g, h = np.zeros(p_), np.zeros((p_, d + 1)), np.zeros((p_, d + 1, d + 1))
+            loss[ia], g[ia], h[ia], n = self._pass(rows, theta[ia], bits[ia])
             obj = loss + 0.5 * (reg * theta * theta).sum(axis=1)
-            worse = (obj > prev_obj + 1e-12 * np.abs(prev_obj)) & ~done
-            if worse.any():  # backtrack: halve the step from the previous point
-                scale[worse] *= 0.5
-                theta[worse] = prev_theta[worse] - scale[worse, None] * step[worse]
-                if (scale[worse] < 1e-8).all():
-                    done |= worse
-                continue
+            worse = act & (obj > prev_obj + 1e-12 * np.abs(prev_obj))
+            scale[worse] *= 0.5  # backtrack: halve the step from the previous point
+            theta[worse] = prev_theta[worse] - scale[worse, None] * step[worse]
+            done |= worse & (scale < 1e-8)
+            good = act & ~worse
             grad = (g + reg * theta) * m
-            done |= np.abs(grad).max(axis=1) / max(n, 1) <= self.tol
+            conv = good & (np.abs(grad).max(axis=1) / max(n, 1) <= self.tol)
+            done |= conv
+            upd = np.flatnonzero(good & ~conv)
+            if len(upd):
+                hess = h[upd] + eye * reg[None, None, :] + eye * (1.0 - m[upd])[:, None, :]  # masked: unit diagonal
+                new_step = np.linalg.solve(hess, grad[upd][:, :, None])[:, :, 0] * m[upd]
+                prev_theta[upd], prev_obj[upd] = theta[upd], obj[upd]
+                step[upd], scale[upd] = new_step, 1.0
+                theta[upd] = theta[upd] - new_step
             if done.all():
                 break
-            hess = h + np.eye(d + 1)[None] * reg[None, None, :]
-            hess += np.eye(d + 1)[None] * (1.0 - m)[:, None, :] * 1.0  # masked genes: unit diagonal
-            new_step = np.linalg.solve(hess, grad[:, :, None])[:, :, 0] * m
-            prev_theta, prev_obj = theta.copy(), obj
-            step = np.where(done[:, None], 0.0, new_step)
-            scale = np.ones(p_)
-            theta = theta - step
         return theta * m
 
     def confusion(self, abt: DataFrame, ids: np.ndarray, bits: np.ndarray, eval_splits=("val",)) -> DataFrame:

@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from featsearch.functions import bits
 from featsearch.functions.rng import u32, u32_sql
 from featsearch.operators import encode, fitness, population as popops, scale
+from featsearch.operators import models as MODELS
 from featsearch.operators.models.centroid import CentroidModel
+from featsearch.plans import report as R
 from featsearch.plans import sqltwin as T
+from featsearch.plans import study as ST
 from featsearch.sources import abt as A
 from featsearch.sources.tables import table
 
@@ -585,11 +588,8 @@ def q_best_test(spark, sf):
     ab, scs = _ga_unrolled(spark, sf, "orders", HIST_GENS)
     best = popops.select_top(scs[-1], 1).select(F.lit(0).cast("bigint").alias("chrom_id"), "genes")
     conf = fitness.confusion(ab.df, best, CentroidModel(), ("test",)).drop("split", "chrom_id")
-    return fitness.all_metrics(conf.withColumn("genes", F.lit(bits_str_of(best))))
-
-
-def bits_str_of(pop_df) -> str:
-    return "".join(str(x) for x in pop_df.first()["genes"])
+    genes = "".join(str(x) for x in best.first()["genes"])  # one chromosome
+    return fitness.all_metrics(conf.withColumn("genes", F.lit(genes)))
 
 
 @oracle("best_test_metrics")
@@ -758,8 +758,6 @@ def o_fs():
 
 # ------------------------------------------------------------------ reports over a study of runs
 
-from featsearch.plans import report as R  # noqa: E402
-from featsearch.plans import study as ST  # noqa: E402
 
 
 def _study(spark, sf):
@@ -996,7 +994,6 @@ def o_decode():
 
 # ------------------------------------------------------------------ other models (rows-only checks)
 
-from featsearch.operators import models as MODELS  # noqa: E402
 
 SMOKE_P = 10  # the reference's smoke grid population
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from featsearch.config import SearchConfig
-from featsearch.functions import bits, metrics
+from featsearch.functions import metrics
 from featsearch.operators import fitness
 from featsearch.operators import models as model_registry
 from featsearch.operators import population as popops
@@ -131,9 +131,8 @@ def genetic(abt: Abt, cfg: SearchConfig, model, base: dict, store=None, start: d
         before = len(cache)
         rows = fitness.score_rows(abt.df, ids, mat, model, cfg.metric, cache=cache)
         res.scored += len(cache) - before
-        scored = spark.createDataFrame(
-            [(r["chrom_id"], r["genes"], r["score"]) for r in rows], "chrom_id bigint, genes array<int>, score double"
-        )
+        scored = popops.literal_frame(spark, [r["chrom_id"] for r in rows], [r["genes"] for r in rows],
+                                      [r["score"] for r in rows])
         pop = popops.next_generation(
             scored, len(rows), d, gen + 1, cfg.seed, cfg.crossover, cfg.mutation_rate, cfg.elitism
         )
@@ -144,7 +143,8 @@ def genetic(abt: Abt, cfg: SearchConfig, model, base: dict, store=None, start: d
         res.history.append(h)
         if store is not None:
             store.append_history(cfg.run_id, [h])
-            pop = spark.createDataFrame(pop.collect(), "chrom_id bigint, genes array<int>")
+            kept = pop.collect()
+            pop = popops.literal_frame(spark, [r["chrom_id"] for r in kept], [r["genes"] for r in kept])
             store.write_population(cfg.run_id, gen + 1, pop)
         last_max = h["best"]
         gen += 1

@@ -1,6 +1,5 @@
 """Spark queries vs their DuckDB twins on sf0.001 (the driver checks sf0.01)."""
 
-import hashlib
 import math
 
 import duckdb

@@ -164,3 +164,17 @@ def test_resume_equals_uninterrupted(spark, tmp_path):
     key = lambda h: (h["gen"], h["best"], h["worst"], tuple(h["best_genes"]))
     assert [key(h) for h in res.history] == [key(h) for h in full.history]
     assert res.best_genes == full.best_genes
+
+
+def test_logistic_warm_start_same_optimum(spark, planted):
+    from featsearch.operators.models.logistic import LogisticModel
+
+    ids, mat = P.to_matrix(P.init(spark, 6, planted.d, seed=9))
+    cold = LogisticModel(solver="newton").fit(planted.df, mat)
+    warm = LogisticModel(solver="newton", warm_start=True)
+    warm.fit(planted.df, mat[:3])
+    flipped = mat.copy()
+    flipped[:, 0] ^= 1  # neighbours of the fitted sets
+    again = warm.fit(planted.df, np.vstack([mat[3:], flipped[:3]]))
+    ref = LogisticModel(solver="newton").fit(planted.df, np.vstack([mat[3:], flipped[:3]]))
+    assert np.abs(again - ref).max() < 1e-3 and np.abs(cold[3:] - again[:3]).max() < 1e-3
