@@ -55,6 +55,9 @@ def main(argv=None):
                        max_generation=a.evolution_rounds, stopping_threshold=a.stopping_threshold, model=a.model,
                        algorithm=a.algorithm, backend=a.backend_prefer, seed=a.seed).validate()
     spark = SparkSession.builder.appName(f"featsearch-{cfg.run_id}").getOrCreate()
+    from featsearch.session import apply_cluster_conf
+
+    apply_cluster_conf(spark)
     if a.input:
         reader = spark.read.option("header", True).option("inferSchema", True)
         df = reader.csv(a.input) if a.input.endswith(".csv") else spark.read.parquet(a.input)
