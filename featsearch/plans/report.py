@@ -6,7 +6,7 @@ read in listing order and nothing depends on a previous loop turn (Q19).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featsearch.functions import bits
@@ -114,9 +114,14 @@ def convergence(history: DataFrame, run_id: str) -> DataFrame:
 
 
 def latest_per(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Latest run per key by (started_at, run_id) (Q20); groups hold one row per run."""
-    w = Window.partitionBy(*keys).orderBy(F.col("started_at").desc(), F.col("run_id").desc())
-    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """Latest run per key by (started_at, run_id) (Q20).
+
+    A ``max_by`` aggregation (combined map-side), not a window: one
+    configuration run many times never lands in one task.
+    """
+    others = [c for c in df.columns if c not in keys]
+    latest = F.max_by(F.struct(*[F.col(c) for c in others]), F.struct("started_at", "run_id"))
+    return df.groupBy(*keys).agg(latest.alias("_r")).select(*keys, "_r.*")
 
 
 def jaccard_overlap(df: DataFrame) -> DataFrame:
