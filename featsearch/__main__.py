@@ -27,6 +27,7 @@ def parse(argv=None):
     p.add_argument("--id_col", default=None)
     p.add_argument("--positive", default=None, help="positive class (binarises multi-class labels)")
     p.add_argument("--drop_cols", default="", help="comma-separated columns to drop")
+    p.add_argument("--fill_value", type=float, default=None, help="value for null numeric features")
     p.add_argument("--crossover_choice", default=d.crossover)
     p.add_argument("--mutation_rate", type=float, default=d.mutation_rate)
     p.add_argument("--metric_choice", default=d.metric)
@@ -62,7 +63,7 @@ def main(argv=None):
         reader = spark.read.option("header", True).option("inferSchema", True)
         df = reader.csv(a.input) if a.input.endswith(".csv") else spark.read.parquet(a.input)
         raw, names = A.prepare(df, a.label_col, id_col=a.id_col, positive=a.positive,
-                               drop_cols=[c for c in a.drop_cols.split(",") if c])
+                               drop_cols=[c for c in a.drop_cols.split(",") if c], fill_value=a.fill_value)
         abt = A.build(raw, names, seed=cfg.seed)
     else:
         abt = A.load(spark, a.tables, a.dataset, cfg.seed)

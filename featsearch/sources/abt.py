@@ -41,12 +41,16 @@ def prepare(
     positive=None,
     drop_cols=(),
     max_levels: int = encode.MAX_LEVELS,
+    fill_value: float | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """Generic S1: drop ids, pop the label, one-hot strings, pack doubles.
 
     Returns ``(row_id, y, features)`` and the feature names. Labels must be
     binary after encoding, unless ``positive`` names the positive class.
-    Null labels and null numeric features are rejected (no silent imputation).
+    Null labels are rejected; null numeric features are rejected unless
+    ``fill_value`` is given (no silent imputation). Give ``id_col`` (a unique
+    key): generated ids follow the input file layout, and the split is keyed
+    by the id.
     """
     if label_col not in df.columns:
         raise ValueError(f"label column {label_col!r} not found")
@@ -68,10 +72,16 @@ def prepare(
         if len(lv) != 2:
             raise ValueError(f"label {label_col!r} has {len(lv)} classes; give positive= to binarise")
         y = encode.label_codes(df, label_col).cast("int")
+    feats_col = encode.pack(names)
+    if fill_value is not None:
+        feats_col = F.transform(feats_col, lambda x: F.coalesce(x, F.lit(float(fill_value))))
+    else:
+        feats_col = F.when(F.exists(feats_col, lambda x: x.isNull()),
+                           F.raise_error(F.lit("null feature value; give fill_value"))).otherwise(feats_col)
     out = df.select(
         F.col(id_col).alias("row_id"),
         F.when(F.col(label_col).isNull(), F.raise_error(F.lit("null label"))).otherwise(y).alias("y"),
-        encode.pack(names).alias("features"),
+        feats_col.alias("features"),
     )
     return out, names
 

@@ -87,3 +87,16 @@ def test_split_rejects_hot_duplicate_key(spark, monkeypatch):
     )
     with pytest.raises(ValueError, match="not a unique key"):
         split.stratified_split(df)
+
+
+def test_prepare_nulls(spark):
+    df = spark.createDataFrame([(1, 2.0, "a"), (2, None, "b"), (3, 1.0, "a")], "id long, v double, lab string")
+    out, _ = A.prepare(df, "lab", id_col="id")
+    with pytest.raises(Exception, match="null feature"):
+        out.collect()
+    filled, _ = A.prepare(df, "lab", id_col="id", fill_value=0.0)
+    assert {r["row_id"]: r["features"] for r in filled.collect()}[2] == [0.0]
+    bad = spark.createDataFrame([(1, 2.0, "a"), (2, 1.0, None), (3, 1.0, "b")], "id long, v double, lab string")
+    lab, _ = A.prepare(bad, "lab", id_col="id")
+    with pytest.raises(Exception, match="null label"):
+        lab.collect()
