@@ -31,8 +31,9 @@ CLUSTER_CONF = {
     "spark.sql.files.maxPartitionBytes": str(512 << 20),
     "spark.sql.execution.arrow.maxRecordsPerBatch": "20000",
     "spark.sql.shuffle.partitions": "2000",
-    "spark.task.maxFailures": "8",
 }
+# Core settings that only take effect at submit time (``--conf``).
+SUBMIT_CONF = {"spark.task.maxFailures": "8", "spark.speculation": "true"}
 
 
 def apply_cluster_conf(spark: SparkSession) -> None:
