@@ -42,7 +42,7 @@ def main():
     warm = A.load(spark, sf_dir, "orders")
     fitness.score(warm.df, popops.init(spark, 4, warm.d), models.get("centroid"), "f1").collect()
 
-    li = timed("abt_lineitem", lambda: search.materialize(A.load(spark, sf_dir, "lineitem"), spark))
+    li = timed("abt_lineitem", lambda: A.load(spark, sf_dir, "lineitem", path=search.shared_path(spark, "abt")))
     cen = models.get("centroid")
     timed("train_stats", lambda: cen.means(li.df))
     pop = popops.init(spark, 150, li.d)

@@ -64,10 +64,9 @@ def main(argv=None):
         df = reader.csv(a.input) if a.input.endswith(".csv") else spark.read.parquet(a.input)
         raw, names = A.prepare(df, a.label_col, id_col=a.id_col, positive=a.positive,
                                drop_cols=[c for c in a.drop_cols.split(",") if c], fill_value=a.fill_value)
-        abt = A.build(raw, names, seed=cfg.seed)
+        abt = A.build(raw, names, seed=cfg.seed, path=search.shared_path(spark, "abt"))
     else:
-        abt = A.load(spark, a.tables, a.dataset, cfg.seed)
-    abt = search.materialize(abt, spark)
+        abt = A.load(spark, a.tables, a.dataset, cfg.seed, path=search.shared_path(spark, "abt"))
     res = search.run(spark, abt, cfg, RunStore(spark, a.store))
     print(json.dumps({"run_id": cfg.run_id, "status": res.status, "generations": len(res.history),
                       "best_genes": "".join(map(str, res.best_genes)), "test": res.test}))

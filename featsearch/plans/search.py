@@ -53,6 +53,11 @@ def materialize(abt: Abt, spark: SparkSession, tag: str = "abt") -> Abt:
     return Abt(df, abt.names, abt.means, abt.sds)
 
 
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A fresh folder under the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
+
+
 def summarize(rows: list, gen: int, seconds: float) -> dict:
     """History row of one generation: mean / max / min and argmax (first on ties)."""
     scores = [r["score"] for r in rows if r["score"] is not None]

@@ -60,7 +60,7 @@ def run_study(spark: SparkSession, sf_dir: str) -> RunStore:
     abts = {}
     for cfg in configs():
         if cfg.dataset not in abts:
-            abts[cfg.dataset] = search.materialize(A.load(spark, sf_dir, cfg.dataset, SEED), spark)
+            abts[cfg.dataset] = A.load(spark, sf_dir, cfg.dataset, SEED, path=search.shared_path(spark, "abt"))
         search.run(spark, abts[cfg.dataset], cfg, store)
     unfinished = SearchConfig(dataset="orders", algorithm="rfs", model="logistic", metric=METRIC,
                               population_size=POP, max_generation=GA_ROUNDS, seed=SEED)

@@ -86,18 +86,26 @@ def prepare(
     return out, names
 
 
-def build(raw: DataFrame, names: list[str], seed: int = 0, test_pct: int = 10, val_pct: int = 20) -> Abt:
+def build(raw: DataFrame, names: list[str], seed: int = 0, test_pct: int = 10, val_pct: int = 20,
+          path: str | None = None) -> Abt:
     """Split (exact stratified) then scale with train statistics.
 
     Inputs read as fewer splits than there are cores (small tables) are
     spread over all cores and cached for the few preparation jobs; large
     inputs are left as scanned, each job re-reading only the pruned columns.
+
+    With ``path`` (shared storage), the split rows are written there first,
+    partitioned by split; the scaler is then fitted on the written train
+    partition and applied on read, which saves a full scan of the raw input.
     """
     spark = raw.sparkSession
     par = spark.sparkContext.defaultParallelism
     if raw.rdd.getNumPartitions() < par:
         raw = raw.repartition(par).persist()
     df = split.stratified_split(raw, seed=seed, test_pct=test_pct, val_pct=val_pct)
+    if path is not None:
+        df.select("row_id", "y", "split", "features").write.partitionBy("split").parquet(path)
+        df = spark.read.parquet(path).select("row_id", "y", "split", "features")
     means, sds = scale.fit(df, d=len(names))
     df = df.withColumn("features", scale.apply(F.col("features"), means, sds))
     return Abt(df.select("row_id", "y", "split", "features"), names, means, sds)
@@ -188,11 +196,11 @@ RAW = {
 }
 
 
-def load(spark: SparkSession, sf_dir: str, name: str, seed: int = 0) -> Abt:
+def load(spark: SparkSession, sf_dir: str, name: str, seed: int = 0, path: str | None = None) -> Abt:
     if name not in RAW:
         raise ValueError(f"unknown dataset {name!r}; valid: {', '.join(RAW)}")
     raw, names = RAW[name](spark, sf_dir)
-    return build(raw, names, seed=seed)
+    return build(raw, names, seed=seed, path=path)
 
 
 # ---------------------------------------------------------------- SQL twins
