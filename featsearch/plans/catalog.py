@@ -29,6 +29,11 @@ METRIC = "f1"
 ROUNDS = 150
 THRESHOLD = 0.99999
 SEED = 0
+# Widths of the fixture ABTs, fixed by the table schemas (embedding length;
+# 2 numeric + 5 order priorities; 6 numeric + 3 return flags).
+EMB_D = 64
+ORDERS_D = 7
+LINEITEM_D = 9
 
 SPARK: dict = {}
 ORACLE: dict = {}
@@ -409,10 +414,10 @@ def q_mating(spark, sf):
 def o_mating():
     q = T.Sql()
     p, pop, sc = _o_scored0(q, "embeddings")
-    T.next_generation(q, "nx", sc, pop, P, 64, 1, SEED, CROSSOVER, RATE, ELITISM)
+    T.next_generation(q, "nx", sc, pop, P, EMB_D, 1, SEED, CROSSOVER, RATE, ELITISM)
     q.add(
         "kids",
-        f"SELECT m.slot AS chrom_id, a.gene, CASE WHEN a.gene < 32 THEN a.bit ELSE b.bit END AS bit, m.p1, m.p2 "
+        f"SELECT m.slot AS chrom_id, a.gene, CASE WHEN a.gene < {EMB_D // 2} THEN a.bit ELSE b.bit END AS bit, m.p1, m.p2 "
         f"FROM nx_mt m JOIN nx_sv a ON a.rank = m.p1 JOIN nx_sv b ON b.rank = m.p2 AND b.gene = a.gene",
     )
     return q.render(
@@ -432,7 +437,7 @@ def q_next_population(spark, sf):
 def o_next_population():
     q = T.Sql()
     p, pop, sc = _o_scored0(q, "embeddings")
-    nx = T.next_generation(q, "nx", sc, pop, P, 64, 1, SEED, CROSSOVER, RATE, ELITISM)
+    nx = T.next_generation(q, "nx", sc, pop, P, EMB_D, 1, SEED, CROSSOVER, RATE, ELITISM)
     return q.render(f"SELECT * FROM {T.packed(nx)}")
 
 
@@ -450,7 +455,7 @@ def q_diversity(spark, sf):
 def o_diversity():
     q = T.Sql()
     p, pop, sc = _o_scored0(q, "embeddings")
-    nx = T.next_generation(q, "nx", sc, pop, P, 64, 1, SEED, CROSSOVER, RATE, ELITISM)
+    nx = T.next_generation(q, "nx", sc, pop, P, EMB_D, 1, SEED, CROSSOVER, RATE, ELITISM)
     return q.render(
         f"SELECT CAST(0 AS BIGINT) AS gen, count(DISTINCT genes) AS n_distinct FROM {T.packed(pop)} "
         f"UNION ALL SELECT CAST(1 AS BIGINT), count(DISTINCT genes) FROM {T.packed(nx)}"
@@ -533,7 +538,7 @@ def q_ga_generation(spark, sf):
 @oracle("ga_generation")
 def o_ga_generation():
     q = T.Sql()
-    scs = _o_ga_unrolled(q, "embeddings", 2, 64)
+    scs = _o_ga_unrolled(q, "embeddings", 2, EMB_D)
     parts = [
         f"SELECT CAST({g} AS BIGINT) AS gen, s.chrom_id, k.genes, s.tp, s.fp, s.fn, s.tn, s.score "
         f"FROM {sc} s JOIN {T.packed(pop)} k ON s.chrom_id = k.chrom_id"
@@ -543,7 +548,6 @@ def o_ga_generation():
 
 
 HIST_GENS = 3
-ORDERS_D = 7  # o_totalprice, order month, 5 order priorities
 
 
 def _history_of(scs):
@@ -680,7 +684,6 @@ def o_stop():
 # ------------------------------------------------------------------ forward selection
 
 FOLDS = 5
-LINEITEM_D = 9  # 6 numeric + 3 return flags
 
 
 @spark_query("forward_selection_round")
