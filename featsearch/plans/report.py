@@ -23,6 +23,11 @@ def display_name(col) -> F.Column:
     return F.when(c == "BASELINE METRICS", F.lit("BASELINE")).otherwise(c)
 
 
+def run_label(col: str = "started_at") -> F.Column:
+    """A run's start time in the reference's folder-name format."""
+    return F.date_format(F.col(col), "dd.MM.yyyy_HH.mm.ss.SSSSSS")
+
+
 def complete_runs(configs: DataFrame, history: DataFrame, test: DataFrame) -> DataFrame:
     """Runs with config, history and test metrics (F8, J8: left semi joins)."""
     return configs.join(test, "run_id", "left_semi").join(history, "run_id", "left_semi")

@@ -91,3 +91,11 @@ def test_convergence_and_times(runs):
     assert [g for g, *_ in conv] == [0, 1, 2]
     tp = R.times_pivot(R.compiled(c, h, t), ["a", "b"]).where("algorithm = 'ga_spark'").first()
     assert tp["a"] == 2.0 and tp["b"] is None
+
+
+def test_run_label_matches_config_run_id(spark):
+    from featsearch.config import SearchConfig
+
+    cfg = SearchConfig()
+    df = spark.createDataFrame([(cfg.started_at,)], "started_at timestamp")
+    assert cfg.run_id.startswith(df.select(R.run_label()).first()[0])
