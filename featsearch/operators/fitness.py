@@ -98,3 +98,18 @@ def score_rows(abt: DataFrame, ids: np.ndarray, mat: np.ndarray, model, metric:
         out.append({"chrom_id": int(cid), "genes": [int(x) for x in genes], "tp": tp, "fp": fp, "fn": fn, "tn": tn,
                     "score": sc})
     return out
+
+
+def cv_scores(model, abt: DataFrame, ids, bits, folds: int = 5, seed: int = 0, metric: str = "accuracy"):
+    """Mean over folds (in fold order) of the metric of every chromosome,
+    from the model's ``cv_confusion``; returns ``[(chrom_id, score)]``."""
+    conf = model.cv_confusion(abt, ids, bits, folds, seed).collect()
+    model.release()
+    per: dict = {}
+    for r in conf:
+        per.setdefault(r["chrom_id"], {})[r["fold"]] = _py_metric(metric, r["tp"], r["fp"], r["fn"], r["tn"])
+    out = []
+    for cid in ids:
+        vals = [per.get(int(cid), {}).get(f) for f in range(folds)]
+        out.append((int(cid), sum(0.0 if v is None else v for v in vals) / folds))
+    return out

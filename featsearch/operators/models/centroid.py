@@ -152,11 +152,11 @@ class CentroidModel:
 
 def fold_sums(abt: DataFrame, folds: int, seed: int, fit_split: str = "train"):
     """Per (class, fold, gene) sums and per (class, fold) counts: one aggregation."""
-    from featsearch.functions.rng import u32
+    from featsearch.operators.split import fold_of
 
     rows = (
         abt.where(F.col("split") == fit_split)
-        .select("y", (u32(seed, "fold", F.col("row_id")) % folds).cast("int").alias("fold"),
+        .select("y", fold_of(folds, seed).alias("fold"),
                 F.posexplode(scale.quantize(F.col("features"))).alias("gene", "q"))
         .groupBy("y", "fold", "gene")
         .agg(F.sum("q").alias("s"), F.count(F.lit(1)).alias("n"))
@@ -220,23 +220,22 @@ def cv_batches(batches, ids, bits, means, block: int = 256):
 
 
 def _cv_confusion(self, abt: DataFrame, ids, bits, folds: int = 5, seed: int = 0) -> DataFrame:
-    from featsearch.functions.rng import u32
-    from featsearch.session import ship_package
+    """``(fold, chrom_id, tp, fp, fn, tn)``: each fold's train rows scored with
+    class means fitted on the other folds (all chromosomes, one pass)."""
+    from featsearch.operators.split import fold_of
+    from featsearch.session import Payload, ship_package
 
     ship_package(abt.sparkSession)
     key = (id(abt), folds, seed)
     if key not in self._cache:
         self._cache[key] = cv_means(*fold_sums(abt, folds, seed, self.fit_split))
     means = self._cache[key]
-    from featsearch.session import Payload
-
     ids = np.asarray(ids, dtype=np.int64)
     bits = np.asarray(bits, dtype=np.int8)
     payload = Payload(abt.sparkSession, (ids, bits, means), bits.nbytes)
     self.payloads.append(payload)
     rows = abt.where(F.col("split") == self.fit_split).select(
-        (u32(seed, "fold", F.col("row_id")) % folds).cast("int").alias("fold"), "y",
-        scale.quantize(F.col("features")).alias("q"),
+        fold_of(folds, seed).alias("fold"), "y", scale.quantize(F.col("features")).alias("q")
     )
     return (
         rows.mapInArrow(lambda it: cv_batches(it, *payload.get()),
@@ -247,19 +246,9 @@ def _cv_confusion(self, abt: DataFrame, ids, bits, folds: int = 5, seed: int = 0
 
 
 def _cv_scores(self, abt: DataFrame, ids, bits, folds: int = 5, seed: int = 0, metric: str = "accuracy"):
-    """Mean over folds (in fold order) of the metric; returns [(chrom_id, score)]."""
-    from featsearch.functions import metrics as M
-
-    conf = self.cv_confusion(abt, ids, bits, folds, seed).withColumn("m", M.metric(metric)).collect()
-    per: dict = {}
-    for r in conf:
-        per.setdefault(r["chrom_id"], {})[r["fold"]] = r["m"]
-    out = []
-    for cid in ids:
-        vals = [per.get(int(cid), {}).get(f) for f in range(folds)]
-        vals = [0.0 if v is None else v for v in vals]
-        out.append((int(cid), sum(vals) / folds))
-    return out
+    from featsearch.operators.fitness import cv_scores
+
+    return cv_scores(self, abt, ids, bits, folds, seed, metric)
 
 
 CentroidModel.cv_confusion = _cv_confusion

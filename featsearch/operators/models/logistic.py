@@ -35,8 +35,12 @@ def _feats(rb, d):
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
 
 
-def newton_batches(batches, theta, bits, hessian: bool = True):
-    """Per task: loss, gradient and (optionally) Hessian data part of every chromosome."""
+def newton_batches(batches, theta, bits, hessian: bool = True, excl=None):
+    """Per task: loss, gradient and (optionally) Hessian data part of every chromosome.
+
+    With ``excl`` (one fold per chromosome), rows of that fold get weight 0 for
+    that chromosome: one pass fits every (subset, fold) pair of a CV.
+    """
     p_, d = bits.shape
     m = bits.astype(np.float64)
     w = theta[:, :d] * m
@@ -45,27 +49,32 @@ def newton_batches(batches, theta, bits, hessian: bool = True):
     loss = np.zeros(p_)
     g = np.zeros((p_, d + 1))
     h = np.zeros((p_, d + 1, d + 1)) if hessian else None
-    n = 0
+    cnt = np.zeros(p_)
     for rb in batches:
         if rb.num_rows == 0:
             continue
         x = _feats(rb, d)
         y = rb.column(rb.schema.get_field_index("y")).to_numpy(zero_copy_only=False).astype(np.float64)
+        if excl is not None:
+            fo = rb.column(rb.schema.get_field_index("fold")).to_numpy(zero_copy_only=False)
+            wt = (fo[:, None] != excl[None, :]).astype(np.float64)  # (n, P)
+        else:
+            wt = np.ones((len(x), 1))
         z = x @ w.T + b  # (n, P)
         pr = 1.0 / (1.0 + np.exp(-z))
-        loss += (np.logaddexp(0.0, z) - y[:, None] * z).sum(axis=0)
-        r = pr - y[:, None]
+        loss += ((np.logaddexp(0.0, z) - y[:, None] * z) * wt).sum(axis=0)
+        r = (pr - y[:, None]) * wt
         g[:, :d] += r.T @ x
         g[:, d] += r.sum(axis=0)
         if hessian:
-            s = pr * (1.0 - pr)
+            s = pr * (1.0 - pr) * wt
             xa = np.hstack([x, np.ones((len(x), 1))])
             step = max(1, 4_000_000 // (p_ * (d + 1)))  # rows per batched product (~32 MB)
             for lo in range(0, len(xa), step):
                 xs = xa[lo : lo + step]
                 h += np.matmul((xs[None, :, :] * s[lo : lo + step].T[:, :, None]).transpose(0, 2, 1), xs)
-        n += len(x)
-    if n == 0:
+        cnt += wt.sum(axis=0)
+    if not cnt.any():
         return
     g *= ma
     if hessian:
@@ -74,7 +83,7 @@ def newton_batches(batches, theta, bits, hessian: bool = True):
     else:
         vec = np.concatenate([loss[:, None], g], axis=1)
     yield pa.RecordBatch.from_arrays(
-        [pa.array(np.arange(p_, dtype=np.int64)), pa.array(np.full(p_, n, dtype=np.int64)),
+        [pa.array(np.arange(p_, dtype=np.int64)), pa.array(cnt.astype(np.int64)),
          pa.array(list(vec), type=pa.list_(pa.float64()))],
         names=["k", "n", "v"],
     )
@@ -132,15 +141,16 @@ class LogisticModel:
             p.release()
         self.payloads = []
 
-    def _pass(self, rows: DataFrame, theta, bits, hessian: bool = True):
+    def _pass(self, rows: DataFrame, theta, bits, hessian: bool = True, excl=None):
         from pyspark.ml.functions import array_to_vector
         from pyspark.ml.stat import Summarizer
 
         from featsearch.session import Payload
 
-        payload = Payload(rows.sparkSession, (theta, bits), theta.nbytes + bits.nbytes)
+        payload = Payload(rows.sparkSession, (theta, bits, excl), theta.nbytes + bits.nbytes)
         agg = (
-            rows.mapInArrow(lambda it: newton_batches(it, *payload.get(), hessian), "k bigint, n bigint, v array<double>")
+            rows.mapInArrow(lambda it: newton_batches(it, *payload.get()[:2], hessian, payload.get()[2]),
+                            "k bigint, n bigint, v array<double>")
             .groupBy("k")
             .agg(F.sum("n").alias("n"), Summarizer.sum(array_to_vector("v")).alias("v"))
             .collect()
@@ -150,13 +160,13 @@ class LogisticModel:
         p_, d = bits.shape
         loss, g = np.zeros(p_), np.zeros((p_, d + 1))
         h = np.zeros((p_, d + 1, d + 1)) if hessian else None
-        n = 0
+        n = np.zeros(p_)
         for r in agg:
             v = r["v"].toArray()
             loss[r["k"]], g[r["k"]] = v[0], v[1 : d + 2]
             if hessian:
                 h[r["k"]] = v[d + 2 :].reshape(d + 1, d + 1)
-            n = r["n"]
+            n[r["k"]] = r["n"]
         return loss, g, h, n
 
     def _use_newton(self, d: int) -> bool:
@@ -171,17 +181,22 @@ class LogisticModel:
         p_, d = bits.shape
         rows = abt.where(F.col("split") == self.fit_split).select("y", "features")
         key = id(abt)
-        theta0 = self._starts(key, bits)
-        if not self._use_newton(d):
-            out = self._fit_lbfgs(rows, bits, theta0)
-        else:
-            chunk = max(1, self.max_hessian_doubles // ((d + 1) ** 2))
-            out = np.zeros((p_, d + 1))
-            for lo in range(0, p_, chunk):
-                out[lo : lo + chunk] = self._fit_chunk(rows, bits[lo : lo + chunk], theta0[lo : lo + chunk])
+        out = self._fit_rows(rows, bits, self._starts(key, bits))
         self._remember(key, bits, out)
         return out
 
+    def _fit_rows(self, rows, bits, theta0=None, excl=None) -> np.ndarray:
+        p_, d = bits.shape
+        theta0 = np.zeros((p_, d + 1)) if theta0 is None else theta0
+        if not self._use_newton(d):
+            return self._fit_lbfgs(rows, bits, theta0, excl)
+        chunk = max(1, self.max_hessian_doubles // ((d + 1) ** 2))
+        out = np.zeros((p_, d + 1))
+        for lo in range(0, p_, chunk):
+            ex = None if excl is None else excl[lo : lo + chunk]
+            out[lo : lo + chunk] = self._fit_chunk(rows, bits[lo : lo + chunk], theta0[lo : lo + chunk], ex)
+        return out
+
     def _starts(self, key, bits) -> np.ndarray:
         """Initial coefficients: those of the nearest fitted gene set (Hamming),
         masked to each chromosome's genes; zeros when nothing is cached.
@@ -211,7 +226,7 @@ class LogisticModel:
         while len(known) > self.max_warm:  # oldest first
             known.pop(next(iter(known)))
 
-    def _fit_lbfgs(self, rows, bits, theta0=None):
+    def _fit_lbfgs(self, rows, bits, theta0=None, excl=None):
         """Batched L-BFGS for wide data: each pass returns only loss and gradient
         (P x (d+1) doubles per task). Every chromosome advances by one step
         attempt per pass: accepted steps (Armijo) compute a new direction from
@@ -220,10 +235,10 @@ class LogisticModel:
         m = np.hstack([bits.astype(np.float64), np.ones((p_, 1))])
         reg = np.hstack([np.ones(d), [0.0]]) / self.C
         theta = np.zeros((p_, d + 1)) if theta0 is None else theta0.copy()
-        loss, g, _, n = self._pass(rows, theta, bits, hessian=False)
-        n = max(n, 1)
+        loss, g, _, n = self._pass(rows, theta, bits, hessian=False, excl=excl)
+        n = np.maximum(n, 1.0)
         f = (loss + 0.5 * (reg * theta * theta).sum(axis=1)) / n
-        grad = (g + reg * theta) * m / n
+        grad = (g + reg * theta) * m / n[:, None]
         hist_s: list[list] = [[] for _ in range(p_)]
         hist_y: list[list] = [[] for _ in range(p_)]
         direction = -grad
@@ -235,10 +250,11 @@ class LogisticModel:
             trial = np.where(done[:, None], theta, theta + alpha[:, None] * direction)
             act = np.flatnonzero(~done)  # converged chromosomes leave the pass
             loss_t, g_t = np.zeros(p_), np.zeros((p_, d + 1))
-            la, ga, _, _ = self._pass(rows, trial[act], bits[act], hessian=False)
+            la, ga, _, _ = self._pass(rows, trial[act], bits[act], hessian=False,
+                                      excl=None if excl is None else excl[act])
             loss_t[act], g_t[act] = la, ga
             f_t = (loss_t + 0.5 * (reg * trial * trial).sum(axis=1)) / n
-            grad_t = (g_t + reg * trial) * m / n
+            grad_t = (g_t + reg * trial) * m / n[:, None]
             slope = (grad * direction).sum(axis=1)
             ok = (f_t <= f + 1e-4 * alpha * slope) & ~done
             for k in np.flatnonzero(ok):
@@ -259,7 +275,7 @@ class LogisticModel:
             done |= bad & (alpha < 1e-10)
         return theta * m
 
-    def _fit_chunk(self, rows, bits, theta0=None):
+    def _fit_chunk(self, rows, bits, theta0=None, excl=None):
         """Batched Newton; every chromosome accepts or backtracks on its own."""
         p_, d = bits.shape
         m = np.hstack([bits.astype(np.float64), np.ones((p_, 1))])
@@ -269,11 +285,13 @@ class LogisticModel:
         scale = np.ones(p_)
         done = np.zeros(p_, dtype=bool)
         eye = np.eye(d + 1)[None]
+        nn = np.ones(p_)
         for _ in range(self.max_iter):
             act = ~done  # converged chromosomes leave the pass
             ia = np.flatnonzero(act)
             loss, g, h = np.zeros(p_), np.zeros((p_, d + 1)), np.zeros((p_, d + 1, d + 1))
-            loss[ia], g[ia], h[ia], n = self._pass(rows, theta[ia], bits[ia])
+            loss[ia], g[ia], h[ia], nn[ia] = self._pass(rows, theta[ia], bits[ia],
+                                                       excl=None if excl is None else excl[ia])
             obj = loss + 0.5 * (reg * theta * theta).sum(axis=1)
             worse = act & (obj > prev_obj + 1e-12 * np.abs(prev_obj))
             scale[worse] *= 0.5  # backtrack: halve the step from the previous point
@@ -281,7 +299,7 @@ class LogisticModel:
             done |= worse & (scale < 1e-8)
             good = act & ~worse
             grad = (g + reg * theta) * m
-            conv = good & (np.abs(grad).max(axis=1) / max(n, 1) <= self.tol)
+            conv = good & (np.abs(grad).max(axis=1) / np.maximum(nn, 1.0) <= self.tol)
             done |= conv
             upd = np.flatnonzero(good & ~conv)
             if len(upd):
@@ -294,6 +312,35 @@ class LogisticModel:
                 break
         return theta * m
 
+    def cv_confusion(self, abt: DataFrame, ids, bits, folds: int = 5, seed: int = 0) -> DataFrame:
+        """``(fold, chrom_id, tp, fp, fn, tn)`` of every (chromosome, fold) fit:
+        all ``P * folds`` problems share each pass over the train rows."""
+        from featsearch.operators.split import fold_of
+        from featsearch.session import Payload, ship_package
+
+        ship_package(abt.sparkSession)
+        ids = np.asarray(ids, dtype=np.int64)
+        bits = np.asarray(bits, dtype=np.int8)
+        vbits = np.repeat(bits, folds, axis=0)
+        vids = np.repeat(ids, folds)
+        excl = np.tile(np.arange(folds, dtype=np.int64), len(ids))
+        rows = abt.where(F.col("split") == self.fit_split).select(fold_of(folds, seed).alias("fold"), "y", "features")
+        theta = self._fit_rows(rows, vbits, None, excl)
+        d = bits.shape[1]
+        payload = Payload(abt.sparkSession, (vids, theta[:, :d], theta[:, d], excl), theta.nbytes)
+        self.payloads.append(payload)
+        return (
+            rows.mapInArrow(lambda it: cv_confusion_batches(it, *payload.get()),
+                            "fold int, chrom_id bigint, tp bigint, fp bigint, fn bigint, tn bigint")
+            .groupBy("fold", "chrom_id")
+            .agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")])
+        )
+
+    def cv_scores(self, abt: DataFrame, ids, bits, folds: int = 5, seed: int = 0, metric: str = "accuracy"):
+        from featsearch.operators.fitness import cv_scores
+
+        return cv_scores(self, abt, ids, bits, folds, seed, metric)
+
     def confusion(self, abt: DataFrame, ids: np.ndarray, bits: np.ndarray, eval_splits=("val",)) -> DataFrame:
         theta = self.fit(abt, bits)
         d = np.asarray(bits).shape[1]
@@ -312,6 +359,35 @@ class LogisticModel:
         )
 
 
+def cv_confusion_batches(batches, ids, w, b, excl):
+    """Confusion counts of each (chromosome, fold) fit on its own held-out fold."""
+    d = w.shape[1]
+    tp = np.zeros(len(ids), np.int64)
+    fp = np.zeros(len(ids), np.int64)
+    n1 = np.zeros(len(ids), np.int64)
+    n0 = np.zeros(len(ids), np.int64)
+    seen = False
+    for rb in batches:
+        if rb.num_rows == 0:
+            continue
+        seen = True
+        x = _feats(rb, d)
+        y = rb.column(rb.schema.get_field_index("y")).to_numpy(zero_copy_only=False).astype(np.int64)
+        fo = rb.column(rb.schema.get_field_index("fold")).to_numpy(zero_copy_only=False)
+        own = fo[:, None] == excl[None, :]
+        pred = ((x @ w.T + b) > 0) & own
+        tp += y @ pred
+        fp += (1 - y) @ pred
+        n1 += y @ own
+        n0 += (1 - y) @ own
+    if seen:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(excl.astype(np.int32)), pa.array(ids, pa.int64()), pa.array(tp), pa.array(fp),
+             pa.array(n1 - tp), pa.array(n0 - fp)],
+            names=["fold", "chrom_id", "tp", "fp", "fn", "tn"],
+        )
+
+
 def _two_loop(g: np.ndarray, ss: list, ys: list) -> np.ndarray:
     """L-BFGS two-loop recursion: approximately H^-1 g from the curvature pairs."""
     q = g.copy()

@@ -42,8 +42,56 @@ class MLlibModel:
         return GBTClassifier(maxIter=self.gbt_trees, maxDepth=self.gbt_depth, stepSize=self.gbt_step,
                              seed=self.seed, featuresCol="sub", labelCol="label")
 
-    def confusion(self, abt: DataFrame, ids: np.ndarray, bits: np.ndarray, eval_splits=("val",)) -> DataFrame:
+    def _fit_counts(self, train: DataFrame, evals: DataFrame, idx: list[int], group: str):
+        """Counts of one fit, grouped by ``group`` of the evaluation rows."""
         from pyspark.ml.feature import VectorSlicer
+
+        if not idx:  # an empty subset cannot be fitted (Q9): predict class 0
+            pred = evals.select(group, "label", F.lit(0.0).alias("prediction"))
+        else:
+            sl = VectorSlicer(inputCol="fv", outputCol="sub", indices=idx)
+            model = self._estimator(len(idx)).fit(sl.transform(train))
+            pred = model.transform(sl.transform(evals)).select(group, "label", "prediction")
+        return pred.groupBy(group).agg(
+            F.sum(((F.col("label") == 1) & (F.col("prediction") == 1)).cast("long")).alias("tp"),
+            F.sum(((F.col("label") == 0) & (F.col("prediction") == 1)).cast("long")).alias("fp"),
+            F.sum(((F.col("label") == 1) & (F.col("prediction") == 0)).cast("long")).alias("fn"),
+            F.sum(((F.col("label") == 0) & (F.col("prediction") == 0)).cast("long")).alias("tn"),
+        ).collect()
+
+    def cv_confusion(self, abt: DataFrame, ids, bits, folds: int = 5, seed: int = 0) -> DataFrame:
+        """One MLlib fit per (chromosome, fold) on the other folds' train rows."""
+        from pyspark.ml.functions import array_to_vector
+
+        from featsearch.operators.split import fold_of
+
+        spark = abt.sparkSession
+        rows = abt.where(F.col("split") == self.fit_split).select(
+            fold_of(folds, seed).alias("fold"), F.col("y").cast("double").alias("label"),
+            array_to_vector("features").alias("fv"),
+        ).persist(StorageLevel.MEMORY_AND_DISK)
+        jobs = [(int(i), [int(j) for j in np.flatnonzero(b)], f) for i, b in zip(ids, bits) for f in range(folds)]
+
+        def one(job):
+            cid, idx, f = job
+            c = self._fit_counts(rows.where(F.col("fold") != f), rows.where(F.col("fold") == f), idx, "fold")
+            return [(r["fold"], cid, r["tp"], r["fp"], r["fn"], r["tn"]) for r in c]
+
+        try:
+            with ThreadPoolExecutor(max_workers=self.threads) as ex:
+                parts = list(ex.map(one, jobs))
+        finally:
+            rows.unpersist()
+        return spark.createDataFrame(
+            [row for p in parts for row in p], "fold int, chrom_id bigint, tp bigint, fp bigint, fn bigint, tn bigint"
+        )
+
+    def cv_scores(self, abt: DataFrame, ids, bits, folds: int = 5, seed: int = 0, metric: str = "accuracy"):
+        from featsearch.operators.fitness import cv_scores
+
+        return cv_scores(self, abt, ids, bits, folds, seed, metric)
+
+    def confusion(self, abt: DataFrame, ids: np.ndarray, bits: np.ndarray, eval_splits=("val",)) -> DataFrame:
         from pyspark.ml.functions import array_to_vector
 
         spark = abt.sparkSession
@@ -54,18 +102,7 @@ class MLlibModel:
 
         def one(i):
             idx = [int(j) for j in np.flatnonzero(bits[i])]
-            if not idx:  # an empty subset cannot be fitted (Q9): predict class 0
-                pred = evals.select("split", "label", F.lit(0.0).alias("prediction"))
-            else:
-                sl = VectorSlicer(inputCol="fv", outputCol="sub", indices=idx)
-                model = self._estimator(len(idx)).fit(sl.transform(train))
-                pred = model.transform(sl.transform(evals)).select("split", "label", "prediction")
-            c = pred.groupBy("split").agg(
-                F.sum(((F.col("label") == 1) & (F.col("prediction") == 1)).cast("long")).alias("tp"),
-                F.sum(((F.col("label") == 0) & (F.col("prediction") == 1)).cast("long")).alias("fp"),
-                F.sum(((F.col("label") == 1) & (F.col("prediction") == 0)).cast("long")).alias("fn"),
-                F.sum(((F.col("label") == 0) & (F.col("prediction") == 0)).cast("long")).alias("tn"),
-            ).collect()
+            c = self._fit_counts(train, evals, idx, "split")
             return [(r["split"], int(ids[i]), r["tp"], r["fp"], r["fn"], r["tn"]) for r in c]
 
         try:

@@ -153,3 +153,8 @@ def stratified_split_sql(src: str, seed: int = 0, test_pct: int = 10, val_pct: i
        ELSE 'train' END AS split
 FROM (SELECT t.*, row_number() OVER (PARTITION BY y ORDER BY {h}, row_id) AS rk,
              count(*) OVER (PARTITION BY y) AS n FROM {src} t) s)"""
+
+
+def fold_of(folds: int, seed: int = 0, key: str = "row_id") -> Column:
+    """Cross-validation fold of a row: ``u32(seed, 'fold', key) % folds`` (hash-assigned)."""
+    return (u32(seed, "fold", F.col(key)) % folds).cast("int")

@@ -219,12 +219,12 @@ def forward_selection(abt: Abt, cfg: SearchConfig, model, base: dict, store=None
     """Sequential forward selection (A2): half of the features by default,
     ``cv_folds``-fold CV on train, ``cv_metric`` (accuracy, the library default).
 
-    Each round scores every remaining candidate on every fold in ONE pass.
+    Each round scores every remaining candidate on every fold at once: one
+    pass for the centroid model, one optimiser run over all (candidate, fold)
+    problems for the logistic model, one fit per pair for MLlib models.
     """
-    from featsearch.operators.models.centroid import CentroidModel
-
-    if not isinstance(model, CentroidModel):
-        raise NotImplementedError("forward selection is batched for the centroid model only")
+    if not hasattr(model, "cv_confusion"):
+        raise NotImplementedError(f"model {model.name!r} has no cross-validation")
     res = SearchResult(cfg, baseline=base)
     d = abt.d
     k = d // 2 if n_select is None else n_select
@@ -236,7 +236,8 @@ def forward_selection(abt: Abt, cfg: SearchConfig, model, base: dict, store=None
         mat = np.zeros((len(cands), d), dtype=np.int8)
         for i, g in enumerate(cands):
             mat[i, selected + [g]] = 1
-        cv = model.cv_scores(abt.df, np.array(cands, dtype=np.int64), mat, cfg.cv_folds, cfg.seed, cfg.cv_metric)
+        cv = fitness.cv_scores(model, abt.df, np.array(cands, dtype=np.int64), mat, cfg.cv_folds, cfg.seed,
+                               cfg.cv_metric)
         best = sorted(cv, key=lambda r: (-r[1], r[0]))[0]
         selected.append(int(best[0]))
         steps.append({"round": rnd, "gene": int(best[0]), "cv_score": best[1]})

@@ -8,8 +8,8 @@ times is checked value for value.
 
 Runs: for each dataset, baseline, random search, genetic search and forward
 selection with the centroid model; plus one repeated baseline (a duplicate)
-and one forward selection with a model it cannot batch, which stops after
-writing its config (an unfinished run, as the reference's timed-out runs).
+and one forward-selection run whose config was written but which never
+finished (as the reference's timed-out runs).
 """
 
 from __future__ import annotations
@@ -64,7 +64,7 @@ def run_study(spark: SparkSession, sf_dir: str) -> RunStore:
         search.run(spark, abts[cfg.dataset], cfg, store)
     unfinished = SearchConfig(dataset="orders", algorithm="rfs", model="logistic", metric=METRIC,
                               population_size=POP, max_generation=GA_ROUNDS, seed=SEED)
-    store.write_config(unfinished)  # forward selection does not batch this model: config only
+    store.write_config(unfinished)  # started, never finished: config only
     _STORES[key] = store
     return store
 

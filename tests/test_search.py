@@ -178,3 +178,33 @@ def test_logistic_warm_start_same_optimum(spark, planted):
     again = warm.fit(planted.df, np.vstack([mat[3:], flipped[:3]]))
     ref = LogisticModel(solver="newton").fit(planted.df, np.vstack([mat[3:], flipped[:3]]))
     assert np.abs(again - ref).max() < 1e-3 and np.abs(cold[3:] - again[:3]).max() < 1e-3
+
+
+def test_logistic_cv_matches_direct_fits(spark, planted):
+    """Each (chromosome, fold) problem of the shared pass equals a direct fit
+    on the other folds' train rows, scored on its own fold."""
+    from pyspark.sql import functions as F
+
+    from featsearch.operators.models.logistic import LogisticModel
+    from featsearch.operators.split import fold_of
+
+    ids, mat = P.to_matrix(P.init(spark, 2, planted.d, seed=4))
+    model = LogisticModel(solver="newton")
+    got = {(r["chrom_id"], r["fold"]): (r["tp"], r["fp"], r["fn"], r["tn"])
+           for r in model.cv_confusion(planted.df, ids, mat, 3, 0).collect()}
+    assert len(got) == 6
+    base = planted.df.where("split = 'train'").withColumn("fold", fold_of(3, 0))
+    for f in range(3):
+        sub = base.withColumn("split", F.when(F.col("fold") == f, "val").otherwise("train")).drop("fold")
+        ref = {r["chrom_id"]: (r["tp"], r["fp"], r["fn"], r["tn"])
+               for r in LogisticModel(solver="newton").confusion(sub, ids, mat, ("val",)).collect()}
+        for cid in ids:
+            assert got[(int(cid), f)] == ref[int(cid)]
+
+
+def test_forward_selection_logistic(spark, planted):
+    from featsearch.operators.models.logistic import LogisticModel
+
+    cfg = SearchConfig(dataset="planted", algorithm="rfs", model="logistic", metric="f1")
+    res = search.forward_selection(planted, cfg, LogisticModel(), {"val": None}, n_select=2)
+    assert len(res.steps) == 2 and set(s["gene"] for s in res.steps) <= {3, 10, 20}
