@@ -72,6 +72,12 @@ def main():
 
     timed("forward_selection", rfs)
 
+    def rfs_logistic():
+        cfg = SearchConfig(dataset="lineitem", algorithm="rfs", model="logistic", metric="f1")
+        return search.forward_selection(li, cfg, models.get("logistic"), {"val": None})
+
+    timed("forward_selection_logistic", rfs_logistic)
+
     def docs():
         d = A.load(spark, sf_dir, "documents")
         return search.baseline(d, models.get("centroid"), "f1")
