@@ -26,3 +26,20 @@ def test_run_from_input_file(spark, tmp_path, capsys):
     out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert out["status"] == "done" and out["generations"] == 2
     assert RunStore(spark, store).history().count() == 2
+
+
+def test_compile_store(spark, tmp_path):
+    from featsearch.compile import compile_store
+    from featsearch.config import SearchConfig
+    from featsearch.plans import search
+    from featsearch.sources import abt as A
+
+    ab = A.load(spark, SF001, "orders", path=str(tmp_path / "abt"))
+    store = RunStore(spark, str(tmp_path / "runs"))
+    for alg in ("baseline_metrics", "ga_spark", "random"):
+        search.run(spark, ab, SearchConfig(dataset="orders", algorithm=alg, model="centroid", metric="f1",
+                                           population_size=6, max_generation=1), store)
+    store.write_config(SearchConfig(dataset="orders", algorithm="rfs", model="centroid"))
+    counts = compile_store(spark, store.root, str(tmp_path / "out"))
+    assert counts["runs"] == 4 and counts["metrics"] == 9 and counts["convergence"] == 2
+    assert counts["overlap"] == 3 and counts["duplicates"] == 0
