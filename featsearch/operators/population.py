@@ -61,15 +61,24 @@ def literal_frame(spark: SparkSession, ids: list, genes: list, scores: list | No
 
 
 def to_matrix(pop: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Collect a population (bounded by config) for shipping to tasks."""
-    rows = pop.select("chrom_id", "genes").collect()
-    if not rows:
+    """Collect a population (bounded by config) for shipping to tasks.
+
+    One bit string per chromosome travels through Arrow and is decoded with
+    numpy: one byte per gene, no Python object per gene.
+    """
+    t = pop.select(F.col("chrom_id").cast("bigint").alias("chrom_id"), bits.bitstring(F.col("genes")).alias("g")).toArrow()
+    if t.num_rows == 0:
         return np.zeros(0, np.int64), np.zeros((0, 0), np.int8)
-    ids = np.array([r[0] for r in rows], dtype=np.int64)
-    mat = np.array([r[1] for r in rows], dtype=np.int8)
-    if mat.size > MAX_POPULATION_BITS:
-        raise ValueError(f"population of {mat.size} bits exceeds MAX_POPULATION_BITS")
-    return ids, mat
+    ids = t.column("chrom_id").to_numpy()
+    strs = t.column("g").to_pylist()  # one string per chromosome
+    d = len(strs[0])
+    if t.num_rows * d > MAX_POPULATION_BITS:
+        raise ValueError(f"population of {t.num_rows * d} bits exceeds MAX_POPULATION_BITS")
+    if any(len(x) != d for x in strs):
+        raise ValueError("chromosomes of different lengths")
+    raw = np.frombuffer("".join(strs).encode("ascii"), dtype=np.uint8)
+    mat = (raw.reshape(t.num_rows, d) - ord("0")).astype(np.int8)
+    return ids.astype(np.int64), mat
 
 
 def rank(scored: DataFrame, score: str = "score") -> DataFrame:
