@@ -100,3 +100,13 @@ def test_prepare_nulls(spark):
     lab, _ = A.prepare(bad, "lab", id_col="id")
     with pytest.raises(Exception, match="null label"):
         lab.collect()
+
+
+def test_subset_by_genes_column(spark):
+    """F7 with the mask as a column (per-row chromosomes) and as a static list."""
+    df = spark.createDataFrame([([0.0, 1.0, 2.0, 3.0], [0, 1, 1, 0]), ([5.0, 6.0, 7.0, 8.0], [1, 0, 0, 1])],
+                               "features array<double>, genes array<int>")
+    got = [r[0] for r in df.select(encode.subset(F.col("features"), F.col("genes"))).collect()]
+    assert got == [[1.0, 2.0], [5.0, 8.0]]
+    static = [r[0] for r in df.select(encode.subset_static(F.col("features"), [0, 0, 1, 1])).collect()]
+    assert static == [[2.0, 3.0], [7.0, 8.0]]
