@@ -42,22 +42,29 @@ def from_rows(spark: SparkSession, rows: list[tuple[int, list[int]]]) -> DataFra
 
 
 def literal_frame(spark: SparkSession, ids: list, genes: list, scores: list | None = None) -> DataFrame:
-    """A P-row population as array literals exploded on one row.
+    """A P-row population as one JSON literal parsed on the JVM.
 
     Unlike ``createDataFrame`` over Python rows (an RDD scan that goes through
-    Python workers on every use), this plan is JVM-only and constant-folded.
+    Python workers on every use) the plan is JVM-only, and unlike nested list
+    literals it costs one literal, not one per gene.
     """
-    cols = [F.lit([int(i) for i in ids]).cast("array<bigint>"),
-            F.lit([[int(x) for x in g] for g in genes]).cast("array<array<int>>")]
-    names = ["chrom_id", "genes"]
+    import json
+
+    if len(ids) == 0:
+        empty = "chrom_id bigint, genes array<int>" + (", score double" if scores is not None else "")
+        return spark.createDataFrame([], empty)
+    recs = [{"chrom_id": int(i), "genes": "".join(str(int(x)) for x in g)} for i, g in zip(ids, genes)]
+    struct = "chrom_id:bigint,genes:string"
+    if scores is not None:
+        struct += ",score:double"
+        for r, v in zip(recs, scores):
+            r["score"] = None if v is None else float(v)
+    parsed = F.from_json(F.lit(json.dumps(recs)), f"array<struct<{struct}>>")
+    df = spark.range(1).select(F.inline(parsed))
+    cols = [F.col("chrom_id"), bits.from_bitstring(F.col("genes")).alias("genes")]
     if scores is not None:
-        cols.append(F.lit([None if v is None else float(v) for v in scores]).cast("array<double>"))
-        names.append("score")
-    if not ids:
-        schema = "chrom_id bigint, genes array<int>" + (", score double" if scores is not None else "")
-        return spark.createDataFrame([], schema)
-    z = F.arrays_zip(*cols)
-    return spark.range(1).select(F.inline(z)).toDF(*names)
+        cols.append(F.col("score"))
+    return df.select(*cols)
 
 
 def to_matrix(pop: DataFrame) -> tuple[np.ndarray, np.ndarray]:
