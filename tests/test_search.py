@@ -208,3 +208,25 @@ def test_forward_selection_logistic(spark, planted):
     cfg = SearchConfig(dataset="planted", algorithm="rfs", model="logistic", metric="f1")
     res = search.forward_selection(planted, cfg, LogisticModel(), {"val": None}, n_select=2)
     assert len(res.steps) == 2 and set(s["gene"] for s in res.steps) <= {3, 10, 20}
+
+
+def test_run_grid(spark, tmp_path):
+    from featsearch.plans import grid as G
+
+    ab = A.load(spark, SF001, "orders", path=str(tmp_path / "abt"))
+    df = G.grid(spark, dict(G.FULL_GRID, dataset=["orders"], algorithm=["baseline_metrics", "random"],
+                            model=["centroid"], population_size=[4], max_generation=[1]))
+    store = RunStore(spark, str(tmp_path / "runs"))
+    res = G.run_grid(spark, {"orders": ab}, df, store)
+    assert len(res) == 2 and store.configs().count() == 2 and store.test_metrics().count() == 2
+
+
+def test_mllib_cv_confusion(spark):
+    from featsearch.operators.models.mllib import MLlibModel
+
+    ab = A.load(spark, SF001, "orders")
+    n_train = ab.df.where("split = 'train'").count()
+    model = MLlibModel("mlp", mlp_iter=5, threads=2)
+    conf = model.cv_confusion(ab.df, np.array([0]), np.ones((1, ab.d), dtype=np.int8), folds=2).collect()
+    assert sorted(r["fold"] for r in conf) == [0, 1]
+    assert sum(r["tp"] + r["fp"] + r["fn"] + r["tn"] for r in conf) == n_train
