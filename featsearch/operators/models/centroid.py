@@ -136,9 +136,11 @@ class CentroidModel:
         def body(it):
             return confusion_batches(it, *payload.get())
 
-        rows = abt.where(F.col("split").isin(*eval_splits)).select(
+        from featsearch.session import bounded_tasks
+
+        rows = bounded_tasks(abt.where(F.col("split").isin(*eval_splits)).select(
             "split", "y", scale.quantize(F.col("features")).alias("q")
-        )
+        ))
         return (
             rows.mapInArrow(body, CONF_SCHEMA)
             .groupBy("split", "chrom_id")
@@ -234,9 +236,11 @@ def _cv_confusion(self, abt: DataFrame, ids, bits, folds: int = 5, seed: int = 0
     bits = np.asarray(bits, dtype=np.int8)
     payload = Payload(abt.sparkSession, (ids, bits, means), bits.nbytes)
     self.payloads.append(payload)
-    rows = abt.where(F.col("split") == self.fit_split).select(
+    from featsearch.session import bounded_tasks
+
+    rows = bounded_tasks(abt.where(F.col("split") == self.fit_split).select(
         fold_of(folds, seed).alias("fold"), "y", scale.quantize(F.col("features")).alias("q")
-    )
+    ))
     return (
         rows.mapInArrow(lambda it: cv_batches(it, *payload.get()),
                         "fold int, chrom_id bigint, tp bigint, fp bigint, fn bigint, tn bigint")

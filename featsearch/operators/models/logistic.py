@@ -179,7 +179,9 @@ class LogisticModel:
         ship_package(abt.sparkSession)
         bits = np.asarray(bits, dtype=np.int8)
         p_, d = bits.shape
-        rows = abt.where(F.col("split") == self.fit_split).select("y", "features")
+        from featsearch.session import bounded_tasks
+
+        rows = bounded_tasks(abt.where(F.col("split") == self.fit_split).select("y", "features"))
         key = id(abt)
         out = self._fit_rows(rows, bits, self._starts(key, bits))
         self._remember(key, bits, out)
@@ -324,7 +326,11 @@ class LogisticModel:
         vbits = np.repeat(bits, folds, axis=0)
         vids = np.repeat(ids, folds)
         excl = np.tile(np.arange(folds, dtype=np.int64), len(ids))
-        rows = abt.where(F.col("split") == self.fit_split).select(fold_of(folds, seed).alias("fold"), "y", "features")
+        from featsearch.session import bounded_tasks
+
+        rows = bounded_tasks(
+            abt.where(F.col("split") == self.fit_split).select(fold_of(folds, seed).alias("fold"), "y", "features")
+        )
         theta = self._fit_rows(rows, vbits, None, excl)
         d = bits.shape[1]
         payload = Payload(abt.sparkSession, (vids, theta[:, :d], theta[:, d], excl), theta.nbytes)
@@ -348,7 +354,9 @@ class LogisticModel:
         ids = np.asarray(ids, dtype=np.int64)
         from featsearch.session import Payload
 
-        rows = abt.where(F.col("split").isin(*eval_splits)).select("split", "y", "features")
+        from featsearch.session import bounded_tasks
+
+        rows = bounded_tasks(abt.where(F.col("split").isin(*eval_splits)).select("split", "y", "features"))
         payload = Payload(abt.sparkSession, (ids, w, b), w.nbytes)
         self.payloads.append(payload)
         return (

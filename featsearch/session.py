@@ -120,3 +120,17 @@ class Payload:
 
     def __setstate__(self, st):
         self._bc, self._value = st["_bc"], st["_value"]
+
+
+# Scoring and fitting passes emit P rows per task, so their shuffle grows with
+# the number of tasks, not with the data. Inputs split finer than this many
+# tasks per core are coalesced (no shuffle: each task reads several splits).
+TASKS_PER_CORE = 4
+
+
+def bounded_tasks(df: DataFrame) -> DataFrame:
+    """Cap the task count of a per-task-emitting pass at TASKS_PER_CORE x cores."""
+    spark = df.sparkSession
+    conf = spark.conf.get("spark.featsearch.maxScoringTasks", None)
+    cap = int(conf) if conf else TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    return df.coalesce(cap) if df.rdd.getNumPartitions() > cap else df

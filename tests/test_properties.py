@@ -54,3 +54,24 @@ def test_crossover_and_mutation_match_plain_model(spark, pair, rate, slot):
     assert r["multi"] == [a[i] if i % 2 == 0 else b[i] for i in range(d)]
     t = threshold(rate)
     assert r["mut"] == [1 - x if _u32(7, "mutate", 3, slot, i) < t else x for i, x in enumerate(a)]
+
+
+def test_bounded_scoring_tasks_same_results(spark):
+    """Coalescing scoring inputs to few tasks (bounded shuffle) changes nothing."""
+    from featsearch.operators.models.logistic import LogisticModel
+    from featsearch.session import bounded_tasks
+
+    ab = A.load(spark, SF001, "planted")
+    ids, mat = P.to_matrix(P.init(spark, 12, ab.d))
+    runs = []
+    try:
+        for cap in (None, "2"):
+            if cap:
+                spark.conf.set("spark.featsearch.maxScoringTasks", cap)
+                assert bounded_tasks(ab.df).rdd.getNumPartitions() <= 2
+            runs.append([fitness.score_rows(ab.df, ids, mat, m, "f1")
+                         for m in (CentroidModel(), LogisticModel(solver="newton"))])
+    finally:
+        spark.conf.unset("spark.featsearch.maxScoringTasks")
+    assert runs[0][0] == runs[1][0]
+    assert [r["score"] for r in runs[0][1]] == [r["score"] for r in runs[1][1]]
