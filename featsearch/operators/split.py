@@ -47,9 +47,13 @@ MAX_TIES = 100_000
 
 def class_histogram(df: DataFrame, group: str, h: str) -> dict:
     """Counts per (class, 16-bit bucket): one aggregation, at most 65,536 rows per class."""
+    from featsearch.session import bounded_tasks
+
     b = F.shiftright(F.col(h), 32 - BUCKET_BITS)
     cap = (MAX_CLASSES + 1) << BUCKET_BITS  # bounded fetch, whatever the label
-    rows = df.groupBy(F.col(group).alias("_g"), b.alias("_b")).agg(F.count(F.lit(1)).alias("_n")).limit(cap).collect()
+    # each task pre-aggregates to <= 65,536 rows per class: cap the task count
+    grouped = bounded_tasks(df).groupBy(F.col(group).alias("_g"), b.alias("_b"))
+    rows = grouped.agg(F.count(F.lit(1)).alias("_n")).limit(cap).collect()
     hist: dict = {}
     for r in rows:
         hist.setdefault(r["_g"], {})[r["_b"]] = r["_n"]
