@@ -46,8 +46,9 @@ def apply_cluster_conf(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    Read from the session; only when unset (local runs, tests) is a folder
-    set, from ``fallback`` or a fresh temporary one.
+    Read from the session; only when unset is a folder set: ``fallback``, or
+    for a local master (tests, bench) a fresh temporary one. A cluster
+    without the setting is refused rather than given a machine-local folder.
     """
     sc = spark.sparkContext
     cur = sc._jsc.sc().getCheckpointDir()
@@ -57,6 +58,9 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     if conf:
         sc.setCheckpointDir(conf)
         return conf
+    if fallback is None and not sc.master.startswith("local"):
+        # a machine-local folder would be invisible to the executors
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS, object store) for this cluster")
     path = fallback or tempfile.mkdtemp(prefix="featsearch-ckpt-")
     sc.setCheckpointDir(path)
     return path
