@@ -1,4 +1,7 @@
-"""Compile a run store into the comparison tables: ``python -m featsearch.compile``.
+"""Compile runs into the comparison tables: ``python -m featsearch.compile``.
+
+Input: a run store (``--store``) or a results folder in the reference's CSV
+layout (``--results``, read with one glob per table).
 
 Writes, under ``--out`` (CSV, one folder per table):
 
@@ -25,9 +28,16 @@ from featsearch.plans import report as R
 from featsearch.sources.store import RunStore
 
 
-def compile_store(spark: SparkSession, store_root: str, out: str, backend: str | None = "processes") -> dict:
-    store = RunStore(spark, store_root)
-    c, h, t = store.configs(), store.history(), store.test_metrics()
+def compile_store(spark: SparkSession, store_root: str | None, out: str, backend: str | None = "processes",
+                  results_root: str | None = None) -> dict:
+    """Tables from a run store, or from a results folder in the reference's layout."""
+    if results_root:
+        from featsearch.sources.results_folder import read_results
+
+        c, h, t = read_results(spark, results_root)
+    else:
+        store = RunStore(spark, store_root)
+        c, h, t = store.configs(), store.history(), store.test_metrics()
     if backend:
         c = c.where(F.col("backend") == backend)
     runs = R.with_placeholders(c, h, t)
@@ -55,12 +65,14 @@ def compile_store(spark: SparkSession, store_root: str, out: str, backend: str |
 
 def main(argv=None):
     p = argparse.ArgumentParser(prog="featsearch.compile")
-    p.add_argument("--store", required=True)
+    src = p.add_mutually_exclusive_group(required=True)
+    src.add_argument("--store", help="run store root")
+    src.add_argument("--results", help="results folder in the reference's CSV layout")
     p.add_argument("--out", required=True)
     p.add_argument("--backend", default="processes", help="keep runs of this backend ('' for all)")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("featsearch-compile").getOrCreate()
-    print(compile_store(spark, a.store, a.out, a.backend or None))
+    print(compile_store(spark, a.store, a.out, a.backend or None, results_root=a.results))
 
 
 if __name__ == "__main__":
