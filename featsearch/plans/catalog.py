@@ -515,18 +515,7 @@ def _ga_unrolled(spark, sf, dataset, generations):
 
 
 def _o_ga_unrolled(q, dataset, generations, d):
-    p = T.abt(q, dataset)
-    pop = T.population_init(q, "pop0", p, P, SEED)
-    n = P
-    scs = []
-    for g in range(generations):
-        conf = T.centroid_conf(q, f"conf{g}", p, pop)
-        sc = T.scored(q, f"sc{g}", conf, pop, METRIC)
-        scs.append((sc, pop))
-        if g + 1 < generations:
-            pop = T.next_generation(q, f"pop{g + 1}", sc, pop, n, d, g + 1, SEED, CROSSOVER, RATE, ELITISM)
-            n = 2 * (n // 2)
-    return scs
+    return _o_ga_unrolled_n(q, dataset, generations, d, P)
 
 
 @spark_query("ga_generation")
@@ -1020,3 +1009,69 @@ def q_fitness_gbt(spark, sf):
     ab = A.load(spark, sf, "orders", SEED)
     pop = popops.init(spark, SMOKE_P, ab.d, SEED)
     return fitness.score(ab.df, pop, MODELS.get("gbt"), METRIC).select("chrom_id", "tp", "fp", "fn", "tn", "score")
+
+
+# ------------------------------------------------------------------ full driver runs
+
+# The reference's smoke grid: population 10, 10 evolution rounds (fixed values).
+SMOKE_ROUNDS = 10
+
+
+def _smoke_cfg(**kw):
+    from featsearch.config import SearchConfig
+
+    base = dict(dataset="embeddings", algorithm="ga_spark", model="centroid", metric=METRIC, crossover=CROSSOVER,
+                mutation_rate=RATE, population_size=SMOKE_P, elitism=ELITISM, max_generation=SMOKE_ROUNDS,
+                stopping_threshold=THRESHOLD, seed=SEED)
+    base.update(kw)
+    return SearchConfig(**base)
+
+
+@spark_query("ga_search")
+def q_ga_search(spark, sf):
+    """The genetic driver loop itself (A3, A5, K1): history of every generation."""
+    from featsearch.plans import search
+
+    cfg = _smoke_cfg()
+    ab = A.load(spark, sf, cfg.dataset, SEED)
+    model = CentroidModel()
+    res = search.genetic(ab, cfg, model, search.baseline(ab, model, cfg.metric))
+    rows = [(h["gen"], round(h["avg"], 10), h["best"], h["worst"], "".join(map(str, h["best_genes"])))
+            for h in res.history]
+    return spark.createDataFrame(rows, "gen bigint, avg double, best double, worst double, genes string")
+
+
+@oracle("ga_search")
+def o_ga_search():
+    q = T.Sql()
+    scs = _o_ga_unrolled_n(q, "embeddings", SMOKE_ROUNDS + 1, EMB_D, SMOKE_P)
+    return q.render(_o_history_of(q, scs))
+
+
+def _o_ga_unrolled_n(q, dataset, generations, d, n0):
+    p = T.abt(q, dataset)
+    pop = T.population_init(q, "pop0", p, n0, SEED)
+    n = n0
+    scs = []
+    for g in range(generations):
+        conf = T.centroid_conf(q, f"conf{g}", p, pop)
+        sc = T.scored(q, f"sc{g}", conf, pop, METRIC)
+        scs.append((sc, pop))
+        if g + 1 < generations:
+            pop = T.next_generation(q, f"pop{g + 1}", sc, pop, n, d, g + 1, SEED, CROSSOVER, RATE, ELITISM)
+            n = 2 * (n // 2)
+    return scs
+
+
+@spark_query("forward_selection_logistic")
+def q_fs_logistic(spark, sf):
+    """Forward selection with the reference's default model (iterative fits: rows-only check)."""
+    from featsearch.config import SearchConfig
+    from featsearch.plans.search import forward_selection
+
+    ab = A.load(spark, sf, "lineitem", SEED)
+    cfg = SearchConfig(dataset="lineitem", algorithm="rfs", model="logistic", metric=METRIC, seed=SEED,
+                       cv_folds=FOLDS)
+    res = forward_selection(ab, cfg, MODELS.get("logistic"), {"val": None})
+    return spark.createDataFrame([(s["round"], s["gene"], s["cv_score"]) for s in res.steps],
+                                 "round bigint, gene bigint, cv_score double")

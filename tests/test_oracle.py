@@ -14,7 +14,7 @@ FAST = [
     "one_hot_encode", "label_encode", "feature_subset", "fitness_population", "fitness_single",
     "metrics_confusion", "selection_topk", "generation_best", "crossover_onepoint", "crossover_multipoint",
     "mutation", "mutation_drift", "mating", "next_population", "population_diversity", "ga_generation",
-    "random_search", "stop_rule", "forward_selection_round",
+    "random_search", "stop_rule", "forward_selection_round", "ga_search",
 ]
 
 
