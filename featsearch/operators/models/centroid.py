@@ -47,6 +47,20 @@ def _features(batch: pa.RecordBatch, name: str, d: int) -> np.ndarray:
     return vals.reshape(-1, d)
 
 
+def split_masks(rb: pa.RecordBatch, name: str = "split"):
+    """(value, row selector) per distinct value of a string column, via Arrow
+    compute: no Python object per row."""
+    import pyarrow.compute as pc
+
+    col = rb.column(rb.schema.get_field_index(name))
+    values = pc.unique(col).to_pylist()
+    if len(values) == 1:
+        yield values[0], slice(None)
+        return
+    for v in values:
+        yield v, pc.equal(col, v).to_numpy(zero_copy_only=False)
+
+
 def confusion_batches(batches, ids, bits, m0, m1, block: int = 256):
     """mapInArrow body: per partition, confusion counts of every chromosome.
 
@@ -60,13 +74,10 @@ def confusion_batches(batches, ids, bits, m0, m1, block: int = 256):
             continue
         q = _features(rb, "q", d)
         y = rb.column(rb.schema.get_field_index("y")).to_numpy(zero_copy_only=False).astype(np.int64)
-        sp = rb.column(rb.schema.get_field_index("split")).to_pylist()
         contrib = (q - m1) ** 2 - (q - m0) ** 2  # exact int64, (n, d)
         exact = float(np.abs(contrib).max(initial=0)) * d < EXACT_F64
         cf = contrib.astype(np.float64) if exact else contrib
-        sps = np.asarray(sp)
-        for s in np.unique(sps):
-            sel = sps == s
+        for s, sel in split_masks(rb):
             cs, ys = cf[sel], y[sel]
             n1 = int(ys.sum())
             n0 = int(len(ys) - n1)

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from featsearch.operators.models.centroid import split_masks
+
 
 def _feats(rb, d):
     col = rb.column(rb.schema.get_field_index("features"))
@@ -98,10 +100,8 @@ def linear_confusion_batches(batches, ids, w, b):
             continue
         x = _feats(rb, d)
         y = rb.column(rb.schema.get_field_index("y")).to_numpy(zero_copy_only=False).astype(np.int64)
-        sp = np.asarray(rb.column(rb.schema.get_field_index("split")).to_pylist())
         pred = (x @ w.T + b) > 0
-        for s in np.unique(sp):
-            sel = sp == s
+        for s, sel in split_masks(rb):
             ys, ps = y[sel], pred[sel]
             a = acc.setdefault(s, [np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), 0, 0])
             a[0] += ys @ ps
