@@ -108,6 +108,12 @@ def baseline(abt: Abt, model, metric: str) -> dict:
     return out
 
 
+def _continues(last_best, next_gen: int, cfg: SearchConfig) -> bool:
+    """The stop rule (A5): go on while the last maximum is below the threshold
+    and the generation count allows another one."""
+    return (last_best is None or last_best < cfg.stopping_threshold) and next_gen <= cfg.max_generation
+
+
 def genetic(abt: Abt, cfg: SearchConfig, model, base: dict, store=None, start: dict | None = None) -> SearchResult:
     """Genetic search (A3): score -> history -> breed, until the stop rule (A5).
 
@@ -131,27 +137,30 @@ def genetic(abt: Abt, cfg: SearchConfig, model, base: dict, store=None, start: d
     cache: dict = {}  # gene set -> confusion counts, bounded by P x generations
     res.scored = 0
     ids = mat = None
-    while (last_max is None or last_max < cfg.stopping_threshold) and gen <= cfg.max_generation:
+    while _continues(last_max, gen, cfg):
         t0 = time.time()
         if ids is None:
             ids, mat = popops.to_matrix(pop)
         before = len(cache)
         rows = fitness.score_rows(abt.df, ids, mat, model, cfg.metric, cache=cache)
         res.scored += len(cache) - before
-        scored = popops.literal_frame(spark, [r["chrom_id"] for r in rows], [r["genes"] for r in rows],
-                                      [r["score"] for r in rows])
-        nxt = popops.next_generation(
-            scored, len(rows), d, gen + 1, cfg.seed, cfg.crossover, cfg.mutation_rate, cfg.elitism
-        )
-        ids, mat = popops.to_matrix(nxt)  # this generation's breeding runs inside its timed span (Q18)
-        h = summarize(rows, gen, time.time() - t0)
+        h = summarize(rows, gen, 0.0)
+        if _continues(h["best"], gen + 1, cfg):  # breed only when another generation follows
+            scored = popops.literal_frame(spark, [r["chrom_id"] for r in rows], [r["genes"] for r in rows],
+                                          [r["score"] for r in rows])
+            nxt = popops.next_generation(
+                scored, len(rows), d, gen + 1, cfg.seed, cfg.crossover, cfg.mutation_rate, cfg.elitism
+            )
+            ids, mat = popops.to_matrix(nxt)  # this generation's breeding, inside its timed span (Q18)
+            if store is not None:
+                store.write_population(cfg.run_id, gen + 1, popops.literal_frame(spark, list(ids), list(mat)))
+        h["time_s"] = time.time() - t0
         if h["best"] is not None and (best_ever[0] is None or h["best"] > best_ever[0]):
             best_ever = (h["best"], h["best_genes"])
         h["best_so_far"] = best_ever[0]
         res.history.append(h)
         if store is not None:
             store.append_history(cfg.run_id, [h])
-            store.write_population(cfg.run_id, gen + 1, popops.literal_frame(spark, list(ids), list(mat)))
         last_max = h["best"]
         gen += 1
     if not res.history:  # Q5: the baseline already meets the threshold
@@ -277,17 +286,20 @@ def resume(spark: SparkSession, abt: Abt, store, run_id: str, model=None) -> Sea
     hist = [r.asDict() for r in store.history().where(F.col("run_id") == run_id).orderBy("gen").collect()]
     pops = store.populations().where(F.col("run_id") == run_id)
     gen = (hist[-1]["gen"] + 1) if hist else 0
-    pop = pops.where(F.col("gen") == gen).select("chrom_id", "genes")
-    if gen > 0 and pop.limit(1).count() == 0:
-        raise ValueError(f"run {run_id!r} has no stored population for generation {gen}")
+    pop = None
     if gen == 0:
         pop = popops.init(spark, cfg.population_size, abt.d, cfg.seed)
+    elif _continues(hist[-1]["best"], gen, cfg):  # otherwise the run had already stopped
+        pop = pops.where(F.col("gen") == gen).select("chrom_id", "genes")
+        if pop.limit(1).count() == 0:
+            raise ValueError(f"run {run_id!r} has no stored population for generation {gen}")
     base = baseline(abt, model, cfg.metric)
     res = genetic(abt, cfg, model, base, store, start={"pop": pop, "gen": gen, "history": hist})
     res.best_genes = res.best_genes if res.history else [1] * abt.d
     res.test = test_metrics(abt, model, res.best_genes)
-    store.write_test(run_id, {**res.test, "best_genes": res.best_genes, "best_ever_genes": res.best_ever_genes,
-                              "status": res.status})
+    if store.test_metrics().where(F.col("run_id") == run_id).limit(1).count() == 0:  # once per run
+        store.write_test(run_id, {**res.test, "best_genes": res.best_genes, "best_ever_genes": res.best_ever_genes,
+                                  "status": res.status})
     return res
 
 

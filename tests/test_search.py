@@ -149,21 +149,33 @@ def test_experiment_grid(spark):
 
 
 def test_resume_equals_uninterrupted(spark, tmp_path):
-    """Stop a GA after 2 generations, resume it: same history as one full run."""
+    """Crash a GA while it writes generation 2, resume it: same history as one full run."""
     ab = search.materialize(A.load(spark, SF001, "orders"), spark)
     kw = dict(dataset="orders", algorithm="ga", model="centroid", metric="f1", population_size=8,
-              stopping_threshold=0.99999)
-    full = search.run(spark, ab, SearchConfig(max_generation=3, **kw), RunStore(spark, str(tmp_path / "a")))
-    store = RunStore(spark, str(tmp_path / "b"))
-    cfg = SearchConfig(max_generation=3, **kw)
-    store.write_config(cfg)
-    part = search.genetic(ab, SearchConfig(max_generation=1, **{**kw, "run_id": cfg.run_id}), CentroidModel(),
-                          search.baseline(ab, CentroidModel(), "f1"), store)
-    assert len(part.history) == 2
-    res = search.resume(spark, ab, store, cfg.run_id)
+              stopping_threshold=0.99999, max_generation=3)
+    full = search.run(spark, ab, SearchConfig(**kw), RunStore(spark, str(tmp_path / "a")))
+
+    class Crashing(RunStore):
+        calls = 0
+
+        def append_history(self, run_id, rows):
+            Crashing.calls += 1
+            if Crashing.calls == 3:
+                raise RuntimeError("driver lost")
+            super().append_history(run_id, rows)
+
+    store = Crashing(spark, str(tmp_path / "b"))
+    cfg = SearchConfig(**kw)
+    with pytest.raises(RuntimeError):
+        search.run(spark, ab, cfg, store)
+    assert store.history().count() == 2
+    res = search.resume(spark, ab, RunStore(spark, store.root), cfg.run_id)
     key = lambda h: (h["gen"], h["best"], h["worst"], tuple(h["best_genes"]))
     assert [key(h) for h in res.history] == [key(h) for h in full.history]
     assert res.best_genes == full.best_genes
+    again = search.resume(spark, ab, RunStore(spark, store.root), cfg.run_id)  # already finished: no new rows
+    assert len(again.history) == len(full.history)
+    assert RunStore(spark, store.root).test_metrics().count() == 1
 
 
 def test_logistic_warm_start_same_optimum(spark, planted):
