@@ -32,3 +32,23 @@ def test_next_generation_has_no_cartesian_product(spark):
     pop = P.init(spark, 20, 8).withColumn("score", F.col("chrom_id").cast("double"))
     plan = _plan(P.next_generation(pop, 20, 8, 1))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_cluster_conf_keeps_explicit_settings(spark):
+    from featsearch.session import CLUSTER_CONF, apply_cluster_conf
+
+    keys = list(CLUSTER_CONF)
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1234")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        apply_cluster_conf(spark)
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1234"
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "8"  # set by the test session
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == CLUSTER_CONF["spark.sql.files.maxPartitionBytes"]
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
