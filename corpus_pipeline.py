@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from featsearch.llm import exact_dedup, mixing, quality
+from featsearch.llm import exact_dedup, jaccard, mixing, quality
 from featsearch.llm.common import stored, table
+from featsearch.llm.queries import tokenized
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,15 +23,27 @@ def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.survivors(docs, keep="largest")
 
 
+def dedup_ngrams(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of a group of near copies the row with the smallest doc_id stays."""
+    return jaccard.keep_one(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target asks for."""
     return mixing.mix(docs)
 
 
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document that is left."""
+    return tokenized(spark, docs)
+
+
 STAGES = [
     ("quality", quality_rules),
     ("exact_dedup", dedup_exact),
+    ("ngram_jaccard", dedup_ngrams),
     ("mixing", mix_sources),
+    ("bpe", tokenize),
 ]
 
 

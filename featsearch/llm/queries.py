@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featsearch.llm import bpe, exact_dedup, mixing, quality
+from featsearch.llm import bpe, exact_dedup, jaccard, mixing, quality
 from featsearch.llm.common import table
 
 
@@ -101,5 +101,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenized(spark, table(spark, sf_dir, "documents"))
 
 
-SPARK = {"op2_mixing": op2_mixing, "op4_quality": op4_quality, "op5_exact_dedup": op5_exact_dedup, "op10_bpe": op10_bpe}
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = jaccard.classes(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), F.col("n_shingles").cast("long"), "component_id")
+
+
+SPARK = {"op6_ngram_jaccard": op6_ngram_jaccard, "op2_mixing": op2_mixing, "op4_quality": op4_quality, "op5_exact_dedup": op5_exact_dedup, "op10_bpe": op10_bpe}
 ORACLE = {"op2_mixing": OP2_SQL, "op5_exact_dedup": OP5_SQL}
