@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featsearch.llm.common import small_batches
+from featsearch.llm.common import python_ready
 
 #: Pieces whose ids a worker keeps, and pieces that are merged together.
 TABLE, UNIT = 1 << 18, 1 << 18
@@ -296,7 +296,7 @@ def decoder(spark, path: str, pattern: str):
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col="doc_id", text_col="text") -> DataFrame:
     """``id`` and the token ``ids`` of every text."""
-    small_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
     ids = encoder(docs.sparkSession, path, pattern)(F.col("text"))
     rows = docs.select(
         F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featsearch.session import checkpoint_dir
+from featsearch.session import checkpoint_dir, ship_package
 
 #: White space of all word rules: blank and the controls 9 to 13.
 SPACE = " \t\n\x0b\x0c\r"
@@ -56,8 +56,10 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner") ->
     )
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound Arrow batches for texts: ``rows`` records, 16 MB."""
+def python_ready(spark: SparkSession, rows: int = 1000) -> None:
+    """Ship this package to Python workers; bound Arrow batches to ``rows``
+    records and 16 MB."""
+    ship_package(spark)
     conf = spark.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

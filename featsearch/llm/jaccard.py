@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from featsearch.llm.common import join_hot, small_batches, stored
+from featsearch.llm.common import join_hot, python_ready, stored
 from featsearch.llm.graph import components
 from featsearch.llm.shingles import shingle_set
 
@@ -48,7 +48,7 @@ _HEAVY, _SIZE = 1 << 62, 1 << 31
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    small_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
@@ -105,7 +105,7 @@ def frequent(docs: DataFrame, text_col="text", top: int = FREQUENT) -> tuple[np.
         often = counts > 2
         yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(counts[often])], ["col", "n"])
 
-    small_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
     texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
     total = texts.mapInArrow(run, "col long, n long").groupBy("col").agg(F.sum("n").alias("n"))
     best = total.orderBy(F.desc("n"), "col").limit(top).toArrow()  # at most ``top`` rows of 16 bytes
@@ -150,7 +150,7 @@ def postings(docs: DataFrame, often, text_col="text", percent: int = PERCENT) ->
                     ["col", "node", "packed"],
                 )
 
-    small_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
     texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
     return texts.mapInArrow(run, "col long, node long, packed long")
 

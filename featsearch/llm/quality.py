@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from featsearch.llm.common import SPACE, small_batches
+from featsearch.llm.common import SPACE, python_ready
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -94,7 +94,7 @@ def _failures() -> Column:
 
 def annotate(docs: DataFrame, text_col="text", name="ledger") -> DataFrame:
     """``docs`` with a struct column ``name``: measurements and ``failed`` bits."""
-    small_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     udf = _measured.asNondeterministic()  # evaluated once, never copied into a pushed filter
     inner = inner.withColumn("ledger", udf(F.col("row").getField(text_col).cast("string")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featsearch.llm import bpe, exact_dedup, jaccard, mixing, quality
+from featsearch.llm import bpe, exact_dedup, html_text, jaccard, mixing, quality, secrets
 from featsearch.llm.common import table
 
 
@@ -106,5 +106,35 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), F.col("n_shingles").cast("long"), "component_id")
 
 
-SPARK = {"op6_ngram_jaccard": op6_ngram_jaccard, "op2_mixing": op2_mixing, "op4_quality": op4_quality, "op5_exact_dedup": op5_exact_dedup, "op10_bpe": op10_bpe}
+def _joined(spans, kinds=None):
+    if kinds:
+        spans = F.filter(spans, lambda x: x["kind"].isin(*kinds))
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secrets.scan(table(spark, sf_dir, "documents"))
+    spans = F.col("spans")
+
+    def found(kind):
+        return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+
+    return rows.select(
+        F.col("id").alias("doc_id"), *[found(k).alias(f"n_{k}") for k in secrets.KINDS[:3]],
+        F.sha2(_joined(spans, secrets.KINDS[:3]), 256).alias("base_sha256"), _joined(spans).alias("spans"),
+        found("random").alias("n_random"),
+    )
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = html_text.extract(table(spark, sf_dir, "pages"))
+    return rows.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+SPARK = {
+    f.__name__: f
+    for f in (
+        op1_secrets, op2_mixing, op3_html_text, op4_quality, op5_exact_dedup, op6_ngram_jaccard, op10_bpe,
+    )
+}
 ORACLE = {"op2_mixing": OP2_SQL, "op5_exact_dedup": OP5_SQL}
