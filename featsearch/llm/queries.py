@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featsearch.llm import bpe, exact_dedup, html_text, jaccard, mixing, quality, secrets
+from featsearch.llm import bpe, chat, exact_dedup, html_text, jaccard, mixing, quality, secrets, toxicity
 from featsearch.llm.common import table
 
 
@@ -131,10 +131,27 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return rows.select(
+        F.col("id").alias("doc_id"), toxicity.held_out(F.col("id")).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], turns.schema)
+    return chat.read_back(chat.windows(turns.unionByName(more)))
+
+
 SPARK = {
     f.__name__: f
     for f in (
-        op1_secrets, op2_mixing, op3_html_text, op4_quality, op5_exact_dedup, op6_ngram_jaccard, op10_bpe,
+        op1_secrets, op2_mixing, op3_html_text, op4_quality, op5_exact_dedup, op6_ngram_jaccard, op8_toxicity,
+        op9_chat, op10_bpe,
     )
 }
 ORACLE = {"op2_mixing": OP2_SQL, "op5_exact_dedup": OP5_SQL}
