@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featsearch.llm import bpe, chat, exact_dedup, html_text, jaccard, mixing, quality, secrets, toxicity
+from featsearch.llm import bpe, chat, exact_dedup, html_text, jaccard, mixing, quality, secrets, substring_dedup, toxicity
 from featsearch.llm.common import table
 
 
@@ -131,6 +131,11 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.dedup(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -150,7 +155,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 SPARK = {
     f.__name__: f
     for f in (
-        op1_secrets, op2_mixing, op3_html_text, op4_quality, op5_exact_dedup, op6_ngram_jaccard, op8_toxicity,
+        op1_secrets, op2_mixing, op3_html_text, op4_quality, op5_exact_dedup, op6_ngram_jaccard, op7_substring_dedup, op8_toxicity,
         op9_chat, op10_bpe,
     )
 }
