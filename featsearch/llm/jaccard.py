@@ -6,15 +6,18 @@ with similarity of at least ``t`` share a column among the first
 that part of each row is multiplied. The order puts the most frequent columns
 last, which keeps passages that many documents share out of the product.
 
-The product runs by blocks of one column (frequent columns are cut into several
-blocks by set). In a block every set meets the block's leader; counts of shared
-columns pick one leader per set, and the pair is verified on the whole sets.
-That joins groups of near copies without pairing all their members. What is
-left are pairs inside a column whose sets lie in different components: there
-the sets outside the column's largest component meet the others, the overlap
-counts are accumulated per pair, pairs whose count and last shared places
-cannot reach the size-derived bound are discarded, and the rest is verified.
-Every link between two sets is thus either verified or lies inside a component.
+The product runs by blocks of one column, frequent columns being cut into
+blocks of about ``BLOCK`` sets. In a block every set meets one leader; counts of
+shared columns pick one leader per set, and the pair is verified on the whole
+sets. Rounds repeat that with one set per column and component, under another
+order and other blocks, until a round finds few links: groups of near copies
+become one component without pairing their members. What is left are pairs
+inside a column whose sets lie in different components: there the sets outside
+the column's largest component meet the others, the overlap counts are
+accumulated per pair up to where a first shared column can lie, pairs whose
+count and last shared places cannot reach the size-derived bound are discarded,
+and the rest is verified. Every link between
+two sets is thus either verified or lies inside a component.
 
 Defined results: null, empty and wordless texts have an empty set and link to
 nothing; texts with equal sets are one class; a text with fewer words than a
@@ -41,10 +44,14 @@ PERCENT = 75
 #: Columns known as frequent: they come last in the order and are cut in blocks.
 #: Only the order and the blocks depend on it, not the result. 16 bytes each.
 FREQUENT = 1 << 16
-BLOCKS = 64
+BLOCK = 1024
+#: Rounds go on while the last found one in so many of all links.
+FEW = 32
+#: Ids that are broadcast at most (8 MB).
+SMALL = 1 << 20
 #: Sets of a task whose copies are not posted again, and counters of a task.
 SEEN, COUNTERS = 1 << 18, 1 << 18
-_HEAVY, _SIZE = 1 << 62, 1 << 31
+_SIZE = 1 << 31
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -56,74 +63,75 @@ def _node(shingles: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
-def nodes(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """``id, n_shingles, node``: the set of each document (null if empty)."""
+def survey(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+    """One pass: ``id, n_shingles, node`` of each document (node null if its
+    set is empty), and rows ``col, n`` that count columns.
 
-    def run(batches):
-        for b in batches:
-            sets = [shingle_set(t) for t in b["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b["id"], pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([_node(s) if len(s) else None for s in sets], pa.int64())],
-                ["id", "n_shingles", "node"],
-            )
-
-    rows = _texts(docs, id_col, text_col)
-    kind = dict(rows.dtypes)["id"]
-    return rows.mapInArrow(run, f"id {kind}, n_shingles long, node long")
-
-
-def frequent(docs: DataFrame, text_col="text", top: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """The ``top`` columns by count over all documents, and their order.
-
-    Tasks count in bounded tables that keep the larger counts; the sums order
+    Tasks count in bounded tables that keep the larger counts; their sums order
     the columns and are not used as exact frequencies.
     """
+    rows = _texts(docs, id_col, text_col)
+    kind = dict(rows.dtypes)["id"]
 
     def run(batches):
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         fresh, held = [], 0
+        names = ["id", "n_shingles", "node", "col", "n"]
 
         def fold(keys, counts, fresh):
             new, n = np.unique(np.concatenate(fresh), return_counts=True)
+            new, n = new[n > 1], n[n > 1]
             keys, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([counts, n])).astype(np.int64)
+            counts = np.bincount(at, np.concatenate([counts, n]), len(keys)).astype(np.int64)
             if len(keys) > COUNTERS:
                 best = np.sort(np.argpartition(-counts, COUNTERS)[:COUNTERS])
                 keys, counts = keys[best], counts[best]
             return keys, counts
 
         for b in batches:
-            for t in b["text"].to_pylist():
-                fresh.append(shingle_set(t))
-                held += len(fresh[-1])
-                if held > 1 << 20:
-                    keys, counts = fold(keys, counts, fresh)
-                    fresh, held = [], 0
+            id_type = b.schema.field("id").type
+            sets = [shingle_set(t) for t in b["text"].to_pylist()]
+            none = pa.nulls(b.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b["id"], pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), none, none], names,
+            )
+            fresh += sets
+            held += sum(map(len, sets))
+            if held > 1 << 20:
+                keys, counts = fold(keys, counts, fresh)
+                fresh, held = [], 0
         if fresh:
             keys, counts = fold(keys, counts, fresh)
-        often = counts > 2
-        yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(counts[often])], ["col", "n"])
+        if len(keys):
+            none = pa.nulls(len(keys), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(len(keys), id_type), none, none, pa.array(keys.view(np.int64)), pa.array(counts)], names
+            )
 
-    python_ready(docs.sparkSession)
-    texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
-    total = texts.mapInArrow(run, "col long, n long").groupBy("col").agg(F.sum("n").alias("n"))
+    return stored(rows.mapInArrow(run, f"id {kind}, n_shingles long, node long, col long, n long"))
+
+
+def frequent(surveyed: DataFrame, top: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``top`` columns by count over all documents, their order and counts."""
+    total = surveyed.where("col is not null").groupBy("col").agg(F.sum("n").alias("n"))
     best = total.orderBy(F.desc("n"), "col").limit(top).toArrow()  # at most ``top`` rows of 16 bytes
     keys = best["col"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    return keys[order], (len(keys) - order).astype(np.int64)  # larger: more frequent, later
+    counts = best["n"].to_numpy()[order]
+    return keys[order], (len(keys) - order).astype(np.int64), counts  # larger: more frequent, later
 
 
 def postings(docs: DataFrame, often, text_col="text", percent: int = PERCENT) -> DataFrame:
-    """``col, node, packed`` of the leading columns of every set.
+    """``col, node, packed, block`` of the leading columns of every set.
 
-    ``packed`` holds whether the column is frequent, the set's size and the
-    place of the column in it.
+    ``packed`` holds the set's size and the place of the column in it; a
+    column counted more than ``BLOCK`` times is cut in blocks.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(often)  # at most 1 MB
+    shared = docs.sparkSession.sparkContext.broadcast(often)  # at most 1.5 MB
 
     def run(batches):
-        keys, ranks = shared.value
+        keys, ranks, counts = shared.value
         seen: set[int] = set()
         for b in batches:
             out = []
@@ -135,49 +143,72 @@ def postings(docs: DataFrame, often, text_col="text", percent: int = PERCENT) ->
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(node)
-                rank = np.zeros(len(s), np.int64)
+                rank, block = np.zeros(len(s), np.int64), np.zeros(len(s), np.int64)
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
                     rank = np.where(keys[at] == s, ranks[at], 0)
+                    block = np.where(keys[at] == s, node % (counts[at] // BLOCK + 1), 0)
                 first = np.lexsort((s, rank))[: len(s) + 1 + (-percent * len(s)) // 100]
-                packed = (rank[first] > 0) * _HEAVY + len(s) * _SIZE + np.arange(len(first))
-                out.append((s[first], node, packed))
+                out.append((s[first], node, len(s) * _SIZE + np.arange(len(first)), block[first]))
             if out:
+                cols, ids, packed, cut = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([c for c, _, _ in out]).view(np.int64)),
-                     pa.array(np.repeat(np.array([n for _, n, _ in out]), [len(c) for c, _, _ in out])),
-                     pa.array(np.concatenate([p for _, _, p in out]))],
-                    ["col", "node", "packed"],
+                    [pa.array(np.concatenate(cols).view(np.int64)), pa.array(np.repeat(ids, [len(c) for c in cols])),
+                     pa.array(np.concatenate(packed)), pa.array(np.concatenate(cut))],
+                    ["col", "node", "packed", "block"],
                 )
 
     python_ready(docs.sparkSession)
     texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
-    return texts.mapInArrow(run, "col long, node long, packed long")
+    return texts.mapInArrow(run, "col long, node long, packed long, block long")
 
 
 def _size(packed: Column) -> Column:
-    return F.shiftright(packed.bitwiseAND(F.lit(_HEAVY - 1)), 31)
+    return F.shiftright(packed, 31)
 
 
 def _place(packed: Column) -> Column:
     return packed.bitwiseAND(F.lit(_SIZE - 1))
 
 
-def blocks(posted: DataFrame) -> DataFrame:
-    """Postings of columns that several sets may share, with block leaders."""
-    block = F.when(F.col("packed") >= _HEAVY, F.pmod("node", F.lit(BLOCKS))).otherwise(F.lit(-1).cast("long"))
+def shared_postings(posted: DataFrame) -> DataFrame:
+    """``col, node, packed`` without the columns of one set alone.
+
+    Columns in several blocks are kept whole.
+    """
     n = int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = posted.withColumn("block", block).repartition(n, "col", "block")
     w = Window.partitionBy("col", "block")
-    least = F.min(F.struct(_size(F.col("packed")).alias("size"), "node", "packed"))
-    led = dealt.select(
-        "*", least.over(w).alias("leader"), (F.min("node").over(w) != F.max("node").over(w)).alias("several")
+    several = (F.min("node").over(w) != F.max("node").over(w)) | (F.max("block").over(w) > 0)
+    dealt = posted.repartition(n, "col", "block").select("col", "node", "packed", "block", several.alias("several"))
+    return stored(dealt.where("several").select("col", "node", "packed").distinct())
+
+
+def _met(rows: DataFrame, labels: DataFrame | None, turn: int, percent: int) -> DataFrame:
+    """``x, y``: one set per column and component with its block's leader."""
+    if labels is None:
+        rows = rows.withColumn("comp", F.col("node"))
+    else:
+        rows = _labelled(rows, labels)
+    order = _place(F.col("packed")) if turn == 0 else F.xxhash64("node", F.lit(turn))
+    one = F.min(F.struct(order.alias("order"), _size(F.col("packed")).alias("size"), "node", "packed"))
+    reps = rows.groupBy("col", "comp").agg(one.alias("rep"))
+    many = reps.groupBy("col").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    reps = join_hot(reps, many, "col").withColumn(
+        "block", F.pmod(F.xxhash64("comp", F.lit(turn)), F.floor(F.col("n") / BLOCK) + 1)
     )
-    return stored(
-        led.where(F.col("several") | (F.col("block") >= 0)).select(
-            "col", "node", "packed", F.col("leader.node").alias("leader"), F.col("leader.packed").alias("leader_packed")
-        )
+    led = reps.groupBy("col", "block").agg(F.min("rep").alias("leader"))
+    pairs = reps.withColumn("cb", F.xxhash64("col", "block")).join(
+        led.withColumn("cb", F.xxhash64("col", "block")), ["col", "block", "cb"]
     )
+    near = pairs.where("rep.node <> leader.node").where(
+        _may_link(F.col("rep.packed"), F.col("leader.packed"), percent)
+    )
+    counted = near.groupBy(F.col("rep.node").alias("x"), F.col("leader.node").alias("y")).agg(F.count(F.lit(1)).alias("shared"))
+    return counted.groupBy("x").agg(F.max_by("y", F.struct("shared", F.col("y"))).alias("y"))
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return join_hot(rows, labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
 def _possible(pairs: DataFrame, percent: int) -> DataFrame:
@@ -196,13 +227,22 @@ def _possible(pairs: DataFrame, percent: int) -> DataFrame:
     return counted.where(most * (100 + percent) >= (F.col("a") + F.col("b")) * percent)
 
 
-def _sizes_fit(px: Column, py: Column, percent: int) -> Column:
+def _may_link(px: Column, py: Column, percent: int = PERCENT) -> Column:
+    """Bound on two sets whose first shared column is this one: what either
+    has from there on. Every link passes at its first shared column."""
     a, b = _size(px), _size(py)
-    return (a * 100 >= b * percent) & (b * 100 >= a * percent)
+    most = F.least(a - _place(px), b - _place(py))
+    return (a * 100 >= b * percent) & (b * 100 >= a * percent) & (most * (100 + percent) >= (a + b) * percent)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, text_col="text", percent: int = PERCENT) -> DataFrame:
-    """The pairs ``x, y`` of nodes whose whole sets are similar, as ``a, b``."""
+def _needed(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose ``node`` is in ``ids``; few ids are broadcast, many shuffled."""
+    ids = stored(ids)
+    return rows.join(F.broadcast(ids) if ids.count() <= SMALL else ids, "node", "left_semi")
+
+
+def whole_sets(docs: DataFrame, ids: DataFrame, text_col="text") -> DataFrame:
+    """``node, text``: for each set in ``ids`` a text that has it."""
 
     def named(batches):
         seen: set[int] = set()
@@ -217,6 +257,13 @@ def verified(pairs: DataFrame, docs: DataFrame, text_col="text", percent: int =
             out = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), b["text"]], ["node", "text"])
             yield out.filter(pa.array(keep))
 
+    texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(named, "node long, text string")
+    return stored(_needed(texts, ids).groupBy("node").agg(F.any_value("text").alias("text")))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs ``x, y`` of nodes whose whole sets are similar, as ``a, b``."""
+
     @F.arrow_udf("boolean")
     def similar(left: pa.Array, right: pa.Array) -> pa.Array:
         out, last = [], (None, None)
@@ -226,62 +273,64 @@ def verified(pairs: DataFrame, docs: DataFrame, text_col="text", percent: int =
             s, r = last[1], shingle_set(b)
             both = len(np.intersect1d(s, r, assume_unique=True))
             out.append(100 * both >= percent * (len(s) + len(r) - both))
-        return pa.array(out)
+        return pa.array(out, pa.bool_())
 
-    pairs = stored(pairs.select("x", "y").distinct())
-    needed = pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node"))).distinct()
-    texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(named, "node long, text string")
-    sets = stored(texts.join(needed, "node").groupBy("node").agg(F.any_value("text").alias("text")))
-    with_x = join_hot(pairs, sets.select(F.col("node").alias("x"), F.col("text").alias("tx")), "x")
-    with_y = join_hot(with_x, sets.select(F.col("node").alias("y"), F.col("text").alias("ty")), "y")
+    pairs = stored(pairs.select("x", "y"))
+    some = _needed(sets, pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node"))).distinct())
+    with_x = join_hot(pairs, some.select(F.col("node").alias("x"), F.col("text").alias("tx")), "x")
+    with_y = join_hot(with_x, some.select(F.col("node").alias("y"), F.col("text").alias("ty")), "y")
     return stored(
         with_y.where(similar.asNondeterministic()("tx", "ty")).select(F.col("x").alias("a"), F.col("y").alias("b"))
     )
 
 
-def links(docs: DataFrame, text_col="text", percent: int = PERCENT) -> DataFrame:
+def links(docs: DataFrame, often, text_col="text", percent: int = PERCENT) -> DataFrame:
     """``a, b``: verified links between sets that span every component."""
-    posted = blocks(postings(docs, frequent(docs, text_col), text_col, percent))
-    px, py = F.col("px"), F.col("py")
-    led = posted.where("node <> leader").select(
-        "col", F.col("node").alias("x"), F.col("leader").alias("y"), F.col("packed").alias("px"),
-        F.col("leader_packed").alias("py"),
-    ).where(_sizes_fit(px, py, percent))
-    counted = led.groupBy("x", "y").agg(F.count_distinct("col").alias("shared"))
-    best = counted.groupBy("x").agg(F.max_by("y", F.struct("shared", F.col("y"))).alias("y"))
-    first = verified(best, docs, text_col, percent)
-    labels = components(first)
-    lab = join_hot(posted.select("col", "node", "packed"), labels, "node", "left").select(
-        "col", "node", "packed", F.coalesce("comp", "node").alias("comp")
-    ).distinct()
-    lab = stored(lab)
+    posted = shared_postings(postings(docs, often, text_col, percent))
+    sets = whole_sets(docs, posted.select("node").distinct(), text_col)
+    found = verified(_met(posted, None, 0, percent), sets, percent)
+    n_found = n_new = found.count()
+    turn = 0
+    labels = components(found)
+    while n_new * FEW > n_found:  # the last round still found its share
+        turn += 1
+        new = verified(_met(posted, labels, turn, percent), sets, percent)
+        n_new = new.count()
+        if n_new:
+            found, n_found = found.union(new), n_found + n_new
+            labels = components(found)
+    lab = stored(_labelled(posted, labels))
     per = lab.groupBy("col", "comp").agg(F.count(F.lit(1)).alias("n"))
     main = per.groupBy("col").agg(
         F.max_by("comp", F.struct("n", F.col("comp"))).alias("main"), F.count(F.lit(1)).alias("comps")
     ).where("comps > 1").drop("comps")
     open_cols = stored(join_hot(lab, main, "col"))
+    px, py = F.col("px"), F.col("py")
     few = open_cols.where("comp <> main").select(
         "col", F.col("node").alias("x"), F.col("packed").alias("px"), F.col("comp").alias("cx"), "main"
     )
-    mates = open_cols.select("col", F.col("node").alias("y"), F.col("packed").alias("py"), F.col("comp").alias("cy"))
+    mates = open_cols.select(
+        "col", F.col("node").alias("y"), F.col("packed").alias("py"), F.col("comp").alias("cy")
+    )
     met = few.withColumn("__mix", F.xxhash64("col", F.lit(1))).join(
         mates.withColumn("__mix", F.xxhash64("col", F.lit(1))), ["col", "__mix"]
-    ).where((F.col("cx") != F.col("cy")) & _sizes_fit(px, py, percent)).where(
-        (F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))
+    ).where(
+        (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y")))
+        & _may_link(px, py, percent)
     )
     swap = F.col("x") > F.col("y")  # a pair may be met from either side in different columns
     met = met.select(
         "col", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"),
         F.when(swap, py).otherwise(px).alias("px"), F.when(swap, px).otherwise(py).alias("py"),
     )
-    second = verified(_possible(met, percent), docs, text_col, percent)
-    return first.union(second)
+    return found.union(verified(_possible(met, percent), sets, percent))
 
 
 def classes(docs: DataFrame, id_col="doc_id", text_col="text", percent: int = PERCENT) -> DataFrame:
     """``id, n_shingles, component_id`` of every document."""
-    named = stored(nodes(docs, id_col, text_col))
-    labels = components(links(docs, text_col, percent))
+    surveyed = survey(docs, id_col, text_col)
+    named = surveyed.where("col is null").select("id", "n_shingles", "node")
+    labels = components(links(docs, frequent(surveyed), text_col, percent))
     full = stored(
         join_hot(named, labels, "node", "left").select("id", "n_shingles", F.coalesce("comp", "node").alias("comp"))
     )

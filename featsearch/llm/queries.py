@@ -66,6 +66,46 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP4_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), grams AS (
+  SELECT r, i, list_slice(ws, i, i + 4) AS g
+  FROM (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS i FROM d WHERE len(ws) >= 5)
+), again AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM grams) WHERE n > 1
+), covered AS (
+  SELECT r, count(DISTINCT i + k) AS n FROM again, (SELECT unnest(range(0, 5)) AS k) GROUP BY r
+), m AS (
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+         CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) AS BIGINT) AS n_lines,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
+         CAST(length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS BIGINT) AS n_letters,
+         CAST(length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS BIGINT) AS n_upper
+  FROM d LEFT JOIN covered c USING (r)
+), f AS (
+  SELECT *, CAST(
+      CASE WHEN n_words < 10 THEN 1 ELSE 0 END
+    + CASE WHEN n_repeat_words * 100 > n_words * 20 THEN 2 ELSE 0 END
+    + CASE WHEN n_symbols * 100 > n_words * 30 THEN 4 ELSE 0 END
+    + CASE WHEN n_lines >= 4 AND n_dup_lines * 100 > n_lines * 40 THEN 8 ELSE 0 END
+    + CASE WHEN n_words >= 10 AND n_upper * 100 > n_letters * 50 THEN 16 ELSE 0 END
+    + CASE WHEN n_words >= 10 AND (word_chars > n_words * 40 OR word_chars < n_words * 2) THEN 32 ELSE 0 END
+    AS BIGINT) AS failed
+  FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed, n_lines, n_letters, n_upper
+FROM f
+"""
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.classes(table(spark, sf_dir, "documents"), keep="largest")
     return rows.withColumnRenamed("id", "doc_id")
@@ -159,4 +199,4 @@ SPARK = {
         op9_chat, op10_bpe,
     )
 }
-ORACLE = {"op2_mixing": OP2_SQL, "op5_exact_dedup": OP5_SQL}
+ORACLE = {"op2_mixing": OP2_SQL, "op4_quality": OP4_SQL, "op5_exact_dedup": OP5_SQL}

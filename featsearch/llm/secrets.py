@@ -123,20 +123,20 @@ def ratio(models: dict[str, np.ndarray], token: str) -> float:
     return float((models["random"][steps] - models["ordinary"][steps]).sum())
 
 
-def spans_of(text: str, models: dict[str, np.ndarray]) -> list[tuple[int, int, int]]:
+def spans_of(text: str, models: dict[str, np.ndarray], margin: float = MARGIN) -> list[tuple[int, int, int]]:
     """All spans of a text: pattern matches, then random tokens beside them."""
     spans = pattern_spans(text)
     extra = [
         (m.start(), 3, m.end())
         for m in TOKEN.finditer(text)
         if len(set(m[0])) >= DIFFERENT
-        and ratio(models, m[0]) >= MARGIN
+        and ratio(models, m[0]) >= margin
         and not any(s < m.end() and m.start() < e for s, _, e in spans)
     ]
     return sorted(spans + extra)
 
 
-def scan(docs: DataFrame, models=None, id_col="doc_id", text_col="text") -> DataFrame:
+def scan(docs: DataFrame, models=None, id_col="doc_id", text_col="text", margin: float = MARGIN) -> DataFrame:
     """``id`` and ``spans``, an array of ``kind, start, end`` in page order."""
     models = models or train(docs, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(models)  # 74 KB
@@ -145,7 +145,7 @@ def scan(docs: DataFrame, models=None, id_col="doc_id", text_col="text") -> Data
     @F.arrow_udf("array<struct<kind:string,start:bigint,end:bigint>>")
     def find(texts: pa.Array) -> pa.Array:
         return pa.array(
-            [[(KINDS[k], s, e) for s, k, e in spans_of(t or "", shared.value)] for t in texts.to_pylist()], pa.list_(kind)
+            [[(KINDS[k], s, e) for s, k, e in spans_of(t or "", shared.value, margin)] for t in texts.to_pylist()], pa.list_(kind)
         )
 
     python_ready(docs.sparkSession)

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featsearch.llm.common import join_hot, python_ready, stored
-from featsearch.llm.shingles import scramble, window_hashes, word_hashes
+from featsearch.llm.shingles import distinct, scramble, window_hashes, word_hashes
 
 WINDOW, GRAM = 13, 5
 #: Size of the bit table (2^27 bits: 16 MB) and bits set per minimizer.
@@ -74,9 +74,9 @@ def shared_minimizers(rows: DataFrame) -> DataFrame:
         for b in batches:
             found, docs = [], []
             for doc, text in zip(b["doc"].to_pylist(), b["text"].to_pylist(), strict=True):
-                words = text.encode().split()
-                if len(words) >= WINDOW:
-                    found.append(np.unique(_minimizers(word_hashes(words))))
+                hashes = word_hashes(text.encode())
+                if len(hashes) >= WINDOW:
+                    found.append(distinct(_minimizers(hashes)))
                     docs.append(doc)
             if found:
                 yield pa.RecordBatch.from_arrays(
@@ -128,10 +128,9 @@ def pieces(rows: DataFrame, table: np.ndarray) -> DataFrame:
         for b in batches:
             out = []
             for doc, version, text in zip(*(b[c].to_pylist() for c in ("doc", "version", "text")), strict=True):
-                words = text.encode().split()
-                if len(words) < WINDOW:
+                hashes = word_hashes(text.encode())
+                if len(hashes) < WINDOW:
                     continue
-                hashes = word_hashes(words)
                 found = _candidates(shared.value, hashes)
                 if not found.any():
                     continue
