@@ -33,7 +33,3 @@ def u32_sql(*parts: str) -> str:
 def threshold(rate: float) -> int:
     """Integer threshold t with P(u32 < t) = rate (compare integers, not doubles)."""
     return int(rate * TWO32)
-
-
-def bernoulli(rate: float, *parts) -> Column:
-    return u32(*parts) < F.lit(threshold(rate))

@@ -6,7 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_LEVELS = 1000
+#: Most levels of all columns together: the widest feature array there is.
+MAX_LEVELS = 100_000
+
+
+def quoted(name: str) -> Column:
+    """A column by its exact name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def categorical_columns(df: DataFrame, exclude=()) -> list[str]:
@@ -14,46 +20,79 @@ def categorical_columns(df: DataFrame, exclude=()) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in exclude]
 
 
-def levels(df: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> list:
-    """Sorted distinct non-null values, from all rows; one distributed distinct.
+def all_levels(df: DataFrame, cols: list[str], max_levels: int = MAX_LEVELS) -> list[list]:
+    """Sorted distinct non-null values of each column: one scan for all.
 
-    The result is checked against ``max_levels`` before it reaches the driver,
-    since one-hot width grows with it.
+    The number of levels is checked before they reach the driver, since the
+    feature width grows with it.
     """
-    vals = df.select(col).where(F.col(col).isNotNull()).distinct().limit(max_levels + 1).collect()
+    if not cols:
+        return []
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), quoted(c).cast("string").alias("v")) for i, c in enumerate(cols)])
+    found = df.select(F.explode(cells).alias("x")).select("x.i", "x.v").where("v is not null").distinct()
+    rows = found.limit(max_levels + 1).collect()
+    if len(rows) > max_levels:
+        raise ValueError(f"columns {', '.join(cols)} have more than {max_levels} levels")
+    out: list[list] = [[] for _ in cols]
+    for r in rows:
+        out[r["i"]].append(r["v"])
+    return [sorted(v) for v in out]
+
+
+def levels(df: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> list:
+    """Sorted distinct non-null values of one column, in its own type."""
+    vals = df.select(quoted(col).alias("v")).where("v is not null").distinct().limit(max_levels + 1).collect()
     if len(vals) > max_levels:
-        raise ValueError(f"column {col!r} has more than {max_levels} levels; one-hot refused")
+        raise ValueError(f"column {col!r} has more than {max_levels} levels")
     return sorted(r[0] for r in vals)
 
 
+def one_hot_array(col: str, lvls: list) -> Column:
+    """All levels of a column as one array of 0/1 doubles; null is all zeros.
+
+    No column is made per level, so levels may differ in case or hold dots.
+    """
+    at = F.coalesce(F.array_position(F.lit(lvls), quoted(col).cast("string")), F.lit(0))
+    return F.transform(F.sequence(F.lit(1), F.lit(len(lvls))), lambda i: F.when(i == at, 1.0).otherwise(0.0))
+
+
+def features(df: DataFrame, nums: list[str], cats: list[str], max_levels: int = MAX_LEVELS) -> tuple[Column, list[str]]:
+    """Numeric columns, then the one-hot levels of ``cats``, as one array."""
+    parts = [pack(nums)] if nums else []
+    names = list(nums)
+    for c, lv in zip(cats, all_levels(df, cats, max_levels), strict=True):
+        if lv:
+            parts.append(one_hot_array(c, lv))
+            names += [f"{c}_{v}" for v in lv]
+    return (F.concat(*parts) if parts else F.array().cast("array<double>")), names
+
+
 def one_hot_columns(col: str, lvls: list) -> list[Column]:
     """Every level gets a 0/1 double column ``<col>_<level>``; no level is dropped."""
-    return [F.when(F.col(col) == F.lit(v), 1.0).otherwise(0.0).alias(f"{col}_{v}") for v in lvls]
+    return [F.when(quoted(col) == F.lit(v), 1.0).otherwise(0.0).alias(f"{col}_{v}") for v in lvls]
 
 
 def one_hot(df: DataFrame, cols: list[str], max_levels: int = MAX_LEVELS) -> tuple[DataFrame, list[str]]:
     """Expand ``cols`` in place of themselves at the end (pandas ``get_dummies`` order)."""
-    keep = [c for c in df.columns if c not in cols]
+    keep = [quoted(c) for c in df.columns if c not in cols]
     new_cols: list[Column] = []
     names: list[str] = []
-    for c in cols:
-        lv = levels(df, c, max_levels)
-        oh = one_hot_columns(c, lv)
-        new_cols += oh
+    for c, lv in zip(cols, all_levels(df, cols, max_levels), strict=True):
+        new_cols += one_hot_columns(c, lv)
         names += [f"{c}_{v}" for v in lv]
     return df.select(*keep, *new_cols), names
 
 
-def label_codes(df: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> Column:
+def label_codes(df: DataFrame, col: str, max_levels: int = MAX_LEVELS, lv: list | None = None) -> Column:
     """Sorted distinct labels -> 0..k-1 (LabelEncoder); a literal map lookup, no join."""
-    lv = levels(df, col, max_levels)
+    lv = levels(df, col, max_levels) if lv is None else lv
     mapping = F.create_map(*[x for i, v in enumerate(lv) for x in (F.lit(v), F.lit(i))])
-    return mapping[F.col(col)]
+    return mapping[quoted(col)]
 
 
 def pack(cols: list[str]) -> Column:
     """Features as one ``ARRAY<DOUBLE>``, so width does not bloat the plan."""
-    return F.array(*[F.col(c).cast("double") for c in cols])
+    return F.array(*[quoted(c).cast("double") for c in cols])
 
 
 def subset(features: Column, genes: Column) -> Column:

@@ -110,6 +110,7 @@ def cv_scores(model, abt: DataFrame, ids, bits, folds: int = 5, seed: int = 0, m
         per.setdefault(r["chrom_id"], {})[r["fold"]] = _py_metric(metric, r["tp"], r["fp"], r["fn"], r["tn"])
     out = []
     for cid in ids:
-        vals = [per.get(int(cid), {}).get(f) for f in range(folds)]
-        out.append((int(cid), sum(0.0 if v is None else v for v in vals) / folds))
+        found = per.get(int(cid), {})
+        vals = [found[f] for f in range(folds) if f in found]  # a fold without rows has no score
+        out.append((int(cid), sum(0.0 if v is None else v for v in vals) / max(1, len(vals))))
     return out

@@ -11,6 +11,8 @@ all chromosomes with one matrix product; all arithmetic is on exact integers.
 
 from __future__ import annotations
 
+import weakref
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -116,7 +118,7 @@ class CentroidModel:
 
     def __init__(self, fit_split: str = "train"):
         self.fit_split = fit_split
-        self._cache: dict = {}
+        self._cache = weakref.WeakKeyDictionary()  # statistics live as long as their frame
         self.payloads: list = []
 
     def release(self):
@@ -126,10 +128,10 @@ class CentroidModel:
         self.payloads = []
 
     def means(self, abt: DataFrame):
-        key = id(abt)
-        if key not in self._cache:
-            self._cache[key] = class_means(abt, self.fit_split)
-        return self._cache[key]
+        kept = self._cache.setdefault(abt, {})
+        if "means" not in kept:
+            kept["means"] = class_means(abt, self.fit_split)
+        return kept["means"]
 
     def confusion(self, abt: DataFrame, ids: np.ndarray, bits: np.ndarray, eval_splits=("val",)) -> DataFrame:
         """Confusion counts ``(split, chrom_id, tp, fp, fn, tn)`` for every chromosome."""
@@ -239,10 +241,10 @@ def _cv_confusion(self, abt: DataFrame, ids, bits, folds: int = 5, seed: int = 0
     from featsearch.session import Payload, ship_package
 
     ship_package(abt.sparkSession)
-    key = (id(abt), folds, seed)
-    if key not in self._cache:
-        self._cache[key] = cv_means(*fold_sums(abt, folds, seed, self.fit_split))
-    means = self._cache[key]
+    kept = self._cache.setdefault(abt, {})
+    if (folds, seed) not in kept:
+        kept[folds, seed] = cv_means(*fold_sums(abt, folds, seed, self.fit_split))
+    means = kept[folds, seed]
     ids = np.asarray(ids, dtype=np.int64)
     bits = np.asarray(bits, dtype=np.int8)
     payload = Payload(abt.sparkSession, (ids, bits, means), bits.nbytes)

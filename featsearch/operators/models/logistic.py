@@ -24,6 +24,8 @@ compute and shuffle.
 
 from __future__ import annotations
 
+import weakref
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +39,10 @@ def _feats(rb, d):
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
 
 
+#: Chromosomes whose (rows, chromosomes) arrays a task holds at a time.
+BLOCK = 256
+
+
 def newton_batches(batches, theta, bits, hessian: bool = True, excl=None):
     """Per task: loss, gradient and (optionally) Hessian data part of every chromosome.
 
@@ -57,25 +63,27 @@ def newton_batches(batches, theta, bits, hessian: bool = True, excl=None):
             continue
         x = _feats(rb, d)
         y = rb.column(rb.schema.get_field_index("y")).to_numpy(zero_copy_only=False).astype(np.float64)
-        if excl is not None:
-            fo = rb.column(rb.schema.get_field_index("fold")).to_numpy(zero_copy_only=False)
-            wt = (fo[:, None] != excl[None, :]).astype(np.float64)  # (n, P)
-        else:
-            wt = np.ones((len(x), 1))
-        z = x @ w.T + b  # (n, P)
-        pr = 1.0 / (1.0 + np.exp(-z))
-        loss += ((np.logaddexp(0.0, z) - y[:, None] * z) * wt).sum(axis=0)
-        r = (pr - y[:, None]) * wt
-        g[:, :d] += r.T @ x
-        g[:, d] += r.sum(axis=0)
-        if hessian:
-            s = pr * (1.0 - pr) * wt
-            xa = np.hstack([x, np.ones((len(x), 1))])
-            step = max(1, 4_000_000 // (p_ * (d + 1)))  # rows per batched product (~32 MB)
-            for lo in range(0, len(xa), step):
-                xs = xa[lo : lo + step]
-                h += np.matmul((xs[None, :, :] * s[lo : lo + step].T[:, :, None]).transpose(0, 2, 1), xs)
-        cnt += wt.sum(axis=0)
+        fo = None if excl is None else rb.column(rb.schema.get_field_index("fold")).to_numpy(zero_copy_only=False)
+        xa = np.hstack([x, np.ones((len(x), 1))]) if hessian else None
+        for lo in range(0, p_, BLOCK):  # bounds the (rows, chromosomes) arrays
+            k = slice(lo, lo + BLOCK)
+            if fo is not None:
+                wt = (fo[:, None] != excl[None, k]).astype(np.float64)
+            else:
+                wt = np.ones((len(x), 1))
+            z = x @ w[k].T + b[k]
+            pr = 1.0 / (1.0 + np.exp(-z))
+            loss[k] += ((np.logaddexp(0.0, z) - y[:, None] * z) * wt).sum(axis=0)
+            r = (pr - y[:, None]) * wt
+            g[k, :d] += r.T @ x
+            g[k, d] += r.sum(axis=0)
+            if hessian:
+                s = pr * (1.0 - pr) * wt
+                step = max(1, 4_000_000 // (z.shape[1] * (d + 1)))  # rows per batched product (~32 MB)
+                for at in range(0, len(xa), step):
+                    xs = xa[at : at + step]
+                    h[k] += np.matmul((xs[None, :, :] * s[at : at + step].T[:, :, None]).transpose(0, 2, 1), xs)
+            cnt[k] += wt.sum(axis=0)
     if not cnt.any():
         return
     g *= ma
@@ -100,12 +108,14 @@ def linear_confusion_batches(batches, ids, w, b):
             continue
         x = _feats(rb, d)
         y = rb.column(rb.schema.get_field_index("y")).to_numpy(zero_copy_only=False).astype(np.int64)
-        pred = (x @ w.T + b) > 0
         for s, sel in split_masks(rb):
-            ys, ps = y[sel], pred[sel]
+            xs, ys = x[sel], y[sel]
             a = acc.setdefault(s, [np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), 0, 0])
-            a[0] += ys @ ps
-            a[1] += (1 - ys) @ ps
+            for lo in range(0, len(ids), BLOCK):
+                k = slice(lo, lo + BLOCK)
+                ps = (xs @ w[k].T + b[k]) > 0
+                a[0][k] += ys @ ps
+                a[1][k] += (1 - ys) @ ps
             a[2] += int(ys.sum())
             a[3] += int(len(ys) - ys.sum())
     for s, (tp, fp, n1, n0) in acc.items():
@@ -134,7 +144,7 @@ class LogisticModel:
         # driver side); off by default so that a fit depends only on its genes
         self.warm_start = warm_start
         self.max_warm = max_warm
-        self._fitted: dict = {}
+        self._fitted = weakref.WeakKeyDictionary()  # per frame
 
     def release(self):
         for p in self.payloads:
@@ -182,9 +192,8 @@ class LogisticModel:
         from featsearch.session import bounded_tasks
 
         rows = bounded_tasks(abt.where(F.col("split") == self.fit_split).select("y", "features"))
-        key = id(abt)
-        out = self._fit_rows(rows, bits, self._starts(key, bits))
-        self._remember(key, bits, out)
+        out = self._fit_rows(rows, bits, self._starts(abt, bits))
+        self._remember(abt, bits, out)
         return out
 
     def _fit_rows(self, rows, bits, theta0=None, excl=None) -> np.ndarray:
@@ -382,12 +391,14 @@ def cv_confusion_batches(batches, ids, w, b, excl):
         x = _feats(rb, d)
         y = rb.column(rb.schema.get_field_index("y")).to_numpy(zero_copy_only=False).astype(np.int64)
         fo = rb.column(rb.schema.get_field_index("fold")).to_numpy(zero_copy_only=False)
-        own = fo[:, None] == excl[None, :]
-        pred = ((x @ w.T + b) > 0) & own
-        tp += y @ pred
-        fp += (1 - y) @ pred
-        n1 += y @ own
-        n0 += (1 - y) @ own
+        for lo in range(0, len(ids), BLOCK):
+            k = slice(lo, lo + BLOCK)
+            own = fo[:, None] == excl[None, k]
+            pred = ((x @ w[k].T + b[k]) > 0) & own
+            tp[k] += y @ pred
+            fp[k] += (1 - y) @ pred
+            n1[k] += y @ own
+            n0[k] += (1 - y) @ own
     if seen:
         yield pa.RecordBatch.from_arrays(
             [pa.array(excl.astype(np.int32)), pa.array(ids, pa.int64()), pa.array(tp), pa.array(fp),

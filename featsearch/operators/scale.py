@@ -44,11 +44,6 @@ def apply(features: Column, means: list[float], sds: list[float]) -> Column:
     return F.transform(features, lambda x, i: (x - m[i]) / s[i])
 
 
-def standardize(abt: DataFrame, features: str = "features") -> tuple[DataFrame, list[float], list[float]]:
-    means, sds = fit(abt, features=features)
-    return abt.withColumn(features, apply(F.col(features), means, sds)), means, sds
-
-
 def quantize(features: Column) -> Column:
     """Fixed-point copy of standardized features (``floor(z * SCALE)`` as BIGINT)."""
     return F.transform(features, lambda z: F.floor(z * SCALE).cast("bigint"))

@@ -132,6 +132,8 @@ def stratified_split(
     """Add ``split`` in {train, val, test}; exact per-class counts, partition-independent."""
     base = df.withColumn("_h", u32(seed, "split", F.col(key)))
     hist = class_histogram(base, label, "_h")  # also yields the class sizes
+    if None in hist:
+        raise ValueError(f"null values in label {label!r}")
     if len(hist) > MAX_CLASSES:
         raise ValueError("too many classes for a stratified split")
     wanted = {}

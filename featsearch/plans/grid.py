@@ -42,11 +42,14 @@ def configs(df: DataFrame, **fixed) -> list[SearchConfig]:
 
 
 def run_grid(spark: SparkSession, abts: dict, df: DataFrame, store, **fixed) -> list:
-    """Run every grid row whose dataset is in ``abts`` (name -> prepared ABT)."""
+    """Run every grid row on its dataset in ``abts`` (name -> prepared ABT).
+
+    Raises before the first run if a dataset of the grid is not prepared.
+    """
     from featsearch.plans import search
 
-    out = []
-    for cfg in configs(df, **fixed):
-        if cfg.dataset in abts:
-            out.append(search.run(spark, abts[cfg.dataset], cfg, store))
-    return out
+    rows = configs(df, **fixed)
+    missing = sorted({c.dataset for c in rows} - set(abts))
+    if missing:
+        raise ValueError(f"datasets of the grid are not prepared: {', '.join(missing)}")
+    return [search.run(spark, abts[c.dataset], c, store) for c in rows]

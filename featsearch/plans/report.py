@@ -75,7 +75,8 @@ def duplicate_runs(df: DataFrame, ignore=("run_id", "started_at", "time_s")) ->
     """
     cols = [c for c in df.columns if c not in ignore]
     keyed = df.withColumn("_k", F.sha2(F.to_json(F.struct(*[F.col(c) for c in cols])), 256))
-    first = keyed.groupBy("_k").agg(F.min("run_id").alias("_first"))
+    order = [c for c in ("started_at", "run_id") if c in df.columns]  # ids begin with the day of the month
+    first = keyed.groupBy("_k").agg(F.min_by("run_id", F.struct(*order)).alias("_first"))
     return keyed.join(first, "_k").where(F.col("run_id") != F.col("_first")).drop("_k", "_first")
 
 

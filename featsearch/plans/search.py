@@ -175,7 +175,11 @@ def genetic(abt: Abt, cfg: SearchConfig, model, base: dict, store=None, start: d
 # ------------------------------------------------------------------ random search
 
 
-def random_plan(abt: Abt, cfg: SearchConfig, model, baseline_val) -> DataFrame:
+#: Rounds of a random search that one scoring pass covers.
+ROUNDS_PER_PASS = 16
+
+
+def random_plan(abt: Abt, cfg: SearchConfig, model, baseline_val, rounds: range | None = None) -> DataFrame:
     """Random search as ONE plan (A4, A5, A7): every round's population is
     independent, so all ``(R+1) * P`` candidates are scored in a single pass;
     the stop rule becomes a running maximum over rounds.
@@ -184,8 +188,10 @@ def random_plan(abt: Abt, cfg: SearchConfig, model, baseline_val) -> DataFrame:
     the reference's loop would have run.
     """
     spark = abt.df.sparkSession
-    n, rounds = cfg.population_size, cfg.max_generation + 1
-    pop = popops.init(spark, n * rounds, abt.d, cfg.seed, 0, "random")
+    n = cfg.population_size
+    pop = popops.init(spark, n * (cfg.max_generation + 1), abt.d, cfg.seed, 0, "random")
+    if rounds is not None:
+        pop = pop.where(F.col("chrom_id").between(rounds.start * n, rounds.stop * n - 1))
     sc = fitness.score(abt.df, pop, model, cfg.metric).withColumn("gen", (F.col("chrom_id") / n).cast("int"))
     w = Window.partitionBy("gen").orderBy(F.col("score").desc_nulls_last(), F.col("chrom_id"))  # P rows per round
     firsts = sc.withColumn("r", F.row_number().over(w)).where("r = 1").select("gen", F.col("genes").alias("best_genes"))
@@ -202,15 +208,26 @@ def random_plan(abt: Abt, cfg: SearchConfig, model, baseline_val) -> DataFrame:
 
 
 def random_search(abt: Abt, cfg: SearchConfig, model, base: dict, store=None) -> SearchResult:
+    """Random search in passes of ``ROUNDS_PER_PASS`` rounds; the pass that
+    meets the threshold is the last, and no round is scored if the baseline
+    meets it. A round's time is its share of the rounds its pass scored."""
     res = SearchResult(cfg, baseline=base)
-    t0 = time.time()
-    hist = random_plan(abt, cfg, model, base["val"]).orderBy("gen").collect()  # R+1 rows
-    per_round = (time.time() - t0) / max(len(hist), 1)
-    for r in hist:
-        res.history.append({
-            "gen": r["gen"], "time_s": per_round, "avg": r["avg"], "best": r["best"], "worst": r["worst"],
-            "best_so_far": r["best_so_far"], "best_genes": list(r["best_genes"]),
-        })
+    last = base["val"]
+    for first in range(0, cfg.max_generation + 1, ROUNDS_PER_PASS):
+        if last is not None and last >= cfg.stopping_threshold:
+            break
+        rounds = range(first, min(first + ROUNDS_PER_PASS, cfg.max_generation + 1))
+        t0 = time.time()
+        hist = random_plan(abt, cfg, model, None, rounds).orderBy("gen").collect()  # a row per round
+        per_round = (time.time() - t0) / len(rounds)
+        so_far = res.history[-1]["best_so_far"] if res.history else None
+        for r in hist:
+            best = [v for v in (so_far, r["best_so_far"]) if v is not None]
+            res.history.append({
+                "gen": r["gen"], "time_s": per_round, "avg": r["avg"], "best": r["best"], "worst": r["worst"],
+                "best_so_far": max(best, default=None), "best_genes": list(r["best_genes"]),
+            })
+        last = res.history[-1]["best_so_far"] if res.history else last
     if store is not None and res.history:
         store.append_history(cfg.run_id, res.history)
     if not res.history:
@@ -291,8 +308,8 @@ def resume(spark: SparkSession, abt: Abt, store, run_id: str, model=None) -> Sea
         pop = popops.init(spark, cfg.population_size, abt.d, cfg.seed)
     elif _continues(hist[-1]["best"], gen, cfg):  # otherwise the run had already stopped
         pop = pops.where(F.col("gen") == gen).select("chrom_id", "genes")
-        if pop.limit(1).count() == 0:
-            raise ValueError(f"run {run_id!r} has no stored population for generation {gen}")
+        if (stored := pop.count()) != cfg.population_size:
+            raise ValueError(f"run {run_id!r} has {stored} of {cfg.population_size} chromosomes for generation {gen}")
     base = baseline(abt, model, cfg.metric)
     res = genetic(abt, cfg, model, base, store, start={"pop": pop, "gen": gen, "history": hist})
     res.best_genes = res.best_genes if res.history else [1] * abt.d

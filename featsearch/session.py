@@ -66,12 +66,6 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     return path
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 _SHIPPED: set = set()
 
 
@@ -127,14 +121,14 @@ class Payload:
 
 
 # Scoring and fitting passes emit P rows per task, so their shuffle grows with
-# the number of tasks, not with the data. Inputs split finer than this many
-# tasks per core are coalesced (no shuffle: each task reads several splits).
-TASKS_PER_CORE = 4
+# the number of tasks, not with the data. Inputs split finer than this are
+# coalesced (no shuffle: each task reads several splits).
+MAX_SCORING_TASKS = 4096
 
 
 def bounded_tasks(df: DataFrame) -> DataFrame:
-    """Cap the task count of a per-task-emitting pass at TASKS_PER_CORE x cores."""
-    spark = df.sparkSession
-    conf = spark.conf.get("spark.featsearch.maxScoringTasks", None)
-    cap = int(conf) if conf else TASKS_PER_CORE * spark.sparkContext.defaultParallelism
-    return df.coalesce(cap) if df.rdd.getNumPartitions() > cap else df
+    """Cap the tasks of a per-task-emitting pass at ``spark.featsearch.maxScoringTasks``.
+
+    ``coalesce`` never adds partitions, so nothing is counted first.
+    """
+    return df.coalesce(int(df.sparkSession.conf.get("spark.featsearch.maxScoringTasks", str(MAX_SCORING_TASKS))))

@@ -59,28 +59,27 @@ def prepare(
         df = df.withColumn("_row_id", F.monotonically_increasing_id())
         id_col = "_row_id"
     feats = [c for c in df.columns if c not in (label_col, id_col)]
-    cats = encode.categorical_columns(df.select(*feats))
+    cats = encode.categorical_columns(df, exclude=(label_col, id_col))
     nums = [c for c in feats if c not in cats]
-    df, oh_names = encode.one_hot(df, cats, max_levels)
-    names = nums + oh_names
+    feats_col, names = encode.features(df, nums, cats, max_levels)
     if len(names) > MAX_FEATURES:
         raise ValueError("too many features")
+    label = encode.quoted(label_col)
     if positive is not None:
-        y = (F.col(label_col) == F.lit(positive)).cast("int")
+        y = (label == F.lit(positive)).cast("int")
     else:
         lv = encode.levels(df, label_col)
         if len(lv) != 2:
             raise ValueError(f"label {label_col!r} has {len(lv)} classes; give positive= to binarise")
-        y = encode.label_codes(df, label_col).cast("int")
-    feats_col = encode.pack(names)
+        y = encode.label_codes(df, label_col, lv=lv).cast("int")
     if fill_value is not None:
         feats_col = F.transform(feats_col, lambda x: F.coalesce(x, F.lit(float(fill_value))))
     else:
         feats_col = F.when(F.exists(feats_col, lambda x: x.isNull()),
                            F.raise_error(F.lit("null feature value; give fill_value"))).otherwise(feats_col)
     out = df.select(
-        F.col(id_col).alias("row_id"),
-        F.when(F.col(label_col).isNull(), F.raise_error(F.lit("null label"))).otherwise(y).alias("y"),
+        encode.quoted(id_col).alias("row_id"),
+        F.when(label.isNull(), F.raise_error(F.lit("null label"))).otherwise(y).alias("y"),
         feats_col.alias("features"),
     )
     return out, names
@@ -155,17 +154,23 @@ def raw_lineitem(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]
 def raw_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels")
-    j = docs.join(labels.select("doc_id", "quality"), "doc_id")
-    base = j.select(
-        F.col("doc_id").alias("row_id"),
-        F.col("quality").cast("int").alias("y"),
+
+    def occurring(chars):
+        return F.length("text") - F.length(F.translate("text", chars, ""))
+
+    # the numbers first: the text itself is never shuffled
+    measured = docs.select(
+        "doc_id",
         F.col("n_chars").cast("double").alias("n_chars"),
-        F.regexp_count("text", F.lit(DOC_WORD)).cast("double").alias("n_words"),
-        F.regexp_count("text", F.lit("[0-9]")).cast("double").alias("n_digits"),
-        (F.regexp_count("text", F.lit("\n")) + 1).cast("double").alias("n_lines"),
+        (F.length(F.regexp_replace("text", DOC_WORD, "x")) - occurring(" \t\n\r")).cast("double").alias("n_words"),
+        occurring("0123456789").cast("double").alias("n_digits"),
+        (occurring("\n") + 1).cast("double").alias("n_lines"),
         "lang",
         "source",
     )
+    base = measured.join(labels.select("doc_id", F.col("quality").cast("int").alias("y")), "doc_id").withColumnRenamed(
+        "doc_id", "row_id"
+    )
     nums = ["n_chars", "n_words", "n_digits", "n_lines"]
     base, oh = encode.one_hot(base, ["lang", "source"])
     names = nums + oh

@@ -1,4 +1,8 @@
-"""Run store: append-only Parquet tables of experiment results.
+"""Run store: Parquet tables of experiment results.
+
+History and populations are partitioned by run and generation, and a
+generation that is written again replaces itself: a run that stopped between
+two writes and is resumed leaves no row twice.
 
 Layout under one root (any Hadoop path; shared storage on a cluster)::
 
@@ -59,19 +63,27 @@ class RunStore:
             CONFIG_SCHEMA,
         )
 
+    def _replace(self, name: str, df: DataFrame) -> None:
+        """Write whole ``(run_id, gen)`` partitions: writing one again replaces it."""
+        df.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "run_id", "gen"
+        ).parquet(self._path(name))
+
     def append_history(self, run_id: str, rows: list[dict]) -> None:
-        self._append(
+        self._replace(
             "history",
-            [(run_id, r["gen"], r["time_s"], r["avg"], r["best"], r["worst"], r.get("best_so_far"), r["best_genes"])
-             for r in rows],
-            HISTORY_SCHEMA,
+            self.spark.createDataFrame(
+                [(run_id, r["gen"], r["time_s"], r["avg"], r["best"], r["worst"], r.get("best_so_far"), r["best_genes"])
+                 for r in rows],
+                HISTORY_SCHEMA,
+            ),
         )
 
     def write_population(self, run_id: str, gen: int, pop: DataFrame) -> None:
         """The (P-row) population to be scored at ``gen``; lets a run resume."""
-        pop.select(F.lit(run_id).alias("run_id"), F.lit(gen).alias("gen"), "chrom_id", "genes").coalesce(1).write.mode(
-            "append"
-        ).parquet(self._path("populations"))
+        self._replace(
+            "populations", pop.select(F.lit(run_id).alias("run_id"), F.lit(gen).alias("gen"), "chrom_id", "genes")
+        )
 
     def populations(self) -> DataFrame:
         return self._read("populations", POPULATION_SCHEMA)
@@ -83,11 +95,19 @@ class RunStore:
             TEST_SCHEMA,
         )
 
+    def _exists(self, path: str) -> bool:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+
     def _read(self, name: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(self._path(name))
-        except Exception:  # noqa: BLE001  (no run written yet)
+        """A table; empty if the store exists and has no such table yet.
+
+        A store that does not exist or cannot be read raises.
+        """
+        if self._exists(self.root) and not self._exists(self._path(name)):
             return self.spark.createDataFrame([], schema)
+        columns = [f.strip().split()[0] for f in schema.split(",")]
+        return self.spark.read.schema(schema).parquet(self._path(name)).select(*columns)
 
     def configs(self) -> DataFrame:
         return self._read("configs", CONFIG_SCHEMA)
