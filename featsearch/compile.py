@@ -43,7 +43,7 @@ def compile_store(spark: SparkSession, store_root: str | None, out: str, backend
     runs = R.with_placeholders(c, h, t)
     comp = R.compiled(c, h, t)
     datasets = sorted(r[0] for r in comp.select("dataset").distinct().collect())
-    algorithms = sorted(r[0] for r in comp.select("algorithm").distinct().collect())
+    algorithms = R.in_order((r[0] for r in comp.select("algorithm").distinct().collect()), R.ALGORITHM_ORDER)
     tables = {
         "runs": runs.withColumn("best_genes", bitstring(F.col("best_genes"))),
         "metrics": R.round_display(
@@ -58,7 +58,7 @@ def compile_store(spark: SparkSession, store_root: str | None, out: str, backend
     }
     counts = {}
     for name, df in tables.items():
-        df.coalesce(1).write.mode("overwrite").option("header", True).csv(os.path.join(out, name))
+        df.write.mode("overwrite").option("header", True).csv(os.path.join(out, name))
         counts[name] = spark.read.option("header", True).csv(os.path.join(out, name)).count()
     return counts
 

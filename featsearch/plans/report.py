@@ -23,6 +23,11 @@ def display_name(col) -> F.Column:
     return F.when(c == "BASELINE METRICS", F.lit("BASELINE")).otherwise(c)
 
 
+def in_order(found, order) -> list[str]:
+    """``found`` in the fixed display order, others after it by name (T5)."""
+    return sorted(found, key=lambda x: (order.index(x) if x in order else len(order), x))
+
+
 def run_label(col: str = "started_at") -> F.Column:
     """A run's start time in the reference's folder-name format."""
     return F.date_format(F.col(col), "dd.MM.yyyy_HH.mm.ss.SSSSSS")
@@ -89,8 +94,10 @@ def metrics_long(df: DataFrame) -> DataFrame:
 def metrics_pivot(df: DataFrame, datasets: list[str], models=None, algorithms=None) -> DataFrame:
     """Rows (model, algorithm, metric), one column per dataset; combinations
     without runs are kept as nulls by joining onto the label grid (R5, J7, T5)."""
-    models = list(models or sorted(r[0] for r in df.select("model").distinct().collect()))
-    algorithms = list(algorithms or sorted(r[0] for r in df.select("algorithm").distinct().collect()))
+    models = list(models or in_order((r[0] for r in df.select("model").distinct().collect()), MODEL_ORDER))
+    algorithms = list(
+        algorithms or in_order((r[0] for r in df.select("algorithm").distinct().collect()), ALGORITHM_ORDER)
+    )
     spark = df.sparkSession
     grid = spark.createDataFrame(
         [(m, a, k, i * 10_000 + j * 10 + n) for i, m in enumerate(models) for j, a in enumerate(algorithms)
