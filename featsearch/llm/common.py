@@ -56,6 +56,18 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner") ->
     )
 
 
+#: Narrow rows that are broadcast at most (under 32 MB).
+SMALL = 1 << 20
+
+
+def join_sized(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Equi-join with a stored narrow table: broadcast if it has at most
+    ``SMALL`` rows, otherwise ``join_hot``."""
+    if right.count() <= SMALL:
+        return left.join(F.broadcast(right), key, how)
+    return join_hot(left, right, key, how)
+
+
 def python_ready(spark: SparkSession, rows: int = 1000) -> None:
     """Ship this package to Python workers; bound Arrow batches to ``rows``
     records and 16 MB."""

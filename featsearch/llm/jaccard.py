@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from featsearch.llm.common import join_hot, python_ready, stored
+from featsearch.llm.common import SMALL, join_hot, join_sized, python_ready, stored
 from featsearch.llm.graph import components
 from featsearch.llm.shingles import shingle_set
 
@@ -47,8 +47,6 @@ FREQUENT = 1 << 16
 BLOCK = 1024
 #: Rounds go on while the last found one in so many of all links.
 FEW = 32
-#: Ids that are broadcast at most (8 MB).
-SMALL = 1 << 20
 #: Sets of a task whose copies are not posted again, and counters of a task.
 SEEN, COUNTERS = 1 << 18, 1 << 18
 _SIZE = 1 << 31
@@ -208,7 +206,7 @@ def _met(rows: DataFrame, labels: DataFrame | None, turn: int, percent: int) ->
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    return join_hot(rows, labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    return join_sized(rows, labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
 def _possible(pairs: DataFrame, percent: int) -> DataFrame:
@@ -332,7 +330,7 @@ def classes(docs: DataFrame, id_col="doc_id", text_col="text", percent: int = PE
     named = surveyed.where("col is null").select("id", "n_shingles", "node")
     labels = components(links(docs, frequent(surveyed), text_col, percent))
     full = stored(
-        join_hot(named, labels, "node", "left").select("id", "n_shingles", F.coalesce("comp", "node").alias("comp"))
+        join_sized(named, labels, "node", "left").select("id", "n_shingles", F.coalesce("comp", "node").alias("comp"))
     )
     least = full.where("comp is not null").groupBy("comp").agg(F.min("id").alias("component_id"))
     return join_hot(full, least, "comp", "left").select(
