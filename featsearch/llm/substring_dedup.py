@@ -108,10 +108,13 @@ def bit_table(shared: DataFrame) -> np.ndarray:
 
 
 def _candidates(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    m = _minimizers(hashes)
-    found = np.ones(len(m), bool)
+    return _holds(table, _minimizers(hashes))
+
+
+def _holds(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    found = np.ones(len(keys), bool)
     for i in range(PROBES):
-        bit = _probe(m, i)
+        bit = _probe(keys, i)
         found &= (table[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
     return found
 
@@ -154,8 +157,10 @@ def pieces(rows: DataFrame, table: np.ndarray) -> DataFrame:
     return rows.select("doc", "version", "text").mapInArrow(run, kinds)
 
 
-def _edges(left: DataFrame) -> DataFrame:
-    """``a, b, doc, version, at``: the edges of the pieces that are left."""
+def _edges(left: DataFrame, table: np.ndarray | None = None) -> DataFrame:
+    """``a, b, doc, version, at``: the edges of the pieces that are left, of
+    those only which a bit table holds, if one is given."""
+    shared = None if table is None else left.sparkSession.sparkContext.broadcast(table)  # 16 MB
 
     def run(batches):
         for p in batches:
@@ -165,10 +170,12 @@ def _edges(left: DataFrame) -> DataFrame:
             every = np.frombuffer(b"".join(p["edges"].to_pylist()), np.dtype([("a", "<u8"), ("b", "<u4")]))
             begin = np.cumsum(n) - n
             at = np.repeat(p["start"].to_numpy() - begin, n) + np.arange(len(every))
+            a = np.ascontiguousarray(every["a"])
+            keep = np.ones(len(a), bool) if shared is None else _holds(shared.value, a)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(every["a"].view(np.int64)), pa.array(every["b"].astype(np.int64)),
-                 pa.array(np.repeat(p["doc"].to_numpy(), n)), pa.array(np.repeat(p["version"].to_numpy(), n)),
-                 pa.array(at.astype(np.int32))],
+                [pa.array(a[keep].view(np.int64)), pa.array(every["b"][keep].astype(np.int64)),
+                 pa.array(np.repeat(p["doc"].to_numpy(), n)[keep]), pa.array(np.repeat(p["version"].to_numpy(), n)[keep]),
+                 pa.array(at[keep].astype(np.int32))],
                 ["a", "b", "doc", "version", "at"],
             )
 
@@ -188,12 +195,36 @@ def spans(rows: DataFrame) -> DataFrame:
         )
     )
     whole = met.where("removed").select("doc", "version", "start", "n", "source")
-    left = _edges(met.where("not removed"))
-    repeated = left.groupBy("a", "b").agg(F.min("doc").alias("source"), F.max("doc").alias("last")).where("source < last")
-    single = join_hot(left, repeated.select("a", F.col("b").alias("b2"), "source"), "a").where("b = b2 and source < doc")
+    left = met.where("not removed")
+    ends = _edges(left).groupBy("a", "b").agg(F.min("doc").alias("source"), F.max("doc").alias("last"))
+    repeated = stored(ends.where("source < last").select("a", "b", "source"))
+    # only edges that some other document has go to the join
+    several = _edges(left, bit_table(repeated.select(F.col("a").alias("minimizer"))))
+    single = join_hot(several, repeated.select("a", F.col("b").alias("b2"), "source"), "a").where("b = b2 and source < doc")
     return whole.unionByName(single.select("doc", "version", F.col("at").alias("start"), F.lit(1).alias("n"), "source"))
 
 
+def _merged(batches):
+    """Spans of a document in order; neighbours of one source become one."""
+    for b in batches:
+        lists = b["spans"]
+        flat, ends = lists.flatten(), lists.offsets.to_numpy()
+        start, n, source = (flat.field(i).to_numpy() for i in range(3))
+        row = np.repeat(np.arange(b.num_rows), np.diff(ends))
+        order = np.lexsort((start, source, row))
+        row, start, n, source = row[order], start[order], n[order], source[order]
+        joins = (row[1:] == row[:-1]) & (source[1:] == source[:-1]) & (start[1:] == start[:-1] + n[:-1])
+        first = np.flatnonzero(np.concatenate([[True], ~joins])) if len(row) else np.zeros(0, np.int64)
+        total = np.add.reduceat(n, first) if len(first) else n
+        kinds = pa.struct([("start", pa.int32()), ("n", pa.int32()), ("source", pa.int64())])
+        merged = pa.StructArray.from_arrays(
+            [pa.array(start[first], pa.int32()), pa.array(total, pa.int32()), pa.array(source[first], pa.int64())],
+            fields=list(kinds),
+        )
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(row[first], minlength=b.num_rows))]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([b["doc"], b["version"], pa.ListArray.from_arrays(bounds, merged)], b.schema.names)
+
+
 def dedup(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """``id, n_words, n_removed, kept, spans`` of every document.
 
@@ -202,9 +233,9 @@ def dedup(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     to the texts.
     """
     rows = _rows(docs, id_col, text_col)
-    cuts = stored(
-        spans(rows).groupBy("doc", "version").agg(F.collect_list(F.struct("start", "n", "source")).alias("spans"))
-    )
+    grouped = spans(rows).groupBy("doc", "version").agg(F.collect_list(F.struct("start", "n", "source")).alias("spans"))
+    kinds = "doc long, version long, spans array<struct<start:int,n:int,source:bigint>>"
+    cuts = stored(grouped.mapInArrow(_merged, kinds))
     few = (cuts.agg(F.sum(F.size("spans"))).first()[0] or 0) <= SMALL
     kind = "struct<n_words:bigint,n_removed:bigint,kept:string>"
 
