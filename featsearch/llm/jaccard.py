@@ -124,7 +124,8 @@ def postings(docs: DataFrame, often, text_col="text", percent: int = PERCENT) ->
     """``col, node, packed, block`` of the leading columns of every set.
 
     ``packed`` holds the set's size and the place of the column in it; a
-    column counted more than ``BLOCK`` times is cut in blocks.
+    column counted ``BLOCK`` times or more is cut in blocks 1, 2, ...; block 0
+    is a whole column.
     """
     shared = docs.sparkSession.sparkContext.broadcast(often)  # at most 1.5 MB
 
@@ -145,14 +146,15 @@ def postings(docs: DataFrame, often, text_col="text", percent: int = PERCENT) ->
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
                     rank = np.where(keys[at] == s, ranks[at], 0)
-                    block = np.where(keys[at] == s, node % (counts[at] // BLOCK + 1), 0)
+                    cut = (keys[at] == s) & (counts[at] >= BLOCK)
+                    block = np.where(cut, node % (counts[at] // BLOCK + 1) + 1, 0)
                 first = np.lexsort((s, rank))[: len(s) + 1 + (-percent * len(s)) // 100]
                 out.append((s[first], node, len(s) * _SIZE + np.arange(len(first)), block[first]))
             if out:
-                cols, ids, packed, cut = zip(*out, strict=True)
+                cols, ids, packed, blocks = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(cols).view(np.int64)), pa.array(np.repeat(ids, [len(c) for c in cols])),
-                     pa.array(np.concatenate(packed)), pa.array(np.concatenate(cut))],
+                     pa.array(np.concatenate(packed)), pa.array(np.concatenate(blocks))],
                     ["col", "node", "packed", "block"],
                 )
 
@@ -172,11 +174,12 @@ def _place(packed: Column) -> Column:
 def shared_postings(posted: DataFrame) -> DataFrame:
     """``col, node, packed`` without the columns of one set alone.
 
-    Columns in several blocks are kept whole.
+    Columns in several blocks are kept whole: the blocks come from counts over
+    all documents, so a set can be alone in its block and not in its column.
     """
     n = int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     w = Window.partitionBy("col", "block")
-    several = (F.min("node").over(w) != F.max("node").over(w)) | (F.max("block").over(w) > 0)
+    several = (F.min("node").over(w) != F.max("node").over(w)) | (F.col("block") > 0)
     dealt = posted.repartition(n, "col", "block").select("col", "node", "packed", "block", several.alias("several"))
     return stored(dealt.where("several").select("col", "node", "packed").distinct())
 

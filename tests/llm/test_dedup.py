@@ -68,6 +68,20 @@ def test_jaccard_group_of_near_copies_in_blocks(spark, monkeypatch):
     assert {r.id: r.component_id for r in got} == {r[0]: c for r, c in zip(rows, classes)}
 
 
+def test_jaccard_few_sets_in_many_blocks(spark, monkeypatch):
+    """Exact copies raise a column's count, so its few sets may be alone in their blocks."""
+    rows = []
+    for g in range(24):
+        base = [f"g{g}w{i}" for i in range(60)]
+        texts = [" ".join(base)] * 20
+        for k in range(1 + g % 3):  # one to three near copies
+            texts.append(" ".join([*base[: 58 - k], f"g{g}x{k}", *base[59 - k :]]))
+        rows += [(100 * g + i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    got = jaccard.classes(frame(spark, rows)).collect()
+    assert {r.id: r.component_id for r in got} == {r[0]: 100 * (r[0] // 100) for r in rows}
+
+
 def test_jaccard_keep_one(spark):
     rows = [r for r in documents(seed=8, n=120)]
     classes, _ = near_classes(rows)
