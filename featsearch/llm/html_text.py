@@ -15,7 +15,11 @@ one, else the smallest subtree that holds all content.
 
 Elements that never belong to an article (menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, reader comments; by tag, role, and
-words of class or id) take no part and are left out of the text.
+words of class or id) take no part and are left out of the text. Layout wrappers
+that are named after such an element stay: tokens like ``has-sidebar`` or
+``content-sidebar-wrap`` are not its name, and an element dropped for a word (of
+reader comments excepted) stays if it holds ``main``, or most of the page's text
+outside links and either an ``article``, an ``h1`` or only longer names.
 
 Defined results: null, empty and textless pages give an empty text; markup
 that never closes runs to the end of the page; white space inside a block
@@ -68,6 +72,13 @@ DROPPED_WORDS = frozenset(
     "consent gdpr notice notices notification alert popup modal newsletter subscribe signup login comment comments "
     "disqus reply replies share sharing social related recommended pagination pager toolbar widget skip".split()
 )
+COMMENT_WORDS = frozenset("comment comments disqus reply replies".split())
+#: Parts of a token that says what a wrapper has or lacks, and that names a wrapper of the content.
+LAYOUT_WORDS = frozenset("has have no non not with without".split())
+WRAP_WORDS = frozenset("wrap wrapper container layout".split())
+CONTENT_WORDS = frozenset("content article".split())
+#: Why an element is dropped: its nature, a word in a longer name, its name, reader comments.
+HARD, PART, NAME, COMMENT = 1, 2, 3, 4
 _P_CLOSERS = frozenset(
     "address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 "
     "h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
@@ -83,37 +94,71 @@ _SCOPES = frozenset("table td th caption button object html body template articl
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "runs", "chars", "link_chars", "tags", "link_tags", "density", "sum", "open")
+    __slots__ = ("tag", "parent", "children", "dropped", "runs", "chars", "link_chars", "tags", "link_tags", "density", "sum", "open", "why")
 
-    def __init__(self, tag, parent, dropped):
-        self.tag, self.parent, self.dropped, self.children, self.runs = tag, parent, dropped, [], []
+    def __init__(self, tag, parent, why):
+        self.tag, self.parent, self.why, self.children, self.runs = tag, parent, why, [], []
+        self.dropped = False
         self.chars = self.link_chars = self.link_tags = 0
         self.tags = 1
         self.density = self.sum = 0.0
         self.open = True
 
 
-def _is_dropped(tag: str, attrs: str) -> bool:
+def _named(value: str) -> int:
+    """Why a class or id is furniture; 0 if no token of it names any."""
+    why = 0
+    for token in value.split():
+        parts = set(re.split(r"[^a-z0-9]+", token)) - {""}
+        words = parts & DROPPED_WORDS
+        if not words or parts & LAYOUT_WORDS or parts & WRAP_WORDS and parts & CONTENT_WORDS:
+            continue
+        why = max(why, COMMENT if words & COMMENT_WORDS else NAME if words == parts else PART)
+    return why
+
+
+def _why(tag: str, attrs: str) -> int:
     if tag in DROPPED:
-        return True
+        return HARD
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return 0
+    why = 0
     for m in ATTRIBUTE.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id") and not DROPPED_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
+        if name in ("class", "id"):
+            why = max(why, _named(value))
         if name == "role" and value in DROPPED_ROLES:
-            return True
+            return HARD
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return HARD
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return HARD
+    return why
+
+
+def _drop(root: Node) -> None:
+    """Mark the dropped nodes; wrappers that hold the page's content are not."""
+    order = _preorder(root)
+    text, has = {}, {}  # characters outside links, and tags that mark content
+    for n in reversed(order):
+        if n.why == HARD:
+            text[id(n)], has[id(n)] = 0, set()
+            continue
+        text[id(n)] = n.chars - n.link_chars + sum(text[id(c)] for c in n.children)
+        has[id(n)] = set().union(*(has[id(c)] for c in n.children if has[id(c)]))
+        if n.tag in ("main", "article", "h1"):
+            has[id(n)].add(n.tag)
+    for n in order:
+        holds = "main" in has[id(n)] or (
+            2 * text[id(n)] > text[id(root)] and (n.why == PART or bool(has[id(n)]))
+        )
+        stays = not n.why or n.why in (PART, NAME) and holds
+        n.dropped = not stays or n.parent is not None and n.parent.dropped
 
 
 def parse(page: str) -> Node:
     """The block elements of a page; a run is text between block boundaries."""
-    root = node = Node("#page", None, False)
+    root = node = Node("#page", None, 0)
     open_inline: list[tuple[str, Node, bool]] = []  # inline elements, and whether they hide their text
     hidden = 0
     is_open: Counter = Counter()  # open elements by name: what is not open is not searched for
@@ -196,7 +241,7 @@ def parse(page: str) -> Node:
             elif tag in INLINE:
                 node.tags += 1
                 node.link_tags += tag == "a"
-                open_inline.append((tag, node, _is_dropped(tag, attrs)))
+                open_inline.append((tag, node, _why(tag, attrs) > 0))
                 is_open[tag] += 1
                 hidden += open_inline[-1][2]
             else:
@@ -210,11 +255,12 @@ def parse(page: str) -> Node:
                         break
                     up = up.parent
                 flush()
-                child = Node(tag, node, node.dropped or _is_dropped(tag, attrs))
+                child = Node(tag, node, _why(tag, attrs))
                 node.children.append(child)
                 is_open[tag] += 1
                 node = child
     flush()
+    _drop(root)
     return root
 
 

@@ -70,6 +70,31 @@ def test_html():
     assert html_text.main_text(deep) == "xy"
 
 
+STORY = "<h1>Title</h1><p>The story is told here in some words.</p><p>It goes on for a while.</p>"
+TOLD = "Title The story is told here in some words. It goes on for a while."
+
+
+@pytest.mark.parametrize("open_tag", [
+    '<div class="site-content has-sidebar">', '<div id="content" class="no-sidebar">', '<div class="content-sidebar-wrap">',
+    '<div class="with-header layout">', '<div class="sidebar-right">', '<div class="widget">',
+])
+def test_html_layout_wrappers_stay(open_tag):
+    side = '<div class="sidebar">Side words</div><div class="related-posts"><p>Read this too</p></div>'
+    for inner in (STORY, f"<article>{STORY}</article>", f"<main>{STORY}</main>"):
+        assert html_text.main_text(f"<body>{open_tag}{inner}{side}</div><div class=ad>Buy</div></body>") == TOLD
+
+
+def test_html_named_furniture_goes():
+    long = "many words of no article " * 20
+    for name in ("comments", "comments-area", "comment-list"):
+        page = f'<body><div>{STORY}</div><div class="{name}"><article>{long}</article></div></body>'
+        assert html_text.main_text(page) == TOLD
+    for name in ("sidebar", "widget-area", "related-posts", "site-header", "footer-wrap", "ad"):
+        page = f'<body><div>{STORY}</div><div class="{name}"><p>Other words</p></div></body>'
+        assert html_text.main_text(page) == TOLD
+    assert html_text.main_text('<body><div class="ad">Buy this</div></body>') == ""
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "t"), (1, "u", PAGE, "t"), (None, None, None, "t")], "page_id long, url string, html string, text string")
     got = html_text.extract(df).collect()
