@@ -3,9 +3,11 @@
 ``train`` counts character transitions over the whole corpus: those inside the
 values that the patterns match are the labelled sample of random strings, all
 others the sample of ordinary words and identifiers. ``scan`` reports the
-pattern matches of every text and, beside them, each token of 20 or more
-characters, 8 of them different, that no pattern touches and whose log-likelihood under the random
-model exceeds that under the ordinary model by ``MARGIN`` nats or more.
+pattern matches of every text and, beside them, each token or part of a token
+outside the pattern spans of ``LEAST`` or more characters, ``DIFFERENT`` of them
+different, whose log-likelihood under the random model exceeds that under the
+ordinary model by ``MARGIN`` nats or more. The character that joins a part to a
+pattern span before it does not belong to the part.
 
 Defined results: a null or empty text has no spans; spans count code points,
 end exclusive; overlapping matches of different kinds are all reported; rows
@@ -36,7 +38,8 @@ KINDS = ("assign", "access", "hex", "random")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 STATES = len(ALPHABET) + 1  # 0: any other character, the boundary
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+LEAST = 16
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 #: Rules and dividers repeat a few characters; a secret does not.
 DIFFERENT = 8
 #: Nats by which a token must look more random than ordinary.
@@ -127,15 +130,28 @@ def spans_of(text: str, models: dict[str, np.ndarray], margin: float = MARGIN) -
     """All spans of a text: pattern matches, then random tokens beside them."""
     spans = pattern_spans(text)
     extra = [
-        (m.start(), 3, m.end())
+        (start, 3, end)
         for m in TOKEN.finditer(text)
-        if len(set(m[0])) >= DIFFERENT
-        and ratio(models, m[0]) >= margin
-        and not any(s < m.end() and m.start() < e for s, _, e in spans)
+        for start, end in _outside(text, m.start(), m.end(), spans)
+        if end - start >= LEAST
+        and len(set(text[start:end])) >= DIFFERENT
+        and ratio(models, text[start:end]) >= margin
     ]
     return sorted(spans + extra)
 
 
+def _outside(text: str, start: int, end: int, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of ``text[start:end]`` outside the spans, which are in order."""
+    parts, after = [], False
+    for s, _, e in [*spans, (end, 3, end)]:
+        if e <= start or s > end:
+            continue
+        if s > start:
+            parts.append((start + (after and text[start] in "+/_=-"), s))
+        start, after = e, True
+    return parts
+
+
 def scan(docs: DataFrame, models=None, id_col="doc_id", text_col="text", margin: float = MARGIN) -> DataFrame:
     """``id`` and ``spans``, an array of ``kind, start, end`` in page order."""
     models = models or train(docs, text_col)
