@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featsearch.llm import bpe, chat, exact_dedup, html_text, jaccard, mixing, quality, secrets, substring_dedup, toxicity, whitening
+from featsearch.llm import alignment, bpe, chat, exact_dedup, html_text, jaccard, mixing, quality, secrets, substring_dedup, toxicity, whitening
 from featsearch.llm.common import table
 
 
@@ -192,6 +192,14 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.windows(turns.unionByName(more)))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path
+    rows = alignment.alignment(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
+    return rows.drop("pairs", "times").withColumnRenamed("id", "doc_id")
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
     return rows.withColumnRenamed("id", "vec_id").withColumn("deviation", F.col("deviation").cast("long"))
@@ -201,7 +209,7 @@ SPARK = {
     f.__name__: f
     for f in (
         op1_secrets, op2_mixing, op3_html_text, op4_quality, op5_exact_dedup, op6_ngram_jaccard, op7_substring_dedup, op8_toxicity,
-        op9_chat, op10_bpe, op13_whitening,
+        op9_chat, op10_bpe, op11_alignment, op13_whitening,
     )
 }
 ORACLE = {"op2_mixing": OP2_SQL, "op4_quality": OP4_SQL, "op5_exact_dedup": OP5_SQL}
