@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featsearch.llm import alignment, bpe, chat, exact_dedup, html_text, jaccard, mixing, quality, secrets, substring_dedup, toxicity, whitening
+from featsearch.llm import (
+    alignment, bpe, chat, exact_dedup, html_text, jaccard, mixing, ngram_model, quality, secrets, substring_dedup, toxicity, whitening,
+)
 from featsearch.llm.common import table
 
 
@@ -200,6 +202,16 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop("pairs", "times").withColumnRenamed("id", "doc_id")
 
 
+def op12_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, learn = table(spark, sf_dir, "documents"), ~ngram_model.held_out(F.col("doc_id"))
+    model = ngram_model.train(docs, learn)
+    rows = ngram_model.score(docs, model, learn)
+    return rows.select(
+        F.col("id").alias("doc_id"), (~F.col("learn")).alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.words.n).cast("long").alias("train_tokens"), "base_score", "score",
+    )
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
     return rows.withColumnRenamed("id", "vec_id").withColumn("deviation", F.col("deviation").cast("long"))
@@ -209,7 +221,7 @@ SPARK = {
     f.__name__: f
     for f in (
         op1_secrets, op2_mixing, op3_html_text, op4_quality, op5_exact_dedup, op6_ngram_jaccard, op7_substring_dedup, op8_toxicity,
-        op9_chat, op10_bpe, op11_alignment, op13_whitening,
+        op9_chat, op10_bpe, op11_alignment, op12_ngrams, op13_whitening,
     )
 }
 ORACLE = {"op2_mixing": OP2_SQL, "op4_quality": OP4_SQL, "op5_exact_dedup": OP5_SQL}
