@@ -7,10 +7,11 @@ stretch of one-to-one tokens is jumped in a few slice comparisons. Where the
 next ends differ, the side that lags advances token by token until both meet
 again (an irregular group), which gives the group's links and the new shift.
 
-Texts are cut before blanks between two visible characters, at ``CHUNK``
-characters or more: neither tokenizer joins bytes across such a blank (the first
-one's pieces start there, no piece of the second has a blank behind a visible
-character), so a text of any length is encoded in bounded memory.
+Texts are cut before blanks between two visible characters: neither tokenizer
+joins bytes across such a blank (the first one's pieces start there, no piece of
+the second has a blank behind a visible character). So a word is encoded once
+per worker and kept, and a text of any length is aligned in bounded memory, in
+chunks of ``CHUNK`` characters or more.
 
 One pass encodes, aligns and writes a row per document with its different id
 pairs, and a row per batch with the pairs of the batch. Their sums over the
@@ -31,18 +32,22 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from featsearch.llm.bpe import gather
 from featsearch.llm.common import join_hot, python_ready, stored
 from featsearch.session import Payload
 
 CHUNK = 1 << 16
 #: Id pairs that are sent to the tasks (17 bytes each).
 LOOKUP = 1 << 21
+#: Words whose ids a worker keeps.
+KNOWN = 1 << 19
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 FIELDS = "id {}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>, corpus boolean"
 
@@ -152,17 +157,49 @@ class Pair:
             piece = self.b.id_to_piece(i)
             of_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
         self.side_a, self.side_b = Side(of_a), Side(of_b)
-
-    def encode(self, chunks: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Ids of blank + chunk by the first, of the chunk (which adds the blank) by the second."""
-        of_a = self.a.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False)
-        of_b = self.b.encode(chunks, num_threads=1)
-        for x, y in zip(of_a, of_b, strict=True):
-            yield np.array(x.ids, np.int64), np.array(y, np.int64)
-
-    def same(self, text: str, a: np.ndarray, b: np.ndarray) -> bool:
-        whole = b" " + text.encode()
-        return b"".join(self.side_a.tokens[a].tolist()) == whole and b"".join(self.side_b.tokens[b].tolist()) == whole
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.given_back = np.zeros(0, bool)
+        self.pools = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * 2  # ids and their number, by either tokenizer
+
+    def learn(self, words: list[str]) -> None:
+        """Ids of blank + word by the first, of the word (which adds the blank) by the second."""
+        whole = [b" " + w.encode() for w in words]
+        of_a = [x.ids for x in self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
+        given_back = np.ones(len(words), bool)
+        pools = []
+        for side, ids in ((self.side_a, of_a), (self.side_b, self.b.encode(words, num_threads=1))):
+            lengths = np.array([len(i) for i in ids], np.int64)
+            pool = np.fromiter(chain.from_iterable(ids), np.int64, int(lengths.sum()))
+            # equal bytes in a row, of equal lengths word by word; else word by word
+            sizes = np.add.reduceat(np.append(side.lengths[pool], 0), np.cumsum(lengths) - lengths) * (lengths > 0)
+            if b"".join(side.tokens[pool].tolist()) != b"".join(whole) or (sizes != [len(w) for w in whole]).any():
+                given_back &= [b"".join(side.tokens[i].tolist()) == w for i, w in zip(ids, whole, strict=True)]
+            pools.append((pool, lengths))
+        for word in words:
+            self.known[word] = len(self.known)
+        self.given_back = np.concatenate([self.given_back, given_back])
+        self.pools = [tuple(map(np.concatenate, zip(old, new, strict=True))) for old, new in zip(self.pools, pools, strict=True)]
+
+    def encode(self, chunks: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+        """Ids of every chunk on either side (None: bytes are not given back).
+
+        Neither tokenizer joins across the blanks of ``_CUT``, so each word
+        between them is encoded once per ``KNOWN`` words."""
+        words = [_CUT.split(c) for c in chunks]
+        if len(self.known) > KNOWN or sum(len(p) for p, _ in self.pools) > 16 * KNOWN:
+            self.forget()
+        if fresh := list(dict.fromkeys(w for own in words for w in own if w not in self.known)):
+            self.learn(fresh)
+        starts = [np.cumsum(lengths) - lengths for _, lengths in self.pools]
+        for own in words:
+            at = np.array([self.known[w] for w in own])
+            if self.given_back[at].all():
+                yield tuple(gather(pool, start[at], lengths[at]) for (pool, lengths), start in zip(self.pools, starts, strict=True))
+            else:
+                yield None
 
     def written(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> str:
         """Groups as ``a1,a2|b1;a3|b2;``."""
@@ -188,9 +225,9 @@ def cut(text: str) -> list[str]:
     return [*parts, text[at:]]
 
 
-def document(pair: Pair, parts: list[str], encoded: list[tuple[np.ndarray, np.ndarray]]):
+def document(pair: Pair, encoded: list[tuple[np.ndarray, np.ndarray] | None]):
     """Counts, digest and id pairs of one document (None: not given back)."""
-    if not all(pair.same(c, a, b) for c, (a, b) in zip(parts, encoded, strict=True)):
+    if any(ids is None for ids in encoded):
         return None
     digest, pairs, n_a, n_b, n_groups, held = hashlib.sha256(), [], 0, 0, 0, ""
     for a, b in encoded:
@@ -222,7 +259,7 @@ def _aligned(shared: Payload, key: tuple[str, str]):
             parts = [cut(t) if t else [] for t in texts[at:stop]]
             encoded = pair.encode([c for p in parts for c in p])
             for p in parts:
-                yield document(pair, p, [next(encoded) for _ in p]) if p else None
+                yield document(pair, [next(encoded) for _ in p]) if p else None
             at = stop
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
