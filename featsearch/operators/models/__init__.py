@@ -1,9 +1,8 @@
 """Fitness models (the reference's model slot).
 
 A model turns ``(abt, population)`` into confusion counts per chromosome on an
-evaluation split. ``centroid`` and ``logistic`` score a whole population in
-each pass over partitioned rows; ``mlp`` and ``gbt`` fit MLlib estimators one
-chromosome at a time.
+evaluation split. Every model fits and scores a whole population in shared
+passes over partitioned rows.
 """
 
 from __future__ import annotations
@@ -18,8 +17,12 @@ def get(name: str, **kw):
         from featsearch.operators.models.logistic import LogisticModel
 
         return LogisticModel(**kw)
-    if name in ("mlp", "gbt", "xgboost"):
-        from featsearch.operators.models.mllib import MLlibModel
+    if name in ("gbt", "xgboost"):
+        from featsearch.operators.models.trees import TreesModel
 
-        return MLlibModel("gbt" if name == "xgboost" else name, **kw)
+        return TreesModel(**kw)
+    if name == "mlp":
+        from featsearch.operators.models.mlp import MlpModel
+
+        return MlpModel(**kw)
     raise ValueError(f"unknown model {name!r}; valid: centroid, logistic, mlp, gbt (alias xgboost)")
