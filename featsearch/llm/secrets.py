@@ -83,11 +83,15 @@ def _transitions(data: bytes) -> np.ndarray:
 def train(docs: DataFrame, text_col="text") -> dict[str, np.ndarray]:
     """Log transition probabilities of both models, from all documents.
 
+    Labelled random strings are the values of the pattern matches; ordinary is
+    what no rule would judge. Tokens that ``spans_of`` judges are in neither
+    sample, so a secret is not compared with itself.
+
     The collected counts are at most 2 x 68 x 68 rows.
     """
 
     def run(batches):
-        random, every = np.zeros(STATES * STATES, np.int64), np.zeros(STATES * STATES, np.int64)
+        random, every, unlabelled = np.zeros((3, STATES * STATES), np.int64)
         for b in batches:
             for t in b["text"].to_pylist():
                 if t:
@@ -95,7 +99,10 @@ def train(docs: DataFrame, text_col="text") -> dict[str, np.ndarray]:
                     values = _values(t)
                     if values:
                         random += _transitions("\n".join(values).encode())
-        for label, counts in (("random", random), ("ordinary", np.maximum(every - random, 0))):
+                    judged = [t[a:b] for a, b in candidates(t, pattern_spans(t))]
+                    if judged:
+                        unlabelled += _transitions("\n".join(judged).encode())
+        for label, counts in (("random", random), ("ordinary", np.maximum(every - random - unlabelled, 0))):
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([label] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())],
@@ -129,15 +136,18 @@ def ratio(models: dict[str, np.ndarray], token: str) -> float:
 def spans_of(text: str, models: dict[str, np.ndarray], margin: float = MARGIN) -> list[tuple[int, int, int]]:
     """All spans of a text: pattern matches, then random tokens beside them."""
     spans = pattern_spans(text)
-    extra = [
-        (start, 3, end)
+    extra = [(start, 3, end) for start, end in candidates(text, spans) if ratio(models, text[start:end]) >= margin]
+    return sorted(spans + extra)
+
+
+def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Parts of tokens outside the pattern spans that the models judge."""
+    return [
+        (start, end)
         for m in TOKEN.finditer(text)
         for start, end in _outside(text, m.start(), m.end(), spans)
-        if end - start >= LEAST
-        and len(set(text[start:end])) >= DIFFERENT
-        and ratio(models, text[start:end]) >= margin
+        if end - start >= LEAST and len(set(text[start:end])) >= DIFFERENT
     ]
-    return sorted(spans + extra)
 
 
 def _outside(text: str, start: int, end: int, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:

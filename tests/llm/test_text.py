@@ -67,6 +67,21 @@ def test_markov_spans_beside_patterns(spark):
     assert [k for _, k, _ in secrets.spans_of(text, models)] == [1]
 
 
+@pytest.mark.parametrize("copies", [1, 2, 50])
+def test_secrets_do_not_train_the_ordinary_model(spark, copies):
+    names = "calculate total amount for customer userName{0} getItem{0}Count KeyValue Zone{0}Widget QueryPlan "
+    rows = [(i, names.format(i) * 9 + f' token="{HEX}"', "en", "s", 1) for i in range(40)]
+    r = random.Random(7)
+    keys = ["".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789") for _ in range(24)) for _ in range(60)]
+    planted = [(100 + i, "see " + " ".join(keys), "en", "s", 1) for i in range(copies)]
+    plain, models = secrets.train(frame(spark, rows)), secrets.train(frame(spark, rows + planted))
+    plain_steps, steps = plain["ordinary"][1:, 1:], models["ordinary"][1:, 1:]  # words and blanks around them do train
+    at = steps != plain_steps
+    assert at.mean() < 0.05
+    found = [t for s in [secrets.spans_of(planted[0][1], models)] for a, k, b in s for t in [planted[0][1][a:b]]]
+    assert len(set(found) & set(keys)) >= 59
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var x="</p>"</script></head><body>
 <nav><a href=/a>Menu</a></nav><div class="cookie-notice">We use cookies on this long, long page of words</div>
 <aside>Side</aside><div id="content"><h2>Head &amp; line</h2><p>First   <b>bo</b>ld&nbsp;text<br>next</p><p>A
