@@ -69,16 +69,19 @@ class Stack:
         return np.concatenate([np.ones(d * h), np.zeros(h), np.ones(h), [0.0]])
 
     def forward(self, theta: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hidden activations (P, rows, H), rounded, and the output (P, rows)."""
+        """Hidden activations (P, rows, H) and output (P, rows) of inputs ``x``;
+        inputs and activations in whole units of 2^-VALUE."""
         w1, b1, w2, b2 = self.split(theta)
-        hidden = np.maximum(np.matmul(x, w1) + b1[:, None, :], 0.0)
-        hidden = exact.rounded(hidden, VALUE) * 2.0**-VALUE
-        return hidden, np.matmul(hidden, w2[:, :, None])[:, :, 0] + b2[:, None]
+        hidden = np.matmul(x, w1)
+        hidden += (b1 * 2.0**VALUE)[:, None, :]
+        np.maximum(hidden, 0.0, out=hidden)
+        np.rint(hidden, out=hidden)
+        return hidden, np.matmul(hidden, w2[:, :, None])[:, :, 0] * 2.0**-VALUE + b2[:, None]
 
 
 def _features(batch: pa.RecordBatch, d: int) -> np.ndarray:
     x = batch.column(batch.schema.get_field_index("features")).flatten().to_numpy(zero_copy_only=False)
-    return exact.rounded(x.astype(np.float64).reshape(-1, d), VALUE) * 2.0**-VALUE
+    return exact.rounded(x.astype(np.float64).reshape(-1, d), VALUE)
 
 
 def _plain(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -108,10 +111,11 @@ def _pass_task(payload: Payload, stack: Stack):
                 used = np.ones((len(problems), len(x))) if folds is None else (folds[at : at + step] != excl[:, None]).astype(float)
                 loss = exact.rounded(np.logaddexp(0.0, z) - y * z, LOSS) * used
                 error = exact.rounded(sigmoid(z) - y, ERROR) * used
-                back = exact.rounded(error[:, :, None] * 2.0**-ERROR * w2[:, None, :], ERROR) * (hidden > 0)
-                inputs = x * 2.0**VALUE
-                g1 = np.stack([exact.product(inputs, b) for b in back])
-                g2 = exact.product(hidden * 2.0**VALUE, error[:, :, None])[:, :, 0]
+                back = error[:, :, None] * w2[:, None, :]
+                np.rint(back, out=back)
+                back *= hidden > 0
+                g1 = np.stack([exact.product(x, b) for b in back])
+                g2 = exact.product(hidden, error[:, :, None])[:, :, 0]
                 parts = [used.sum(axis=1)[:, None], loss.sum(axis=1)[:, None], g1.reshape(len(problems), -1),
                          back.sum(axis=1), g2, error.sum(axis=1)[:, None]]
                 here = np.hstack([p.astype(np.int64) for p in parts])
