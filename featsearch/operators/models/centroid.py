@@ -162,7 +162,7 @@ class CentroidModel:
 
 
 # ------------------------------------------------------------------ cross-validation
-# Folds are hash-assigned on train rows: fold = u32(seed, 'fold', row_id) % k.
+# Folds are stratified over the train rows (``split.fold_of``).
 
 
 def fold_sums(abt: DataFrame, folds: int, seed: int, fit_split: str = "train"):
@@ -171,7 +171,7 @@ def fold_sums(abt: DataFrame, folds: int, seed: int, fit_split: str = "train"):
 
     rows = (
         abt.where(F.col("split") == fit_split)
-        .select("y", fold_of(folds, seed).alias("fold"),
+        .select("y", fold_of(abt, folds, seed, fit_split).alias("fold"),
                 F.posexplode(scale.quantize(F.col("features"))).alias("gene", "q"))
         .groupBy("y", "fold", "gene")
         .agg(F.sum("q").alias("s"), F.count(F.lit(1)).alias("n"))
@@ -252,7 +252,7 @@ def _cv_confusion(self, abt: DataFrame, ids, bits, folds: int = 5, seed: int = 0
     from featsearch.session import bounded_tasks
 
     rows = bounded_tasks(abt.where(F.col("split") == self.fit_split).select(
-        fold_of(folds, seed).alias("fold"), "y", scale.quantize(F.col("features")).alias("q")
+        fold_of(abt, folds, seed, self.fit_split).alias("fold"), "y", scale.quantize(F.col("features")).alias("q")
     ))
     return (
         rows.mapInArrow(lambda it: cv_batches(it, *payload.get()),

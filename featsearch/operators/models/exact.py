@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Bits of a whole number that a double holds exactly.
 EXACT_BITS = 53
@@ -62,28 +63,34 @@ def emitted(totals: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(vs, pa.binary())], ["k", "v"])
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> tuple[int, np.ndarray]:
-    total, k = None, 0
-    for batch in batches:
-        for k, v in zip(batch.column("k").to_pylist(), batch.column("v").to_pylist(), strict=True):
-            here = np.frombuffer(v, np.int64)
-            total = here.copy() if total is None else total + here
-    return k, total
+#: Bytes of the totals of problems that one reducer adds together.
+BUNDLE = 1 << 20
 
 
 def sums(rows: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-         finish: Callable[[int, np.ndarray], bytes] | None = None) -> dict[int, bytes | np.ndarray]:
+         finish: Callable[[int, np.ndarray], bytes] | None = None, length: int = 1) -> dict[int, bytes | np.ndarray]:
     """One pass: ``task`` turns a task's rows into ``emitted`` totals, which are
     added per problem on the executors; ``finish(k, totals)`` there reduces them
     to what the driver needs (default: the totals themselves).
 
     The shuffle is one row per task and problem; the driver gets one per problem.
+    ``length`` is the usual length of a problem's totals: short ones are added
+    in bundles, long ones each in a task of its own.
     """
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, total = _added(batches)
-        out = total.tobytes() if finish is None else finish(k, total)
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([out], pa.binary())], ["k", "v"])
-
-    found = rows.mapInArrow(task, "k long, v binary").groupBy("k").applyInArrow(reduce, "k long, v binary")
-    return {r.k: np.frombuffer(r.v, np.int64) if finish is None else bytes(r.v) for r in found.collect()}
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, v in zip(batch.column("k").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                here = np.frombuffer(v, np.int64)
+                if k in totals:
+                    totals[k] += here
+                else:
+                    totals[k] = here.copy()
+        out = [v.tobytes() if finish is None else finish(k, v) for k, v in totals.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int64()), pa.array(out, pa.binary())], ["k", "v"])
+
+    width = max(1, BUNDLE // (8 * max(length, 1)))
+    made = rows.mapInArrow(task, "k long, v binary").groupBy(F.expr(f"k div {width}"))
+    found = made.applyInArrow(reduce, "k long, v binary").collect()
+    return {r.k: np.frombuffer(r.v, np.int64) if finish is None else bytes(r.v) for r in found}

@@ -3,23 +3,21 @@
 Objective per chromosome (library defaults: C = 1, free intercept):
 ``sum_i logloss(w·x_i + b) + ||w||^2 / (2C)`` over the selected genes only.
 
-Batched Newton: each iteration is ONE pass over the train rows that returns,
-for every chromosome, the loss, the gradient and the Hessian of its masked
-problem (``mapInArrow``; per task only ``P`` rows leave, summed JVM-side with
-``Summarizer.sum``). The driver solves ``P`` small systems. Masked genes have
-zero data rows/columns and a unit regulariser, so their weights stay exactly
-zero and each solution is that of the subset fit. Steps that increase the
-loss are halved on the next pass; a chromosome stops when the max gradient
-of the mean loss is below ``tol`` (the library's lbfgs tolerance).
-
-The population is processed in chunks so that ``chunk * (d+1)^2`` doubles per
-task stay under ``max_hessian_doubles``.
-
-Newton costs ``P * d^2`` flops per row and few passes; batched L-BFGS (loss
-and gradient only: ``P * d`` flops per row and ``P * (d+1)`` doubles per task)
-needs about twice the passes. ``solver='auto'`` uses Newton up to
-``newton_max_genes`` features and L-BFGS beyond, where it is cheaper in both
-compute and shuffle.
+Every optimiser iteration is ONE pass over the train rows that returns, for
+every chromosome, the loss and the gradient of its masked problem: per task only
+``P`` rows leave. Features, errors and losses are rounded to fixed-point units
+first, so the sums are whole numbers (``exact``): they do not depend on how rows
+are dealt to tasks. Masked genes have no gradient, so their weights stay exactly
+zero and each solution is that of the subset fit. A chromosome stops when the
+largest gradient component of the mean loss is below ``tol`` (the library's
+lbfgs tolerance); ``certificate`` holds that component for every problem of the
+last fit, ``converged`` whether it was reached.
+
+The solver is batched L-BFGS for every width: ``P * d`` flops per row, ``P * (d+1)``
+whole numbers per task, a halved step on the next pass where the loss did not
+fall enough. ``solver="newton"`` adds the Hessian (``P * d^2`` flops per row) and
+needs fewer passes on few genes; the population is then processed in chunks so
+that ``chunk * (d+1)^2`` numbers per task stay under ``max_hessian_doubles``.
 """
 
 from __future__ import annotations
@@ -31,8 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from featsearch.operators.models import exact
 from featsearch.operators.models.centroid import split_masks
 
+#: Units (powers of two) of the features and of errors and losses.
+VALUE, ERROR = 12, 20
+
 
 def _feats(rb, d):
     col = rb.column(rb.schema.get_field_index("features"))
@@ -44,59 +46,41 @@ BLOCK = 256
 
 
 def newton_batches(batches, theta, bits, hessian: bool = True, excl=None):
-    """Per task: loss, gradient and (optionally) Hessian data part of every chromosome.
-
-    With ``excl`` (one fold per chromosome), rows of that fold get weight 0 for
-    that chromosome: one pass fits every (subset, fold) pair of a CV.
-    """
+    """Per task and problem as whole numbers: rows, loss, gradient and (optionally) the
+    Hessian's data part. With ``excl`` (one fold per problem), rows of that fold
+    have weight 0 in it: one pass fits every (subset, fold) pair of a CV."""
     p_, d = bits.shape
     m = bits.astype(np.float64)
-    w = theta[:, :d] * m
-    b = theta[:, d]
-    ma = np.hstack([m, np.ones((p_, 1))])
-    loss = np.zeros(p_)
-    g = np.zeros((p_, d + 1))
-    h = np.zeros((p_, d + 1, d + 1)) if hessian else None
-    cnt = np.zeros(p_)
+    w, b = theta[:, :d] * m, theta[:, d]
+    size = (d + 1) * (d + 1) if hessian else 0
+    totals, seen = np.zeros((p_, 2 + d + 1 + size), np.int64), False
     for rb in batches:
         if rb.num_rows == 0:
             continue
-        x = _feats(rb, d)
+        seen = True
+        x = exact.rounded(_feats(rb, d), VALUE)
+        xa = np.hstack([x, np.full((len(x), 1), 2.0**VALUE)])
         y = rb.column(rb.schema.get_field_index("y")).to_numpy(zero_copy_only=False).astype(np.float64)
         fo = None if excl is None else rb.column(rb.schema.get_field_index("fold")).to_numpy(zero_copy_only=False)
-        xa = np.hstack([x, np.ones((len(x), 1))]) if hessian else None
         for lo in range(0, p_, BLOCK):  # bounds the (rows, chromosomes) arrays
             k = slice(lo, lo + BLOCK)
-            if fo is not None:
-                wt = (fo[:, None] != excl[None, k]).astype(np.float64)
-            else:
-                wt = np.ones((len(x), 1))
-            z = x @ w[k].T + b[k]
+            wt = np.ones((len(x), len(b[k]))) if fo is None else (fo[:, None] != excl[None, k]).astype(np.float64)
+            z = (x @ w[k].T) * 2.0**-VALUE + b[k]
             pr = 1.0 / (1.0 + np.exp(-z))
-            loss[k] += ((np.logaddexp(0.0, z) - y[:, None] * z) * wt).sum(axis=0)
-            r = (pr - y[:, None]) * wt
-            g[k, :d] += r.T @ x
-            g[k, d] += r.sum(axis=0)
+            loss = exact.rounded(np.logaddexp(0.0, z) - y[:, None] * z, ERROR) * wt
+            r = exact.rounded(pr - y[:, None], ERROR) * wt
+            totals[k, 0] += wt.sum(axis=0).astype(np.int64)
+            totals[k, 1] += loss.sum(axis=0).astype(np.int64)
+            totals[k, 2 : d + 3] += exact.product(r, xa)
             if hessian:
                 s = pr * (1.0 - pr) * wt
                 step = max(1, 4_000_000 // (z.shape[1] * (d + 1)))  # rows per batched product (~32 MB)
                 for at in range(0, len(xa), step):
                     xs = xa[at : at + step]
-                    h[k] += np.matmul((xs[None, :, :] * s[at : at + step].T[:, :, None]).transpose(0, 2, 1), xs)
-            cnt[k] += wt.sum(axis=0)
-    if not cnt.any():
-        return
-    g *= ma
-    if hessian:
-        h *= ma[:, :, None] * ma[:, None, :]
-        vec = np.concatenate([loss[:, None], g, h.reshape(p_, -1)], axis=1)
-    else:
-        vec = np.concatenate([loss[:, None], g], axis=1)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.arange(p_, dtype=np.int64)), pa.array(cnt.astype(np.int64)),
-         pa.array(list(vec), type=pa.list_(pa.float64()))],
-        names=["k", "n", "v"],
-    )
+                    weighted = np.rint(xs[None, :, :] * s[at : at + step].T[:, :, None])
+                    totals[k, d + 3 :] += exact.product(weighted, xs).reshape(-1, size)
+    if seen:
+        yield from exact.emitted(dict(enumerate(totals)))
 
 
 def linear_confusion_batches(batches, ids, w, b):
@@ -131,13 +115,17 @@ class LogisticModel:
     batched = True
 
     def __init__(self, C: float = 1.0, max_iter: int = 100, tol: float = 1e-4, fit_split: str = "train",
-                 max_hessian_doubles: int = 8_000_000, solver: str = "auto", newton_max_genes: int = 16,
+                 max_hessian_doubles: int = 8_000_000, solver: str = "lbfgs",
                  memory: int = 10, warm_start: bool = False, max_warm: int = 20_000):
-        if solver not in ("auto", "newton", "lbfgs"):
-            raise ValueError(f"unknown solver {solver!r}; valid: auto, newton, lbfgs")
+        if solver not in ("lbfgs", "newton"):
+            raise ValueError(f"unknown solver {solver!r}; valid: lbfgs, newton")
         self.C, self.max_iter, self.tol, self.fit_split = C, max_iter, tol, fit_split
         self.max_hessian_doubles = max_hessian_doubles
-        self.solver, self.newton_max_genes, self.memory = solver, newton_max_genes, memory
+        self.solver, self.memory = solver, memory
+        #: Of the last fit, per problem: the largest component of the mean
+        #: loss's gradient at the returned weights, and whether it is within tol.
+        self.certificate: np.ndarray | None = None
+        self.converged: np.ndarray | None = None
         self.iterations = 0
         self.payloads: list = []
         # optional warm starts from the nearest fitted gene set (bounded,
@@ -152,36 +140,25 @@ class LogisticModel:
         self.payloads = []
 
     def _pass(self, rows: DataFrame, theta, bits, hessian: bool = True, excl=None):
-        from pyspark.ml.functions import array_to_vector
-        from pyspark.ml.stat import Summarizer
-
         from featsearch.session import Payload
 
+        p_, d = bits.shape
         payload = Payload(rows.sparkSession, (theta, bits, excl), theta.nbytes + bits.nbytes)
-        agg = (
-            rows.mapInArrow(lambda it: newton_batches(it, *payload.get()[:2], hessian, payload.get()[2]),
-                            "k bigint, n bigint, v array<double>")
-            .groupBy("k")
-            .agg(F.sum("n").alias("n"), Summarizer.sum(array_to_vector("v")).alias("v"))
-            .collect()
-        )
+        found = exact.sums(rows, lambda it: newton_batches(it, *payload.get()[:2], hessian, payload.get()[2]), length=3 + d + (d + 1) ** 2 * hessian)
         payload.release()
         self.iterations += 1
-        p_, d = bits.shape
-        loss, g = np.zeros(p_), np.zeros((p_, d + 1))
+        loss, g, n = np.zeros(p_), np.zeros((p_, d + 1)), np.zeros(p_)
         h = np.zeros((p_, d + 1, d + 1)) if hessian else None
-        n = np.zeros(p_)
-        for r in agg:
-            v = r["v"].toArray()
-            loss[r["k"]], g[r["k"]] = v[0], v[1 : d + 2]
+        ma = np.hstack([bits.astype(np.float64), np.ones((p_, 1))])
+        for k, v in found.items():
+            n[k], loss[k], g[k] = v[0], v[1] / 2.0**ERROR, v[2 : d + 3] / 2.0 ** (VALUE + ERROR)
             if hessian:
-                h[r["k"]] = v[d + 2 :].reshape(d + 1, d + 1)
-            n[r["k"]] = r["n"]
+                h[k] = v[d + 3 :].reshape(d + 1, d + 1) / 2.0 ** (2 * VALUE)
+        g *= ma
+        if hessian:
+            h *= ma[:, :, None] * ma[:, None, :]
         return loss, g, h, n
 
-    def _use_newton(self, d: int) -> bool:
-        return self.solver == "newton" or (self.solver == "auto" and d <= self.newton_max_genes)
-
     def fit(self, abt: DataFrame, bits: np.ndarray) -> np.ndarray:
         """Coefficients ``(P, d+1)`` (last column: intercept) of every chromosome."""
         from featsearch.session import ship_package
@@ -199,13 +176,17 @@ class LogisticModel:
     def _fit_rows(self, rows, bits, theta0=None, excl=None) -> np.ndarray:
         p_, d = bits.shape
         theta0 = np.zeros((p_, d + 1)) if theta0 is None else theta0
-        if not self._use_newton(d):
-            return self._fit_lbfgs(rows, bits, theta0, excl)
+        self.certificate = np.full(p_, np.inf)
+        if self.solver == "lbfgs":
+            out = self._fit_lbfgs(rows, bits, theta0, excl)
+            self.converged = self.certificate <= self.tol
+            return out
         chunk = max(1, self.max_hessian_doubles // ((d + 1) ** 2))
         out = np.zeros((p_, d + 1))
         for lo in range(0, p_, chunk):
             ex = None if excl is None else excl[lo : lo + chunk]
-            out[lo : lo + chunk] = self._fit_chunk(rows, bits[lo : lo + chunk], theta0[lo : lo + chunk], ex)
+            out[lo : lo + chunk] = self._fit_chunk(rows, bits[lo : lo + chunk], theta0[lo : lo + chunk], ex, lo)
+        self.converged = self.certificate <= self.tol
         return out
 
     def _starts(self, key, bits) -> np.ndarray:
@@ -284,9 +265,10 @@ class LogisticModel:
             bad = ~ok & ~done
             alpha[bad] *= 0.5
             done |= bad & (alpha < 1e-10)
+        self.certificate[:] = np.abs(grad).max(axis=1)
         return theta * m
 
-    def _fit_chunk(self, rows, bits, theta0=None, excl=None):
+    def _fit_chunk(self, rows, bits, theta0=None, excl=None, first=0):
         """Batched Newton; every chromosome accepts or backtracks on its own."""
         p_, d = bits.shape
         m = np.hstack([bits.astype(np.float64), np.ones((p_, 1))])
@@ -310,7 +292,9 @@ class LogisticModel:
             done |= worse & (scale < 1e-8)
             good = act & ~worse
             grad = (g + reg * theta) * m
-            conv = good & (np.abs(grad).max(axis=1) / np.maximum(nn, 1.0) <= self.tol)
+            most = np.abs(grad).max(axis=1) / np.maximum(nn, 1.0)
+            self.certificate[first + np.flatnonzero(good)] = most[good]
+            conv = good & (most <= self.tol)
             done |= conv
             upd = np.flatnonzero(good & ~conv)
             if len(upd):
@@ -338,7 +322,7 @@ class LogisticModel:
         from featsearch.session import bounded_tasks
 
         rows = bounded_tasks(
-            abt.where(F.col("split") == self.fit_split).select(fold_of(folds, seed).alias("fold"), "y", "features")
+            abt.where(F.col("split") == self.fit_split).select(fold_of(abt, folds, seed, self.fit_split).alias("fold"), "y", "features")
         )
         theta = self._fit_rows(rows, vbits, None, excl)
         d = bits.shape[1]

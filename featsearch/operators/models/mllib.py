@@ -67,7 +67,7 @@ class MLlibModel:
 
         spark = abt.sparkSession
         rows = abt.where(F.col("split") == self.fit_split).select(
-            fold_of(folds, seed).alias("fold"), F.col("y").cast("double").alias("label"),
+            fold_of(abt, folds, seed, self.fit_split).alias("fold"), F.col("y").cast("double").alias("label"),
             array_to_vector("features").alias("fv"),
         ).persist(StorageLevel.MEMORY_AND_DISK)
         jobs = [(int(i), [int(j) for j in np.flatnonzero(b)], f) for i, b in zip(ids, bits) for f in range(folds)]

@@ -161,7 +161,7 @@ class MlpModel:
         for lo in range(0, len(problems), step):
             part = slice(lo, lo + step)
             payload = Payload(rows.sparkSession, (problems[part], theta[part], None if excl is None else excl[part]), theta[part].nbytes)
-            found = exact.sums(rows, _pass_task(payload, stack))
+            found = exact.sums(rows, _pass_task(payload, stack), length=stack.size + 2)
             payload.release()
             for i in range(lo, min(lo + step, len(problems))):
                 total = found.get(int(problems[i]))
@@ -228,7 +228,7 @@ class MlpModel:
         ship_package(abt.sparkSession)
         ids, bits = np.repeat(np.asarray(ids, np.int64), folds), np.repeat(np.asarray(bits, np.int8), folds, axis=0)
         excl = np.tile(np.arange(folds, dtype=np.int64), len(ids) // folds)
-        rows = bounded_tasks(abt.where(F.col("split") == self.fit_split).select(fold_of(folds, seed).alias("fold"), "y", "features"))
+        rows = bounded_tasks(abt.where(F.col("split") == self.fit_split).select(fold_of(abt, folds, seed, self.fit_split).alias("fold"), "y", "features"))
         theta = self.fit_rows(rows, bits, excl)
         return self._counts(rows, ids, theta, bits.shape[1], "fold", excl)
 

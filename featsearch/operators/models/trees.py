@@ -139,7 +139,7 @@ def cuts_of(rows: DataFrame, d: int, bins: int) -> list[np.ndarray]:
         yield from exact.emitted({g: total[g * CELLS : (g + 1) * CELLS] for g in range(d)})
 
     out = [np.zeros(0)] * d
-    for gene, counts in exact.sums(rows, counted).items():
+    for gene, counts in exact.sums(rows, counted, length=CELLS).items():
         if width[gene] > 0:
             upto = np.cumsum(counts)
             share = upto * bins // max(int(upto[-1]), 1)
@@ -305,6 +305,7 @@ class TreesModel:
         found = exact.sums(
             rows, _level_task(payload, d, len(forest.split), bins),
             lambda k, total: best_splits(total, sizes[k], bins, l2, least).tobytes(),
+            length=2 * bins * max(int(open_[int(k)].max() + 1) * sizes[int(k)] for k in part),
         )
         payload.release()
         self.passes += 1
@@ -365,7 +366,7 @@ class TreesModel:
 
         ids, bits = np.repeat(np.asarray(ids, np.int64), folds), np.repeat(np.asarray(bits, np.int8), folds, axis=0)
         excl = np.tile(np.arange(folds, dtype=np.int64), len(ids) // folds)
-        coded, _ = self._coded_rows(abt, bits.shape[1], {self.fit_split}, fold_of(folds, seed))
+        coded, _ = self._coded_rows(abt, bits.shape[1], {self.fit_split}, fold_of(abt, folds, seed, self.fit_split))
         forest = self.fit_rows(coded, bits, excl)
         return self._counts(bounded_tasks(coded), ids, forest, bits.shape[1], "fold", excl)
 

@@ -16,6 +16,8 @@ Small boundary buckets are fetched whole, saving the middle step.
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -161,6 +163,44 @@ FROM (SELECT t.*, row_number() OVER (PARTITION BY y ORDER BY {h}, row_id) AS rk,
              count(*) OVER (PARTITION BY y) AS n FROM {src} t) s)"""
 
 
-def fold_of(folds: int, seed: int = 0, key: str = "row_id") -> Column:
-    """Cross-validation fold of a row: ``u32(seed, 'fold', key) % folds`` (hash-assigned)."""
-    return (u32(seed, "fold", F.col(key)) % folds).cast("int")
+#: Fold columns found so far, per frame.
+_FOLDS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def fold_of(abt: DataFrame, folds: int, seed: int = 0, split: str = "train", key: str = "row_id", label: str = "y") -> Column:
+    """Stratified cross-validation fold of the rows of ``split``, 0 to ``folds - 1``.
+
+    Each class is ordered by ``(u32(seed, 'fold', row), row)`` and cut into
+    ``folds`` runs whose sizes differ by at most one. The cut keys come from the
+    histogram refinement of the split, so no class is ranked in one task; they
+    are found once per frame.
+    """
+    known = _FOLDS.setdefault(abt, {})
+    if (folds, seed, split, key, label) not in known:
+        rows = abt.where(F.col("split") == split).withColumn("_h", u32(seed, "fold", F.col(key)))
+        hist = class_histogram(rows, label, "_h")
+        if None in hist:
+            raise ValueError(f"null values in label {label!r}")
+        wanted = {}
+        for g, buckets in hist.items():
+            n = sum(buckets.values())
+            wanted[g] = [n * j // folds for j in range(1, folds)]
+        known[folds, seed, split, key, label] = wanted, kth_keys(rows, label, "_h", key, wanted, hist)
+    wanted, keys = known[folds, seed, split, key, label]
+    h, rid = u32(seed, "fold", F.col(key)), F.col(key)
+    fold = F.lit(0)
+    for g, ks in wanted.items():
+        beyond = [F.lit(0)] + [(~_le(h, rid, keys.get((g, k)))).cast("int") for k in ks]
+        fold = F.when(F.col(label) == F.lit(g), sum(beyond[1:], beyond[0])).otherwise(fold)
+    return fold.cast("int")
+
+
+def fold_sql(src: str, folds: int, seed: int = 0) -> str:
+    """SQL twin: ``row_id, fold`` of relation ``src(row_id, y)`` by plain ranking."""
+    from featsearch.functions.rng import u32_sql
+
+    h = u32_sql(str(seed), "'fold'", "row_id")
+    beyond = " + ".join(["0"] + [f"CASE WHEN rk > (n * {j}) // {folds} THEN 1 ELSE 0 END" for j in range(1, folds)])
+    return f"""SELECT row_id, {beyond} AS fold
+FROM (SELECT row_id, row_number() OVER (PARTITION BY y ORDER BY {h}, row_id) AS rk, count(*) OVER (PARTITION BY y) AS n
+      FROM {src})"""

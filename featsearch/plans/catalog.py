@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from featsearch.functions import bits
 from featsearch.functions.rng import u32, u32_sql
-from featsearch.operators import encode, fitness, population as popops, scale
+from featsearch.operators import encode, fitness, population as popops, scale, split
 from featsearch.operators import models as MODELS
 from featsearch.operators.models.centroid import CentroidModel
 from featsearch.plans import report as R
+from featsearch.plans import search
 from featsearch.plans import sqltwin as T
 from featsearch.plans import study as ST
 from featsearch.sources import abt as A
@@ -55,6 +56,11 @@ def oracle(name):
     return deco
 
 
+def _written(spark, sf, dataset):
+    """The ABT written once: every pass of an iterative query reads its split."""
+    return A.load(spark, sf, dataset, SEED, path=search.shared_path(spark, "abt"))
+
+
 def _genes(col="genes"):
     return bits.bitstring(F.col(col)).alias("genes")
 
@@ -679,7 +685,7 @@ FOLDS = 5
 def q_fs_round(spark, sf):
     import numpy as np
 
-    ab = A.load(spark, sf, "lineitem", SEED)
+    ab = _written(spark, sf, "lineitem")
     mat = np.eye(ab.d, dtype=np.int8)
     cv = CentroidModel().cv_scores(ab.df, np.arange(ab.d, dtype=np.int64), mat, FOLDS, SEED, "accuracy")
     return spark.createDataFrame(cv, "gene bigint, cv_score double")
@@ -690,7 +696,7 @@ def q_fs(spark, sf):
     from featsearch.config import SearchConfig
     from featsearch.plans.search import forward_selection
 
-    ab = A.load(spark, sf, "lineitem", SEED)
+    ab = _written(spark, sf, "lineitem")
     cfg = SearchConfig(dataset="lineitem", algorithm="rfs", model="centroid", metric=METRIC, seed=SEED, cv_folds=FOLDS)
     res = forward_selection(ab, cfg, CentroidModel(), {"val": None})
     return spark.createDataFrame([(s["round"], s["gene"], s["cv_score"]) for s in res.steps],
@@ -699,8 +705,9 @@ def q_fs(spark, sf):
 
 def _o_cv_base(q, dataset):
     p = T.abt(q, dataset)
-    fold = u32_sql(str(SEED), "'fold'", "row_id")
-    q.add("trf", f"SELECT row_id, y, gene, q, {fold} % {FOLDS} AS fold FROM {p}_q WHERE split = 'train'")
+    q.add("trr", f"SELECT DISTINCT row_id, y FROM {p}_q WHERE split = 'train'")
+    q.add("tr_fold", split.fold_sql("trr", FOLDS, SEED))
+    q.add("trf", f"SELECT r.row_id, r.y, r.gene, r.q, f.fold FROM {p}_q r JOIN tr_fold f ON r.row_id = f.row_id WHERE r.split = 'train'")
     q.add("fs", "SELECT y, fold, gene, sum(q) AS s, count(*) AS n FROM trf GROUP BY y, fold, gene")
     q.add("ft", "SELECT y, gene, sum(s) AS st, sum(n) AS nt FROM fs GROUP BY y, gene")
     q.add("fm", """SELECT f.fold, f.gene,
@@ -992,22 +999,22 @@ SMOKE_P = 10  # the reference's smoke grid population
 
 @spark_query("fitness_logistic")
 def q_fitness_logistic(spark, sf):
-    ab = A.load(spark, sf, "embeddings", SEED)
+    ab = _written(spark, sf, "embeddings")
     pop = popops.init(spark, P, ab.d, SEED)
     return fitness.score(ab.df, pop, MODELS.get("logistic"), METRIC).select("chrom_id", "tp", "fp", "fn", "tn", "score")
 
 
 @spark_query("fitness_mlp")
 def q_fitness_mlp(spark, sf):
-    ab = A.load(spark, sf, "orders", SEED)
-    pop = popops.init(spark, SMOKE_P, ab.d, SEED)
+    ab = _written(spark, sf, "orders")
+    pop = popops.init(spark, P, ab.d, SEED)
     return fitness.score(ab.df, pop, MODELS.get("mlp"), METRIC).select("chrom_id", "tp", "fp", "fn", "tn", "score")
 
 
 @spark_query("fitness_gbt")
 def q_fitness_gbt(spark, sf):
-    ab = A.load(spark, sf, "orders", SEED)
-    pop = popops.init(spark, SMOKE_P, ab.d, SEED)
+    ab = _written(spark, sf, "orders")
+    pop = popops.init(spark, P, ab.d, SEED)
     return fitness.score(ab.df, pop, MODELS.get("gbt"), METRIC).select("chrom_id", "tp", "fp", "fn", "tn", "score")
 
 
@@ -1033,7 +1040,7 @@ def q_ga_search(spark, sf):
     from featsearch.plans import search
 
     cfg = _smoke_cfg()
-    ab = A.load(spark, sf, cfg.dataset, SEED)
+    ab = _written(spark, sf, cfg.dataset)
     model = CentroidModel()
     res = search.genetic(ab, cfg, model, search.baseline(ab, model, cfg.metric))
     rows = [(h["gen"], round(h["avg"], 10), h["best"], h["worst"], "".join(map(str, h["best_genes"])))
@@ -1069,7 +1076,7 @@ def q_fs_logistic(spark, sf):
     from featsearch.config import SearchConfig
     from featsearch.plans.search import forward_selection
 
-    ab = A.load(spark, sf, "lineitem", SEED)
+    ab = _written(spark, sf, "lineitem")
     cfg = SearchConfig(dataset="lineitem", algorithm="rfs", model="logistic", metric=METRIC, seed=SEED,
                        cv_folds=FOLDS)
     res = forward_selection(ab, cfg, MODELS.get("logistic"), {"val": None})

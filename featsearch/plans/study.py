@@ -19,6 +19,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 from featsearch.config import SearchConfig
+from featsearch.operators import split
 from featsearch.plans import search
 from featsearch.plans import sqltwin as T
 from featsearch.session import checkpoint_dir
@@ -143,10 +144,9 @@ def sql_study(q: T.Sql) -> dict[str, str]:
 
 
 def _sql_forward(q: T.Sql, p: str, ds: str) -> str:
-    from featsearch.functions.rng import u32_sql
-
-    fold = u32_sql(str(SEED), "'fold'", "row_id")
-    q.add(f"{p}_trf", f"SELECT row_id, y, gene, q, {fold} % 5 AS fold FROM {p}_q WHERE split = 'train'")
+    q.add(f"{p}_trr", f"SELECT DISTINCT row_id, y FROM {p}_q WHERE split = 'train'")
+    q.add(f"{p}_fold", split.fold_sql(f"{p}_trr", 5, SEED))
+    q.add(f"{p}_trf", f"SELECT r.row_id, r.y, r.gene, r.q, f.fold FROM {p}_q r JOIN {p}_fold f ON r.row_id = f.row_id WHERE r.split = 'train'")
     q.add(f"{p}_fsum", f"SELECT y, fold, gene, sum(q) AS s, count(*) AS n FROM {p}_trf GROUP BY y, fold, gene")
     q.add(f"{p}_ftot", f"SELECT y, gene, sum(s) AS st, sum(n) AS nt FROM {p}_fsum GROUP BY y, gene")
     q.add(f"{p}_fm", f"""SELECT f.fold, f.gene,

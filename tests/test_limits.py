@@ -95,8 +95,8 @@ def test_logistic_block_size_changes_nothing(spark, monkeypatch):
     for block in (1, 64, 1000):
         monkeypatch.setattr(logistic, "BLOCK", block)
         out = list(logistic.newton_batches([batch], theta, bits))
-        got.append(np.array(out[0]["v"].to_pylist()))
-    assert np.allclose(got[0], got[1]) and np.allclose(got[1], got[2])
+        got.append(np.array([np.frombuffer(v, np.int64) for v in out[0]["v"].to_pylist()]))
+    assert (got[0] == got[1]).all() and (got[1] == got[2]).all()
 
 
 def test_random_search_stops_between_passes(spark, monkeypatch):

@@ -55,7 +55,7 @@ def test_folds_do_not_train_their_problem(spark):
     from featsearch.operators.split import fold_of
 
     df = _frame(spark, _rows(200), 3)
-    train = df.where("split = 'train'").select(fold_of(3, 2).alias("fold"), "y", "features")
+    train = df.where("split = 'train'").select(fold_of(df, 3, 2).alias("fold"), "y", "features")
     both = np.repeat(BITS[[3]], 3, axis=0)
     shared = _small(max_iter=8).fit_rows(train, both, np.arange(3))
     for f in range(3):

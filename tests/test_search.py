@@ -205,7 +205,7 @@ def test_logistic_cv_matches_direct_fits(spark, planted):
     got = {(r["chrom_id"], r["fold"]): (r["tp"], r["fp"], r["fn"], r["tn"])
            for r in model.cv_confusion(planted.df, ids, mat, 3, 0).collect()}
     assert len(got) == 6
-    base = planted.df.where("split = 'train'").withColumn("fold", fold_of(3, 0))
+    base = planted.df.where("split = 'train'").withColumn("fold", fold_of(planted.df, 3, 0))
     for f in range(3):
         sub = base.withColumn("split", F.when(F.col("fold") == f, "val").otherwise("train")).drop("fold")
         ref = {r["chrom_id"]: (r["tp"], r["fp"], r["fn"], r["tn"])

@@ -101,11 +101,11 @@ def test_population_equals_single_fits_and_folds(spark):
     from featsearch.operators.split import fold_of
 
     for fold in range(3):
-        own = df.where("split = 'train'").withColumn("split", F.when(fold_of(3, 1) == fold, "val").otherwise("train"))
+        own = df.where("split = 'train'").withColumn("split", F.when(fold_of(df, 3, 1) == fold, "val").otherwise("train"))
         train = own.where("split = 'train'")
         model = _small(trees=3)
         # cut points come from all training rows, as in the shared fit
-        coded, _ = model._coded_rows(df.where("split = 'train'"), 5, {"train"}, fold_of(3, 1))
+        coded, _ = model._coded_rows(df.where("split = 'train'"), 5, {"train"}, fold_of(df, 3, 1))
         forest = model.fit_rows(coded.where(F.col("fold") != fold), BITS[[3, 1]])
         direct = model._counts(coded.where(F.col("fold") == fold), np.array([3, 1]), forest, 5, "split", None).collect()
         assert train.count() and {(r.chrom_id, r.tp, r.fp, r.fn, r.tn) for r in direct} == {
