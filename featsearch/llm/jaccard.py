@@ -19,6 +19,10 @@ count and last shared places cannot reach the size-derived bound are discarded,
 and the rest is verified. Every link between
 two sets is thus either verified or lies inside a component.
 
+Before texts move, the parity sketches of the two sets (an eighth of a byte to a
+quarter per shingle) bound the overlap from above; only pairs that they leave
+possible are verified.
+
 Defined results: null, empty and wordless texts have an empty set and link to
 nothing; texts with equal sets are one class; a text with fewer words than a
 shingle has its whole sequence as one; null ids take part and are named by the
@@ -61,9 +65,37 @@ def _node(shingles: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
+def _sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parity sketch of a set: every shingle flips one bit of a string of one to
+    two bits a shingle (whole 64-bit words, a power of two of them).
+
+    Two sets differ in at least as many shingles as their sketches in bits. A
+    string folds to half its length by XOR of its halves, so sets of different
+    sizes compare too.
+    """
+    words = 1 << max(-(-len(shingles) // 64) - 1, 0).bit_length()
+    bit = (shingles >> np.uint64(7)).astype(np.int64) & (64 * words - 1)
+    flipped = (np.bincount(bit, minlength=64 * words) & 1).astype(np.uint8)
+    return np.packbits(flipped, bitorder="little").view("<i8")
+
+
+def _may_be_similar(sx: Column, sy: Column, a: Column, b: Column, percent: int) -> Column:
+    """False only where the sketches of sets of sizes ``a``, ``b`` differ in more
+    bits than similar sets may differ in shingles: (1 - t) / (1 + t) (a + b)."""
+
+    def folded(s, other):
+        half = (F.size(s) / 2).cast("int")
+        twice = F.zip_with(F.slice(s, F.lit(1), half), F.slice(s, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(s) > F.size(other), twice).otherwise(s)
+
+    bits = F.zip_with(folded(sx, sy), folded(sy, sx), lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("long"))
+    differing = F.aggregate(bits, F.lit(0).cast("long"), lambda n, v: n + v)
+    return differing * (100 + percent) <= (a + b) * (100 - percent)
+
+
 def survey(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """One pass: ``id, n_shingles, node`` of each document (node null if its
-    set is empty), and rows ``col, n`` that count columns.
+    """One pass: ``id, n_shingles, node, sketch`` of each document (node null if
+    its set is empty), and rows ``col, n`` that count columns.
 
     Tasks count in bounded tables that keep the larger counts; their sums order
     the columns and are not used as exact frequencies.
@@ -74,7 +106,8 @@ def survey(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     def run(batches):
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         fresh, held = [], 0
-        names = ["id", "n_shingles", "node", "col", "n"]
+        names = ["id", "n_shingles", "node", "sketch", "col", "n"]
+        words = pa.list_(pa.int64())
 
         def fold(keys, counts, fresh):
             new, n = np.unique(np.concatenate(fresh), return_counts=True)
@@ -92,7 +125,8 @@ def survey(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
             none = pa.nulls(b.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [b["id"], pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), none, none], names,
+                 pa.array([_node(s) if len(s) else None for s in sets], pa.int64()),
+                 pa.array([_sketch(s) if len(s) else None for s in sets], words), none, none], names,
             )
             fresh += sets
             held += sum(map(len, sets))
@@ -104,10 +138,16 @@ def survey(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
         if len(keys):
             none = pa.nulls(len(keys), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(keys), id_type), none, none, pa.array(keys.view(np.int64)), pa.array(counts)], names
+                [pa.nulls(len(keys), id_type), none, none, pa.nulls(len(keys), words), pa.array(keys.view(np.int64)), pa.array(counts)], names
             )
 
-    return stored(rows.mapInArrow(run, f"id {kind}, n_shingles long, node long, col long, n long"))
+    return stored(rows.mapInArrow(run, f"id {kind}, n_shingles long, node long, sketch array<long>, col long, n long"))
+
+
+def sketches(surveyed: DataFrame) -> DataFrame:
+    """``node, size, sketch`` of every set."""
+    rows = surveyed.where("node is not null").groupBy("node")
+    return stored(rows.agg(F.any_value("n_shingles").alias("size"), F.any_value("sketch").alias("sketch")))
 
 
 def frequent(surveyed: DataFrame, top: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -262,7 +302,17 @@ def whole_sets(docs: DataFrame, ids: DataFrame, text_col="text") -> DataFrame:
     return stored(_needed(texts, ids).groupBy("node").agg(F.any_value("text").alias("text")))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+def _not_excluded(pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``x, y`` that their sketches leave possible: no text moves for
+    the others, and no similar pair is among them."""
+    pairs = stored(pairs.select("x", "y"))
+    some = _needed(sketched, pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node"))).distinct())
+    for end in "xy":
+        pairs = join_hot(pairs, some.select(F.col("node").alias(end), F.col("size").alias(f"n{end}"), F.col("sketch").alias(f"s{end}")), end)
+    return pairs.where(_may_be_similar(F.col("sx"), F.col("sy"), F.col("nx"), F.col("ny"), percent)).select("x", "y")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, sketched: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs ``x, y`` of nodes whose whole sets are similar, as ``a, b``."""
 
     @F.arrow_udf("boolean")
@@ -276,7 +326,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
             out.append(100 * both >= percent * (len(s) + len(r) - both))
         return pa.array(out, pa.bool_())
 
-    pairs = stored(pairs.select("x", "y"))
+    pairs = stored(_not_excluded(pairs, sketched, percent))
     some = _needed(sets, pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node"))).distinct())
     with_x = join_hot(pairs, some.select(F.col("node").alias("x"), F.col("text").alias("tx")), "x")
     with_y = join_hot(with_x, some.select(F.col("node").alias("y"), F.col("text").alias("ty")), "y")
@@ -285,17 +335,26 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     )
 
 
-def links(docs: DataFrame, often, text_col="text", percent: int = PERCENT) -> DataFrame:
+def _open_columns(posted: DataFrame, labels: DataFrame) -> DataFrame:
+    """The postings of columns whose sets are in several components: the others
+    hold nothing new, now or later."""
+    lab = _labelled(posted, labels)
+    several = lab.groupBy("col").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("col")
+    return stored(join_hot(posted, several, "col"))
+
+
+def links(docs: DataFrame, often, sketched: DataFrame, text_col="text", percent: int = PERCENT) -> DataFrame:
     """``a, b``: verified links between sets that span every component."""
     posted = shared_postings(postings(docs, often, text_col, percent))
     sets = whole_sets(docs, posted.select("node").distinct(), text_col)
-    found = verified(_met(posted, None, 0, percent), sets, percent)
+    found = verified(_met(posted, None, 0, percent), sets, sketched, percent)
     n_found = n_new = found.count()
     turn = 0
     labels = components(found)
+    posted = _open_columns(posted, labels)
     while n_new * FEW > n_found:  # the last round still found its share
         turn += 1
-        new = verified(_met(posted, labels, turn, percent), sets, percent)
+        new = verified(_met(posted, labels, turn, percent), sets, sketched, percent)
         n_new = new.count()
         if n_new:
             found, n_found = found.union(new), n_found + n_new
@@ -306,32 +365,35 @@ def links(docs: DataFrame, often, text_col="text", percent: int = PERCENT) -> Da
         F.max_by("comp", F.struct("n", F.col("comp"))).alias("main"), F.count(F.lit(1)).alias("comps")
     ).where("comps > 1").drop("comps")
     open_cols = stored(join_hot(lab, main, "col"))
+    some = _needed(sketched, open_cols.select("node").distinct()).select("node", "sketch")
+    open_cols = stored(join_hot(open_cols, some, "node"))
     px, py = F.col("px"), F.col("py")
     few = open_cols.where("comp <> main").select(
-        "col", F.col("node").alias("x"), F.col("packed").alias("px"), F.col("comp").alias("cx"), "main"
+        "col", F.col("node").alias("x"), F.col("packed").alias("px"), F.col("comp").alias("cx"), "main", F.col("sketch").alias("sx")
     )
     mates = open_cols.select(
-        "col", F.col("node").alias("y"), F.col("packed").alias("py"), F.col("comp").alias("cy")
+        "col", F.col("node").alias("y"), F.col("packed").alias("py"), F.col("comp").alias("cy"), F.col("sketch").alias("sy")
     )
     met = few.withColumn("__mix", F.xxhash64("col", F.lit(1))).join(
         mates.withColumn("__mix", F.xxhash64("col", F.lit(1))), ["col", "__mix"]
     ).where(
         (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y")))
         & _may_link(px, py, percent)
+        & _may_be_similar(F.col("sx"), F.col("sy"), _size(px), _size(py), percent)
     )
     swap = F.col("x") > F.col("y")  # a pair may be met from either side in different columns
     met = met.select(
         "col", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"),
         F.when(swap, py).otherwise(px).alias("px"), F.when(swap, px).otherwise(py).alias("py"),
     )
-    return found.union(verified(_possible(met, percent), sets, percent))
+    return found.union(verified(_possible(met, percent), sets, sketched, percent))
 
 
 def classes(docs: DataFrame, id_col="doc_id", text_col="text", percent: int = PERCENT) -> DataFrame:
     """``id, n_shingles, component_id`` of every document."""
     surveyed = survey(docs, id_col, text_col)
     named = surveyed.where("col is null").select("id", "n_shingles", "node")
-    labels = components(links(docs, frequent(surveyed), text_col, percent))
+    labels = components(links(docs, frequent(surveyed), sketches(surveyed), text_col, percent))
     full = stored(
         join_sized(named, labels, "node", "left").select("id", "n_shingles", F.coalesce("comp", "node").alias("comp"))
     )
@@ -343,5 +405,6 @@ def classes(docs: DataFrame, id_col="doc_id", text_col="text", percent: int = PE
 
 def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` with the smallest id of their component."""
-    keep = classes(docs, id_col, text_col, percent).where("id <=> component_id").select(F.col("id").alias("__id"))
-    return docs.join(keep.distinct(), F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left_semi")
+    keep = classes(docs, id_col, text_col, percent).where("id <=> component_id").select("id").distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("own"))
+    return rows.join(keep, F.col("own").eqNullSafe(F.col("id")), "left_semi").select("row.*")

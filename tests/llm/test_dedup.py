@@ -128,3 +128,51 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     for f in (exact_dedup.classes, exact_dedup.survivors, jaccard.classes, jaccard.keep_one, substring_dedup.dedup):
         assert f(empty).count() == 0
+
+
+def test_sketches_never_exclude_similar_sets(spark):
+    """Differing bits are at most the differing shingles, also between sizes."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(4)
+    rows, want = [], []
+    for i in range(400):
+        a = np.unique(r.integers(0, 2**63, r.integers(1, 900), dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: max(1, int(len(a) * r.uniform(0.5, 1)))], r.integers(0, 2**63, r.integers(0, 90), dtype=np.uint64)]))
+        if 100 * min(len(a), len(b)) < 75 * max(len(a), len(b)):
+            continue
+        rows.append((len(want), jaccard._sketch(a).tolist(), jaccard._sketch(b).tolist(), len(a), len(b)))
+        both = len(np.intersect1d(a, b))
+        want.append(100 * both >= 75 * (len(a) + len(b) - both))
+    df = spark.createDataFrame(rows, "i long, sx array<long>, sy array<long>, a long, b long")
+    kept = {x.i for x in df.where(jaccard._may_be_similar(*map(F.col, ("sx", "sy", "a", "b")), 75)).collect()}
+    assert {i for i, w in enumerate(want) if w} <= kept < set(range(len(want)))
+
+
+def test_many_unrelated_texts_share_a_passage(spark):
+    """A column of many components: all are left alone but the near copies."""
+    import random
+
+    r = random.Random(12)
+    passage = " ".join(f"common{i}" for i in range(12))
+    rows = []
+    for i in range(150):
+        own = [f"w{r.randrange(10**6)}" for _ in range(25)]
+        rows.append((i, passage + " " + " ".join(own), "en", "s", 1))
+        if i % 10 == 0:
+            rows.append((1000 + i, passage + " " + " ".join(own[:-1]), "en", "s", 1))
+    want, _ = near_classes(rows)
+    got = {x.id: x.component_id for x in jaccard.classes(frame(spark, rows)).collect()}
+    assert [got[x[0]] for x in rows] == want and want[1] == 0
+
+
+def test_keep_one_without_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    rows = documents(n=20)
+    df = frame(spark, rows).withColumns({"__id": F.lit(1), "own": F.lit(2), "row_": F.lit(3)})
+    kept = jaccard.keep_one(df)
+    assert kept.columns == df.columns
+    want, _ = near_classes(rows)
+    assert sorted({x.doc_id for x in kept.collect()}) == sorted({w for w in want if w is not None})
