@@ -6,6 +6,9 @@ with similarity of at least ``t`` share a column among the first
 that part of each row is multiplied. The order puts the most frequent columns
 last, which keeps passages that many documents share out of the product.
 
+Columns with the same sets are one column of the product, with their number as
+its weight: the columns of a passage that the same documents share meet once.
+
 The product runs by blocks of one column, frequent columns being cut into
 blocks of about ``BLOCK`` sets. In a block every set meets one leader; counts of
 shared columns pick one leader per set, and the pair is verified on the whole
@@ -212,39 +215,46 @@ def _place(packed: Column) -> Column:
 
 
 def shared_postings(posted: DataFrame) -> DataFrame:
-    """``col, node, packed`` without the columns of one set alone.
+    """``col, node, packed, weight`` without the columns of one set alone.
 
-    Columns in several blocks are kept whole: the blocks come from counts over
-    all documents, so a set can be alone in its block and not in its column.
+    Columns of the same sets fold into one: ``col`` is then a hash of the sets,
+    ``weight`` the number of columns, ``packed`` holds the first place. Columns
+    in several blocks stay as they are and whole: the blocks come from counts
+    over all documents, so a set can be alone in its block and not in its column.
     """
     n = int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     w = Window.partitionBy("col", "block")
     several = (F.min("node").over(w) != F.max("node").over(w)) | (F.col("block") > 0)
-    dealt = posted.repartition(n, "col", "block").select("col", "node", "packed", "block", several.alias("several"))
-    return stored(dealt.where("several").select("col", "node", "packed").distinct())
+    dealt = posted.repartition(n, "col", "block").select("col", "block", "node", "packed", several.alias("several"))
+    kept = dealt.where("several").select("col", "block", "node", "packed").distinct()  # no exchange: still by col, block
+    members = F.xxhash64(
+        F.count(F.lit(1)).over(w), *[F.bit_xor(F.xxhash64("node", F.lit(i))).over(w) for i in (1, 2)]
+    )
+    folded = kept.select(F.when(F.col("block") > 0, F.col("col")).otherwise(members).alias("col"), "node", "packed")
+    return stored(folded.groupBy("col", "node").agg(F.min("packed").alias("packed"), F.count(F.lit(1)).alias("weight")))
 
 
 def _met(rows: DataFrame, labels: DataFrame | None, turn: int, percent: int) -> DataFrame:
     """``x, y``: one set per column and component with its block's leader."""
-    if labels is None:
-        rows = rows.withColumn("comp", F.col("node"))
-    else:
-        rows = _labelled(rows, labels)
     order = _place(F.col("packed")) if turn == 0 else F.xxhash64("node", F.lit(turn))
-    one = F.min(F.struct(order.alias("order"), _size(F.col("packed")).alias("size"), "node", "packed"))
-    reps = rows.groupBy("col", "comp").agg(one.alias("rep"))
-    many = reps.groupBy("col").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    reps = join_hot(reps, many, "col").withColumn(
-        "block", F.pmod(F.xxhash64("comp", F.lit(turn)), F.floor(F.col("n") / BLOCK) + 1)
+    rep = F.struct(order.alias("order"), "packed", "node")
+    if labels is None:  # every set is its own component
+        reps = rows.select("col", F.col("node").alias("comp"), rep.alias("rep"), "weight")
+    else:
+        one = _labelled(rows, labels).groupBy("col", "comp").agg(F.min(rep).alias("rep"), F.max("weight").alias("weight"))
+        reps = stored(one)
+    large = stored(reps.groupBy("col").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= BLOCK))
+    part = F.pmod(F.xxhash64("comp", F.lit(turn)), F.floor(F.col("n") / BLOCK) + 1)
+    reps = join_sized(reps, large, "col", "left").select(
+        "col", F.coalesce(part, F.lit(0)).alias("block"), "rep", "weight"
     )
     led = reps.groupBy("col", "block").agg(F.min("rep").alias("leader"))
-    pairs = reps.withColumn("cb", F.xxhash64("col", "block")).join(
-        led.withColumn("cb", F.xxhash64("col", "block")), ["col", "block", "cb"]
-    )
+    mix = F.xxhash64("col", "block")  # a key of its own, so that adaptive skew handling may cut a block
+    pairs = reps.select("col", mix.alias("mix"), "rep", "weight").join(led.select("col", mix.alias("mix"), "leader"), ["col", "mix"])
     near = pairs.where("rep.node <> leader.node").where(
         _may_link(F.col("rep.packed"), F.col("leader.packed"), percent)
     )
-    counted = near.groupBy(F.col("rep.node").alias("x"), F.col("leader.node").alias("y")).agg(F.count(F.lit(1)).alias("shared"))
+    counted = near.groupBy(F.col("rep.node").alias("x"), F.col("leader.node").alias("y")).agg(F.sum("weight").alias("shared"))
     return counted.groupBy("x").agg(F.max_by("y", F.struct("shared", F.col("y"))).alias("y"))
 
 
@@ -253,14 +263,15 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _possible(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``x, y, px, py`` (a row per shared column) that the bounds allow.
+    """Pairs ``x, y, px, py, weight`` (a row per shared column) that the bounds allow.
 
     Of the sizes a, b the overlap must reach t (a + b) / (1 + t). It is at
-    most the number of shared leading columns plus what either set still has
-    behind the last of them.
+    most the number of shared leading columns met, folded ones by weight, plus
+    what either set still has behind the last first place of them: columns that
+    were not met begin behind it.
     """
     counted = pairs.groupBy("x", "y").agg(
-        F.count_distinct("col").alias("shared"),
+        F.sum("weight").alias("shared"),
         F.max(_size(F.col("px"))).alias("a"), F.max(_size(F.col("py"))).alias("b"),
         F.max(_place(F.col("px"))).alias("i"), F.max(_place(F.col("py"))).alias("j"),
     )
@@ -369,7 +380,7 @@ def links(docs: DataFrame, often, sketched: DataFrame, text_col="text", percent:
     open_cols = stored(join_hot(open_cols, some, "node"))
     px, py = F.col("px"), F.col("py")
     few = open_cols.where("comp <> main").select(
-        "col", F.col("node").alias("x"), F.col("packed").alias("px"), F.col("comp").alias("cx"), "main", F.col("sketch").alias("sx")
+        "col", F.col("node").alias("x"), F.col("packed").alias("px"), F.col("comp").alias("cx"), "main", F.col("sketch").alias("sx"), "weight"
     )
     mates = open_cols.select(
         "col", F.col("node").alias("y"), F.col("packed").alias("py"), F.col("comp").alias("cy"), F.col("sketch").alias("sy")
@@ -383,7 +394,7 @@ def links(docs: DataFrame, often, sketched: DataFrame, text_col="text", percent:
     )
     swap = F.col("x") > F.col("y")  # a pair may be met from either side in different columns
     met = met.select(
-        "col", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"),
+        "weight", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"),
         F.when(swap, py).otherwise(px).alias("px"), F.when(swap, px).otherwise(py).alias("py"),
     )
     return found.union(verified(_possible(met, percent), sets, sketched, percent))
