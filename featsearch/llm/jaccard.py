@@ -49,8 +49,8 @@ from featsearch.llm.shingles import shingle_set
 
 PERCENT = 75
 #: Columns known as frequent: they come last in the order and are cut in blocks.
-#: Only the order and the blocks depend on it, not the result. 16 bytes each.
-FREQUENT = 1 << 16
+#: Only the order and the blocks depend on it, not the result. 24 bytes each.
+FREQUENT = 1 << 18
 BLOCK = 1024
 #: Rounds go on while the last found one in so many of all links.
 FEW = 32
@@ -154,9 +154,22 @@ def sketches(surveyed: DataFrame) -> DataFrame:
 
 
 def frequent(surveyed: DataFrame, top: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``top`` columns by count over all documents, their order and counts."""
-    total = surveyed.where("col is not null").groupBy("col").agg(F.sum("n").alias("n"))
-    best = total.orderBy(F.desc("n"), "col").limit(top).toArrow()  # at most ``top`` rows of 16 bytes
+    """About the ``top`` columns of largest count over all documents, their order and counts.
+
+    A histogram of the counts (sixteen levels to the double) tells from which
+    level on columns are taken, and which share, by hash, of the level that
+    would pass ``top``: no task sorts or merges them.
+    """
+    total = stored(surveyed.where("col is not null").groupBy("col").agg(F.sum("n").alias("n")))
+    level = F.floor(F.log2("n") * 16)
+    cut, share, left = 0, 0, top
+    for r in total.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).collect():  # 1,024 rows at most
+        if r.n > left:
+            cut, share = r.level + 1, 4096 * left // r.n
+            break
+        left -= r.n
+    taken = (level >= cut) | ((level == cut - 1) & (F.pmod(F.xxhash64("col"), F.lit(4096)) < share))
+    best = total.where(taken).toArrow().sort_by([("n", "descending"), ("col", "ascending")])  # 16 bytes a row
     keys = best["col"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
     counts = best["n"].to_numpy()[order]
@@ -170,7 +183,7 @@ def postings(docs: DataFrame, often, text_col="text", percent: int = PERCENT) ->
     column counted ``BLOCK`` times or more is cut in blocks 1, 2, ...; block 0
     is a whole column.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(often)  # at most 1.5 MB
+    shared = docs.sparkSession.sparkContext.broadcast(often)  # about 6 MB
 
     def run(batches):
         keys, ranks, counts = shared.value
@@ -374,7 +387,7 @@ def links(docs: DataFrame, often, sketched: DataFrame, text_col="text", percent:
     per = lab.groupBy("col", "comp").agg(F.count(F.lit(1)).alias("n"))
     main = per.groupBy("col").agg(
         F.max_by("comp", F.struct("n", F.col("comp"))).alias("main"), F.count(F.lit(1)).alias("comps")
-    ).where("comps > 1").drop("comps")
+    ).where("comps > 1")
     open_cols = stored(join_hot(lab, main, "col"))
     some = _needed(sketched, open_cols.select("node").distinct()).select("node", "sketch")
     open_cols = stored(join_hot(open_cols, some, "node"))
@@ -382,7 +395,8 @@ def links(docs: DataFrame, often, sketched: DataFrame, text_col="text", percent:
     few = open_cols.where("comp <> main").select(
         "col", F.col("node").alias("x"), F.col("packed").alias("px"), F.col("comp").alias("cx"), "main", F.col("sketch").alias("sx"), "weight"
     )
-    mates = open_cols.select(
+    # of two components the smaller one meets the larger only
+    mates = open_cols.where("comp = main or comps > 2").select(
         "col", F.col("node").alias("y"), F.col("packed").alias("py"), F.col("comp").alias("cy"), F.col("sketch").alias("sy")
     )
     met = few.withColumn("__mix", F.xxhash64("col", F.lit(1))).join(

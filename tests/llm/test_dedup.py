@@ -176,3 +176,32 @@ def test_keep_one_without_clashing_names(spark):
     assert kept.columns == df.columns
     want, _ = near_classes(rows)
     assert sorted({x.doc_id for x in kept.collect()}) == sorted({w for w in want if w is not None})
+
+
+def test_columns_of_the_same_sets_fold(spark):
+    """Passages shared by the same texts are one weighted column; links near the bound stay."""
+    import random
+
+    r = random.Random(5)
+    passages = [" ".join(f"p{k}w{i}" for i in range(30)) for k in range(3)]
+    rows = []
+    for i in range(60):
+        own = " ".join(f"o{r.randrange(10**6)}" for _ in range(r.randrange(2, 40)))
+        rows.append((i, " ".join([*r.sample(passages, r.randrange(1, 4)), own]), "en", "s", 1))
+    df = frame(spark, rows)
+    want, sets = near_classes(rows)
+    assert len(set(want)) not in (1, len(rows))
+    assert {x.id: x.component_id for x in jaccard.classes(df).collect()} == {x[0]: w for x, w in zip(rows, want)}
+    posted = jaccard.shared_postings(jaccard.postings(df, jaccard.frequent(jaccard.survey(df))))
+    folded = posted.groupBy("col").agg(F.sort_array(F.collect_set("node")).alias("sets"), F.min("weight").alias("w")).collect()
+    assert len({tuple(x.sets) for x in folded}) == len(folded) and max(x.w for x in folded) > 1
+
+
+def test_frequent_columns_are_the_largest(spark):
+    rows = [(c, 1 + c // 10) for c in range(1000)]
+    df = spark.createDataFrame(rows, "col long, n long")
+    keys, order, counts = jaccard.frequent(df, top=200)
+    assert 150 <= len(keys) <= 260 and sorted(keys) == list(keys)
+    assert counts.min() >= 80 and counts[np.argmax(order)] == 100
+    assert len(jaccard.frequent(df, top=5000)[0]) == 1000
+    assert len(jaccard.frequent(df.where("n < 0"))[0]) == 0
