@@ -168,6 +168,11 @@ def drift(before: DataFrame, after: DataFrame, n_genes: int) -> DataFrame:
     j = before.select("chrom_id", F.col("genes").alias("a")).join(
         after.select("chrom_id", F.col("genes").alias("b")), "chrom_id"
     )
-    return j.select(
+    return changed(j, n_genes)
+
+
+def changed(pairs: DataFrame, n_genes: int) -> DataFrame:
+    """Fraction of genes that differ between ``a`` and ``b`` over all rows."""
+    return pairs.select(
         (F.sum(bits.hamming(F.col("a"), F.col("b"))) / (F.count(F.lit(1)) * n_genes)).alias("changed_fraction")
     )

@@ -6,7 +6,7 @@ Every query reads the given tables. Chromosomes are reported as bit strings
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from featsearch.functions import bits
@@ -81,18 +81,18 @@ def o_rng() -> str:
 
 @spark_query("population_init")
 def q_population_init(spark, sf):
-    raw, names = A.raw_embeddings(spark, sf)
-    pop = popops.init(spark, P, len(names), SEED)
-    return pop.select("chrom_id", _genes())
+    _, _, sc = _scored0(spark, sf, "embeddings")
+    return sc.select("chrom_id", _genes(), bits.n_selected(F.col("genes")).alias("n_selected"), "score")
 
 
 @oracle("population_init")
 def o_population_init():
     q = T.Sql()
-    rows, long = A.raw_sql("embeddings")
-    q.add("embeddings_long", long)
-    pop = T.population_init(q, "pop0", "embeddings", P, SEED)
-    return q.render(f"SELECT * FROM {T.packed(pop)}")
+    _, pop, sc = _o_scored0(q, "embeddings")
+    return q.render(
+        f"SELECT s.chrom_id, g.genes, CAST(length(replace(g.genes, '0', '')) AS BIGINT) AS n_selected, s.score "
+        f"FROM {sc} s JOIN {T.packed(pop)} g ON s.chrom_id = g.chrom_id"
+    )
 
 
 @spark_query("stratified_split")
@@ -318,30 +318,42 @@ def o_generation_best():
 # ------------------------------------------------------------------ breeding
 
 
-def _pairs(spark, sf, method):
-    raw, names = A.raw_embeddings(spark, sf)
-    d = len(names)
-    pop = popops.init(spark, P, d, SEED)
-    # every chromosome k crossed with its successor k + 1
-    a = pop.select(F.col("chrom_id").alias("pair"), F.col("genes").alias("a"))
-    b = pop.select((F.col("chrom_id") - 1).alias("pair"), F.col("genes").alias("b"))
-    return a.join(b, "pair").select(
-        F.col("pair").alias("chrom_id"), bits.bitstring(bits.crossover(F.col("a"), F.col("b"), d, method)).alias("genes")
+def _survivors(spark, sf):
+    """The better half of the population scored on the table, by rank from 0,
+    and the number of genes."""
+    ab, _, sc = _scored0(spark, sf, "embeddings")
+    best = popops.select_top(sc, P // 2)
+    return best.select((F.col("rank") - 1).cast("bigint").alias("chrom_id"), "genes"), ab.d
+
+
+def _o_survivors(q):
+    _, pop, sc = _o_scored0(q, "embeddings")
+    rk = T.ranked(q, "rk", sc)
+    return q.add(
+        "surv",
+        f"SELECT CAST(r.rank - 1 AS BIGINT) AS chrom_id, p.gene, p.bit FROM {rk} r JOIN {pop} p ON r.chrom_id = p.chrom_id "
+        f"WHERE r.rank <= {P // 2}",
     )
 
 
+def _pairs(spark, sf, method):
+    surv, d = _survivors(spark, sf)
+    # every survivor crossed with the next in rank; a window over P rows reads the scores once
+    after = F.lead("genes").over(Window.orderBy("chrom_id"))
+    pairs = surv.select("chrom_id", F.col("genes").alias("a"), after.alias("b")).where("b is not null")
+    return pairs.select("chrom_id", bits.bitstring(bits.crossover(F.col("a"), F.col("b"), d, method)).alias("genes"))
+
+
 def _o_pairs(method):
     q = T.Sql()
-    rows, long = A.raw_sql("embeddings")
-    q.add("embeddings_long", long)
-    pop = T.population_init(q, "pop0", "embeddings", P, SEED)
+    surv = _o_survivors(q)
     d_expr = "(SELECT count(DISTINCT gene) FROM embeddings_long)"
     pick = f"CASE WHEN a.gene < {d_expr} // 2 THEN a.bit ELSE b.bit END" if method == "onepoint" else (
         "CASE WHEN a.gene % 2 = 0 THEN a.bit ELSE b.bit END"
     )
     q.add(
         "child",
-        f"SELECT a.chrom_id, a.gene, {pick} AS bit FROM {pop} a JOIN {pop} b "
+        f"SELECT a.chrom_id, a.gene, {pick} AS bit FROM {surv} a JOIN {surv} b "
         f"ON b.chrom_id = a.chrom_id + 1 AND a.gene = b.gene",
     )
     return q.render(f"SELECT * FROM {T.packed('child')}")
@@ -369,20 +381,17 @@ def o_cross2():
 
 @spark_query("mutation")
 def q_mutation(spark, sf):
-    raw, names = A.raw_embeddings(spark, sf)
-    pop = popops.init(spark, P, len(names), SEED)
-    return popops.mutate(pop, RATE, 1, SEED).select("chrom_id", _genes())
+    surv, _ = _survivors(spark, sf)
+    return popops.mutate(surv, RATE, 1, SEED).select("chrom_id", _genes())
 
 
 def _o_mutated(q):
-    rows, long = A.raw_sql("embeddings")
-    q.add("embeddings_long", long)
-    pop = T.population_init(q, "pop0", "embeddings", P, SEED)
+    surv = _o_survivors(q)
     from featsearch.functions.rng import threshold
 
     h = u32_sql(str(SEED), "'mutate'", "1", "chrom_id", "gene")
-    q.add("mut", f"SELECT chrom_id, gene, CASE WHEN {h} < {threshold(RATE)} THEN 1 - bit ELSE bit END AS bit FROM {pop}")
-    return pop, "mut"
+    q.add("mut", f"SELECT chrom_id, gene, CASE WHEN {h} < {threshold(RATE)} THEN 1 - bit ELSE bit END AS bit FROM {surv}")
+    return surv, "mut"
 
 
 @oracle("mutation")
@@ -394,9 +403,9 @@ def o_mutation():
 
 @spark_query("mutation_drift")
 def q_drift(spark, sf):
-    raw, names = A.raw_embeddings(spark, sf)
-    pop = popops.init(spark, P, len(names), SEED)
-    return popops.drift(pop, popops.mutate(pop, RATE, 1, SEED), len(names))
+    surv, d = _survivors(spark, sf)
+    both = surv.select(F.col("genes").alias("a"), bits.mutate(F.col("genes"), RATE, SEED, 1, F.col("chrom_id")).alias("b"))
+    return popops.changed(both, d)
 
 
 @oracle("mutation_drift")
