@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from featsearch.session import written
+
+#: A dictionary of at most so many levels and bytes is broadcast.
+SMALL_ROWS, SMALL_BYTES = 1 << 20, 32 << 20
 #: Most levels of all columns together: the widest feature array there is.
 MAX_LEVELS = 100_000
 
@@ -39,6 +43,41 @@ def all_levels(df: DataFrame, cols: list[str], max_levels: int = MAX_LEVELS) ->
     return [sorted(v) for v in out]
 
 
+def local_place(order: list[str]) -> list[Column]:
+    """``part, at``: the partition of a row and its place inside it."""
+    return [F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("at"), *order]
+
+
+def dictionary(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``i, level, code``: the sorted distinct non-null values of ``cols[i]``,
+    as text, numbered from 0; a table, so their number has no bound.
+
+    Range partitions are sorted and written once; a row per partition and
+    column then says how many levels of a column lie in earlier partitions.
+    """
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), quoted(c).cast("string").alias("level")) for i, c in enumerate(cols)])
+    found = df.select(F.explode(cells).alias("x")).select("x.*").where("level is not null").distinct()
+    ordered = found.repartitionByRange("i", "level").sortWithinPartitions("i", "level")
+    placed = written(ordered.select(*local_place(["i", "level"])), "levels")
+    per = placed.groupBy("i", "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("i").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per.select("i", "part", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("start"))
+    return placed.join(F.broadcast(starts), ["i", "part"]).select("i", "level", (F.col("start") + F.col("at")).alias("code"))
+
+
+def coded(df: DataFrame, cols: list[str], codes: DataFrame, suffix: str = "_code") -> DataFrame:
+    """``df`` with the code of every column of ``cols`` (null: null) from its
+    ``dictionary``, broadcast if that is small, else joined by a shuffle."""
+    codes = written(codes, "codes")
+    size = codes.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("level")).alias("bytes")).collect()
+    small = {r["i"] for r in size if r["n"] <= SMALL_ROWS and r["bytes"] <= SMALL_BYTES}
+    for i, c in enumerate(cols):
+        side = codes.where(F.col("i") == i).select(F.col("level").alias("__level"), F.col("code").alias(c + suffix))
+        match = quoted(c).cast("string") == F.col("__level")
+        df = df.join(F.broadcast(side) if i in small else side, match, "left").drop("__level")
+    return df
+
+
 def levels(df: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> list:
     """Sorted distinct non-null values of one column, in its own type."""
     vals = df.select(quoted(col).alias("v")).where("v is not null").distinct().limit(max_levels + 1).collect()

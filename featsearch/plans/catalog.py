@@ -180,12 +180,8 @@ FROM orders o, (SELECT DISTINCT o_orderpriority AS lvl FROM orders) lv"""
 
 @spark_query("label_encode")
 def q_label_encode(spark, sf):
-    o = table(spark, sf, "orders")
-    return o.select(
-        F.col("o_orderkey").alias("row_id"),
-        F.col("o_orderstatus").alias("label"),
-        encode.label_codes(o, "o_orderstatus").cast("bigint").alias("code"),
-    )
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_orderstatus").alias("label"))
+    return encode.coded(o, ["label"], encode.dictionary(o, ["label"])).withColumnRenamed("label_code", "code")
 
 
 @oracle("label_encode")
@@ -195,6 +191,67 @@ FROM orders o JOIN (SELECT lvl, CAST(row_number() OVER (ORDER BY lvl) - 1 AS BIG
                     FROM (SELECT DISTINCT o_orderstatus AS lvl FROM orders)) lv ON o.o_orderstatus = lv.lvl"""
 
 
+@spark_query("level_dictionary")
+def q_level_dictionary(spark, sf):
+    o = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("row_id"), F.col("o_custkey").cast("string").alias("customer"),
+        F.col("o_orderpriority").alias("priority"),
+    )
+    cols = ["customer", "priority"]
+    return encode.coded(o, cols, encode.dictionary(o, cols)).drop(*cols)
+
+
+@oracle("level_dictionary")
+def o_level_dictionary():
+    return """SELECT o_orderkey AS row_id,
+  CAST(dense_rank() OVER (ORDER BY CAST(o_custkey AS VARCHAR)) - 1 AS BIGINT) AS customer_code,
+  CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS BIGINT) AS priority_code
+FROM orders"""
+
+
+@spark_query("prepare_orders")
+def q_prepare_orders(spark, sf):
+    o = table(spark, sf, "orders").drop("o_orderdate")
+    raw, names = A.prepare(o, "o_orderstatus", id_col="o_orderkey", positive="F", drop_cols=["o_custkey"])
+    named = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("gene") + 1)
+    return raw.select("row_id", "y", F.posexplode("features").alias("gene", "x")).select(
+        "row_id", "y", F.col("gene").cast("bigint").alias("gene"), named.alias("feature"), "x"
+    )
+
+
+@oracle("prepare_orders")
+def o_prepare_orders():
+    return """WITH lv AS (
+  SELECT lvl, row_number() OVER (ORDER BY lvl) AS gene FROM (SELECT DISTINCT o_orderpriority AS lvl FROM orders)
+)
+SELECT o_orderkey AS row_id, CAST(o_orderstatus = 'F' AS INTEGER) AS y, CAST(0 AS BIGINT) AS gene,
+       'o_totalprice' AS feature, o_totalprice AS x FROM orders
+UNION ALL
+SELECT o_orderkey, CAST(o_orderstatus = 'F' AS INTEGER), CAST(gene AS BIGINT), 'o_orderpriority_' || lvl,
+       CAST(o_orderpriority = lvl AS DOUBLE)
+FROM orders, lv"""
+
+
+@spark_query("prepare_without_ids")
+def q_prepare_without_ids(spark, sf):
+    c = table(spark, sf, "conversations").select("role", "text").withColumn("n_chars", F.length("text").cast("long"))
+    raw, _ = A.prepare(c, "role", positive="assistant", drop_cols=["text"], fill_value=0.0)
+    return split.stratified_split(raw, seed=SEED).select("row_id", "y", "split", F.col("features")[0].alias("n_chars"))
+
+
+@oracle("prepare_without_ids")
+def o_prepare_without_ids():
+    rows = """(SELECT key || ':' || CAST(row_number() OVER (PARTITION BY key) - 1 AS VARCHAR) AS row_id, y, n_chars
+  FROM (SELECT md5(length(role) || ':' || role || coalesce(length(n) || ':' || n, 'n')) AS key,
+               CAST(role = 'assistant' AS INTEGER) AS y, n_chars
+        FROM (SELECT role, CAST(length(text) AS VARCHAR) AS n, CAST(length(text) AS DOUBLE) AS n_chars
+              FROM conversations)))"""
+    return (
+        f"SELECT row_id, y, split, coalesce(n_chars, 0) AS n_chars "
+        f"FROM {split.stratified_split_sql(rows, SEED)}"
+    )
+
+
 @spark_query("feature_subset")
 def q_feature_subset(spark, sf):
     raw, names = A.raw_lineitem(spark, sf)

@@ -13,10 +13,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from featsearch.operators import encode, scale, split
+from featsearch.session import written
 from featsearch.sources.tables import table
 
 MAX_FEATURES = 100_000
@@ -34,6 +36,37 @@ class Abt:
         return len(self.names)
 
 
+def content_ids(df: DataFrame, name: str = "_row_id") -> DataFrame:
+    """``df`` with a key made of its content: a 128-bit hash of all values and
+    the occurrence number among equal rows, so keys follow neither the file
+    layout nor the partitioning.
+
+    Rows are sorted by hash inside their partition and written once; the
+    occurrence number is the place inside the partition plus the equal rows of
+    earlier partitions, so a row that repeats without end is no hot group.
+    """
+
+    def text(field):
+        c = encode.quoted(field.name)
+        nested = isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType))
+        c = F.to_json(c, {"ignoreNullFields": "false"}) if nested else c.cast("string")
+        return F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("n"))
+
+    row = F.struct(*[encode.quoted(c) for c in df.columns]).alias("row")
+    keyed = df.select(F.md5(F.concat(*[text(f) for f in df.schema.fields])).alias("key"), row)
+    placed = written(keyed.sortWithinPartitions("key").select(*encode.local_place(["key", "row"])), "keyed")
+    per = placed.groupBy("key", "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    of_key = Window.partitionBy("key")
+    earlier = of_key.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    repeated = (
+        per.withColumn("total", F.sum("n").over(of_key))
+        .withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first"))
+        .where("total > 1").select("key", "part", "start")
+    )
+    number = F.coalesce(F.col("start") + F.col("at"), F.lit(0)).cast("string")
+    return placed.join(repeated, ["key", "part"], "left").select("row.*", F.concat_ws(":", "key", number).alias(name))
+
+
 def prepare(
     df: DataFrame,
     label_col: str,
@@ -48,16 +81,16 @@ def prepare(
     Returns ``(row_id, y, features)`` and the feature names. Labels must be
     binary after encoding, unless ``positive`` names the positive class.
     Null labels are rejected; null numeric features are rejected unless
-    ``fill_value`` is given (no silent imputation). Give ``id_col`` (a unique
-    key): generated ids follow the input file layout, and the split is keyed
-    by the id.
+    ``fill_value`` is given (no silent imputation). Without ``id_col`` (a unique
+    key) rows are keyed by their content (``content_ids``), dropped columns not
+    counted.
     """
     if label_col not in df.columns:
         raise ValueError(f"label column {label_col!r} not found")
     df = df.drop(*[c for c in drop_cols if c != id_col])
     if id_col is None:
-        df = df.withColumn("_row_id", F.monotonically_increasing_id())
         id_col = "_row_id"
+        df = content_ids(df, id_col)
     feats = [c for c in df.columns if c not in (label_col, id_col)]
     cats = encode.categorical_columns(df, exclude=(label_col, id_col))
     nums = [c for c in feats if c not in cats]

@@ -110,3 +110,51 @@ def test_subset_by_genes_column(spark):
     assert got == [[1.0, 2.0], [5.0, 8.0]]
     static = [r[0] for r in df.select(encode.subset_static(F.col("features"), [0, 0, 1, 1])).collect()]
     assert static == [[2.0, 3.0], [7.0, 8.0]]
+
+
+def test_content_ids_repeated_rows_and_any_partitioning(spark):
+    rows = [("a", 1.0)] * 500 + [("b", None)] * 3 + [(None, 2.0), ("", 2.0), ("n", 2.0)] + [(f"r{i}", float(i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "c string, v double")
+    seen = []
+    for frame in (df.repartition(1), df.repartition(7), df.repartition(4, "c").orderBy(F.desc("c"))):
+        got = A.content_ids(frame)
+        assert got.columns == ["c", "v", "_row_id"]
+        seen.append(sorted((r["_row_id"], r["c"] or "", r["v"] or 0.0) for r in got.collect()))
+        assert len({r[0] for r in seen[-1]}) == len(rows)
+    assert seen[0] == seen[1] == seen[2]
+    assert A.content_ids(df.limit(0)).count() == 0
+
+
+def test_content_ids_clashing_names(spark):
+    names = ["key", "part", "at", "row", "start", "first", "n", "a.b"]
+    df = spark.createDataFrame([tuple(range(8))] * 3, names)
+    got = A.content_ids(df)
+    assert got.columns == names + ["_row_id"] and len({r["_row_id"] for r in got.collect()}) == 3
+
+
+def test_prepare_without_ids_splits_alike(spark):
+    rows = [("x" if i % 3 else "y", float(i % 40), "p" if i % 2 else "q") for i in range(400)]
+    df = spark.createDataFrame(rows, "c string, v double, lab string")
+
+    def splits(frame):
+        raw, _ = A.prepare(frame, "lab")
+        return sorted((r["row_id"], r["split"]) for r in split.stratified_split(raw).collect())
+
+    assert splits(df.repartition(2)) == splits(df.repartition(9))
+
+
+def test_dictionary_against_sorted_levels(spark, monkeypatch):
+    rows = [(i, f"l{(i * 7919) % 3001}" if i % 11 else None, "hot" if i % 3 else f"é{i % 5}") for i in range(6000)]
+    df = spark.createDataFrame(rows, "level long, a string, b string").repartition(9)
+    codes = encode.dictionary(df, ["a", "b"])
+    got = {(r["i"], r["level"]): r["code"] for r in codes.collect()}
+    for i in (0, 1):
+        want = sorted({r[i + 1] for r in rows if r[i + 1] is not None})
+        assert {lv: got[i, lv] for lv in want} == {lv: n for n, lv in enumerate(want)}
+    assert len(got) == sum(len({r[i + 1] for r in rows} - {None}) for i in (0, 1))
+    plain = {r["level"]: (r["a_code"], r["b_code"]) for r in encode.coded(df, ["a", "b"], codes).collect()}
+    monkeypatch.setattr(encode, "SMALL_ROWS", 0)
+    shuffled = {r["level"]: (r["a_code"], r["b_code"]) for r in encode.coded(df, ["a", "b"], codes).collect()}
+    assert plain == shuffled and len(plain) == 6000
+    assert all(plain[k] == (got.get((0, a)), got.get((1, b))) for k, a, b in rows)
+    assert encode.dictionary(df.limit(0), ["a"]).count() == 0
