@@ -13,6 +13,10 @@ def get(name: str, **kw):
         from featsearch.operators.models.centroid import CentroidModel
 
         return CentroidModel(**kw)
+    if name == "sparse_centroid":
+        from featsearch.operators.models.sparse import SparseCentroidModel
+
+        return SparseCentroidModel(**kw)
     if name == "logistic":
         from featsearch.operators.models.logistic import LogisticModel
 
@@ -25,4 +29,4 @@ def get(name: str, **kw):
         from featsearch.operators.models.mlp import MlpModel
 
         return MlpModel(**kw)
-    raise ValueError(f"unknown model {name!r}; valid: centroid, logistic, mlp, gbt (alias xgboost)")
+    raise ValueError(f"unknown model {name!r}; valid: centroid, sparse_centroid, logistic, mlp, gbt (alias xgboost)")

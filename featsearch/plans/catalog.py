@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from featsearch.functions import bits
 from featsearch.functions.rng import u32, u32_sql
-from featsearch.operators import encode, fitness, population as popops, scale, split
+from featsearch.operators import encode, fitness, population as popops, scale, sparse, split
 from featsearch.operators import models as MODELS
 from featsearch.operators.models.centroid import CentroidModel
 from featsearch.plans import report as R
@@ -252,6 +252,62 @@ def o_prepare_without_ids():
     )
 
 
+def _sparse_orders(spark, sf):
+    o = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("row_id"), (F.col("o_orderstatus") == "F").cast("int").alias("y"), "o_totalprice",
+        F.col("o_custkey").cast("string").alias("customer"), F.col("o_orderpriority").alias("priority"),
+    )
+    return sparse.features(o, ["o_totalprice"], ["customer", "priority"])
+
+
+@spark_query("sparse_centroid")
+def q_sparse_centroid(spark, sf):
+    rows, _, d = _sparse_orders(spark, sf)
+    ab = sparse.build(rows.select("row_id", "y", "indices", "values"), d, search.shared_path(spark, "abt"), SEED)
+    sc = fitness.score(ab.df, popops.init(spark, P, d, SEED), MODELS.get("sparse_centroid"), METRIC)
+    return sc.select("chrom_id", bits.n_selected(F.col("genes")).alias("n_selected"), "tp", "fp", "fn", "tn", "score")
+
+
+@oracle("sparse_centroid")
+def o_sparse_centroid():
+    q = T.Sql()
+    q.add("o", """SELECT o_orderkey AS row_id, CAST(o_orderstatus = 'F' AS INTEGER) AS y, o_totalprice,
+  CAST(o_custkey AS VARCHAR) AS customer, o_orderpriority AS priority FROM orders""")
+    q.add("sp_rows", "SELECT row_id, y FROM o")
+    q.add("coded", """SELECT *, dense_rank() OVER (ORDER BY customer) AS c,
+  (SELECT count(DISTINCT customer) FROM o) + dense_rank() OVER (ORDER BY priority) AS p FROM o""")
+    q.add("sp_long", """SELECT row_id, CAST(0 AS BIGINT) AS gene, o_totalprice AS x FROM o WHERE o_totalprice <> 0
+UNION ALL SELECT row_id, CAST(c AS BIGINT), CAST(1 AS DOUBLE) FROM coded
+UNION ALL SELECT row_id, CAST(p AS BIGINT), CAST(1 AS DOUBLE) FROM coded""")
+    q.add("sp", "SELECT * FROM " + split.stratified_split_sql("sp_rows", SEED))
+    q.add("nz", "SELECT l.*, s.y, s.split FROM sp_long l JOIN sp s ON l.row_id = s.row_id")
+    q.add("cls", """SELECT count(*) FILTER (WHERE y = 0) AS n0, count(*) FILTER (WHERE y = 1) AS n1,
+  CAST(count(*) AS DOUBLE) AS n FROM sp WHERE split = 'train'""")
+    q.add("mom", """SELECT gene, s / n AS mean, sqrt((v * k + m * m * (k * (n - k)) / n) / n) AS sd
+FROM (SELECT gene, CAST(count(*) AS DOUBLE) AS k, sum(x) AS s, avg(x) AS m, var_pop(x) AS v
+      FROM nz WHERE split = 'train' GROUP BY gene), cls""")
+    q.add("st", f"""SELECT *, CAST(floor((0 - mean) / sd * {scale.SCALE}) AS BIGINT) AS z0
+FROM (SELECT g.gene, coalesce(mean, CAST(0 AS DOUBLE)) AS mean, CASE WHEN sd > 0 THEN sd ELSE CAST(1 AS DOUBLE) END AS sd
+      FROM (SELECT DISTINCT gene FROM sp_long) g LEFT JOIN mom ON g.gene = mom.gene)""")
+    q.add("z", f"""SELECT nz.*, CAST(floor((x - mean) / sd * {scale.SCALE}) AS BIGINT) - z0 AS dz
+FROM nz JOIN st ON nz.gene = st.gene""")
+    q.add("mm", """SELECT st.gene, z0,
+  CAST(floor(CAST(n0 * z0 + coalesce(s0, 0) AS DOUBLE) / n0) AS BIGINT) AS m0,
+  CAST(floor(CAST(n1 * z0 + coalesce(s1, 0) AS DOUBLE) / n1) AS BIGINT) AS m1
+FROM st LEFT JOIN (SELECT gene, sum(dz) FILTER (WHERE y = 0) AS s0, sum(dz) FILTER (WHERE y = 1) AS s1
+                   FROM z WHERE split = 'train' GROUP BY gene) t ON st.gene = t.gene, cls""")
+    pop = T.population_init(q, "pop0", "sp", P, SEED)
+    q.add("bs", f"""SELECT chrom_id, CAST(sum(bit) AS BIGINT) AS n_selected,
+  sum(bit * (m0 - m1) * (2 * z0 - m0 - m1)) AS base FROM {pop} p JOIN mm ON p.gene = mm.gene GROUP BY chrom_id""")
+    q.add("dec", f"""SELECT p.chrom_id, z.row_id, any_value(z.y) AS y, sum(p.bit * 2 * (m0 - m1) * dz) AS d
+FROM z JOIN mm ON z.gene = mm.gene JOIN {pop} p ON p.gene = z.gene WHERE z.split = 'val' GROUP BY p.chrom_id, z.row_id""")
+    q.add("conf", """SELECT bs.chrom_id, any_value(n_selected) AS n_selected,
+  count(*) FILTER (WHERE base + d < 0 AND y = 1) AS tp, count(*) FILTER (WHERE base + d < 0 AND y = 0) AS fp,
+  count(*) FILTER (WHERE base + d >= 0 AND y = 1) AS fn, count(*) FILTER (WHERE base + d >= 0 AND y = 0) AS tn
+FROM dec JOIN bs ON dec.chrom_id = bs.chrom_id GROUP BY bs.chrom_id""")
+    return q.render(f"SELECT chrom_id, n_selected, tp, fp, fn, tn, {T.metric_sql(METRIC)} AS score FROM conf")
+
+
 @spark_query("feature_subset")
 def q_feature_subset(spark, sf):
     raw, names = A.raw_lineitem(spark, sf)

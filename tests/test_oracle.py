@@ -11,7 +11,8 @@ from conftest import SF001
 
 FAST = [
     "rng_u32", "population_init", "stratified_split", "scaler_fit", "scaler_apply", "dataset_load",
-    "one_hot_encode", "label_encode", "level_dictionary", "prepare_orders", "prepare_without_ids", "feature_subset", "fitness_population", "fitness_single",
+    "one_hot_encode", "label_encode", "level_dictionary", "prepare_orders", "prepare_without_ids",
+    "sparse_centroid", "feature_subset", "fitness_population", "fitness_single",
     "metrics_confusion", "selection_topk", "generation_best", "crossover_onepoint", "crossover_multipoint",
     "mutation", "mutation_drift", "mating", "next_population", "population_diversity", "ga_generation",
     "random_search", "stop_rule", "forward_selection_round", "ga_search",
