@@ -9,7 +9,7 @@ from datetime import datetime, timezone
 ALGORITHMS = ("baseline_metrics", "ga", "random", "rfs")
 # The reference's three genetic backends share one semantics; all map to "ga".
 ALGORITHM_ALIASES = {"ga_seq": "ga", "ga_joblib": "ga", "ga_spark": "ga"}
-MODELS = ("centroid", "logistic", "mlp", "gbt", "xgboost")
+MODELS = ("centroid", "sparse_centroid", "logistic", "mlp", "gbt", "xgboost")
 METRICS = ("f1", "accuracy", "roc_auc", "roc_auc_score")
 CROSSOVERS = ("onepoint", "multipoint")
 

@@ -23,6 +23,7 @@ from featsearch.operators import models as model_registry
 from featsearch.operators import population as popops
 from featsearch.session import checkpoint_dir
 from featsearch.sources.abt import Abt
+from featsearch.sources.scores import fingerprint, model_key
 
 
 @dataclass
@@ -114,11 +115,13 @@ def _continues(last_best, next_gen: int, cfg: SearchConfig) -> bool:
     return (last_best is None or last_best < cfg.stopping_threshold) and next_gen <= cfg.max_generation
 
 
-def genetic(abt: Abt, cfg: SearchConfig, model, base: dict, store=None, start: dict | None = None) -> SearchResult:
+def genetic(abt: Abt, cfg: SearchConfig, model, base: dict, store=None, start: dict | None = None,
+            scores=None) -> SearchResult:
     """Genetic search (A3): score -> history -> breed, until the stop rule (A5).
 
     With a store, each bred population is appended before the next
-    generation starts, so ``resume`` can continue an interrupted run.
+    generation starts, so ``resume`` can continue an interrupted run. With a
+    ``sources.scores.ScoreTable``, gene sets that any run scored are looked up.
     """
     spark = abt.df.sparkSession
     res = SearchResult(cfg, baseline=base)
@@ -137,13 +140,20 @@ def genetic(abt: Abt, cfg: SearchConfig, model, base: dict, store=None, start: d
     cache: dict = {}  # gene set -> confusion counts, bounded by P x generations
     res.scored = 0
     ids = mat = None
+    key = (fingerprint(abt.df), model_key(model), "val") if scores is not None else None
     while _continues(last_max, gen, cfg):
         t0 = time.time()
         if ids is None:
             ids, mat = popops.to_matrix(pop)
-        before = len(cache)
+        if scores is not None:
+            unseen = [g for g in np.unique(mat, axis=0) if g.tobytes() not in cache]
+            cache.update(scores.known(*key, unseen))
+        before = set(cache)
         rows = fitness.score_rows(abt.df, ids, mat, model, cfg.metric, cache=cache)
-        res.scored += len(cache) - before
+        fresh = {k: c for k, c in cache.items() if k not in before}
+        res.scored += len(fresh)
+        if scores is not None:
+            scores.add(*key, fresh, d)
         h = summarize(rows, gen, 0.0)
         if _continues(h["best"], gen + 1, cfg):  # breed only when another generation follows
             scored = popops.literal_frame(spark, [r["chrom_id"] for r in rows], [r["genes"] for r in rows],
@@ -284,7 +294,7 @@ def forward_selection(abt: Abt, cfg: SearchConfig, model, base: dict, store=None
 # ------------------------------------------------------------------ resume
 
 
-def resume(spark: SparkSession, abt: Abt, store, run_id: str, model=None) -> SearchResult:
+def resume(spark: SparkSession, abt: Abt, store, run_id: str, model=None, scores=None) -> SearchResult:
     """Continue a genetic run from its last stored generation (driver loss).
 
     Scoring is deterministic and every draw is keyed by (seed, generation,
@@ -311,7 +321,7 @@ def resume(spark: SparkSession, abt: Abt, store, run_id: str, model=None) -> Sea
         if (stored := pop.count()) != cfg.population_size:
             raise ValueError(f"run {run_id!r} has {stored} of {cfg.population_size} chromosomes for generation {gen}")
     base = baseline(abt, model, cfg.metric)
-    res = genetic(abt, cfg, model, base, store, start={"pop": pop, "gen": gen, "history": hist})
+    res = genetic(abt, cfg, model, base, store, start={"pop": pop, "gen": gen, "history": hist}, scores=scores)
     res.best_genes = res.best_genes if res.history else [1] * abt.d
     res.test = test_metrics(abt, model, res.best_genes)
     if store.test_metrics().where(F.col("run_id") == run_id).limit(1).count() == 0:  # once per run
@@ -323,7 +333,7 @@ def resume(spark: SparkSession, abt: Abt, store, run_id: str, model=None) -> Sea
 # ------------------------------------------------------------------ entry point
 
 
-def run(spark: SparkSession, abt: Abt, cfg: SearchConfig, store=None, model=None) -> SearchResult:
+def run(spark: SparkSession, abt: Abt, cfg: SearchConfig, store=None, model=None, scores=None) -> SearchResult:
     """One experiment run: config row, search, history rows, test metrics."""
     cfg.validate()
     model = model or model_registry.get(cfg.model)
@@ -337,7 +347,7 @@ def run(spark: SparkSession, abt: Abt, cfg: SearchConfig, store=None, model=None
         if store is not None:
             store.append_history(cfg.run_id, res.history)
     elif cfg.search == "ga":
-        res = genetic(abt, cfg, model, base, store)
+        res = genetic(abt, cfg, model, base, store, scores=scores)
     elif cfg.search == "random":
         res = random_search(abt, cfg, model, base, store)
     elif cfg.search == "rfs":

@@ -34,7 +34,7 @@ CLUSTER_CONF = {
     "spark.sql.shuffle.partitions": "2000",
 }
 # Core settings that only take effect at submit time (``--conf``).
-SUBMIT_CONF = {"spark.task.maxFailures": "8", "spark.speculation": "true"}
+SUBMIT_CONF = {"spark.task.maxFailures": "8", "spark.speculation": "true", "spark.scheduler.mode": "FAIR"}
 
 
 def apply_cluster_conf(spark: SparkSession) -> None:

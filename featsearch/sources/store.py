@@ -18,6 +18,7 @@ as bit strings because the CSV writer refuses arrays.
 from __future__ import annotations
 
 import os
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,12 +45,14 @@ class RunStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root
+        self._lock = threading.Lock()  # concurrent runs of one application write one at a time
 
     def _path(self, name: str) -> str:
         return os.path.join(self.root, name)
 
     def _append(self, name: str, rows: list, schema: str) -> None:
-        self.spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(self._path(name))
+        with self._lock:
+            self.spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(self._path(name))
 
     def write_config(self, cfg) -> None:
         r = cfg.row()
@@ -65,9 +68,10 @@ class RunStore:
 
     def _replace(self, name: str, df: DataFrame) -> None:
         """Write whole ``(run_id, gen)`` partitions: writing one again replaces it."""
-        df.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            "run_id", "gen"
-        ).parquet(self._path(name))
+        with self._lock:
+            df.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+                "run_id", "gen"
+            ).parquet(self._path(name))
 
     def append_history(self, run_id: str, rows: list[dict]) -> None:
         self._replace(
@@ -99,6 +103,10 @@ class RunStore:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
+    def exists(self) -> bool:
+        """Whether any run was written here."""
+        return self._exists(self.root)
+
     def _read(self, name: str, schema: str) -> DataFrame:
         """A table; empty if the store exists and has no such table yet.
 

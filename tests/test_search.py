@@ -229,7 +229,7 @@ def test_run_grid(spark, tmp_path):
     df = G.grid(spark, dict(G.FULL_GRID, dataset=["orders"], algorithm=["baseline_metrics", "random"],
                             model=["centroid"], population_size=[4], max_generation=[1]))
     store = RunStore(spark, str(tmp_path / "runs"))
-    res = G.run_grid(spark, {"orders": ab}, df, store)
+    res = [r.result for r in G.run_grid(spark, {"orders": ab}, df, store)]
     assert len(res) == 2 and store.configs().count() == 2 and store.test_metrics().count() == 2
 
 
