@@ -32,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from featsearch.llm.common import join_hot, python_ready, stored
 from featsearch.llm.shingles import distinct, scramble, window_hashes, word_hashes
@@ -47,13 +48,16 @@ SMALL = 1 << 20
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, doc, version, text``: ``doc`` orders documents, ``version`` tells
-    apart different texts under one id."""
+    apart different texts under one id by a 64-bit hash."""
     python_ready(docs.sparkSession)
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, (T.IntegralType, T.NullType)):
+        raise TypeError(f"{id_col!r} is {kind.simpleString()}: documents are ordered by a whole number; rank other ids first")
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     return docs.select(
         F.col(f"`{id_col}`").alias("id"),
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(np.iinfo(np.int64).max)).alias("doc"),
-        F.crc32(text.cast("binary")).alias("version"), text.alias("text"),
+        F.xxhash64(text).alias("version"), text.alias("text"),
     )
 
 
