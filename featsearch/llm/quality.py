@@ -16,12 +16,14 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featsearch.llm.common import SPACE, python_ready
+from featsearch.llm.shingles import IS_WORD, window_hashes, word_hashes
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -43,7 +45,8 @@ def mask(rules) -> int:
 def measure(text: str | None) -> tuple:
     """The measurements of one text, in the order of ``MEASURES``."""
     text = text or ""
-    words = text.encode().split()
+    data = text.encode()
+    hashes = word_hashes(data)
     chars = len(text) - sum(map(text.count, SPACE))
     symbols = sum(map(text.count, SYMBOLS))
     lines = [x for x in text.split("\n") if x.strip(SPACE)]
@@ -52,21 +55,36 @@ def measure(text: str | None) -> tuple:
         if c.isalpha():
             letters += n
             upper += n * c.isupper()
-    return (len(words), chars, symbols, len(lines), len(lines) - len(set(lines)), _repeated(words), letters, upper)
+    return (len(hashes), chars, symbols, len(lines), len(lines) - len(set(lines)), _repeated(data, hashes), letters, upper)
 
 
-def _repeated(words: list) -> int:
-    """Words inside a window that occurs twice or more, first place included."""
-    grams = list(zip(*(words[i:] for i in range(WINDOW)), strict=False))
-    if len(set(grams)) == len(grams):
+def _repeated(data: bytes, hashes: np.ndarray) -> int:
+    """Words inside a window that occurs twice or more, first place included.
+
+    Windows meet by the 64-bit hash of their words; those of equal hash are
+    compared word by word. Beside the text a few numbers per word are held.
+    """
+    grams = window_hashes(hashes, WINDOW)
+    order = np.argsort(grams, kind="stable")
+    bounds = np.flatnonzero(np.concatenate([[True], grams[order[1:]] != grams[order[:-1]], [True]]))
+    sizes = np.diff(bounds)
+    if not (sizes > 1).any():
         return 0
-    seen = Counter(grams)
-    total, end = 0, 0
-    for at, gram in enumerate(grams):
-        if seen[gram] > 1:
-            total += at + WINDOW - max(at, end)
-            end = at + WINDOW
-    return total
+    edges = np.flatnonzero(np.diff(IS_WORD[np.frombuffer(b" " + data + b" ", np.uint8)].view(np.int8)))
+    first, last = edges[::2], edges[1::2]
+
+    def window(i):
+        return tuple(data[a:z] for a, z in zip(first[i : i + WINDOW].tolist(), last[i : i + WINDOW].tolist(), strict=True))
+
+    edge = np.zeros(len(hashes) + 1, np.int32)
+    for at, n in zip(bounds[:-1][sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+        places = order[at : at + n]
+        seen = Counter(map(window, places))
+        if len(seen) > 1:  # different windows of one hash
+            places = np.array([i for i in places if seen[window(i)] > 1], np.int64)
+        edge[places] += 1
+        edge[places + WINDOW] -= 1
+    return int((np.cumsum(edge) > 0).sum())
 
 
 @F.pandas_udf(_SCHEMA)
@@ -92,14 +110,21 @@ def _failures() -> Column:
     return bits
 
 
-def annotate(docs: DataFrame, text_col="text", name="ledger") -> DataFrame:
-    """``docs`` with a struct column ``name``: measurements and ``failed`` bits."""
+def _measured_rows(docs: DataFrame, text_col: str) -> DataFrame:
+    """``row, ledger``: each row of ``docs`` as a struct beside its ledger, so
+    no column name can clash."""
     python_ready(docs.sparkSession)
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     udf = _measured.asNondeterministic()  # evaluated once, never copied into a pushed filter
     inner = inner.withColumn("ledger", udf(F.col("row").getField(text_col).cast("string")))
     full = F.struct(*[F.col(f"ledger.{m}") for m in MEASURES], _failures().alias("failed"))
-    return inner.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], full.alias(name))
+    return inner.select("row", full.alias("ledger"))
+
+
+def annotate(docs: DataFrame, text_col="text", name="ledger") -> DataFrame:
+    """``docs`` with a struct column ``name``: measurements and ``failed`` bits."""
+    rows = _measured_rows(docs, text_col)
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], F.col("ledger").alias(name))
 
 
 def ledger(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
@@ -114,10 +139,8 @@ def passes(failed: Column, policy: str = "v1") -> Column:
 
 def accepted(docs: DataFrame, policy: str = "v1", text_col="text") -> DataFrame:
     """The rows of ``docs`` that ``policy`` keeps, all columns unchanged."""
-    name = "__ledger"
-    return annotate(docs, text_col, name).where(passes(F.col(f"{name}.failed"), policy)).select(
-        *[F.col(f"`{c}`") for c in docs.columns]
-    )
+    rows = _measured_rows(docs, text_col).where(passes(F.col("ledger.failed"), policy))
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def ablations(ledger_rows: DataFrame, policy: str = "v1") -> DataFrame:

@@ -12,8 +12,8 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes hashed at a time, and words above which a word is hashed by itself:
 #: a polynomial modulo 2^64 is weak on very long regular words only.
 CHUNK, LONG = 1 << 18, 256
-_IS_WORD = np.ones(256, bool)
-_IS_WORD[list(SPACE.encode())] = False
+IS_WORD = np.ones(256, bool)
+IS_WORD[list(SPACE.encode())] = False
 
 
 def scramble(h: np.ndarray) -> np.ndarray:
@@ -38,7 +38,7 @@ def word_hashes(data: bytes) -> np.ndarray:
     out, at = [], 0
     while at < len(data):
         stop = min(len(data), at + CHUNK)
-        while stop < len(data) and _IS_WORD[data[stop]]:  # to the end of the word
+        while stop < len(data) and IS_WORD[data[stop]]:  # to the end of the word
             stop += 1
         out.append(_hashed(data[at:stop]) if stop - at <= CHUNK + LONG else _one_by_one(data[at:stop]))
         at = stop
@@ -57,7 +57,7 @@ def _long(word: bytes) -> np.ndarray:
 def _hashed(data: bytes) -> np.ndarray:
     b = np.frombuffer(data, np.uint8)
     inside = np.zeros(len(b) + 2, np.int8)
-    inside[1:-1] = _IS_WORD[b]
+    inside[1:-1] = IS_WORD[b]
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
     sums = np.zeros(len(b) + 1, np.uint64)

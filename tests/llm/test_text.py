@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,3 +201,29 @@ def test_toxicity_one_class_or_nothing(spark):
     assert {r.score for r in toxicity.score(df, toxicity.train(df, none)).collect()} == {0.0}
     empty = spark.createDataFrame([], SCHEMA)
     assert toxicity.score(empty, toxicity.train(empty, none)).count() == 0
+
+
+def _plain_windows(words, width=5):
+    grams = [tuple(words[i : i + width]) for i in range(len(words) - width + 1)]
+    hit = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(width)}
+    return len(hit)
+
+
+@pytest.mark.parametrize("modulus", [None, 3])
+def test_repeated_windows_by_hash(monkeypatch, modulus):
+    """Against plain windows, also where different windows share a hash."""
+    if modulus:
+        hashes = quality.window_hashes
+        monkeypatch.setattr(quality, "window_hashes", lambda h, w: hashes(h, w) % np.uint64(modulus))
+    r = random.Random(2)
+    for _ in range(300):
+        words = [r.choice("abcdefé"[: r.randint(1, 7)]) for _ in range(r.randint(0, 40))]
+        text = r.choice([" ", "\n", "\t "]).join(words) + r.choice(["", " "])
+        got = dict(zip(quality.MEASURES, quality.measure(text), strict=True))
+        assert got["n_words"] == len(words) and got["n_repeat_words"] == _plain_windows(words)
+
+
+def test_accepted_without_clashing_names(spark):
+    df = spark.createDataFrame([(1, "word " * 3, "x", "y"), (2, " ".join(f"word{i}" for i in range(30)), "x", "y")], "doc_id long, text string, `__ledger` string, `row` string")
+    kept = quality.accepted(df)
+    assert kept.columns == df.columns and [r.doc_id for r in kept.collect()] == [2]
