@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from featsearch.llm.common import SMALL, join_hot, join_sized, python_ready, stored
+from featsearch.llm.common import SMALL, join_hot, join_sized, python_ready, stored, word_count
 from featsearch.llm.graph import components
 from featsearch.llm.shingles import shingle_set
 
@@ -429,7 +429,24 @@ def classes(docs: DataFrame, id_col="doc_id", text_col="text", percent: int = PE
 
 
 def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their component."""
-    keep = classes(docs, id_col, text_col, percent).where("id <=> component_id").select("id").distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("own"))
-    return rows.join(keep, F.col("own").eqNullSafe(F.col("id")), "left_semi").select("row.*")
+    """The rows of ``docs`` with the smallest id of their component.
+
+    Null ids are larger than every id: a component without ids keeps one of its
+    rows, found by the digest of its text. Texts without words are linked with
+    nothing and all stay.
+    """
+    own, text = F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    digest = F.when(own.isNull(), F.md5(text)).otherwise("")
+    wordless = own.isNull() & (word_count(text) == 0)
+    key = F.struct(own.isNull().alias("none"), own.alias("id"), digest.alias("digest"))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"), text.alias("text"), wordless.alias("wordless")
+    )
+    first = classes(rows.where("not wordless"), "key", "text", percent).where("id = component_id").select(
+        F.col("id.none").alias("n"), F.col("id.id").alias("i"), F.col("id.digest").alias("d")
+    ).distinct()
+    same = (F.col("key.none") == F.col("n")) & F.col("key.id").eqNullSafe(F.col("i")) & (F.col("key.digest") == F.col("d"))
+    kept = rows.where("not wordless").join(first, same, "left_semi")
+    nameless = kept.where("key.none").groupBy("key.digest").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    named = kept.where("not key.none").select("row").unionByName(rows.where("wordless").select("row"))
+    return named.unionByName(nameless.select("row")).select("row.*")

@@ -4,7 +4,7 @@ import random
 import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-CLASH = ("id", "h", "keep_id", "group_size", "row", "node", "comp", "size", "key", "ledger", "failed", "spans")
+CLASH = ("id", "h", "keep_id", "group_size", "row", "node", "comp", "size", "key", "ledger", "failed", "spans", "__id", "__ledger", "none", "digest", "wordless")
 
 
 def words(text):

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -205,3 +206,38 @@ def test_frequent_columns_are_the_largest(spark):
     assert counts.min() >= 80 and counts[np.argmax(order)] == 100
     assert len(jaccard.frequent(df, top=5000)[0]) == 1000
     assert len(jaccard.frequent(df.where("n < 0"))[0]) == 0
+
+
+def test_keep_one_null_ids(spark):
+    """A component keeps its smallest id, one without ids one of its rows."""
+    r = random.Random(8)
+    a, b, lonely = (" ".join(r.choice("abcdefghij") + str(r.randrange(99)) for _ in range(60)) for _ in range(3))
+    rows = [(1, a), (None, a), (None, a + " more"), (None, b), (None, b), (None, b + " x"), (None, lonely), (None, ""), (None, None), (7, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(((x.doc_id, x.text) for x in jaccard.keep_one(df).collect()), key=str)
+    named = [k for k in kept if k[0] is not None]
+    texts = [k[1] for k in kept if k[0] is None]
+    assert sorted(named) == [(1, a), (7, " ")]
+    assert texts.count("") == 1 and texts.count(None) == 1 and texts.count(lonely) == 1
+    assert sum(t in (b, b + " x") for t in texts) == 1 and len(texts) == 4
+
+
+def test_substring_rows_without_ids_are_told_apart(spark):
+    """Two texts of one crc32 and no id: what is removed from one stays in the other."""
+    import zlib
+
+    r = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(20))
+    own = " ".join(f"q{i}" for i in range(32))
+    seen, pair = {}, None
+    while pair is None:
+        tail = str(r.getrandbits(60))
+        seen[zlib.crc32(f"{passage} tail {tail}".encode())] = f"{passage} tail {tail}"
+        other = f"{own} {r.getrandbits(60)}"
+        if zlib.crc32(other.encode()) in seen:
+            pair = seen[zlib.crc32(other.encode())], other
+    df = spark.createDataFrame([(1, passage), (None, pair[0]), (None, pair[1])], "doc_id long, text string")
+    got = sorted((x.n_words, x.n_removed) for x in substring_dedup.dedup(df).where("id is null").collect())
+    assert got == [(22, 20), (33, 0)]
+    with pytest.raises(TypeError, match="whole number"):
+        substring_dedup.dedup(df.selectExpr("'a' as doc_id", "text"))
