@@ -10,8 +10,10 @@ with L and K at least 1. A node's sum is the sum of its children's densities
 (text that stands directly in it is a child with the node's own density). The
 subtree with the largest sum is the core; the least density on its path to the
 body is the threshold, and other subtrees that reach it are content as well.
-The article is the ``article`` or ``main`` element around the core if there is
-one, else the smallest subtree that holds all content.
+The text is that of the ``article`` or ``main`` element around the core, and of
+other such elements that are content; without one, that of the smallest subtree
+that holds all content, less the subtrees below the threshold that are mostly
+links.
 
 Elements that never belong to an article (menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, reader comments; by tag, role, and
@@ -19,7 +21,10 @@ words of class or id) take no part and are left out of the text. Layout wrappers
 that are named after such an element stay: tokens like ``has-sidebar`` or
 ``content-sidebar-wrap`` are not its name, and an element dropped for a word (of
 reader comments excepted) stays if it holds ``main``, or most of the page's text
-outside links and either an ``article``, an ``h1`` or only longer names.
+outside links and either an ``article``, an ``h1`` or only longer names; so does
+a ``form`` around the page. A ``header`` inside an article stays if it holds the
+heading. A paragraph, heading, list item, cell or inline element goes only for a
+class or id that is such a name, not for a word in a longer one.
 
 Defined results: null, empty and textless pages give an empty text; markup
 that never closes runs to the end of the page; white space inside a block
@@ -77,8 +82,10 @@ COMMENT_WORDS = frozenset("comment comments disqus reply replies".split())
 LAYOUT_WORDS = frozenset("has have no non not with without".split())
 WRAP_WORDS = frozenset("wrap wrapper container layout".split())
 CONTENT_WORDS = frozenset("content article".split())
-#: Why an element is dropped: its nature, a word in a longer name, its name, reader comments.
-HARD, PART, NAME, COMMENT = 1, 2, 3, 4
+#: Why an element is dropped: its nature, a word in a longer name, its name, reader
+#: comments, a tag that may also hold the article or its heading.
+HARD, PART, NAME, COMMENT, SOFT = 1, 2, 3, 4, 5
+TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th figcaption".split())
 _P_CLOSERS = frozenset(
     "address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 "
     "h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
@@ -118,6 +125,8 @@ def _named(value: str) -> int:
 
 
 def _why(tag: str, attrs: str) -> int:
+    if tag in ("form", "header"):
+        return SOFT
     if tag in DROPPED:
         return HARD
     if not attrs or tag in ("html", "body", "article", "main"):
@@ -133,7 +142,7 @@ def _why(tag: str, attrs: str) -> int:
             return HARD
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return HARD
-    return why
+    return 0 if why == PART and (tag in INLINE or tag in TEXT_BLOCKS) else why
 
 
 def _drop(root: Node) -> None:
@@ -144,22 +153,27 @@ def _drop(root: Node) -> None:
         if n.why == HARD:
             text[id(n)], has[id(n)] = 0, set()
             continue
-        text[id(n)] = n.chars - n.link_chars + sum(text[id(c)] for c in n.children)
+        text[id(n)] = n.chars - n.link_chars + sum(text[id(c)] for c in n.children if c.tag != "header" or not c.why)
         has[id(n)] = set().union(*(has[id(c)] for c in n.children if has[id(c)]))
         if n.tag in ("main", "article", "h1"):
             has[id(n)].add(n.tag)
+    inside = set()  # nodes of an article
     for n in order:
-        holds = "main" in has[id(n)] or (
-            2 * text[id(n)] > text[id(root)] and (n.why == PART or bool(has[id(n)]))
-        )
-        stays = not n.why or n.why in (PART, NAME) and holds
+        if n.tag in ("main", "article") or n.parent is not None and id(n.parent) in inside:
+            inside.add(id(n))
+        most = 2 * text[id(n)] > text[id(root)]
+        holds = "main" in has[id(n)] or most and (n.why in (PART, SOFT) or bool(has[id(n)]))
+        if n.tag == "header":
+            holds = id(n) in inside and "h1" in has[id(n)]
+        stays = not n.why or n.why in (PART, NAME, SOFT) and holds
         n.dropped = not stays or n.parent is not None and n.parent.dropped
 
 
 def parse(page: str) -> Node:
     """The block elements of a page; a run is text between block boundaries."""
     root = node = Node("#page", None, 0)
-    open_inline: list[tuple[str, Node, bool]] = []  # inline elements, and whether they hide their text
+    open_inline: list[list] = []  # inline elements: tag, node, whether they hide their text, whether open
+    by_tag: dict[str, list] = {}  # the open ones of a tag, so an end tag searches for nothing
     hidden = 0
     is_open: Counter = Counter()  # open elements by name: what is not open is not searched for
     buffer: list[str] = []
@@ -183,11 +197,12 @@ def parse(page: str) -> Node:
         if is_open["a"]:
             link_chars += len(text.strip())
 
-    def end_inline(i):
+    def end_inline(tag):
         nonlocal hidden
-        tag, _, hides = open_inline.pop(i)
+        ended = by_tag[tag].pop()
+        ended[3] = False
         is_open[tag] -= 1
-        hidden -= hides
+        hidden -= ended[2]
 
     def close(to):
         """Leave ``node`` up to and including ``to``, with the inline elements in it."""
@@ -199,8 +214,10 @@ def parse(page: str) -> Node:
             left, node = node, node.parent
             if left is to:
                 break
-        while open_inline and not open_inline[-1][1].open:
-            end_inline(-1)
+        while open_inline and not (open_inline[-1][3] and open_inline[-1][1].open):
+            if open_inline[-1][3]:
+                end_inline(open_inline[-1][0])
+            open_inline.pop()
 
     while at < len(page):
         m = MARKUP.search(page, at)
@@ -218,7 +235,7 @@ def parse(page: str) -> Node:
                 flush()
             elif tag in INLINE:
                 if is_open[tag]:
-                    end_inline(max(i for i, x in enumerate(open_inline) if x[0] == tag))
+                    end_inline(tag)
             elif is_open[tag]:
                 up = node
                 while up.tag != tag:
@@ -241,7 +258,8 @@ def parse(page: str) -> Node:
             elif tag in INLINE:
                 node.tags += 1
                 node.link_tags += tag == "a"
-                open_inline.append((tag, node, _why(tag, attrs) > 0))
+                open_inline.append([tag, node, _why(tag, attrs) > 0, True])
+                by_tag.setdefault(tag, []).append(open_inline[-1])
                 is_open[tag] += 1
                 hidden += open_inline[-1][2]
             else:
@@ -297,23 +315,32 @@ def _measure(order: list[Node]) -> None:
             n.parent.sum += n.density
 
 
-def article(root: Node) -> Node | None:
-    """The subtree that holds the main text, by composite text density."""
+def articles(root: Node) -> list[Node]:
+    """The subtrees that hold the main text, in page order, by composite text
+    density."""
     order = [n for n in _preorder(root) if not n.dropped]
     _measure(order)
     core = max((n for n in order if n.chars), key=lambda n: n.sum, default=None)
     if core is None:
-        return None
+        return []
     path = []
     up = core
     while up is not None:
         path.append(up)
         up = up.parent
+    threshold = min(n.density for n in path)
     for tag in ("article", "main"):
         around = [n for n in path if n.tag == tag]
         if around:
-            return around[-1]
-    threshold = min(n.density for n in path)
+            outer = {id(n) for n in around}
+            found, covered = [], set()
+            for n in order:
+                if n.parent is not None and id(n.parent) in covered:
+                    covered.add(id(n))
+                elif n is around[-1] or n.tag == tag and id(n) not in outer and n.density >= threshold:
+                    found.append(n)
+                    covered.add(id(n))
+            return found
     content, stack = [core], [root]
     while stack:
         n = stack.pop()
@@ -330,7 +357,12 @@ def article(root: Node) -> Node | None:
             ups.add(id(n))
             n = n.parent
         shared &= ups
-    return next(n for n in path if id(n) in shared)
+    whole = next(n for n in path if id(n) in shared)
+    on_path = set(map(id, path))
+    for n in _preorder(whole):
+        if id(n) not in on_path and n.density < threshold and 2 * n.link_chars > n.chars:
+            n.dropped = True
+    return [whole]
 
 
 def text_of(node: Node) -> str:
@@ -359,9 +391,7 @@ def text_of(node: Node) -> str:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    root = parse(page)
-    found = article(root)
-    return text_of(found) if found is not None else ""
+    return " ".join(filter(None, map(text_of, articles(parse(page)))))
 
 
 def extract(pages: DataFrame, id_col="page_id", html_col="html", carry=("url",)) -> DataFrame:

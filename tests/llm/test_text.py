@@ -128,6 +128,37 @@ def test_html_named_furniture_goes():
     assert html_text.main_text('<body><div class="ad">Buy this</div></body>') == ""
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<article><header><h1>Title</h1></header><p>Words of the story.</p></article>", "Title Words of the story."),
+    ("<header><h1>Site</h1></header><article><p>Words of the story.</p></article>", "Words of the story."),
+    ('<article><p>One story.</p><p class="side-note">Aside of it.</p><p>A <span class="social-security">number</span> in it.</p></article>',
+     "One story. Aside of it. A number in it."),
+    ('<article><p>One story.</p><p class="cookie-notice">We use cookies</p><div class="related-posts"><p>More</p></div></article>', "One story."),
+    ('<body><form id="aspnetForm"><div><h1>Title</h1><p>Words of the story go on here.</p></div></form><footer>F</footer></body>',
+     "Title Words of the story go on here."),
+    ("<article><p>Words of the first story.</p></article><article><p>Words of the second one, longer.</p></article>",
+     "Words of the first story. Words of the second one, longer."),
+    ("<body><div><h2>Title</h2><p>Words of the story that go on and on for a while.</p><p>And some more words.</p>"
+     "<ul><li><a href=a>aa</a></li><li><a href=b>bb</a></li></ul></div></body>",
+     "Title Words of the story that go on and on for a while. And some more words."),
+    ("<article><p>A <b>c<i>d</b>e</i> f <span class=ad>Buy<b>now</span> this</b></p></article>", "A cde f this"),
+])
+def test_html_article_text_stays(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_html_inline_elements_that_never_close():
+    import time
+
+    def seconds(n):
+        page = "<p>" + "<b>" * n + "<i>x</i>" * n + "<u>" * n + "y" + "</b>" * n
+        t0 = time.process_time()
+        assert html_text.main_text(page) == "x" * n + "y"
+        return time.process_time() - t0
+
+    assert seconds(40_000) < 12 * max(seconds(10_000), 0.05)
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "t"), (1, "u", PAGE, "t"), (None, None, None, "t")], "page_id long, url string, html string, text string")
     got = html_text.extract(df).collect()
