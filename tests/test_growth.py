@@ -35,3 +35,24 @@ def test_cross_validation_reads_written_folds(spark):
     for name in ("centroid", "logistic"):
         counts = get(name).cv_confusion(df, np.arange(2), np.array([[1, 1, 0], [0, 1, 1]]), folds=4, seed=1)
         assert _hashes(counts) == 0
+
+
+def test_trees_pass_over_distinct_codes(spark):
+    """More copies of the same codes are no more rows, and weigh as many."""
+    df = split.stratified_split(_frame(spark), seed=3).localCheckpoint()
+    copies = df.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(3)))).drop("i")
+    found, sizes = [], []
+    for rows in (df, copies):
+        model = get("gbt", trees=3, depth=3, bins=8, least=0.0, l2=0.0, store_every=2)
+        sizes.append(model._coded_rows(rows, 3, {"train"})[0].count())
+        counts = model.confusion(rows, np.arange(2), np.array([[1, 1, 0], [0, 1, 1]])).collect()
+        found.append({r.chrom_id: (r.tp, r.fp, r.fn, r.tn) for r in counts})
+    assert sizes[0] == sizes[1] < df.where("split = 'train'").count()
+    assert found[1] == {k: tuple(3 * x for x in v) for k, v in found[0].items()}
+
+
+def test_tables_of_heavy_rows_are_exact():
+    from featsearch.operators.models.trees import UNIT, _tables
+
+    cell, values = np.array([0, 1, 0]), np.array([2.0**UNIT * 2.0**29, 3.0, 1.0])
+    assert _tables(cell, [values], 2, 2.0**30).tolist() == [2 ** (UNIT + 29) + 1, 3]
