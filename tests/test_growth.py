@@ -56,3 +56,49 @@ def test_tables_of_heavy_rows_are_exact():
 
     cell, values = np.array([0, 1, 0]), np.array([2.0**UNIT * 2.0**29, 3.0, 1.0])
     assert _tables(cell, [values], 2, 2.0**30).tolist() == [2 ** (UNIT + 29) + 1, 3]
+
+
+def test_wide_populations_are_shipped_as_bits(spark, monkeypatch):
+    from featsearch.operators.models import sparse
+
+    n, d, p, shipped = 400, 3000, 96, []
+
+    class Recorded(sparse.Payload):
+        def __init__(self, spark, value, nbytes):
+            shipped.append(sum(v.nbytes for v in value))
+            super().__init__(spark, value, nbytes)
+
+    monkeypatch.setattr(sparse, "Payload", Recorded)
+    r = np.random.default_rng(1)
+    genes = np.sort(np.stack([r.choice(d, 4, replace=False) for _ in range(n)]), axis=1)
+    rows = [(i, i % 2, ("train", "val")[i % 3 == 0], [int(g) for g in genes[i]], [float(v) for v in r.normal(size=4)]) for i in range(n)]
+    df = spark.createDataFrame(rows, "row_id long, y int, split string, indices array<int>, values array<double>")
+    bits = r.integers(0, 2, (p, d)).astype(np.int8)
+    model = get("sparse_centroid")
+    got = {c.chrom_id: (c.tp, c.fp, c.fn, c.tn) for c in model.confusion(df, np.arange(p), bits).collect()}
+    assert max(shipped) < d * 48  # 12 bytes of bits and three numbers a gene; a byte a bit would be 96
+    mean, sd, m0, m1 = model.fitted(df, d)
+    dense, val = np.zeros((n, d)), [i for i in range(n) if i % 3 == 0]
+    for i, row in enumerate(rows):
+        dense[i, row[3]] = row[4]
+    q, y = sparse.fixed(dense[val], mean, sd), np.array([rows[i][1] for i in val])
+    said = ((q - m1) ** 2 - (q - m0) ** 2) @ bits.T.astype(np.int64) < 0
+    for k in range(p):
+        want = [int(((y == a) & (said[:, k] == b)).sum()) for a, b in ((1, 1), (0, 1), (1, 0), (0, 0))]
+        assert got[k] == tuple(want)
+
+
+def test_distinct_rows_as_numpy_and_packed_bound(spark, monkeypatch):
+    import pytest
+
+    from featsearch.operators import fitness, population
+
+    mat = np.random.default_rng(2).integers(0, 2, (40, 5)).astype(np.int8)
+    uniq, inverse = fitness.distinct(mat)
+    want, at = np.unique(mat, axis=0, return_inverse=True)
+    assert (uniq == want).all() and (inverse == at.reshape(-1)).all()
+    pop = population.from_rows(spark, [(i, row.tolist()) for i, row in enumerate(mat)])
+    monkeypatch.setattr(population, "MAX_POPULATION_BITS", 100)
+    assert (population.to_matrix(pop, 8)[1] == mat).all()
+    with pytest.raises(ValueError, match="exceeds"):
+        population.to_matrix(pop)
