@@ -102,3 +102,9 @@ def test_distinct_rows_as_numpy_and_packed_bound(spark, monkeypatch):
     assert (population.to_matrix(pop, 8)[1] == mat).all()
     with pytest.raises(ValueError, match="exceeds"):
         population.to_matrix(pop)
+
+
+def test_runs_over_a_frame_share_its_class_means(spark):
+    df = split.stratified_split(_frame(spark), seed=3).localCheckpoint()
+    assert get("centroid").means(df, 3) is get("centroid").means(df, 3)
+    assert get("centroid", fit_split="val").means(df, 3) is not get("centroid").means(df, 3)
