@@ -37,6 +37,44 @@ def test_cross_validation_reads_written_folds(spark):
         assert _hashes(counts) == 0
 
 
+def test_later_centroid_passes_read_blocks(spark):
+    """Rows are turned into blocks once; every later pass reads whole arrays and counts the same."""
+    df = split.stratified_split(_frame(spark), seed=3).localCheckpoint()
+    holes = F.transform("features", lambda x: F.when(x < 2, x))  # entries without a value decide nothing
+    for rows in (df, df.withColumn("features", F.when(F.col("split") == "val", holes).otherwise(F.col("features"))).localCheckpoint()):
+        model, bits = get("centroid"), np.array([[1, 1, 0], [0, 1, 1]])
+        passes = [model.confusion(rows, np.arange(2), bits, ("val", "test")) for _ in range(3)]
+        read = [any("blocks-" in f for f in p.inputFiles()) for p in passes]
+        assert read == [False, True, True]
+        assert len({str(sorted(map(tuple, p.collect()))) for p in passes}) == 1
+        one = model.confusion(rows, np.arange(2), bits, ("val",))
+        assert one.inputFiles() and sorted(one.collect()) == sorted(passes[0].where("split = 'val'").collect())
+        folds = model.cv_confusion(rows, np.arange(2), bits, folds=4, seed=1)
+        assert all("blocks-" in f for f in folds.inputFiles())
+        assert sum(sum(r[2:]) for r in folds.collect()) == 2 * rows.where("split = 'train'").count()
+
+
+def test_blocks_keep_every_number():
+    from featsearch.operators.models.centroid import _packed, _wide
+
+    for top in (5, 300, 1 << 20, 1 << 40):
+        a = np.array([[top, -top], [0, 1]])
+        kind, data = _packed(a)
+        assert (_wide(np.frombuffer(data, kind)) == a.ravel()).all() and len(data) < a.nbytes or top == 1 << 40
+    assert np.isnan(_wide(np.frombuffer(_packed(np.array([np.nan, 2.0]))[1], "<f8"))[0])
+
+
+def test_partitioned_writes_do_not_sort(spark, tmp_path):
+    from featsearch.session import open_writers
+
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    with open_writers(spark):
+        assert int(spark.conf.get(name)) > 3  # a split each
+        split.stratified_split(_frame(spark), seed=3).write.partitionBy("split").parquet(f"{tmp_path}/t")
+    assert spark.conf.get(name) == before and spark.read.parquet(f"{tmp_path}/t").count() == 600
+
+
 def test_trees_pass_over_distinct_codes(spark):
     """More copies of the same codes are no more rows, and weigh as many."""
     df = split.stratified_split(_frame(spark), seed=3).localCheckpoint()
