@@ -9,9 +9,10 @@ again (an irregular group), which gives the group's links and the new shift.
 
 Texts are cut before blanks between two visible characters: neither tokenizer
 joins bytes across such a blank (the first one's pieces start there, no piece of
-the second has a blank behind a visible character). So a word is encoded once
-per worker and kept, and a text of any length is aligned in bounded memory, in
-chunks of ``CHUNK`` characters or more.
+the second has a blank behind a visible character). So a word is encoded and
+aligned once per worker and kept with its links and groups: new words are aligned
+together, in one run over both arrays, and a text is what its words give. A text
+of any length is taken in bounded memory, in chunks of ``CHUNK`` characters or more.
 
 One pass encodes, aligns and writes a row per document with its different id
 pairs, and a row per batch with the pairs of the batch. Their sums over the
@@ -46,7 +47,7 @@ from featsearch.session import Payload
 CHUNK = 1 << 16
 #: Id pairs that are sent to the tasks (17 bytes each).
 LOOKUP = 1 << 21
-#: Words whose ids a worker keeps.
+#: Words whose alignment a worker keeps.
 KNOWN = 1 << 19
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 FIELDS = "id {}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>, corpus boolean"
@@ -118,7 +119,7 @@ class Side:
         self.tokens = np.array(tokens, object)
         self.lengths = np.array([len(t) for t in tokens], np.int64)
         ids = [str(i) for i in range(len(tokens))]
-        self.words = {mark: np.array([i + mark for i in ids], object) for mark in ",|;"}
+        self.words = {mark: np.array([i + mark for i in ids], object) for mark in ",|;\n"}
 
     def ends(self, ids: np.ndarray) -> np.ndarray:
         return np.cumsum(self.lengths[ids])
@@ -162,10 +163,12 @@ class Pair:
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.given_back = np.zeros(0, bool)
-        self.pools = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * 2  # ids and their number, by either tokenizer
+        self.counts = np.zeros((0, 4), np.int64)  # of a word: tokens by either, groups, links
+        self.groups: list[str] = []
+        self.links, self.starts, self.held = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
 
     def learn(self, words: list[str]) -> None:
-        """Ids of blank + word by the first, of the word (which adds the blank) by the second."""
+        """Alignment of blank + word by the first with the word (which adds the blank) by the second."""
         whole = [b" " + w.encode() for w in words]
         of_a = [x.ids for x in self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
         given_back = np.ones(len(words), bool)
@@ -180,29 +183,41 @@ class Pair:
             pools.append((pool, lengths))
         for word in words:
             self.known[word] = len(self.known)
+        numbers = np.flatnonzero(given_back)
+        (a, word_a), (b, word_b) = [
+            (pool[np.repeat(given_back, lengths)], np.repeat(numbers, lengths[given_back])) for pool, lengths in pools
+        ]
+        link_a, link_b, last_a, last_b = align(self.side_a.ends(a), self.side_b.ends(b))  # every word ends both arrays
+        of_link = word_a[link_a]
+        order = np.argsort(of_link, kind="stable")
+        counts = np.stack([np.bincount(x, minlength=len(words)) for x in (word_a, word_b, word_a[last_a], of_link)], axis=1)
+        groups = [""] * len(words)
+        text = self.written(a, b, last_a, last_b, np.append(word_b[1:] != word_b[:-1], True)[: len(b)])
+        for k, own in zip(numbers.tolist(), text.split("\n")):
+            groups[k] = own
         self.given_back = np.concatenate([self.given_back, given_back])
-        self.pools = [tuple(map(np.concatenate, zip(old, new, strict=True))) for old, new in zip(self.pools, pools, strict=True)]
+        self.starts = np.concatenate([self.starts, len(self.links) + np.cumsum(counts[:, 3]) - counts[:, 3]])
+        self.links = np.concatenate([self.links, ((a[link_a] << 32) | b[link_b])[order]])
+        self.counts = np.concatenate([self.counts, counts])
+        self.groups += groups
+        self.held += len(text)
 
-    def encode(self, chunks: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
-        """Ids of every chunk on either side (None: bytes are not given back).
+    def encode(self, chunks: list[str]) -> Iterator[np.ndarray | None]:
+        """Numbers of the words of every chunk (None: bytes are not given back).
 
         Neither tokenizer joins across the blanks of ``_CUT``, so each word
-        between them is encoded once per ``KNOWN`` words."""
+        between them is encoded and aligned once per ``KNOWN`` words."""
         words = [_CUT.split(c) for c in chunks]
-        if len(self.known) > KNOWN or sum(len(p) for p, _ in self.pools) > 16 * KNOWN:
+        if len(self.known) > KNOWN or len(self.links) > 16 * KNOWN or self.held > 128 * KNOWN:
             self.forget()
         if fresh := list(dict.fromkeys(w for own in words for w in own if w not in self.known)):
             self.learn(fresh)
-        starts = [np.cumsum(lengths) - lengths for _, lengths in self.pools]
         for own in words:
             at = np.array([self.known[w] for w in own])
-            if self.given_back[at].all():
-                yield tuple(gather(pool, start[at], lengths[at]) for (pool, lengths), start in zip(self.pools, starts, strict=True))
-            else:
-                yield None
+            yield at if self.given_back[at].all() else None
 
-    def written(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> str:
-        """Groups as ``a1,a2|b1;a3|b2;``."""
+    def written(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray, ends: np.ndarray) -> str:
+        """Groups as ``a1,a2|b1;a3|b2``, a line per word; ``ends`` marks the last second token of a word."""
         out = np.empty(len(a) + len(b), object)
         before = np.concatenate([[0], last_b[:-1] + 1])
         for side, ids, last, other, mark in ((self.side_a, a, last_a, before, "|"), (self.side_b, b, last_b, last_a + 1, ";")):
@@ -210,6 +225,8 @@ class Pair:
             closes[last] = True
             group = np.cumsum(closes) - closes
             out[np.arange(len(ids)) + other[group]] = np.where(closes, side.words[mark][ids], side.words[","][ids])
+        at = np.flatnonzero(ends)
+        out[at + (last_a + 1)[(np.cumsum(closes) - closes)[at]]] = self.side_b.words["\n"][b[at]]
         return "".join(out.tolist())
 
 
@@ -225,21 +242,18 @@ def cut(text: str) -> list[str]:
     return [*parts, text[at:]]
 
 
-def document(pair: Pair, encoded: list[tuple[np.ndarray, np.ndarray] | None]):
+def document(pair: Pair, encoded: list[np.ndarray | None]):
     """Counts, digest and id pairs of one document (None: not given back)."""
-    if any(ids is None for ids in encoded):
+    if any(at is None for at in encoded):
         return None
-    digest, pairs, n_a, n_b, n_groups, held = hashlib.sha256(), [], 0, 0, 0, ""
-    for a, b in encoded:
-        link_a, link_b, last_a, last_b = align(pair.side_a.ends(a), pair.side_b.ends(b))
-        pairs.append((a[link_a] << 32) | b[link_b])
-        n_a, n_b, n_groups = n_a + len(a), n_b + len(b), n_groups + len(last_a)
-        text = held + pair.written(a, b, last_a, last_b)
-        digest.update(text[:-1].encode())
-        held = text[-1:]
-    links = np.concatenate(pairs)
-    pairs, times = np.unique(links, return_counts=True)
-    return n_a, n_b, n_groups, len(links), digest.hexdigest(), pairs, times
+    digest, pairs, counts = hashlib.sha256(), [], np.zeros(4, np.int64)
+    for k, at in enumerate(encoded):
+        own = pair.counts[at]
+        counts += own.sum(axis=0)
+        pairs.append(gather(pair.links, pair.starts[at], own[:, 3]))
+        digest.update((";" * (k > 0) + ";".join(map(pair.groups.__getitem__, at.tolist()))).encode())
+    pairs, times = np.unique(np.concatenate(pairs), return_counts=True)
+    return *counts.tolist(), digest.hexdigest(), pairs, times
 
 
 _BUILT: dict = {}

@@ -117,3 +117,16 @@ def test_empty_table_and_query(spark):
         r = got[i]
         assert (r.n_a, r.n_b, r.n_links, r.count_sum) == (len(a), len(b), len(links), sum(counts[x] for x in links))
         assert r.groups_sha256 == (hashlib.sha256(g.encode()).hexdigest() if a else "")
+
+
+def test_words_met_again_are_not_aligned_again(monkeypatch):
+    pair = alignment.Pair(open(A, "rb").read(), open(B, "rb").read())
+    sizes, whole = [], alignment.align
+    monkeypatch.setattr(alignment, "align", lambda a, b: sizes.append(len(a)) or whole(a, b))
+    text = "unhappily tokenizers disagree about 12345 words"
+    first = [alignment.document(pair, list(pair.encode([t]))) for t in (text, text + " unhappily")]
+    once = sum(sizes)
+    again = alignment.document(pair, list(pair.encode([" ".join([text] * 50)])))
+    assert sum(sizes) == once == first[0][0]
+    assert again[:4] == tuple(50 * n for n in first[0][:4])
+    assert again[5].tolist() == first[0][5].tolist() and again[6].tolist() == (50 * first[0][6]).tolist()
