@@ -36,6 +36,8 @@ apart by 64-bit hashes, so two different ones agree by chance once in 2^64.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -307,7 +309,8 @@ def _needed(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, ids: DataFrame, text_col="text") -> DataFrame:
-    """``node, text``: for each set in ``ids`` a text that has it."""
+    """``node, text``: for each set in ``ids`` a text that has it, packed
+    (``_unpacked``), as texts move several times until their pairs are verified."""
 
     def named(batches):
         seen: set[int] = set()
@@ -319,13 +322,18 @@ def whole_sets(docs: DataFrame, ids: DataFrame, text_col="text") -> DataFrame:
                 keep.append(len(s) > 0 and ids[-1] not in seen)
                 if len(seen) < SEEN:
                     seen.add(ids[-1])
-            out = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), b["text"]], ["node", "text"])
-            yield out.filter(pa.array(keep))
+            texts = [zlib.compress(t.encode(), 1) for t, own in zip(b["text"].to_pylist(), keep, strict=True) if own]
+            ids = [i for i, own in zip(ids, keep, strict=True) if own]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary())], ["node", "text"])
 
-    texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(named, "node long, text string")
+    texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(named, "node long, text binary")
     return stored(_needed(texts, ids).groupBy("node").agg(F.any_value("text").alias("text")))
 
 
+def _unpacked(text: bytes) -> str:
+    return zlib.decompress(text).decode()
+
+
 def _not_excluded(pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
     """The pairs ``x, y`` that their sketches leave possible: no text moves for
     the others, and no similar pair is among them."""
@@ -344,8 +352,8 @@ def verified(pairs: DataFrame, sets: DataFrame, sketched: DataFrame, percent: in
         out, last = [], (None, None)
         for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True):
             if last[0] != a:
-                last = (a, shingle_set(a))
-            s, r = last[1], shingle_set(b)
+                last = (a, shingle_set(_unpacked(a)))
+            s, r = last[1], shingle_set(_unpacked(b))
             both = len(np.intersect1d(s, r, assume_unique=True))
             out.append(100 * both >= percent * (len(s) + len(r) - both))
         return pa.array(out, pa.bool_())

@@ -241,3 +241,15 @@ def test_substring_rows_without_ids_are_told_apart(spark):
     assert got == [(22, 20), (33, 0)]
     with pytest.raises(TypeError, match="whole number"):
         substring_dedup.dedup(df.selectExpr("'a' as doc_id", "text"))
+
+
+def test_texts_of_sets_move_packed(spark):
+    from featsearch.llm.shingles import shingle_set
+
+    texts = [" ".join(f"word{i * k} größe" for i in range(200)) for k in range(1, 6)] + ["", None]
+    rows = [(i, t) for i, t in enumerate(texts + texts)]
+    ids = [jaccard._node(shingle_set(t)) for t in texts[:4]]
+    got = jaccard.whole_sets(spark.createDataFrame(rows, "id int, text string"), spark.createDataFrame([(i,) for i in ids], "node long"))
+    got = {r.node: bytes(r.text) for r in got.collect()}
+    assert {n: jaccard._unpacked(t) for n, t in got.items()} == dict(zip(ids, texts))
+    assert sum(map(len, got.values())) * 2 < sum(len(t.encode()) for t in texts[:4])
