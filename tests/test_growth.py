@@ -146,3 +146,53 @@ def test_runs_over_a_frame_share_its_class_means(spark):
     df = split.stratified_split(_frame(spark), seed=3).localCheckpoint()
     assert get("centroid").means(df, 3) is get("centroid").means(df, 3)
     assert get("centroid", fit_split="val").means(df, 3) is not get("centroid").means(df, 3)
+
+
+def test_entries_are_generated_code(spark):
+    """Scaling and fixed-point copies evaluate no lambda for an array of the usual width, with the same values for any."""
+    from featsearch.operators import scale
+
+    rows = [([1.5, -2.25, 0.1],), ([None, 7.0, float("nan")],), ([float("inf"), -1e300, -0.0],), ([4.0],), ([],), (None,)]
+    df = spark.createDataFrame(rows, "features array<double>").localCheckpoint()
+    f, means, sds = F.col("features"), [0.5, 2.0, -0.3], [2.0, 0.7, 1.0]
+    m, s = F.array(*map(F.lit, means)), F.array(*map(F.lit, sds))
+    plainly = df.select(F.transform(f, lambda x, i: (x - m[i]) / s[i]).alias("z"), scale.quantize(f).alias("q"))
+    now = df.select(scale.apply(f, means, sds).alias("z"), scale.quantize(f, 3).alias("q"))
+    assert list(map(str, now.collect())) == list(map(str, plainly.collect()))
+    assert "get(features, 2)" in str(scale.quantize(f, 3))
+    assert "get(" not in str(scale.quantize(f, scale.WIDE_AGG_MAX + 1))
+
+
+def test_folds_are_cut_without_a_lambda(spark):
+    df = split.stratified_split(_frame(spark), seed=3).localCheckpoint()
+    rows = split.fold_rows(df, "features", F.col("features"), 4, 2, keep=lambda rows: rows)
+    assert _hashes(rows) == 1 and "lambda" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_overlapping_partitioned_writes_restore_the_setting(spark):
+    from featsearch.session import OPEN_WRITERS, open_writers
+
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    first, second = open_writers(spark), open_writers(spark)
+    first.__enter__()
+    second.__enter__()
+    first.__exit__(None, None, None)
+    assert spark.conf.get(name) == str(OPEN_WRITERS)  # the other is still writing
+    second.__exit__(None, None, None)
+    assert spark.conf.get(name) == before
+
+
+def test_study_runs_its_datasets_side_by_side(spark, monkeypatch):
+    import threading
+
+    from featsearch.plans import study
+
+    met, seen = threading.Barrier(len(study.DATASETS), timeout=20), []
+    monkeypatch.setattr(study, "_STORES", {})
+    monkeypatch.setattr(study.A, "load", lambda spark, sf, name, *a, **k: met.wait() * 0 or name)
+    monkeypatch.setattr(study.search, "run", lambda spark, abt, cfg, store: seen.append((abt, cfg.dataset, cfg.algorithm)))
+    study.run_study(spark, "nowhere")
+    assert all(a == d for a, d, _ in seen)
+    for name in study.DATASETS:  # the runs of one dataset in their order
+        assert [a for _, d, a in seen if d == name] == [c.algorithm for c in study.configs() if c.dataset == name]
