@@ -196,3 +196,62 @@ def test_study_runs_its_datasets_side_by_side(spark, monkeypatch):
     assert all(a == d for a, d, _ in seen)
     for name in study.DATASETS:  # the runs of one dataset in their order
         assert [a for _, d, a in seen if d == name] == [c.algorithm for c in study.configs() if c.dataset == name]
+
+
+def test_rows_are_written_once_by_zone(spark, tmp_path):
+    """Written by zones of their hashes before the cuts are known, rows are not written
+    again by split; a filter on the split reads the folders that hold it."""
+    import os
+
+    from featsearch.sources import abt as A
+
+    raw, path = _frame(spark, 5000).persist(), str(tmp_path / "abt")
+    ab = A.build(raw, ["a", "b", "c"], seed=3, path=path)
+    want = split.stratified_split(raw, seed=3).select("row_id", "y", "split")
+    assert sorted(ab.df.select("row_id", "y", "split").collect()) == sorted(want.collect())
+    assert {f.split("=")[0] for f in os.listdir(path) if "=" in f} == {"_zone"}
+    plans = [ab.df.where(F.col("split") == s)._jdf.queryExecution().optimizedPlan().toString() for s in ("test", "val", "train")]
+    read = [p.count("Relation") for p in plans]
+    assert all(1 <= n <= 2 for n in read)  # its own zones, and those with a cut
+
+
+def test_zones_with_a_cut_anywhere_split_exactly(spark, tmp_path):
+    """Few rows, a class of one row, repeated and null keys: cuts far from their expected places."""
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("row_id", T.StringType()), T.StructField("y", T.IntegerType()),
+                           T.StructField("features", T.ArrayType(T.DoubleType()))])
+    many = [(f"k{i // 3}", i % 2, [float(i)]) for i in range(90)] + [(None, 0, [1.0]), (None, 1, [2.0])]
+    for n, rows in enumerate((many, many[:7], [("a", 0, [1.0]), ("b", 1, [2.0])], [*many[1::2], ("solo", 0, [0.0])])):
+        from featsearch.sources import abt as A
+
+        raw = spark.createDataFrame(rows, schema)
+        got = A.build(raw, ["a"], seed=n, path=f"{tmp_path}/t{n}").df.select("row_id", "y", "split")
+        want = split.stratified_split(raw, seed=n).select("row_id", "y", "split")
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_zones_hold_their_split():
+    cut = [(100, "a"), (300, "b")]
+    assert [split._zone_split(*z, *cut) for z in ((0, 100), (0, 101), (100, 101), (101, 300), (101, 301), (300, 301), (301, 400))] == [
+        "test", None, None, "val", None, None, "train"]
+    assert split._zone_split(0, 5, None, None) == "train" and split._zone_split(0, 5, None, (5, "b")) == "val"
+
+
+def test_runs_score_blocks_from_their_first_pass(spark):
+    from featsearch.config import SearchConfig
+    from featsearch.plans import search
+    from featsearch.sources.abt import Abt
+
+    df = split.stratified_split(_frame(spark), seed=3).localCheckpoint()
+    seen = []
+
+    class Model(type(get("centroid"))):
+        def confusion(self, *a, **k):
+            out = super().confusion(*a, **k)
+            seen.append(any("blocks-" in f for f in out.inputFiles()))
+            return out
+
+    cfg = SearchConfig(algorithm="baseline_metrics", model="centroid", metric="f1", population_size=4)
+    res = search.run(spark, Abt(df, ["a", "b", "c"]), cfg, model=Model())
+    assert seen == [True, True] and res.baseline["test_all"] == res.test
