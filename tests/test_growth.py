@@ -255,3 +255,27 @@ def test_runs_score_blocks_from_their_first_pass(spark):
     cfg = SearchConfig(algorithm="baseline_metrics", model="centroid", metric="f1", population_size=4)
     res = search.run(spark, Abt(df, ["a", "b", "c"]), cfg, model=Model())
     assert seen == [True, True] and res.baseline["test_all"] == res.test
+
+
+def test_keys_and_hashes_are_written_without_a_dictionary(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from featsearch.session import checkpoint_dir
+    from featsearch.sources import abt as A
+
+    def encodings(folder):
+        group = pq.ParquetFile(glob.glob(f"{folder}/**/*.parquet", recursive=True)[0]).metadata.row_group(0)
+        held = [group.column(i) for i in range(group.num_columns)]
+        return {c.path_in_schema: any("DICTIONARY" in e for e in c.encodings) for c in held}
+
+    few = spark.range(900).selectExpr("concat('k', id % 3) AS row_id", "int(id % 2) AS y", "array(double(id % 2)) AS features")
+    df = A.build(few.coalesce(1), ["a"], seed=3, path=str(tmp_path / "abt")).df  # repeats, so dictionaries would pay
+    found = encodings(tmp_path / "abt")
+    assert not found["row_id"] and not found["_h"] and found["features.list.element"]
+    hashes = f"{checkpoint_dir(spark).removeprefix('file:')}/hashes-*"
+    before = set(glob.glob(hashes))
+    split.fold_rows(df, "features", F.col("features"), 4, 1)
+    found = encodings((set(glob.glob(hashes)) - before).pop())
+    assert not found["row_id"] and not found["_h"]
