@@ -1,11 +1,14 @@
 """Fits in one task over distinct inputs: the same as passes over the rows, without them."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from featsearch.operators.models import cells, exact
+from featsearch.operators.models import cells, exact, mlp
 from featsearch.operators.models.logistic import LogisticModel
+from featsearch.operators.models.mlp import MlpModel
+from featsearch.session import Payload
 from test_trees import _frame, _rows
 
 BITS = np.array([[1, 1, 1, 1, 1], [1, 0, 0, 0, 1], [0, 0, 0, 0, 0], [1, 1, 0, 0, 0], [0, 0, 1, 0, 0]], np.int8)
@@ -82,3 +85,37 @@ def test_logistic_folds_fit_without_passes(spark, monkeypatch):
     monkeypatch.setattr(cells, "GENES", 2)  # some of the problems in tasks, some by passes
     mixed = LogisticModel()
     assert (mixed._fit_rows(rows, bits, None, excl) == want).all() and mixed.converged.all() == here.converged.all()
+
+
+def test_perceptrons_fit_without_passes(spark, monkeypatch):
+    rows, bits, excl = _folded(spark), np.repeat(BITS, 3, axis=0), np.tile(np.arange(3), len(BITS))
+    small = {"hidden": 12, "max_iter": 8}
+    with monkeypatch.context() as m:
+        m.setattr(MlpModel, "_pass", _no_pass)
+        here = MlpModel(**small)
+        got = here.fit_rows(rows, bits, excl)
+    with monkeypatch.context() as m:
+        m.setattr(cells, "GENES", -1)
+        passes = MlpModel(**small)
+        want = passes.fit_rows(rows, bits, excl)
+    assert (got == want).all() and (here.converged == passes.converged).all() and here.passes == passes.passes
+    monkeypatch.setattr(cells, "GENES", 2)  # some of the problems in tasks, some by passes
+    assert (MlpModel(**small).fit_rows(rows, bits, excl) == want).all()
+
+
+def test_a_perceptron_pass_over_cells_is_one_over_rows(spark):
+    """Totals of heavy cells, far more rows than are summed at a time, as of the rows themselves."""
+    r = np.random.default_rng(5)
+    x, y, n = r.integers(-9000, 9000, (1100, 2)), r.integers(0, 2, 1100), r.integers(1, 4, 1100)
+    n[7] = 5000
+    stack, problems = mlp.Stack(3, 6), np.zeros(1, np.int64)
+    theta = r.normal(size=(1, stack.size))
+    theta[0, 6:12] = 0.0  # gene 1 is missing
+    c = cells.Cells(np.array([0, 2]), x.astype(np.int32), y, n, np.zeros(0, int), np.zeros((1100, 0), int))
+    wide = np.zeros((n.sum(), 3))
+    wide[:, [0, 2]] = np.repeat(x, n, axis=0) / 2.0**mlp.VALUE
+    batch = pa.RecordBatch.from_arrays([pa.array(list(wide)), pa.array(np.repeat(y, n))], ["features", "y"])
+    out = [*mlp._pass_task(Payload(spark, (problems, theta, None), 0), stack)([batch])][0]
+    want = np.frombuffer(out.column("v")[0].as_py(), np.int64).copy()
+    want[2 + 6 : 2 + 12] = 0
+    assert (mlp.cell_totals(c, n, stack, theta[0]) == want).all()
