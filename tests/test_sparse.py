@@ -74,3 +74,42 @@ def test_hundred_thousand_levels(spark):
     # the planted levels tell the class; a level met once tells nothing
     assert conf[0]["tp"] + conf[0]["tn"] >= planted > 0
     assert conf[0]["tp"] + conf[0]["tn"] > conf[1]["tp"] + conf[1]["tn"]
+
+
+def test_driver_reads_a_wide_population_by_ranges(spark, monkeypatch):
+    """No step holds all genes of all chromosomes on the driver; results are those of one range."""
+    n, d, p, shipped = 300, 700, 40, []
+    r = np.random.default_rng(6)
+    genes = np.sort(np.stack([r.choice(d, 5, replace=False) for _ in range(n)]), axis=1)
+    rows = [(i, i % 2, ("train", "val")[i % 3 == 0], [int(g) for g in genes[i]], [float(v) for v in r.normal(size=5)]) for i in range(n)]
+    df = spark.createDataFrame(rows, "row_id long, y int, split string, indices array<int>, values array<double>").repartition(4).localCheckpoint()
+    mat = r.integers(0, 2, (p, d)).astype(np.int8)
+    mat[7], mat[9] = mat[3], 0  # a duplicate and an empty chromosome
+    pop = popops.from_rows(spark, [(i + 5, row.tolist()) for i, row in enumerate(mat)])
+    want = {c.chrom_id + 5: tuple(c)[2:] for c in get("sparse_centroid").confusion(df, np.arange(p), mat).collect()}
+
+    class Recorded(model.Payload):
+        def __init__(self, spark, value, nbytes):
+            shipped.append(nbytes)
+            super().__init__(spark, value, nbytes)
+
+    def whole(*args, **kw):
+        raise AssertionError("the whole population on the driver")
+
+    monkeypatch.setattr(model, "Payload", Recorded)
+    monkeypatch.setattr(popops, "to_matrix", whole)
+    monkeypatch.setattr(popops, "PIECE", 64)
+    monkeypatch.setattr(model, "RANGE", 128)
+    scored = fitness.score(df, pop, get("sparse_centroid"), "f1").collect()
+    assert {c.chrom_id: (c.tp, c.fp, c.fn, c.tn) for c in scored} == want and len(scored) == p
+    assert [c.score is None for c in scored].count(True) == 1 and all(list(c.genes) == mat[c.chrom_id - 5].tolist() for c in scored)
+    assert max(shipped) <= 128 * 48 and len(shipped) == 2 * 6 + 1
+    known = popops.Pieces(pop, 8)
+    assert (known.part(0, d) == mat).all() and (known.part(640, 700) == mat[:, 640:]).all()
+    uniq, inverse = known.distinct()
+    assert len(uniq) == p - 1 and (uniq.part(0, d)[inverse] == mat).all()
+    monkeypatch.setattr(popops, "MAX_POPULATION_BITS", 100)
+    with pytest.raises(ValueError, match="exceeds"):
+        popops.Pieces(pop, 8)
+    with pytest.raises(ValueError, match="different lengths"):
+        popops.Pieces(popops.from_rows(spark, [(0, [1, 0]), (1, [1])]), 8)
