@@ -65,7 +65,7 @@ def test_estimates_and_what_is_left_to_passes(spark, monkeypatch):
     size = cells.estimated(df, 2, np.array([0, 1]), [np.array([0]), np.array([1]), np.array([], int)], 0)
     assert abs(size[0] - 20_000) < 6_000 and size[1:].tolist() == [6, 2]
     bits = np.array([[1, 0], [0, 1], [0, 0]], np.int8)
-    monkeypatch.setattr(cells, "VALUES", 1000)
+    monkeypatch.setattr(cells, "BYTES", 1000)
     assert sorted(cells.fitted(df, bits, None, 0, lambda c, ks, out: [b""] * len(ks))) == [1, 2]
     wide = df.select("y", (F.transform("features", lambda v: v * 1e9)).alias("features"))
     assert cells.fitted(wide, bits, None, 0, _no_pass) == {}  # inputs beyond 32 bits
